@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import read_table
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables, read only through Spark."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["connected_components", "cut", "edge_batch", "ensure_checkpoint_dir", "key_runs", "pieces", "read_table", "spanning_forest", "texts_of"]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -7,12 +7,32 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.chat import format_chat, read_back
 from tessera.llm.common import read_table
 from tessera.llm.packing import pack
+from tessera.llm.pii import replace_entities
+from tessera.llm.separators import flatten, scan
+from tessera.llm.simhash import near_duplicates
+from tessera.llm.toxicity import toxicity
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(flatten(read_table(spark, sf_dir, "documents"))).select("doc_id", "file", "ordinal", "start", "n_tokens")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -20,5 +40,5 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op8_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op8_chat_formatting)}
 ORACLE_SQL: dict[str, str] = {}
