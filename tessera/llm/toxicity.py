@@ -13,24 +13,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import texts_of
+from tessera.llm.common import cut, texts_of
 
 #: Labelled documents that the model is fitted on, at most (chosen by a hash of doc_id); bounds the
 #: vocabulary that is counted and the rows that the calibration brings to the driver.
 MAX_LABELLED = 200_000
 #: Lengths of word beginnings that stand between the corpus and a word in the hierarchy of priors.
 PREFIXES = (3, 4, 5, 6)
-#: Weight of a Dirichlet prior in tokens: a word's rates are drawn towards its longest known beginning's.
-PRIOR = 4.0
+#: Weight of a Dirichlet prior in documents: a word's rates are drawn towards its longest known beginning's.
+PRIOR = 2.0
 #: Tokens whose log-odds are less than so many standard deviations above 0 score as any other token.
-MIN_Z = 4.0
-MIN_COUNT = 4
+MIN_Z = 2.6
+#: ... and so do those that are less than so many times as frequent in toxic documents, as a logarithm.
+MIN_ODDS = 1.6
+#: Labelled documents that must hold a token.
+MIN_COUNT = 3
 #: Scores are clipped here, so that no single word makes a passage.
 MAX_SCORE = 6.0
 #: A passage is reported when so many or fewer as good are expected in a clean text of its length.
 MAX_EXPECTED = 0.01
 #: Raw words whose scores a worker remembers.
 REMEMBERED = 200_000
+#: One in so many labelled documents is set aside for the calibration.
+FOLDS = 4
+COUNTS = ("toxic_aside", "toxic", "clean_aside", "clean")
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’¿¡…–—"
 
 
@@ -147,51 +153,69 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     n = known.count()
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id").select("toxic", "text")
-    model = _learn(train)
-    if model.scores:
-        _calibrate(model, train)
-    return model
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
+    train = train.select((F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).alias("aside"), F.col("toxic"), "text")
+    rest, whole = _learn(train.select("toxic", "text", "aside"))
+    if whole.scores:
+        # the curve is fitted on documents that the tokens' scores weren't learned from
+        _calibrate(rest, train.where("aside").select("toxic", "text"))
+        whole.scale, whole.slope, whole.shift = rest.scale, rest.slope, rest.shift
+    return whole
+
 
+def _learn(train: DataFrame) -> tuple[Model, Model]:
+    """The model of the documents that aren't set aside, and that of all."""
 
-def _learn(train: DataFrame) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw: tuple[Counter, Counter] = (Counter(), Counter())
+        # documents by token, for each label and whether set aside; "" counts documents, " " words
+        sums: dict[tuple[bool, bool], Counter] = {(t, a): Counter() for t in (True, False) for a in (True, False)}
+        nodes: dict[str, list[str]] = {}
 
         def flush() -> pa.RecordBatch:
-            sums: dict[str, list[int]] = {}
-            for label in (0, 1):
-                for word, k in raw[label].items():
-                    word = word.strip(EDGES)
-                    for token in (*tokens_of(word), ""):
-                        sums.setdefault(token, [0, 0])[label] += k
-                raw[label].clear()
-            rows = list(sums.items())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([t for t, _ in rows], pa.string()), pa.array([c[1] for _, c in rows], pa.int64()), pa.array([c[0] for _, c in rows], pa.int64())],
-                names=["token", "toxic", "clean"],
-            )
+            tokens = list({t for c in sums.values() for t in c})
+            columns = [pa.array([c[t] for t in tokens], pa.int64()) for c in sums.values()]
+            for c in sums.values():
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *columns], names=["token", *COUNTS])
 
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                raw[int(label > 0)].update(text.lower().split())
-            if len(raw[0]) + len(raw[1]) > 150_000:
+            for label, text, aside in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist()):
+                words, tokens = text.lower().split(), {""}
+                for raw in set(words):
+                    if (found := nodes.get(raw)) is None:
+                        if len(nodes) >= REMEMBERED:
+                            nodes.clear()
+                        found = nodes[raw] = tokens_of(raw.strip(EDGES))
+                    tokens.update(found)
+                tokens.discard(" ")
+                counter = sums[label > 0, aside]
+                counter.update(tokens)
+                counter[" "] += len(words)
+            if sum(map(len, sums.values())) > 400_000:
                 yield flush()
         yield flush()
 
-    counted = train.mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # "" counts all words of the corpus; tokens that can't reach MIN_Z stay behind
-    all_words = counted.where("token = ''").first()
-    if all_words is None or not all_words.toxic or not all_words.clean:
-        return Model()
-    share = all_words.toxic / (all_words.toxic + all_words.clean)
-    n = F.col("toxic") + F.col("clean")
-    tells = counted.where((n >= MIN_COUNT) & (F.col("token") != "") & (F.col("toxic") - n * share > MIN_Z / 2 * F.sqrt(n * share * (1 - share))))
-    kept = {r.token: (r.toxic, r.clean) for r in tells.toLocalIterator()}
-    return _model(kept, all_words.toxic, all_words.clean)
-
-
-def _model(kept: dict[str, tuple[int, int]], toxic: int, clean: int) -> Model:
+    counted = train.mapInArrow(count, "token string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    toxic, clean = F.col("toxic_aside") + F.col("toxic"), F.col("clean_aside") + F.col("clean")
+    special = F.col("token").isin("", " ")
+    counted = cut(counted.where((toxic >= MIN_COUNT) | special))
+    sums = {r.token: r for r in counted.where(special).collect()}
+    if not sums:
+        return Model(), Model()
+    docs, words = sums[""], sums[" "]
+    n_toxic, n_clean = docs.toxic_aside + docs.toxic, docs.clean_aside + docs.clean
+    if not n_toxic or not n_clean:
+        return Model(), Model()
+    # tokens that can't reach MIN_Z stay behind; the others are bounded by the labelled sample
+    n, share = toxic + clean, n_toxic / (n_toxic + n_clean)
+    tells = list(counted.where(~special).where(toxic - n * share > 2 * F.sqrt(n * share * (1 - share))).toLocalIterator())
+    whole = _model({r.token: (r.toxic_aside + r.toxic, r.clean_aside + r.clean) for r in tells}, n_toxic, n_clean, (words.toxic_aside + words.toxic, words.clean_aside + words.clean))
+    if not docs.toxic or not docs.clean:
+        return whole, whole
+    return _model({r.token: (r.toxic, r.clean) for r in tells if r.toxic >= MIN_COUNT}, docs.toxic, docs.clean, (words.toxic, words.clean)), whole
+
+
+def _model(kept: dict[str, tuple[int, int]], toxic: int, clean: int, words: tuple[int, int]) -> Model:
     """Log-odds of the counted tokens under hierarchical Dirichlet priors; the share of the others makes their score."""
     model, share = Model(), toxic / (toxic + clean)
     drawn: dict[str, float] = {}  # P(toxic | token), drawn towards the token's beginnings
@@ -205,11 +229,11 @@ def _model(kept: dict[str, tuple[int, int]], toxic: int, clean: int) -> Model:
         a, b = kept[token]
         odds = math.log(p / (1 - p)) - base
         sigma = math.sqrt(1 / (a + PRIOR * p) + 1 / (b + PRIOR * (1 - p)))
-        if odds > 0.7 and odds / sigma >= MIN_Z:
+        if odds >= MIN_ODDS and odds / sigma >= MIN_Z:
             model.scores[token] = min(odds, MAX_SCORE)
-    words = [t for t in kept if t.endswith(" ") and t in model.scores]
-    told = [sum(kept[t][i] for t in words) for i in (0, 1)]
-    model.other = min(math.log((1 - told[0] / (toxic + 1)) / (1 - told[1] / (clean + 1))), -0.01)
+    told = [sum(kept[t][k] for t in model.scores if t.endswith(" ")) for k in (0, 1)]
+    rates = [min(told[k] / (words[k] + 1), 0.5) for k in (0, 1)]
+    model.other = min(math.log((1 - rates[0]) / (1 - rates[1])), -0.002)
     return model
 
 
