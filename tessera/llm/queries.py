@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.chat import format_chat, read_back
 from tessera.llm.common import read_table
+from tessera.llm.gridjoin import near_duplicates as vector_duplicates
+from tessera.llm.knn import integer_vectors, top_k
 from tessera.llm.packing import pack
 from tessera.llm.pii import replace_entities
 from tessera.llm.separators import flatten, scan
@@ -13,6 +15,11 @@ from tessera.llm.simhash import near_duplicates
 from tessera.llm.toxicity import toxicity
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(read_table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -33,6 +40,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -40,5 +51,5 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op8_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op7_embedding_dedup, op8_chat_formatting)}
 ORACLE_SQL: dict[str, str] = {}
