@@ -9,6 +9,7 @@ from tessera.llm.common import read_table
 from tessera.llm.gridjoin import near_duplicates as vector_duplicates
 from tessera.llm.knn import integer_vectors, top_k
 from tessera.llm.packing import pack
+from tessera.llm.pieces import digests
 from tessera.llm.pii import replace_entities
 from tessera.llm.separators import flatten, scan
 from tessera.llm.simhash import near_duplicates
@@ -51,5 +52,9 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op7_embedding_dedup, op8_chat_formatting)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op7_embedding_dedup, op8_chat_formatting, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
