@@ -14,6 +14,7 @@ from tessera.llm.pii import replace_entities
 from tessera.llm.separators import flatten, scan
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.toxicity import toxicity
+from tessera.llm.wrappers import main_text
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +53,13 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(turns.unionByName(extra)))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op7_embedding_dedup, op8_chat_formatting, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op7_embedding_dedup, op8_chat_formatting, op9_html_extraction, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
