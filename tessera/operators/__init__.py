@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Operators: metrics, sampling, scheduling, positions, scoring, constraints."""

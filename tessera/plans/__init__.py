@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Plans over several tables: run matrices, commits, the wide view."""

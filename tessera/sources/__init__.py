@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Sources of examples."""
