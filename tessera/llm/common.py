@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.lineage import cut, ensure_checkpoint_dir
 from tessera.session import read_table
 
 __all__ = ["connected_components", "cut", "edge_batch", "ensure_checkpoint_dir", "key_runs", "pieces", "read_table", "spanning_forest", "texts_of"]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder, so that a lost executor does not repeat its past."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spanning_forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the edges given, enough to join the same nodes: each node with the least of its tree.
 
