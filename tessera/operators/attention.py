@@ -29,10 +29,13 @@ def _total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
 
 
-def _group_metrics(name: str, values: Column, valid: Column) -> dict[str, Column]:
-    n, total = F.size(values).cast("double"), _total(values)
+def _shares(name: str) -> Column:
+    return F.transform(f"_{name}", lambda x: x / F.col(f"_{name}_t"))
+
+
+def _group_metrics(name: str, values: Column, total: Column, d: Column, valid: Column) -> dict[str, Column]:
+    n = F.size(values).cast("double")
     has = valid & (F.size(values) > 0) & (total >= EPSILON)
-    d = F.transform(values, lambda x: x / total)
     entropy = F.aggregate(d, F.lit(0.0), lambda s, x: s + F.when(x > 0, x * F.ln(x)).otherwise(0.0))
     spread = F.aggregate(d, F.lit(0.0), lambda s, x: s + F.when(x > 0, F.ln(x)).otherwise(F.lit(-INF)))
     defined = {"gini": F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x), "entropy": entropy, "kl_u_p": -F.ln(n) - spread / n, "kl_p_u": F.ln(n) + entropy, "dist_perplexity": -F.exp(-entropy)}
@@ -57,9 +60,12 @@ def metrics(df: DataFrame, vector: str = "attention", image: str = "image", prom
     parts = {"img_attn": F.col("_i"), "prompt_text_attn": F.col("_p"), "generated_text_attn": F.col("_g"), "prompt_generated_text_attn": F.concat("_p", "_g"), "all_attn": F.concat("_i", "_p", "_g")}
     valid = F.col("_ok")
     made: dict[str, Column] = {}
+    # each group's values, total and distribution are columns of their own, so they are worked out once
     for name in ATTENTION_GROUPS:
-        made |= _group_metrics(name, parts[name], valid)
-    i, p, g = (_total(F.col(f"_{c}")) for c in "ipg")
+        rows = rows.withColumn(f"_{name}", parts[name]).withColumn(f"_{name}_t", _total(F.col(f"_{name}")))
+        rows = rows.withColumn(f"_{name}_d", F.when(F.col(f"_{name}_t") >= EPSILON, _shares(name)))
+        made |= _group_metrics(name, F.col(f"_{name}"), F.col(f"_{name}_t"), F.col(f"_{name}_d"), valid)
+    i, p, g = (F.col(f"_{x}_t") for x in ATTENTION_GROUPS[:3])
     ratio = lambda a, b: F.when(valid & (b >= EPSILON), a / b)
     whole = i + p + g
     made |= {f"attn_ratio_{k}": r for k, r in {

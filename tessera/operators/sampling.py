@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import bind
+
 INF = float("inf")
 
 
@@ -47,32 +49,35 @@ def survivors(logits: Column, s: Sampling) -> Column:
     if s.top_k is not None:
         ranked = F.slice(ranked, 1, s.top_k)
     best = lambda a: F.element_at(a, 1)["z"]
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + F.exp(best(a) - x["z"]))
+    total = lambda a, top: F.aggregate(a, F.lit(0.0), lambda t, x: t + F.exp(top - x["z"]))
 
-    def kept(a: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("before"), F.array().cast("array<int>").alias("ids"))
-        mass = total(a)
+    def kept(a: Column, top: Column, mass: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("before"), F.lit(0).alias("n"))
 
         def step(state: Column, x: Column) -> Column:
-            stays = (F.size(state["ids"]) == 0) | ((state["before"] < s.top_p) & (x["z"] < INF))
-            return F.struct((state["before"] + F.exp(best(a) - x["z"]) / mass).alias("before"), F.when(stays, F.concat(state["ids"], F.array(x["i"]))).otherwise(state["ids"]).alias("ids"))
+            stays = (state["n"] == 0) | ((state["before"] < s.top_p) & (x["z"] < INF))
+            return F.struct((state["before"] + F.exp(top - x["z"]) / mass).alias("before"), (state["n"] + F.when(stays, 1).otherwise(0)).alias("n"))
 
-        return F.aggregate(a, start, step, lambda state: state["ids"])
+        # whoever stays comes before whoever goes
+        n = F.aggregate(a, start, step, lambda state: state["n"])
+        return F.transform(F.slice(a, F.lit(1), n), lambda x: x["i"])
 
-    return F.element_at(F.transform(F.array(ranked), kept), 1)
+    return bind(ranked, lambda a: bind(best(a), lambda top: bind(total(a, top), lambda mass: kept(a, top, mass))))
 
 
 def filtered(logits: Column, s: Sampling) -> Column:
     """Logits over temperature, with -Inf for all but the :func:`survivors`."""
-    ids = survivors(logits, s)
-    return F.transform(logits.cast("array<double>"), lambda x, i: F.when(F.array_contains(ids, i), x / s.temperature).otherwise(F.lit(-INF)))
+    return bind(survivors(logits, s), lambda ids: F.transform(logits.cast("array<double>"), lambda x, i: F.when(F.array_contains(ids, i), x / s.temperature).otherwise(F.lit(-INF))))
 
 
 def softmax(logits: Column) -> Column:
     """Probabilities of logits, of which at least one is finite."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda t, x: t + F.exp(x - top))
-    return F.transform(logits, lambda x: F.exp(x - top) / total)
+
+    def of(z: Column) -> Column:
+        total = lambda top: F.aggregate(z, F.lit(0.0), lambda t, x: t + F.exp(x - top))
+        return bind(F.array_max(z), lambda top: bind(total(top), lambda t: F.transform(z, lambda x: F.exp(x - top) / t)))
+
+    return bind(logits, of)
 
 
 def draw(probabilities: Column, *identity: Column) -> Column:
@@ -80,16 +85,17 @@ def draw(probabilities: Column, *identity: Column) -> Column:
 
     The same identity draws the same index on any cluster; no other generator's draws are reproduced.
     """
-    u = F.pmod(F.xxhash64(*identity), F.lit(1 << 53)) / float(1 << 53)
+    uniform = F.pmod(F.xxhash64(*identity), F.lit(1 << 53)) / float(1 << 53)
     start = F.struct(F.lit(0.0).alias("c"), F.lit(-1).alias("i"), F.lit(-1).alias("last"))
 
-    def step(a: Column, x: Column, ) -> Column:
-        c = a["c"] + x
-        n = a["last"] + 1
-        return F.struct(c.alias("c"), F.when((a["i"] < 0) & (x > 0) & (c > u), n).otherwise(a["i"]).alias("i"), n.alias("last"))
+    def of(p: Column, u: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            c, n = a["c"] + x, a["last"] + 1
+            return F.struct(c.alias("c"), F.when((a["i"] < 0) & (x > 0) & (c > u), n).otherwise(a["i"]).alias("i"), n.alias("last"))
+
+        return F.aggregate(p, start, step, lambda a: F.when(a["i"] >= 0, a["i"]).otherwise(F.array_position(p, F.array_max(p)).cast("int") - 1))
 
-    fallback = F.array_position(probabilities, F.array_max(probabilities)).cast("int") - 1
-    return F.aggregate(probabilities, start, step, lambda a: F.when(a["i"] >= 0, a["i"]).otherwise(fallback))
+    return bind(probabilities, lambda p: bind(uniform, lambda u: of(p, u)))
 
 
 def stop(token_id: Column, retained: Column, limit: Column, stop_ids: list[int]) -> Column:

@@ -164,14 +164,14 @@ def attn_invalid(spark, sf_dir):
 
 @query(
     f"""WITH a AS (SELECT vec_id, label, vec_id % 36 + 1 AS layer, {_NORMED} AS v FROM embeddings),
-b AS (SELECT label, layer, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS at FROM a)
-SELECT label, at, {', '.join(f"round(avg(x) FILTER (layer BETWEEN {lo} AND {hi}), 9) + 0.0 AS {s}" for s, (lo, hi) in SCENARIOS.items())} FROM b GROUP BY label, at"""
+b AS (SELECT label, layer, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM a)
+SELECT label, pos, {', '.join(f"round(avg(x) FILTER (layer BETWEEN {lo} AND {hi}), 9) + 0.0 AS {s}" for s, (lo, hi) in SCENARIOS.items())} FROM b GROUP BY label, pos"""
 )
 def attn_layers(spark, sf_dir):
     rows = _attention_rows(spark, sf_dir).withColumn("layer", (F.col("vec_id") % 36 + 1).cast("int"))
     means = attention.mean_over_layers(rows, ["label"])
-    spread = means.select("label", F.posexplode(F.arrays_zip(*SCENARIOS)).alias("at", "x")).select("label", "at", *[F.col(f"x.{s}").alias(s) for s in SCENARIOS])
-    return spread.select("label", F.col("at").cast("long").alias("at"), *[(F.round(s, 9) + 0.0).alias(s) for s in SCENARIOS])
+    spread = means.select("label", F.posexplode(F.arrays_zip(*SCENARIOS)).alias("pos", "x")).select("label", "pos", *[F.col(f"x.{s}").alias(s) for s in SCENARIOS])
+    return spread.select("label", F.col("pos").cast("long").alias("pos"), *[(F.round(s, 9) + 0.0).alias(s) for s in SCENARIOS])
 
 
 @query("SELECT label, CASE WHEN max(layer) > 36 OR min(layer) < 1 THEN 'unknown_layer' WHEN count(DISTINCT layer) < 36 THEN 'missing_layer' ELSE 'duplicate_layer' END AS error FROM (SELECT label, vec_id % 36 + 1 AS layer FROM embeddings) GROUP BY label HAVING count(DISTINCT layer) < 36 OR count(*) > 36 OR max(layer) > 36")
@@ -226,7 +226,7 @@ SELECT vec_id, count(*) AS n_kept, sum(i) AS sum_ids, round(sum(p), 6) AS mass F
 )
 def topk_topp_filter(spark, sf_dir):
     rows = _logits(spark, sf_dir)
-    probs = sampling.softmax(F.transform(sampling.filtered(F.col("logits"), sampling.Sampling(0.7, 1.0, 20)), lambda x: x))
+    probs = sampling.softmax(sampling.filtered(F.col("logits"), sampling.Sampling(0.7, 1.0, 20)))
     ids = sampling.survivors(F.col("logits"), sampling.CONCENTRATED)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     return rows.select("vec_id", ids.alias("ids"), probs.alias("p")).select(
@@ -415,7 +415,7 @@ def shard_ids(spark, sf_dir):
     return read_table(spark, sf_dir, "benchmark").select("item_id", identity.shard_id(F.col("text"), F.col("item_id"), F.col("item_id") + 31).alias("shard_id"))
 
 
-@query("""SELECT conv_id, sha256(string_agg(unhex(lpad(hex(octet_length(encode(text))), 16, '0')) || encode(text), ''::BLOB ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, sha256(unhex(string_agg(lpad(hex(octet_length(encode(text))), 16, '0') || hex(encode(text)), '' ORDER BY turn))) AS digest FROM conversations GROUP BY conv_id""")
 def ordered_digest(spark, sf_dir):
     rows = read_table(spark, sf_dir, "conversations")
     return rows.groupBy("conv_id").agg(identity.ordered_digest(F.col("text"), F.col("turn")).alias("digest"))
@@ -440,21 +440,19 @@ def prob_metrics(spark: SparkSession, sf_dir: str, names) -> DataFrame:
 
 # ---- positions and prompts -----------------------------------------------------------------------
 
-_TAG = r"(</?p>|<[^>]*>|[^<]+)"
-
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(</?p>)"), F.lit(1))).alias("at", "tag"))
+    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(</?p>)"), F.lit(1))).alias("pos", "tag"))
 
 
-@query("""WITH a AS (SELECT page_id, unnest(t) AS tag, generate_subscripts(t, 1) - 1 AS at FROM (SELECT page_id, regexp_extract_all(html, '</?p>') AS t FROM pages)),
-b AS (SELECT *, coalesce(sum(CASE WHEN tag = '<p>' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM a)
-SELECT page_id, at, CAST(depth AS BIGINT) AS depth, CASE WHEN tag = '<p>' AND depth >= 1 THEN 'nested_start' WHEN tag = '</p>' AND depth <= 0 THEN 'end_without_start' END AS error FROM b""")
+@query("""WITH a AS (SELECT page_id, unnest(t) AS tag, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '</?p>') AS t FROM pages)),
+b AS (SELECT *, coalesce(sum(CASE WHEN tag = '<p>' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM a)
+SELECT page_id, pos, CAST(depth AS BIGINT) AS depth, CASE WHEN tag = '<p>' AND depth >= 1 THEN 'nested_start' WHEN tag = '</p>' AND depth <= 0 THEN 'end_without_start' END AS error FROM b""")
 def prompt_spans(spark, sf_dir):
     start, end = F.col("tag") == "<p>", F.col("tag") == "</p>"
-    found = positions.spans(_tags(spark, sf_dir), ["page_id"], "at", start, end, F.lit(False), F.lit(False))
-    return found.select("page_id", F.col("at").cast("long").alias("at"), "depth", "error")
+    found = positions.spans(_tags(spark, sf_dir), ["page_id"], "pos", start, end, F.lit(False), F.lit(False))
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), "depth", "error")
 
 
 @query("""SELECT l_orderkey, l_linenumber, 100 + l_linenumber - 1 AS context_length, 100 + l_linenumber - 2 AS predictor_position, l_linenumber - 1 AS n_generated, count(*) AS n FROM lineitem GROUP BY ALL""")
@@ -575,7 +573,7 @@ def last_lines(spark, sf_dir):
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", T.last_line(F.col("text")).alias("last_line"))
 
 
-@query("SELECT item_id, ['A', 'B', 'C'] AS letters, [text[1:4], 'two', 'three' || chr(10) || 'more'] AS texts FROM benchmark")
+@query("SELECT item_id, ['A', 'B', 'C'] AS letters, [trim(text[1:4]), 'two', 'three' || chr(10) || 'more'] AS texts FROM benchmark")
 def parsed_choices(spark, sf_dir):
     question = F.concat(F.lit("Pick one.\n(A) "), F.substring("text", 1, 4), F.lit("\n B. two \nC) three\nmore\n"))
     rows = read_table(spark, sf_dir, "benchmark").select("item_id", T.choices(question).alias("c"))
