@@ -228,7 +228,7 @@ def _model(kept: dict[str, tuple[int, int]], toxic: int, clean: int, words: tupl
     for token, p in drawn.items():
         a, b = kept[token]
         odds = math.log(p / (1 - p)) - base
-        sigma = math.sqrt(1 / (a + PRIOR * p) + 1 / (b + PRIOR * (1 - p)))
+        sigma = math.sqrt(1 / (a + PRIOR * share) + 1 / (b + PRIOR * (1 - share)))
         if odds >= MIN_ODDS and odds / sigma >= MIN_Z:
             model.scores[token] = min(odds, MAX_SCORE)
     told = [sum(kept[t][k] for t in model.scores if t.endswith(" ")) for k in (0, 1)]
