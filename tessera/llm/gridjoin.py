@@ -98,7 +98,7 @@ def _near(epsilon: float) -> Column:
 
 
 def _leaf_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """``a``, ``b``: ids of the pairs of blocks that can't be skipped, each pair once.
+    """``dim``, ``a``, ``b``: ids of the pairs of blocks that can't be skipped, each pair once.
 
     The sequence of a task's blocks is a tree of intervals. From its roots on, pairs of intervals with
     distant boxes are dropped and the others are replaced by the pairs of their children, so the work
@@ -121,7 +121,7 @@ def _leaf_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
         left = first.join(nodes.alias("a"), (F.col("p.pa") == F.col("a.parent")) & (F.col("p.label") == F.col("a.label")) & (F.col("p.dim") == F.col("a.dim")))
         both = left.join(nodes.alias("b"), (F.col("p.pb") == F.col("b.parent")) & same & (F.col("a.id") <= F.col("b.id")) & _near(epsilon))
         pairs = both.select("a.label", "a.dim", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    return pairs.select("a", "b")
+    return pairs.select("dim", "a", "b")
 
 
 def _compare(cosine: float):
@@ -188,7 +188,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         return singles
     whole = blocks.select((F.shiftleft("task", 40) + F.col("seq")).alias("id"), "dim", "reps", "copies", "data")
     pairs = _leaf_pairs(blocks, epsilon).alias("p")
-    joined = pairs.join(whole.alias("a"), F.col("p.a") == F.col("a.id")).join(whole.alias("b"), (F.col("p.b") == F.col("b.id")) & (F.col("a.dim") == F.col("b.dim")))
+    joined = pairs.join(whole.alias("a"), (F.col("p.a") == F.col("a.id")) & (F.col("p.dim") == F.col("a.dim"))).join(whole.alias("b"), (F.col("p.b") == F.col("b.id")) & (F.col("p.dim") == F.col("b.dim")))
     compared = joined.select("p.a", "p.b", "a.dim", "a.reps", "a.copies", "a.data", "b.reps", "b.copies", "b.data").toDF("a", "b", "dim", "ra", "ca", "da", "rb", "cb", "db")
     found = cut(compared.mapInArrow(_compare(cosine), "a long, b long, n long"))
     parts = connected_components(found.select("a", "b")).select(F.col("node").alias("rep"), "component")
