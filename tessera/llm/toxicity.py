@@ -49,6 +49,7 @@ class Model:
     decay: float = 1.0  # lambda of the extreme-value law of clean texts
     scale: float = 0.1  # K of the same law
     slope: float = 0.0
+    length: float = 0.0
     shift: float = -20.0
 
     def of_word(self, raw: str) -> float:
@@ -130,6 +131,12 @@ class Scorer:
             best = max(best, t - (r - 1) * math.log(max(t, 1.0)) + 2 * log_r - math.log(r))
         return best
 
+    def probability(self, found: list[tuple[int, list]]) -> np.ndarray:
+        """Calibrated probabilities of texts, each given as words and segments."""
+        m = self.model
+        x, n = np.array([self.statistic(n, f) for n, f in found], np.float64), np.array([n for n, _ in found], np.float64)
+        return 1 / (1 + np.exp(-np.clip(m.slope * np.log1p(x) + m.length * np.log1p(n) + m.shift, -700, 700)))
+
     def significant(self, n: int, found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
         m = self.model
         return [x for x in found if m.scale * n * math.exp(-m.decay * x[2]) <= MAX_EXPECTED]
@@ -160,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     if whole.scores:
         # the curve is fitted on documents that the tokens' scores weren't learned from
         _calibrate(rest, train.where("aside").select("toxic", "text"))
-        whole.scale, whole.slope, whole.shift = rest.scale, rest.slope, rest.shift
+        whole.scale, whole.slope, whole.length, whole.shift = rest.scale, rest.slope, rest.length, rest.shift
     return whole
 
 
@@ -239,7 +246,7 @@ def _model(kept: dict[str, tuple[int, int]], toxic: int, clean: int, words: tupl
 
 
 def _calibrate(model: Model, train: DataFrame) -> None:
-    """Fit K on the clean documents' best segments, then the logistic curve of the statistic."""
+    """Fit K on the clean documents' best segments, then the logistic curve of the evidence and the length."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -257,21 +264,30 @@ def _calibrate(model: Model, train: DataFrame) -> None:
     scorer = Scorer(model)
     x = np.array([scorer.statistic(r.n, [(0, 0, s) for s in r.best]) for r in rows])
     y = np.array([float(r.toxic > 0) for r in rows])
-    model.slope, model.shift = _logistic(x, y)
+    n = np.array([r.n for r in rows], np.float64)
+    model.slope, model.length, model.shift = _logistic(np.log1p(x), np.log1p(n), y)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and shift by Newton's method, with a weak pull of the slope towards 0."""
-    w = np.zeros(2)
-    design = np.stack([x, np.ones_like(x)], 1)
-    pull = np.diag([1e-2, 1e-6])
-    for _ in range(50):
+def _logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Coefficients of the evidence (not negative) and of the length, which moves the law of the evidence, and the shift.
+
+    Newton's method on logarithms of both, with a weak pull of the coefficients towards 0.
+    """
+    if not len(y):
+        return 0.0, 0.0, -20.0
+    w = np.zeros(3)
+    design = np.stack([x, n, np.ones_like(x)], 1)
+    pull = np.diag([1e-2, 1e-2, 1e-6])
+    loss = lambda w: np.logaddexp(0, np.where(y > 0, -1, 1) * (design @ w)).sum() + w @ pull @ w / 2
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve((design.T * (p * (1 - p))) @ design + pull, design.T @ (y - p) - pull @ w)
-        w += np.clip(step, -5, 5)
+        step = np.linalg.solve((design.T * (p * (1 - p))) @ design + pull + 1e-9 * np.eye(3), design.T @ (y - p) - pull @ w)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-10:
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return max(float(w[0]), 0.0), float(w[1])
+    return max(float(w[0]), 0.0), float(w[1]), float(w[2])
 
 
 def score(docs: DataFrame, model: Model, passages: bool = False, columns: list[str] | None = None) -> DataFrame:
@@ -288,8 +304,7 @@ def score(docs: DataFrame, model: Model, passages: bool = False, columns: list[s
         scorer = Scorer(model)
         for batch in batches:
             found = [scorer.passages(t) for t in texts_of(batch.column(0))]
-            x = np.array([scorer.statistic(n, f) for n, f in found], np.float64)
-            out = [*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(model.slope * x + model.shift, -700, 700))), pa.float64())]
+            out = [*batch.columns[1:], pa.array(scorer.probability(found), pa.float64())]
             if passages:
                 kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("log_odds", pa.float64())]))
                 out.append(pa.array([[dict(zip(("begin", "end", "log_odds"), p)) for p in sorted(scorer.significant(n, f))] for n, f in found], kind))
