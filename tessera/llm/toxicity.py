@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from tessera.llm.common import cut, texts_of
 
@@ -313,7 +313,7 @@ def score(docs: DataFrame, model: Model, passages: bool = False, columns: list[s
     rows = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in names])
     schema = StructType([*(docs.schema[c] for c in names), StructField("score", DoubleType())])
     if passages:
-        schema = schema.add("passages", "array<struct<begin:int,end:int,log_odds:double>>")
+        schema = schema.add("passages", ArrayType(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType()), StructField("log_odds", DoubleType())])))
     return rows.mapInArrow(run, schema)
 
 
