@@ -24,19 +24,27 @@ BLOCK = 256
 BROADCAST_ENTRIES = 100_000
 
 
-def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Fingerprint of a text's lower-cased (A-Z) word shingles, repeats included; 0 without words.
+def shingles(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of a text's lower-cased (A-Z) word shingles in order, repeats included; none without words.
 
     Bytes are split at the space and 0x09-0x0D, so words are any runs of other bytes.
     """
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n, joined = max(1, len(words) - shingle + 1), b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip((ends - lengths)[:n].tolist(), ends[-n:].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip((ends - lengths)[:n].tolist(), ends[-n:].tolist())], np.uint64)
+
+
+def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Fingerprint of a text's shingles, repeats included; 0 without words."""
+    hashes = shingles(text, shingle, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 

@@ -1,7 +1,10 @@
 """The pipeline's stages on planted documents."""
 
+import numpy as np
 import pytest
 
+from tessera.llm import jaccard, simhash
+
 pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -27,3 +30,23 @@ def test_repeated_ids_keep_one_row(spark, data):
     rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "quite another text with other words", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, data).collect()) == [1, 2]
+
+
+def test_near_copies_by_similarity(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    base = [r.text.split() for r in docs.orderBy("doc_id").collect() if r.text and len(r.text.split()) > 60][:12]
+    texts = [" ".join(w) for w in base]
+    for at, words in enumerate(base):  # the same words but for every 47th, and every 9th
+        texts += [" ".join(f"x{at}" if k % step == step // 2 else w for k, w in enumerate(words)) for step in (47, 9)]
+    texts += ["", "one two", "one two", None]
+    sets = [jaccard.shingle_set(t or "") for t in texts]
+    close = [[len(a) == len(b) == 0 or len(set(a) & set(b)) * 5 >= 4 * len(set(a) | set(b)) for b in map(np.ndarray.tolist, sets)] for a in map(np.ndarray.tolist, sets)]
+    bits = [[(simhash.simhash(a or "") ^ simhash.simhash(b or "")).bit_count() for b in texts] for a in texts]
+    assert any(c and n > simhash.RADIUS for cs, ns in zip(close, bits) for c, n in zip(cs, ns))
+    comp = list(range(len(texts)))
+    while (new := [min(comp[j] for j in range(len(texts)) if close[i][j]) for i in range(len(texts))]) != comp:
+        comp = new
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.component_id for r in jaccard.near_copies(table).collect()} == dict(enumerate(comp))
+    assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, table, data).collect()) == sorted(set(comp))
