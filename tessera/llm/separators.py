@@ -41,7 +41,9 @@ def flatten(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
     """Flat 16-bit token stream of ``doc_id``, ``text``: one file a task, in blocks of ``block_bytes``.
 
     ``ended`` lists the doc_ids whose separator lies in the block, so that counts can be named later;
-    the scan itself doesn't see it. Null texts are empty documents: their separator alone.
+    the scan itself doesn't see it. Null texts are empty documents: their separator alone. A text that
+    holds the separator's string is encoded as ordinary text, so no separator stands inside a document;
+    an ``end_id`` that ordinary text has too is an error.
     """
     path = tokenizer or default_path()
 
@@ -66,7 +68,12 @@ def flatten(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                ids = encoder.encode(text).astype("<u2").tobytes() + end
+                ids = encoder.encode(text)
+                if (ids == end_id).any():
+                    ids = encoder.encode_ordinary(text)
+                    if (ids == end_id).any():
+                        raise ValueError(f"identifier {end_id} is no separator: the text of document {doc_id} has it")
+                ids = ids.astype("<u2").tobytes() + end
                 held.append(ids)
                 size += len(ids)
                 ends.append((size - 2, doc_id))

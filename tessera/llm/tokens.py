@@ -33,6 +33,8 @@ class ByteBpe:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens", ())]
         self.engine = self._ranks(spec)
+        plain = {**spec, "added_tokens": [], "post_processor": None}
+        self.plain = Tokenizer.from_str(json.dumps(plain)) if self.engine is None else None
 
     @staticmethod
     def _ranks(spec: dict):
@@ -57,6 +59,12 @@ class ByteBpe:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         return self.engine.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
+    def encode_ordinary(self, text: str) -> np.ndarray:
+        """As :meth:`encode`, with special tokens' strings as ordinary text; never a special identifier."""
+        if self.engine is None:
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.engine.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
 
 _LOADED: dict[str, ByteBpe] = {}
 

@@ -118,6 +118,16 @@ def test_token_counts(spark, docs):
     assert separators.scan(separators.flatten(docs([]))).count() == 0
 
 
+def test_separator_strings_do_not_end_documents(spark, docs):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "before", "<|endoftext|><|endoftext|>end", None, "behind them all"]
+    encoder = byte_bpe(default_path())
+    want = [len(encoder.encode_ordinary(t or "")) for t in texts]
+    assert not any((encoder.encode_ordinary(t or "") == separators.END_ID).any() for t in texts) and want[1] > 1
+    for size in (4, 1 << 18):
+        got = separators.scan(separators.flatten(docs(list(enumerate(texts))).coalesce(1), block_bytes=size)).collect()
+        assert sorted((r.doc_id, r.n_tokens) for r in got) == list(enumerate(want)) and all(r.is_ended for r in got)
+
+
 def test_scan_of_flat_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(separators, "CHUNK", 3)
     rng, want = np.random.default_rng(7), []
