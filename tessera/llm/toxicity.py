@@ -121,12 +121,15 @@ class Scorer:
         """Evidence of the r best segments together, for the best r (sum statistics of Karlin and Altschul, 1993).
 
         t, the sum of the normalised scores, is exceeded by chance with probability near
-        exp(-t) t^(r-1) / (r! (r-1)!); the evidence is minus the logarithm of that.
+        exp(-t) t^(r-1) / (r! (r-1)!); the evidence is minus the logarithm of that. Only segments above 0
+        count: a clean text of any length has one of them on average, but ever more below as it grows.
         """
         best = t = log_r = 0.0
         floor = math.log(max(self.model.scale * n, 1.0)) if n else 0.0
         for r, (_, _, s) in enumerate(found, 1):
-            t += self.model.decay * s - floor
+            if (above := self.model.decay * s - floor) <= 0:
+                break
+            t += above
             log_r += math.log(r)
             best = max(best, t - (r - 1) * math.log(max(t, 1.0)) + 2 * log_r - math.log(r))
         return best
@@ -246,23 +249,34 @@ def _model(kept: dict[str, tuple[int, int]], toxic: int, clean: int, words: tupl
 
 
 def _calibrate(model: Model, train: DataFrame) -> None:
-    """Fit K on the clean documents' best segments, then the logistic curve of the evidence and the length."""
+    """Fit K on the clean documents' best segments, then the logistic curve of the evidence and the length.
+
+    The evidence is that of all segments, as in scoring; only numbers come to the driver.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
             out = [scorer.passages(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int32()), pa.array([n for n, _ in out], pa.int64()), pa.array([[s for _, _, s in f[:32]] for _, f in out], pa.list_(pa.float64()))],
-                names=["toxic", "n", "best"],
+                [batch.column(0).cast(pa.int32()), pa.array([n for n, _ in out], pa.int64()), pa.array([[s for _, _, s in f] for _, f in out], pa.list_(pa.float64()))],
+                names=["toxic", "n", "found"],
             )
 
-    rows = train.mapInArrow(measure, "toxic int, n long, best array<double>").collect()  # MAX_LABELLED rows at most
-    clean = [(r.n, r.best[0] if r.best else 0.0) for r in rows if r.toxic == 0 and r.n]
+    measured = cut(train.mapInArrow(measure, "toxic int, n long, found array<double>"))
+    best = F.when(F.size("found") > 0, F.col("found")[0]).otherwise(0.0)
+    clean, mass = measured.where("toxic = 0 and n > 0").agg(F.count(F.lit(1)), F.sum(F.col("n") * F.exp(-F.lit(model.decay) * best))).first()
     if clean:
-        model.scale = len(clean) / max(sum(n * math.exp(-model.decay * s) for n, s in clean), 1e-9)
-    scorer = Scorer(model)
-    x = np.array([scorer.statistic(r.n, [(0, 0, s) for s in r.best]) for r in rows])
+        model.scale = clean / max(mass, 1e-9)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            x = [scorer.statistic(n, [(0, 0, s) for s in f]) for n, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.float64())], names=["toxic", "n", "x"])
+
+    rows = measured.mapInArrow(weigh, "toxic int, n long, x double").collect()  # MAX_LABELLED rows at most
+    x = np.array([r.x for r in rows])
     y = np.array([float(r.toxic > 0) for r in rows])
     n = np.array([r.n for r in rows], np.float64)
     model.slope, model.length, model.shift = _logistic(np.log1p(x), np.log1p(n), y)

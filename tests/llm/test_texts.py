@@ -59,6 +59,27 @@ def test_toxicity_learns_and_handles_edges(spark, docs):
     assert [(p.begin, p.end) for p in found.passages] == [(20, 23)]
 
 
+def test_weak_segments_are_no_evidence():
+    scorer = toxicity.Scorer(toxicity.Model(scores={"bad ": 2.0}))
+    weak, strong = (0, 1, 2.0), (5, 9, 14.0)
+    n = 20_000
+    assert scorer.statistic(n, [weak] * 300) == 0
+    assert scorer.statistic(n, [strong] + [weak] * 300) == scorer.statistic(n, [strong]) > 0
+    assert scorer.statistic(n, [strong] * 40) > scorer.statistic(n, [strong] * 32)
+
+
+def test_calibration_uses_all_segments(spark, monkeypatch):
+    model, seen = toxicity.Model(scores={"bad ": 2.0}), []
+    fit = toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, n, y: seen.append((x, n)) or fit(x, n, y))
+    texts = [(0, "fine word " * 30), (0, "a bad word " + "fine word " * 300), (1, ("bad " * 20 + "fine " * 900) * 60), (1, "bad bad bad bad fine")]
+    toxicity._calibrate(model, spark.createDataFrame(texts, "toxic int, text string"))
+    scorer = toxicity.Scorer(model)
+    want = [scorer.statistic(*scorer.passages(t)) for _, t in texts]
+    assert len(scorer.passages(texts[2][1])[1]) == 60
+    np.testing.assert_allclose(sorted(np.expm1(seen[0][0])), sorted(want))
+
+
 def test_held_out_labels_are_never_used(spark, docs):
     rows = [(i, "bad word" if zlib.crc32(str(i).encode()) % 5 == 0 else "good word") for i in range(200)]
     labels = spark.createDataFrame([(i, 0, int(zlib.crc32(str(i).encode()) % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
