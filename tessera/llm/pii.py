@@ -28,6 +28,7 @@ ROUNDS = 4
 # Alphabets, and given names by gender and script.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
+HEX_CLASSES = (DIGITS, "abcdef", "ABCDEF")
 NAME_CLASSES = (
     "aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "çñß", "ÇÑ",
     "аеиоуыэюя", "АЕИОУЫЭЮЯ", "бвгджзклмнпрстфхцчшщ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "ΑΕΗΙΟΥΩ", "βγδζθκλμνξπρστφχψ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
@@ -40,14 +41,17 @@ GIVEN_NAMES = {
 }
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа"
 
+#: Words before = or : that make what follows a secret, in any case, also behind an underscore.
+KEYWORDS = "password|passwd|secret|token|(?:api_)?key"
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]*+"
 #: Kinds in order of precedence.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,127}[A-Za-z]{2,}",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "password": r"(?<=\b(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Aa]pi_key)\s{0,2}[=:]\s{0,2})[\"']?[^\s\"']{4,200}",
-    "hex_key": r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])",
+    "password": rf"(?<=[=:\s\"'])(?<=(?<![A-Za-z0-9])(?i:{KEYWORDS})\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"']{{4,}}+",
+    "hex_key": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
@@ -142,7 +146,7 @@ def _email(m: Column, key: str) -> Column:
     tail = F.regexp_extract(m, r"(?:(?<=[@.])[^@.]+)?\.[^.]+$", 0)
     head = F.substring(m, F.lit(1), F.length(m) - F.length(tail))
     moved = _cipher(F.lower(head), key, "email", (DIGITS, LOWER))
-    return _bind(moved, lambda s: F.concat(_joined(F.transform(_chars(s), lambda c, i: F.when(F.substring(head, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c))), tail))
+    return _bind(moved, lambda s: F.concat(_joined(F.zip_with(_chars(s), _chars(head), lambda c, h: F.when(h.rlike("[A-Z]"), F.upper(c)).otherwise(c))), tail))
 
 
 #: First octets of addresses that aren't public.
@@ -217,6 +221,11 @@ def _secret(m: Column, key: str, kind: str, keep: int, alphabets) -> Column:
     return F.concat(F.substring(m, F.lit(1), F.lit(keep)), _cipher(F.substring(m, F.lit(keep + 1), F.length(m)), key, kind, alphabets))
 
 
+def _hex_key(m: Column, key: str) -> Column:
+    """Lower-case digits among themselves; where there are capitals, digits, small and capital letters each stay what they are."""
+    return F.when(m.rlike("[A-F]"), _cipher(m, key, "hex_key", HEX_CLASSES)).otherwise(_cipher(m, key, "hex_key", (HEX,)))
+
+
 def _password(m: Column, key: str) -> Column:
     return F.when(m.rlike("^[0-9a-f]+$"), _cipher(m, key, "password", (HEX,))).otherwise(_cipher(m, key, "password", (DIGITS, LOWER, UPPER)))
 
@@ -224,7 +233,7 @@ def _password(m: Column, key: str) -> Column:
 def kind_of(m: Column) -> Column:
     """The kind of a found entity, by its shape."""
     tests = {
-        "email": "@", "access_key": "^(?:AKIA|ASIA)[A-Z0-9]{16}$", "hex_key": "^[0-9a-f]{32,128}$", "iban": r"^[A-Z]{2}[0-9]{2}[ A-Z0-9]{11,40}$",
+        "email": "@", "access_key": "^(?:AKIA|ASIA)[A-Z0-9]{16}$", "hex_key": "^[0-9a-fA-F]{32,}$", "iban": r"^[A-Z]{2}[0-9]{2}[ A-Z0-9]{11,40}$",
         "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$", "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "card": r"^[0-9](?:[ -]?[0-9]){12,18}$",
         "phone": r"^[+(]?[0-9][0-9() .-]+$", "name": rf"^(?:{TITLES})\.? |^(?:{'|'.join(n for v in GIVEN_NAMES.values() for n in v)}) \p{{Lu}}",
     }
@@ -234,7 +243,7 @@ def kind_of(m: Column) -> Column:
 def surrogate(m: Column, key: str = DEFAULT_KEY) -> Column:
     """The replacement of one entity."""
     made = {
-        "email": _email(m, key), "access_key": _secret(m, key, "access_key", 4, (DIGITS, UPPER)), "hex_key": _secret(m, key, "hex_key", 0, (HEX,)),
+        "email": _email(m, key), "access_key": _secret(m, key, "access_key", 4, (DIGITS, UPPER)), "hex_key": _hex_key(m, key),
         "iban": _iban(m, key), "ip": _ip(m, key), "card": _card(m, key), "ssn": _refilled(m, _cipher(_digits(m), key, "ssn", (DIGITS,))),
         "phone": _phone(m, key), "name": _name(m, key),
     }

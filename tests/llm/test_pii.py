@@ -71,3 +71,17 @@ def test_key_matters(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.replace_entities(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_secrets_of_any_case_and_length(spark):
+    upper, mixed, long = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "9233a8ecF7C5B09FE5949719b6b82bc4", "0af1" * 60
+    secrets = [upper, mixed, long, "Zx9_" * 90, "hunter33", "hunter44", "hunter55", "hunter66", "hunter77", "q" * 90 + "@mail.example.com"]
+    text = (
+        f'TOKEN = "{upper}" and {upper} or {mixed}; {long}, PASSWORD: {secrets[3]} token=hunter33 Key: hunter44 API_KEY="hunter55" access_token = hunter66 '
+        f"passwd: 'hunter77' to {secrets[9]} monkey=banana"
+    )
+    new = pii.replace_entities(spark.createDataFrame([(text,)], "text string")).first()
+    assert not any(s in new.text for s in secrets) and new.text.endswith("monkey=banana") and len(new.text) == len(text) and new.n_entities == 11
+    found = mapped(spark, [text])
+    assert new.text.count(found[upper]) == 2 and re.fullmatch("[0-9A-F]{40}", found[upper])
+    assert re.fullmatch("[0-9a-f]+", found[long]) and len(found[secrets[3]]) == 360 and "Zx9_" not in found[secrets[3]]
