@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import heapq
 import html as htmllib
 import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, texts_of
 
-#: Pages of a host that its wrapper is inferred from: those with the least hash of page_id.
-SAMPLE_PAGES = 8
-#: Sample pages from which on a text that is the same on all of them is part of the frame.
+#: Pages of a host from which on a text that is the same on all of them is part of the frame.
 FIXED_PAGES = 5
-#: Characters of a sample page's HTML that a task may hold before it hands its candidates on.
-HELD_CHARS = 64_000_000
+#: Elements nested deeper have no term of their own: their text counts to the last one that has.
+DEPTH = 200
+#: Terms of pages that a task may hold before it hands them on.
+HELD_TERMS = 100_000
 #: Wrappers are broadcast up to so many bytes in all; beyond, pages and wrappers are joined by a shuffle.
 BROADCAST_BYTES = 16_000_000
 
@@ -136,7 +136,7 @@ def events(html: str) -> Iterator[tuple]:
 class Node:
     """A term of a wrapper: an element with a sequence of terms; any of them may be optional or repeated."""
 
-    __slots__ = ("chars", "children", "name", "noise", "optional", "repeated", "tag", "text")
+    __slots__ = ("chars", "children", "name", "noise", "optional", "pages", "repeated", "tag", "text")
 
     def __init__(self, tag: str, name: str, noise: int):
         self.tag, self.name, self.noise = tag, name, noise
@@ -144,6 +144,7 @@ class Node:
         self.children: list[Node] = []
         self.text: str | None = ""  # the text outside of the children; None for a slot
         self.chars = 0
+        self.pages = 1  # that hold the term
 
 
 def tree(html: str) -> Node:
@@ -156,8 +157,10 @@ def tree(html: str) -> Node:
                 stack[-1].text = f"{stack[-1].text} {said}".strip()
                 stack[-1].chars += len(said)
         elif event[0] == "open":
-            node = Node(*event[1:])
-            stack[-1].children.append(node)
+            node = stack[-1]
+            if len(stack) <= DEPTH:
+                node = Node(*event[1:])
+                stack[-1].children.append(node)
             stack.append(node)
         else:
             stack.pop()
@@ -218,13 +221,34 @@ def align(left: Node, right: Node) -> Node:
     return left
 
 
-def infer(pages: list[str]) -> dict[str, int]:
-    """The wrapper of one host's pages as labels by path: 1 where the main text is, 0 where none of it is."""
-    wrapper = None
-    for page in pages:
-        folded = fold(tree(page))
-        wrapper = folded if wrapper is None else align(wrapper, folded)
-    return labels(wrapper, len(pages)) if wrapper else {}
+def terms(page: str) -> dict[str, list]:
+    """The folded page's terms by path: tag, noise as a rank (kind of :func:`_is_noise`), characters, and the text's hash, None for a slot."""
+    root = fold(tree(page))
+    out: dict[str, list] = {}
+    for path, node in [("", root), *_paths(root)]:
+        term = out.setdefault(path, [node.tag, 0, 0, []])
+        term[1] = max(term[1], RANKS[node.noise])
+        term[2] += node.chars
+        term[3] = None if node.text is None or term[3] is None else [*term[3], node.text]
+    for term in out.values():
+        term[3] = None if term[3] is None else xxhash.xxh3_64_intdigest(json.dumps(term[3])) >> 1
+    return out
+
+
+#: Rank of a term's noise: what is noise everywhere outweighs what is so only outside of an article.
+RANKS = {0: 0, 2: 1, 1: 2}
+
+
+def assemble(rows: list[tuple]) -> Node:
+    """The wrapper of a host from its terms (path, tag, rank, characters, whether the text is one, pages) in the order of paths."""
+    nodes: dict[str, Node] = {}
+    for path, tag, rank, chars, same, pages in rows:
+        at = path.rfind(">")
+        node = nodes[path] = Node(tag, path[at + 1 :], next(n for n, r in RANKS.items() if r == rank))
+        node.chars, node.text, node.pages = chars, "" if same else None, pages
+        if path:
+            nodes[path[:at]].children.append(node)
+    return nodes[""]
 
 
 def _paths(node: Node, path: str = "") -> Iterator[tuple[str, Node]]:
@@ -256,7 +280,7 @@ def _heading(tag: str) -> bool:
 
 
 def labels(wrapper: Node, pages: int) -> dict[str, int]:
-    """Label the terms: 0 for noise by kind, attributes and, outside an article, by texts that are the same on all pages.
+    """Label the terms: 0 for noise by kind, attributes and, outside an article, by texts that are on all pages and the same there.
 
     The main text (1) is in the article or main elements. A wrapper without them takes the element at
     which the characters of slots part: from the root on, an element is entered while it has nearly all
@@ -269,7 +293,7 @@ def labels(wrapper: Node, pages: int) -> dict[str, int]:
 
     def mark(node: Node, path: str, inside: bool) -> int:
         """Characters of slots below ``node`` that aren't noise."""
-        chars = node.chars if node.text is None or pages < FIXED_PAGES or inside else 0
+        chars = node.chars if node.text is None or node.pages < pages or pages < FIXED_PAGES or inside else 0
         for child in node.children:
             here = f"{path}>{child.name}"
             is_main = child.tag in MAIN or child.name.endswith("@main")
@@ -365,53 +389,60 @@ def _walk(stream: list[tuple], wrapper: dict[str, int]) -> str | None:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` (labels as JSON), inferred from ``SAMPLE_PAGES`` pages of each host.
+    """``host, wrapper`` (labels as JSON), inferred from all pages of each host.
 
-    Each task hands on its candidates for a host, so a host with a third of all pages brings a few
-    rows from each task to the one that aligns them.
+    Each task hands on the terms of its pages, merged by host and path; these partial wrappers are
+    merged by sums and extremes, whatever their order. So a host with a third of all pages brings as
+    many rows from each task as it has paths to the one that labels it.
     """
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}  # by host, a heap of (-hash, html)
-        chars = 0
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], list] = {}  # tag, rank, characters, least and greatest hash, whether a slot, pages
 
         def flush() -> pa.RecordBatch:
-            rows = [(host, -key, page) for host, heap in held.items() for key, page in heap]
+            rows = [(*key, *term) for key, term in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["host", "key", "html"])
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["host", "path", "tag", "rank", "chars", "lo", "hi", "slot", "pages"])
 
         for batch in batches:
-            for host, key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
-                heap = held.setdefault(host, [])
-                if len(heap) < SAMPLE_PAGES:
-                    heapq.heappush(heap, (-key, page))
-                    chars += len(page)
-                elif -key > heap[0][0]:
-                    chars += len(page) - len(heapq.heapreplace(heap, (-key, page))[1])
-                if chars > HELD_CHARS:
+            for host, page in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                for path, (tag, rank, chars, text) in terms(page).items():
+                    slot, text = text is None, text or 0
+                    if (t := held.get((host, path))) is None:
+                        held[host, path] = [tag, rank, chars, text, text, slot, 1]
+                    else:
+                        held[host, path] = [min(t[0], tag), max(t[1], rank), t[2] + chars, min(t[3], text), max(t[4], text), t[5] or slot, t[6] + 1]
+                if len(held) > HELD_TERMS:
                     yield flush()
-                    chars = 0
         yield flush()
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, sample = None, []
+        host, rows = None, []
         for batch in batches:
-            rows: list[tuple[str, str]] = []
-            for name, page in zip(batch.column(0).to_pylist(), texts_of(batch.column(2))):
+            made: list[tuple[str, str]] = []
+            for name, *term in zip(*(c.to_pylist() for c in batch.columns)):
                 if name != host:
-                    if host is not None:
-                        rows.append((host, json.dumps(infer(sample))))
-                    host, sample = name, []
-                if len(sample) < SAMPLE_PAGES:
-                    sample.append(page)
-            yield _hosts(rows)
-        yield _hosts([(host, json.dumps(infer(sample)))] if host is not None else [])
+                    if rows:
+                        made.append((host, label(rows)))
+                    host, rows = name, []
+                rows.append(tuple(term))
+            yield _hosts(made)
+        yield _hosts([(host, label(rows))] if rows else [])
+
+    def label(rows: list[tuple]) -> str:
+        wrapper = assemble(rows)
+        return json.dumps(labels(wrapper, wrapper.pages))
 
     def _hosts(rows: list[tuple[str, str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["host", "wrapper"])
 
-    some = pages.select("host", F.xxhash64("page_id", "url").alias("key"), "html").mapInArrow(candidates, "host string, key long, html string")
-    return some.repartition("host").sortWithinPartitions("host", "key", "html").mapInArrow(induce, "host string, wrapper string")
+    some = pages.select("host", "html").mapInArrow(partial, "host string, path string, tag string, rank int, chars long, lo long, hi long, slot boolean, pages long")
+    whole = some.groupBy("host", "path").agg(
+        F.min("tag").alias("tag"), F.max("rank").alias("rank"), F.sum("chars").alias("chars"), (~F.max("slot") & (F.min("lo") == F.max("hi"))).alias("same"), F.sum("pages").alias("pages")
+    )
+    # a path sorts behind the paths that it begins with
+    return whole.repartition("host").sortWithinPartitions("host", "path").mapInArrow(induce, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -243,6 +243,19 @@ def test_wrapper_inference():
     assert p.repeated and p.text is None and hr.optional and not i.optional and i.text == "same"
 
 
+@pytest.mark.parametrize("n", [9, 40])
+def test_frames_are_on_all_pages_of_a_host(spark, n):
+    frame = '<body><div class="top">Menu bar</div><div class="post"><h2>Head {0}</h2><p>{0} body text of this page {0}</p>{1}</div><div class="base">All rights</div>'
+    rows = [(i, f"http://b.example/{i}", frame.format(f"w{i}", "<blockquote>said once</blockquote>" if i == 3 else "")) for i in range(n)]
+    rows.append((n, f"http://b.example/{n}", "<div>" * 3000 + "deep"))
+    rows += [(100 + i, f"http://c.example/{i}", frame.format(f"w{i}", "<blockquote>said once</blockquote>" if i == 3 else "")) for i in range(n)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = {r.page_id: r.text for r in wrappers.main_text(table.repartition(5)).collect()}
+    assert "said once" in by[3] and by[n] == "deep"
+    assert by[103] == "Head w3\nw3 body text of this page w3\nsaid once" and by[104] == "Head w4\nw4 body text of this page w4"
+    assert by == {r.page_id: r.text for r in wrappers.main_text(table.coalesce(1)).collect()}
+
+
 def test_pieces(spark, docs):
     lattice = pieces.lattice_of(pieces.default_path())
 
