@@ -12,33 +12,29 @@ from pyspark.sql import functions as F
 from tessera.plans.lineage import cut, ensure_checkpoint_dir
 from tessera.session import read_table
 
-__all__ = ["connected_components", "cut", "edge_batch", "ensure_checkpoint_dir", "key_runs", "pieces", "read_table", "spanning_forest", "texts_of"]
+__all__ = ["Remembered", "connected_components", "cut", "edge_batch", "ensure_checkpoint_dir", "fresh", "key_runs", "pieces", "read_table", "spanning_forest", "texts_of"]
 
 
 def spanning_forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the edges given, enough to join the same nodes: each node with the least of its tree.
 
-    Memory is in proportion to the edges given; callers pass one batch at a time.
+    Memory is in proportion to the edges given, in arrays alone; callers pass one batch at a time.
     """
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while (up := parent.get(top, top)) != top:
-            top = up
-        while (up := parent.get(x, x)) != top:
-            parent[x] = top
-            x = up
-        return top
-
-    for a, b in zip(left.tolist(), right.tolist()):
-        a, b = root(a), root(b)
-        if a != b:
-            a, b = (a, b) if a < b else (b, a)
-            parent[b] = a
-            parent.setdefault(a, a)
-    nodes = [x for x in parent if parent[x] != x]
-    return np.array(nodes, np.int64), np.array([root(x) for x in nodes], np.int64)
+    nodes, places = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = places[: len(left)], places[len(left) :]
+    least = np.arange(len(nodes))
+    while len(nodes):
+        least_of = np.minimum(least[a], least[b])
+        now = least.copy()
+        np.minimum.at(now, a, least_of)
+        np.minimum.at(now, b, least_of)
+        np.minimum.at(now, least, now)  # the one that a node was joined to joins what the node meets
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    led = least != np.arange(len(nodes))
+    return nodes[led], nodes[least[led]]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -81,6 +77,32 @@ def _digest(pairs: DataFrame) -> tuple:
     )
 
 
+class Remembered(dict):
+    """What a task remembers of strings it has met, bounded by bytes: beyond ``most`` it begins anew; long strings aren't kept."""
+
+    def __init__(self, most: int, each: int, longest: int = 64):
+        super().__init__()
+        self.most, self.each, self.longest, self.bytes = most, each, longest, 0
+
+    def keep(self, key: str, value, parts: int = 1):
+        """Remember ``value``, which holds ``parts`` strings as long as ``key`` at most (4 bytes a character), and return it."""
+        if len(key) <= self.longest:
+            self.bytes += self.each + 4 * len(key) * parts
+            if self.bytes > self.most:
+                self.clear()
+                self.bytes = 0
+            self[key] = value
+        return value
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def key_runs(keys: np.ndarray) -> np.ndarray:
     """Start of each run of equal values, and the length at the end."""
     if not len(keys):

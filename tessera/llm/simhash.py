@@ -20,6 +20,8 @@ RADIUS = 4
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 #: A table entry with more fingerprints is split into so large blocks, each of which is met by all probes.
 BLOCK = 256
+#: Pairs that a task compares at once: 16 bytes each, twice that while they are put in order.
+PAIRS = 200_000
 #: So many hot entries may be broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ENTRIES = 100_000
 
@@ -91,8 +93,8 @@ def _table_and_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of rows (key, block, probe, fp) sorted by those: every row meets the table rows of its block.
 
-    Holds the table rows of one block, ``BLOCK`` or a few more, and one batch. Writes a spanning
-    forest of each batch's links, so a dense block costs no more rows than it has.
+    Holds the table rows of one block, ``BLOCK`` or a few more, one batch, and ``PAIRS`` pairs. Writes a
+    spanning forest of the links among so many pairs, so a dense block costs few more rows than it has.
     """
     held_key, held = None, np.zeros(0, np.uint64)
     for batch in pieces(batches, 8192):
@@ -116,14 +118,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         while at < len(busy):
             total = np.cumsum(each[busy[at:]])
-            some = busy[at : at + max(1, int(np.searchsorted(total, 2_000_000, "right")))]
+            some = busy[at : at + max(1, int(np.searchsorted(total, PAIRS, "right")))]
             at += len(some)
             n = each[some]
             left = np.repeat(fp[some], n)
             right = table[np.repeat(begin[run_of[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
             near = (np.bitwise_count(left ^ right) <= RADIUS) & (left != right)
             if near.any():
-                yield edge_batch(*spanning_forest(*np.unique(np.stack([left[near], right[near]]).view(np.int64), axis=1)))
+                yield edge_batch(*spanning_forest(left[near].view(np.int64), right[near].view(np.int64)))
 
 
 def links(classes: DataFrame) -> DataFrame:

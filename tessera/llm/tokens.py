@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cached_property
 
 import numpy as np
 
@@ -26,15 +27,24 @@ class ByteBpe:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            self.spec = f.read()
+        spec = json.loads(self.spec)
         self.special = [x["content"] for x in spec.get("added_tokens", ())]
         self.engine = self._ranks(spec)
-        plain = {**spec, "added_tokens": [], "post_processor": None}
-        self.plain = Tokenizer.from_str(json.dumps(plain)) if self.engine is None else None
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.spec)
+
+    @cached_property
+    def plain(self):
+        """The library without special tokens."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(json.dumps({**json.loads(self.spec), "added_tokens": [], "post_processor": None}))
 
     @staticmethod
     def _ranks(spec: dict):

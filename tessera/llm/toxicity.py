@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from tessera.llm.common import cut, texts_of
+from tessera.llm.common import Remembered, cut, texts_of
 
 #: Labelled documents that the model is fitted on, at most (chosen by a hash of doc_id); bounds the
 #: vocabulary that is counted and the rows that the calibration brings to the driver.
@@ -32,8 +32,8 @@ MIN_COUNT = 3
 MAX_SCORE = 6.0
 #: A passage is reported when so many or fewer as good are expected in a clean text of its length.
 MAX_EXPECTED = 0.01
-#: Raw words whose scores a worker remembers.
-REMEMBERED = 200_000
+#: Bytes that a task spends on remembered words, and on counted tokens before it hands them on.
+REMEMBERED_BYTES, COUNTED_BYTES = 24_000_000, 32_000_000
 #: One in so many labelled documents is set aside for the calibration.
 FOLDS = 4
 COUNTS = ("toxic_aside", "toxic", "clean_aside", "clean")
@@ -99,16 +99,14 @@ class Scorer:
     """Applies a model to texts; one per task."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known = model, Remembered(REMEMBERED_BYTES, 160)
 
     def scores(self, text: str) -> np.ndarray:
         known, out = self.known, []
         for raw in text.lower().split():
             s = known.get(raw)
             if s is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                s = known[raw] = self.model.of_word(raw)
+                s = known.keep(raw, self.model.of_word(raw))
             out.append(s)
         return np.array(out)
 
@@ -180,7 +178,7 @@ def _learn(train: DataFrame) -> tuple[Model, Model]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # documents by token, for each label and whether set aside; "" counts documents, " " words
         sums: dict[tuple[bool, bool], Counter] = {(t, a): Counter() for t in (True, False) for a in (True, False)}
-        nodes: dict[str, list[str]] = {}
+        nodes = Remembered(REMEMBERED_BYTES, 600)
 
         def flush() -> pa.RecordBatch:
             tokens = list({t for c in sums.values() for t in c})
@@ -189,21 +187,23 @@ def _learn(train: DataFrame) -> tuple[Model, Model]:
                 c.clear()
             return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *columns], names=["token", *COUNTS])
 
+        long = 0  # characters of long words since the last flush
         for batch in batches:
             for label, text, aside in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist()):
                 words, tokens = text.lower().split(), {""}
                 for raw in set(words):
                     if (found := nodes.get(raw)) is None:
-                        if len(nodes) >= REMEMBERED:
-                            nodes.clear()
-                        found = nodes[raw] = tokens_of(raw.strip(EDGES))
+                        found = nodes.keep(raw, tokens_of(raw.strip(EDGES)), 6)
                     tokens.update(found)
                 tokens.discard(" ")
                 counter = sums[label > 0, aside]
                 counter.update(tokens)
                 counter[" "] += len(words)
-            if sum(map(len, sums.values())) > 400_000:
-                yield flush()
+                long += sum(len(w) for w in words if len(w) > 64)
+                # a counted token takes some 180 bytes, and a long one its characters too
+                if 180 * sum(map(len, sums.values())) + 24 * long > COUNTED_BYTES:
+                    yield flush()
+                    long = 0
         yield flush()
 
     counted = train.mapInArrow(count, "token string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])

@@ -50,3 +50,40 @@ def test_near_copies_by_similarity(spark, data):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id: r.component_id for r in jaccard.near_copies(table).collect()} == dict(enumerate(comp))
     assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, table, data).collect()) == sorted(set(comp))
+
+
+def test_a_group_of_near_copies_of_all_degrees(spark, data):
+    """Texts made of one, so that many pairs lie on either side of the similarity: components as by comparing all pairs."""
+    draw = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(64)]
+    texts = []
+    for k in range(320):
+        words = list(base)
+        for at in draw.choice(64, int(draw.integers(0, 9)), replace=False):
+            words[at] = f"y{k}" if draw.random() < 0.7 else f"z{at}"
+        texts.append(" ".join(words))
+    sets = [set(jaccard.shingle_set(t).tolist()) for t in texts]
+    comp = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) * 5 >= 4 * len(a | sets[j]) and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    assert 5 < len(set(comp)) < 250
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_copies(table).collect()} == dict(enumerate(comp))
+
+
+def test_one_row_of_a_group_stays_whatever_the_ids(spark, data):
+    a, b = "one text of seven words is here", "another text that has nothing of it"
+    rows = [(1, a, "en", 1), (2, a, "en", 2), (2, b, "en", 3), (2, b, "en", 3), (2, b, "de", 3), (3, None, "en", 4), (4, "", "en", 5), (None, a, "en", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string, n int")
+    out = pipeline.drop_near_duplicates(spark, docs, data)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, a, "en", 1), (2, b, "de", 3), (3, None, "en", 4), (None, a, "en", 6)], key=str)
+
+
+def test_no_rows(spark, data):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in pipeline.STAGES[:3]:
+        assert stage(spark, docs, data).columns == docs.columns and stage(spark, docs, data).count() == 0
