@@ -14,17 +14,21 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import texts_of
+from tessera.llm.common import key_runs, texts_of
 
 SPACE = "▁"
-#: Parts that a worker remembers, each of them at most so long.
-REMEMBERED, LONGEST = 250_000, 32
+#: Bytes that a task spends on parts that it remembers. Longer parts than ``LONGEST`` are searched one by one.
+REMEMBERED_BYTES, LONGEST = 64_000_000, 64
+#: Rows and characters of texts that are encoded at once; a longer text is encoded alone.
+ROWS, CHARACTERS = 512, 2_000_000
 #: A character without a piece costs so much more than the rarest piece; it is then spelled in bytes.
 UNKNOWN_COST = 10.0
 #: Stands for the space mark where a text has that character itself: no valid text has a lone surrogate.
@@ -173,108 +177,244 @@ class Lattice:
         return out
 
 
-class Encoder:
-    """Encodes whole texts; one per task, with a bounded memory of parts."""
+class Trie:
+    """The pieces as one array of transitions: the children of a node stand at its base plus their character's number."""
+
+    def __init__(self, root: list):
+        nodes, at, inner = [root], 0, []
+        while at < len(nodes):  # numbered in breadth
+            if nodes[at][0]:
+                inner.append((at, list(nodes[at][0]), range(len(nodes), len(nodes) + len(nodes[at][0]))))
+                nodes += nodes[at][0].values()
+            at += 1
+        alphabet = sorted({c for _, chars, _ in inner for c in chars})
+        #: The number of each code point: 1 for those that no piece has; 0 is what stands behind a word.
+        self.code_of = np.ones(0x110000, np.int32)
+        self.code_of[[ord(c) for c in alphabet]] = np.arange(2, len(alphabet) + 2)
+        number = {c: k + 2 for k, c in enumerate(alphabet)}
+        self.piece = np.array([n[1] for n in nodes], np.int32)
+        self.score = np.array([n[2] for n in nodes], np.float64)
+        self.base = np.zeros(len(nodes), np.int64)
+        draw = np.random.default_rng(0)
+        room = 4 * len(nodes)
+        self.node = np.zeros(room + len(alphabet) + 2, np.int32)  # the child that stands at a place, 0 for none
+        self.owner = np.full(len(self.node), -1, np.int32)
+        for of, chars, children in sorted(inner, key=lambda x: -len(x[1])):
+            codes = np.array([number[c] for c in chars])
+            base = int(draw.integers(room))
+            while (self.owner[base + codes] >= 0).any():
+                base = int(draw.integers(room))
+            self.base[of], self.owner[base + codes], self.node[base + codes] = base, of, children
+
+    def step(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The child of each node under a character's number, 0 for none."""
+        at = self.base[nodes] + codes
+        return np.where(self.owner[at] == nodes, self.node[at], 0)
+
+
+class Viterbi:
+    """Best segmentation of many words at once, and its lead over the second best, by one forward pass over all their lattices."""
+
+    def __init__(self, lattice: Lattice):
+        self.lattice, self.trie = lattice, Trie(lattice.trie)
+
+    def run(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, leads, numbers of ids, and all ids in a row. Ties go to the longest last piece, as in :meth:`Lattice.best_of`."""
+        trie, low = self.trie, -math.inf
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        # a slot for each boundary of each word, which also holds the character behind it
+        first = np.concatenate([[0], np.cumsum(lengths + 1)])
+        chars = np.arange(len(points)) + np.repeat(np.arange(len(words)), lengths)
+        codes = np.zeros(first[-1], np.int64)
+        codes[chars] = trie.code_of[points]
+        place = (np.arange(first[-1]) - np.repeat(first[:-1], lengths + 1)).astype(np.int32)
+        ends, depths, pieces, scores = self._edges(codes, chars)
+        order = np.argsort((place[ends].astype(np.int64) << 8) - depths, kind="stable")
+        ends, depths, pieces, scores = ends[order], depths[order], pieces[order], scores[order]
+        wide = np.ones(len(ends), np.int64)
+        spelled = pieces < 0
+        if spelled.any():
+            point = np.zeros(first[-1], np.uint32)
+            point[chars] = points
+            said = [self.lattice.ids_of(-1, chr(c), 0) for c in point[ends[spelled] - 1].tolist()]
+            wide[spelled] = list(map(len, said))
+            said = dict(zip((ends[spelled] - 1).tolist(), said))
+        best, second = np.full(first[-1], low), np.full(first[-1], low)
+        back, by, n = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.int32), np.zeros(first[-1], np.int64)
+        best[first[:-1]] = 0.0
+        groups = (place[ends].astype(np.int64) << 8) - depths
+        bounds = key_runs(groups)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):  # a place and a length of pieces: no end twice
+            at, depth = ends[a:b], int(depths[a])
+            begin, was = at - depth, best[at]
+            value = best[begin] + scores[a:b]
+            second[at] = np.maximum(np.maximum(second[at], np.minimum(value, was)), second[begin] + scores[a:b])
+            better = value > was
+            won = at[better]
+            best[won], back[won], by[won], n[won] = value[better], depth, pieces[a:b][better], n[begin[better]] + wide[a:b][better]
+        last = first[1:] - 1
+        starts = np.concatenate([[0], np.cumsum(n[last])])
+        ids = np.empty(starts[-1], "<u4")
+        at, base = last[lengths > 0], starts[:-1][lengths > 0]
+        while len(at):
+            begin, piece = at - back[at], by[at]
+            known = piece >= 0
+            ids[(base + n[begin])[known]] = piece[known]
+            for k in np.flatnonzero(~known).tolist():
+                here, letters = base[k] + n[begin[k]], said[int(begin[k])]
+                ids[here : here + len(letters)] = letters
+            on = place[begin] > 0
+            at, base = begin[on], base[on]
+        return best[last], best[last] - second[last], n[last], ids
+
+    def _edges(self, codes: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(end, length, piece, score) of all pieces in the words; -1 spells a character that is no piece."""
+        trie, begins = self.trie, chars
+        nodes, alone, out = np.zeros(len(chars), np.int64), np.zeros(len(codes), bool), []
+        for depth in range(1, self.lattice.longest + 1):
+            nodes = trie.step(nodes, codes[begins + depth - 1])
+            alive = nodes > 0
+            begins, nodes = begins[alive], nodes[alive]
+            if not len(begins):
+                break
+            ended = trie.piece[nodes] >= 0
+            out.append((begins[ended] + depth, np.full(ended.sum(), depth), trie.piece[nodes[ended]], trie.score[nodes[ended]]))
+            if depth == 1:
+                alone[begins[ended]] = True
+        rest = chars[~alone[chars]]
+        out.append((rest + 1, np.ones(len(rest), np.int64), np.full(len(rest), -1, np.int32), np.full(len(rest), self.lattice.unknown)))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
-    def __init__(self, lattice: Lattice, n: int):
-        self.lattice, self.n = lattice, n
-        self.known: dict[str, tuple] = {}
-        self.feed = np.array([lattice.spelled[10]], "<u4").tobytes()
 
-    def _part(self, key: str) -> tuple:
-        """(ids, score, lead over the second best, head, word) of the part that ``key`` stands for.
+class Encoder:
+    """Encodes batches of whole texts; one per task, with a memory of parts that is bounded by bytes.
 
-        A key is a word behind one space; a leading line feed stands for itself and no space.
-        """
-        made = self._made(key[1:], self.feed) if key.startswith("\n") else self._made(SPACE + key)
-        if len(key) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[key] = made
-        return made
-
-    def _made(self, word: str, head: bytes = b"") -> tuple:
-        return self._packed(word, head, *(next(self.lattice.best_of([word])) if word else (0.0, [], math.inf)))
-
-    def _packed(self, word: str, head: bytes, score: float, ids: list[int], lead: float) -> tuple:
-        return head + array("I", ids).tobytes(), score + (self.lattice.unknown if head else 0.0), lead, head, word
-
-    def prepare(self, texts: list[str]) -> None:
-        """Remember the parts of all ``texts`` at once: sorted, they share the passes over their beginnings."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        new: set[str] = set()
-        for text in texts:
-            new.update(self._keys(text.replace(SPACE, LITERAL)))
-        new = {k for k in new.difference(self.known) if len(k) <= LONGEST}
-        for head, keys in ((b"", [k for k in new if not k.startswith("\n")]), (self.feed, [k for k in new if k.startswith("\n")])):
-            words = sorted(key[1:] if head else SPACE + key for key in keys)
-            for word, found in zip(words, self.lattice.best_of(words)):
-                self.known["\n" + word if head else word[1:]] = self._packed(word, head, *found)
+    A part is named by a key: a word behind one space by the word, a line feed and the word that follows
+    it by both. What is known of a part is its score, its lead and where its ids stand in one array.
+    """
+
+    def __init__(self, lattice: Lattice, n: int):
+        self.lattice, self.n, self.viterbi = lattice, n, viterbi_of(lattice)
+        self.feed = lattice.spelled[10]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.others: dict[str, list] = {}
+        self.bytes = 0
+        self.scores = self.leads = np.zeros(0)
+        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _learn(self, keys: set[str]) -> None:
+        """Work out the parts that aren't known yet, all at once."""
+        new = sorted(keys.difference(self.known))
+        if not new:
+            return
+        long = [k for k in new if len(k) > LONGEST]
+        new = [k for k in new if len(k) <= LONGEST] + long
+        words = [k[1:] if k[:1] == "\n" else SPACE + k for k in new]
+        scores, leads, counts, ids = self.viterbi.run(words[: len(words) - len(long)])
+        if long:  # place by place, these would be steps with a word each
+            found = list(self.lattice.best_of(words[len(words) - len(long) :]))
+            scores, leads = np.concatenate([scores, [f[0] for f in found]]), np.concatenate([leads, [f[2] for f in found]])
+            counts, ids = np.concatenate([counts, [len(f[1]) for f in found]]), np.concatenate([ids, *[np.array(f[1], "<u4") for f in found]])
+        fed = np.fromiter((k[:1] == "\n" for k in new), bool, len(new))
+        if fed.any():
+            ids = np.insert(ids, (np.cumsum(counts) - counts)[fed], self.feed)
+            counts = counts + fed
+            scores = scores + np.where(fed, self.lattice.unknown, 0.0)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.scores, self.leads, self.counts, self.ids = (np.concatenate(x) for x in ((self.scores, scores), (self.leads, leads), (self.counts, counts), (self.ids, ids)))
+        self.bytes += 200 * len(new) + 4 * sum(map(len, new))
 
     @staticmethod
     def _keys(text: str) -> list[str]:
-        text = text.replace("\n", " \n")
-        return text.split(" ") if text[:1] != " " else text[1:].split(" ")
-
-    def _others(self, made: tuple) -> list[tuple[float, bytes]]:
-        """(lead, ids) of the next best segmentations of a part, from the A* search."""
-        packed, score, _, head, word = made
-        base = score - (self.lattice.unknown if head else 0.0)
-        ranked = [(base - s, head + array("I", ids).tobytes()) for s, ids in self.lattice.n_best(word, self.n)]
-        return [x for x in ranked if x[1] != packed][: self.n - 1]
-
-    def encode(self, text: str) -> list[tuple[float, bytes]]:
-        """The n best (score, packed little-endian 32-bit ids) of a text, best first; a single empty one for no text."""
+        """The keys of a text's parts, in order; none for no text."""
         if not text:
-            return [(0.0, b"")]
+            return []
         if SPACE in text:
             text = text.replace(SPACE, LITERAL)
-        known = self.known
         if "  " in text or " \n" in text or text[-1] == " " or text[0] == " ":
-            parts = self._odd_parts(text)
-        else:
-            parts = []
-            for key in self._keys(text):
-                found = known.get(key)
-                parts.append(self._part(key) if found is None else found)
-            if text[0] == "\n":  # the space that precedes every text
-                parts.insert(0, self._made(SPACE))
-        leads = np.array([p[2] for p in parts])
-        total, whole = float(sum(p[1] for p in parts)), [p[0] for p in parts]
-        return [(total - lead, self._changed(whole, changes)) for lead, changes in self._combine(leads, parts)]
-
-    def _odd_parts(self, text: str) -> list[tuple]:
-        """Parts of a text with runs of spaces: each run goes with the word behind it."""
-        out = []
+            return Encoder._odd_keys(text)
+        if "\n" not in text:
+            return text.split(" ")
+        keys = text.replace("\n", " \n").split(" ")
+        return keys  # a text that begins with a line feed begins with the space before it: the empty key
+
+    @staticmethod
+    def _odd_keys(text: str) -> list[str]:
+        """Keys of a text with runs of spaces: each run goes with the word behind it."""
+        out: list[str] = []
+        fed = False
         for k, m in enumerate(_PARTS.findall(text)):
-            word = m.replace(" ", SPACE)
-            if k == 0:
-                word = SPACE + word if m != "\n" else SPACE
-                if m == "\n":
-                    out.append(self._made(word))
-                    word = m
-            out.append((self.feed, self.lattice.unknown, math.inf, self.feed, "") if word == "\n" else self._made(word))
+            if m == "\n":
+                out += [""] * (k == 0) + ["\n"]
+            elif fed and m[0] != " ":
+                out[-1] += m
+            else:
+                word = m.replace(" ", SPACE)
+                out.append(word if k == 0 else word[1:])
+            fed = m == "\n"
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[tuple[float, bytes, bool]]]:
+        """For each text its n best (score, packed little-endian 32-bit ids, whether they decode to the text), best first.
+
+        Decoding puts pieces together, so what differs from the best segmentation in some parts decodes to
+        the text if the best does and these parts decode alike.
+        """
+        if self.bytes > REMEMBERED_BYTES:
+            self._forget()
+        keys = [self._keys(t) for t in texts]
+        self._learn(set().union(*keys))
+        bounds = np.concatenate([[0], np.cumsum(list(map(len, keys)))])
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(keys)), np.int64, bounds[-1])
+        scores, leads, counts = self.scores[which], self.leads[which], self.counts[which]
+        places = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.ids[np.repeat(self.starts[which] - places[:-1], counts) + np.arange(places[-1])]
+        out = []
+        for text, of, a, b in zip(texts, keys, bounds[:-1].tolist(), bounds[1:].tolist()):
+            whole, total = ids[places[a] : places[b]].tobytes(), float(scores[a:b].sum())
+            exact = decode(self.lattice, whole) == text
+            ranked = [(total, whole, exact)]
+            for lead, changes in self._combine(leads[a:b], of)[1:]:
+                parts, at, same = [], int(places[a]), exact
+                for i in sorted(changes):
+                    begin, end = int(places[a + i]), int(places[a + i + 1])
+                    parts += [ids[at:begin].tobytes(), changes[i]]
+                    same &= self._bytes(ids[begin:end]) == self._bytes(np.frombuffer(changes[i], "<u4"))
+                    at = end
+                ranked.append((total - lead, b"".join([*parts, ids[at : places[b]].tobytes()]), same))
+            out.append(ranked)
         return out
 
-    def _combine(self, leads: np.ndarray, parts: list[tuple]) -> list[tuple[float, dict[int, bytes]]]:
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join([self.lattice.text_of[i] for i in ids.tolist()])
+
+    def _others(self, key: str) -> list[tuple[float, bytes]]:
+        """(lead, ids) of the next best segmentations of a part, from the A* search."""
+        if (found := self.others.get(key)) is None:
+            k = self.known[key]
+            packed = self.ids[self.starts[k] : self.starts[k] + self.counts[k]].tobytes()
+            head, word = (np.array([self.feed], "<u4").tobytes(), key[1:]) if key[:1] == "\n" else (b"", SPACE + key)
+            base = self.scores[k] - (self.lattice.unknown if head else 0.0)
+            ranked = [(float(base - s), head + array("I", ids).tobytes()) for s, ids in self.lattice.n_best(word, self.n)]
+            found = self.others[key] = [x for x in ranked if x[1] != packed][: self.n - 1]
+            self.bytes += 300 + 16 * len(key)
+        return found
+
+    def _combine(self, leads: np.ndarray, keys: list[str]) -> list[tuple[float, dict[int, bytes]]]:
         """The n least sums of leads, one a part. All but n - 1 parts with the least leads stay at their best."""
         k = min(self.n - 1, len(leads))
         near = np.argsort(leads, kind="stable")[:k] if len(leads) <= 64 else np.sort(np.argpartition(leads, k - 1)[:k]) if k else []
         sums: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
         for i in [int(i) for i in near if leads[i] < math.inf]:
-            more = [(s + lead, c | {i: ids}) for s, c in sums for lead, ids in self._others(parts[i])]
+            more = [(s + lead, c | {i: ids}) for s, c in sums for lead, ids in self._others(keys[i])]
             sums = sorted(sums + more, key=lambda x: x[0])[: self.n]
         return sums
 
-    @staticmethod
-    def _changed(whole: list[bytes], changes: dict[int, bytes]) -> bytes:
-        if changes:
-            whole = list(whole)
-            for i, ids in changes.items():
-                whole[i] = ids
-        return b"".join(whole)
-
 
 def decode(lattice: Lattice, packed: bytes) -> str:
     """The text of packed ids: pieces put together, less the space that precedes every text."""
@@ -283,6 +423,7 @@ def decode(lattice: Lattice, packed: bytes) -> str:
 
 
 _LOADED: dict[str, Lattice] = {}
+_VITERBI: dict[int, Viterbi] = {}
 
 
 def lattice_of(path: str) -> Lattice:
@@ -292,6 +433,25 @@ def lattice_of(path: str) -> Lattice:
     return _LOADED[path]
 
 
+def viterbi_of(lattice: Lattice) -> Viterbi:
+    if id(lattice) not in _VITERBI:
+        _VITERBI[id(lattice)] = Viterbi(lattice)  # which keeps the lattice
+    return _VITERBI[id(lattice)]
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[pa.Array, list]]:
+    """The first column and the n best of the second's texts, some rows at a time."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            n = max(1, min(ROWS, int(np.searchsorted(sizes, before + CHARACTERS, "right")) - at))
+            part = batch.slice(at, n)
+            yield part.column(0), encoder.encode(texts_of(part.column(1)))
+            at += n
+
+
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 3, model: str | None = None) -> DataFrame:
     """``doc_id, rank, score, ids`` (binary): the n best segmentations of each whole text, ranks from 1.
 
@@ -303,19 +463,13 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     path = model or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(lattice_of(path), n)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = texts_of(part.column(1))
-                encoder.prepare(texts)
-                ranked = [encoder.encode(t) for t in texts]
-                which = np.repeat(np.arange(len(ranked)), [len(r) for r in ranked])
-                rows = [x for r in ranked for x in r]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(which)), pa.array([k + 1 for r in ranked for k in range(len(r))], pa.int32()), pa.array([s for s, _ in rows], pa.float64()), pa.array([p for _, p in rows], pa.binary())],
-                    names=["doc_id", "rank", "score", "ids"],
-                )
+        for doc_ids, ranked in _encoded(batches, Encoder(lattice_of(path), n)):
+            which = np.repeat(np.arange(len(ranked)), [len(r) for r in ranked])
+            rows = [x for r in ranked for x in r]
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids.take(pa.array(which)), pa.array([k + 1 for r in ranked for k in range(len(r))], pa.int32()), pa.array([x[0] for x in rows], pa.float64()), pa.array([x[1] for x in rows], pa.binary())],
+                names=["doc_id", "rank", "score", "ids"],
+            )
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, rank int, score double, ids binary")
@@ -339,21 +493,14 @@ def digests(docs: DataFrame, n: int = 3, model: str | None = None) -> DataFrame:
     path = model or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = lattice_of(path)
-        encoder = Encoder(lattice, n)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = texts_of(batch.column(1))
-                encoder.prepare(texts)
-                ranked = [encoder.encode(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), pa.array([len(r[0][1]) // 4 for r in ranked], pa.int64()), pa.array([[s for s, _ in r] for r in ranked], pa.list_(pa.float64())),
-                        pa.array([[zlib.crc32(p) for _, p in r] for r in ranked], pa.list_(pa.int64())), pa.array([all(decode(lattice, p) == t for _, p in r) for t, r in zip(texts, ranked)]),
-                    ],
-                    names=["doc_id", "n_pieces", "scores", "ids_crc32", "exact"],
-                )
+        for doc_ids, ranked in _encoded(batches, Encoder(lattice_of(path), n)):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    doc_ids, pa.array([len(r[0][1]) // 4 for r in ranked], pa.int64()), pa.array([[x[0] for x in r] for r in ranked], pa.list_(pa.float64())),
+                    pa.array([[zlib.crc32(x[1]) for x in r] for r in ranked], pa.list_(pa.int64())), pa.array([all(x[2] for x in r) for r in ranked], pa.bool_()),
+                ],
+                names=["doc_id", "n_pieces", "scores", "ids_crc32", "exact"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_pieces long, scores array<double>, ids_crc32 array<long>, exact boolean")

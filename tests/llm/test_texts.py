@@ -278,7 +278,7 @@ def test_pieces(spark, docs):
         assert (score, tuple(ids)) in all_ and score == all_[0][0] and lead == (all_[0][0] - all_[1][0] if len(all_) > 1 else float("inf"))
     whole = every("▁ab▁the")
     encoder = pieces.Encoder(lattice, 4)
-    assert [s for s, _ in encoder.encode("ab the")] == [s for s, _ in whole[:4]]
+    assert [x[0] for x in encoder.encode(["ab the"])[0]] == [s for s, _ in whole[:4]]
     table = docs(list(enumerate(ODD)) + [(99, "x  y \n z ")])
     back = pieces.decode_column(pieces.encode(table, n=3)).collect()
     texts = dict(enumerate(ODD)) | {99: "x  y \n z "}
@@ -288,6 +288,66 @@ def test_pieces(spark, docs):
     assert pieces.encode(docs([])).count() == 0
 
 
+def test_viterbi_of_many_words_at_once():
+    lattice = pieces.lattice_of(pieces.default_path())
+    draw = np.random.default_rng(3)
+    words = sorted({"▁" * int(draw.integers(0, 2)) + "".join(draw.choice(list("abcdeinrst éщ日x\ud800\x00▁"), int(draw.integers(0, 40)))) for _ in range(3000)})
+    scores, leads, counts, ids = pieces.viterbi_of(lattice).run(words)
+    ends = np.cumsum(counts)
+    for word, score, lead, a, b in zip(words, scores, leads, ends - counts, ends):
+        want = next(lattice.best_of([word])) if word else (0.0, [], np.inf)
+        assert (score, ids[a:b].tolist(), lead) == want
+
+
+def as_unigram(path):
+    """The library on the same pieces and scores, told that they are a unigram model: field 3 (kind) of field 2 (training) is 1."""
+    import sentencepiece
+
+    data, at = bytearray(open(path, "rb").read()), 0
+
+    def number(at):
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return value, at
+
+    while at < len(data):
+        tag, at = number(at)
+        size, at = number(at)
+        if tag >> 3 == 2:
+            inner, end = at, at + size
+            while inner < end:
+                field, inner = number(inner)
+                if field >> 3 == 3:
+                    data[inner] = 1
+                if field & 7 == 0:
+                    _, inner = number(inner)
+                else:
+                    n, after = number(inner) if field & 7 == 2 else (4, inner)
+                    inner = after + n
+        at += size
+    return sentencepiece.SentencePieceProcessor(model_proto=bytes(data))
+
+
+def test_best_segmentations_are_the_librarys(spark, data):
+    """Scores of the n best against SentencePiece's own search over the same lattice; ids are equal where no scores tie."""
+    library, lattice = as_unigram(pieces.default_path()), pieces.lattice_of(pieces.default_path())
+    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").select("text").collect()]
+    short = [" ".join(t.split()[:8]) for t in texts if t and t.split()][:150]
+    short = [t for t in short if all(c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ ,." for c in t)]
+    assert len(short) > 40
+    score_of = [library.get_score(i) for i in range(library.get_piece_size())]
+    for text, ranked in zip(short, pieces.Encoder(lattice, 3).encode(short)):
+        want = library.nbest_encode_as_ids(text, 3)
+        scores = [sum(score_of[i] for i in ids) for ids in want]
+        np.testing.assert_allclose([r[0] for r in ranked], scores, atol=1e-3)
+        assert all(library.decode(np.frombuffer(r[1], "<u4").tolist()) == text and r[2] for r in ranked)
+        if scores[0] > scores[1]:
+            assert np.frombuffer(ranked[0][1], "<u4").tolist() == want[0]
+
+
 def test_queries_keep_all_rows(spark, data):
     n = spark.read.parquet(f"{data}/documents.parquet").count()
     for name in ("op2_toxicity", "op3_simhash", "op4_token_counts", "op6_pii", "op10_sentencepiece"):
