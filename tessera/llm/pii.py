@@ -1,37 +1,50 @@
 """Surrogates for personal data, with DataFrame and SQL functions alone.
 
-Entities are found by one regular expression. A surrogate is a keyed permutation of its entity within
-the entities of the same kind and format, so the same entity has the same surrogate everywhere
-(coreference), different entities have different ones (distinctness), and nothing has to be looked up:
-no shuffle, no table of entities, no Python.
+Entities are found by one regular expression, whose groups tell their kinds. A surrogate is a keyed
+permutation of its entity within the entities of the same kind and format, so the same entity has the
+same surrogate everywhere (coreference), different entities have different ones (distinctness), and
+nothing has to be looked up: no table of entities, no Python.
 
 * Letters and digits are enciphered by a Feistel network whose round function is SHA-256 under the key:
-  digits to digits, letters to letters of the same case and, in names, to vowels or consonants of the
-  same script.
+  digits to digits, letters to letters of the same case and script and, in names, to vowels or consonants.
+  The cipher C is applied as C'(S(C(x))), S being a shift of every character in its class and C' the
+  inverse of C. S moves every text, and so does this: no surrogate equals its entity.
 * Phone, card and account numbers are enciphered as digit sequences, so another way of writing them
   leads to the same digits. A card keeps its first digit and passes the Luhn test if the original did.
 * An address of the fourth version of the Internet protocol is enciphered as a number; a public one
-  stays public (cycle walking).
-* A known given name becomes one of the same gender and script, by a keyed permutation of the list.
+  stays public, another one keeps its first part.
+* A known given name becomes another of the same gender and script: the next one in an order of the
+  list under the key. Endings of surnames that tell a gender stay.
+* :func:`replace_entities` checks the distinct entities of the whole table for collisions, and takes a
+  further key if it finds any.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut, fresh
+
 DEFAULT_KEY = "surrogate-key-1"
 ROUNDS = 4
+#: Keys that are tried, one after the other, while surrogates collide.
+ATTEMPTS = 3
 
 # Alphabets, and given names by gender and script.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
 HEX_CLASSES = (DIGITS, "abcdef", "ABCDEF")
-NAME_CLASSES = (
-    "aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "çñß", "ÇÑ",
-    "аеиоуыэюя", "АЕИОУЫЭЮЯ", "бвгджзклмнпрстфхцчшщ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "ΑΕΗΙΟΥΩ", "βγδζθκλμνξπρστφχψ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
+LATIN_SOUNDS = ("aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ")
+VOWELS = "aeiouyæøœıаеиоуыэюяєіαεηιουω"
+#: Blocks of letters that are dealt out to classes by case and sound; other letters move within rows of 16.
+LETTER_BLOCKS = (
+    (0x00C0, 0x0100), (0x0100, 0x0180), (0x0180, 0x0250), (0x0370, 0x0391), (0x0391, 0x03CA), (0x03CA, 0x0400), (0x0400, 0x0410), (0x0410, 0x0450), (0x0450, 0x0530),
+    (0x1E00, 0x1F00), (0x1F00, 0x2000),
 )
 GIVEN_NAMES = {
     "female latin": "Alice Anna Barbara Carmen Charlotte Clara Emma Eva Hannah Isabel Julia Laura Lucia Maria Marie Mary Olivia Paula Sarah Sophie".split(),
@@ -40,26 +53,57 @@ GIVEN_NAMES = {
     "male cyrillic": "Александр Андрей Борис Виктор Дмитрий Иван Николай Олег Павел Сергей".split(),
 }
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа"
-
+#: Endings by which a surname tells a gender.
+GENDER_ENDING = "(?:[оеё]ва|[иы]на|ая|[oe]va)$"
+#: Country calling codes by their first digits; all others have three digits.
+CALLING_CODE = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 #: Words before = or : that make what follows a secret, in any case, also behind an underscore.
-KEYWORDS = "password|passwd|secret|token|(?:api_)?key"
+KEYWORDS = "password|passwd|passwort|contraseña|пароль|secret|token|(?:api_)?key"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]*+"
-#: Kinds in order of precedence.
+_KNOWN = "|".join(n for v in GIVEN_NAMES.values() for n in v)
+#: Kinds in order of precedence; none has a group of its own. What a keyword makes a secret comes last.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,127}[A-Za-z]{2,}",
-    "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "password": rf"(?<=[=:\s\"'])(?<=(?<![A-Za-z0-9])(?i:{KEYWORDS})\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"']{{4,}}+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]{1,63}+\.){1,127}\p{L}{2,}",
+    "access_key": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "hex_key": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:(?:{TITLES})\.? {_NAME}(?: {_NAME})?|(?:{'|'.join(n for v in GIVEN_NAMES.values() for n in v)}) {_NAME})",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES})\.?|{_KNOWN})(?: {_NAME})++",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+KINDS = (*PATTERNS, "password")
+_OTHERS = "|".join(p for k, p in PATTERNS.items() if k != "name")
+#: One group a kind; before a password stands the group of its keyword.
+ANY = "|".join(f"({p})" for p in PATTERNS.values()) + rf"|(?<![\p{{L}}\p{{N}}])(?=[ptkscPTKSCпПаА])((?iu:{KEYWORDS})\s{{0,2}}[=:]\s{{0,2}}[\"']?)(?!{_OTHERS})([^\s\"']{{4,}}+)"
+#: Marks between what the expression finds, between its groups, and what they are escaped by where a text has them.
+MARK, GROUP, ESCAPE = "\u0001", "\u0002", "\u0003"
+
+
+# ---- ciphers ---------------------------------------------------------------------------------------
+
+
+@cache
+def _other_letters() -> tuple[str, ...]:
+    """The letters of ``LETTER_BLOCKS`` by block, case (whether it can be changed and back) and sound; of each class two at least."""
+    classes: dict[tuple, str] = {}
+    for block in LETTER_BLOCKS:
+        for c in map(chr, range(*block)):
+            kind = unicodedata.category(c)
+            if kind.startswith("L"):
+                cased = len(c.swapcase()) == 1 and c.swapcase() != c and c.swapcase().swapcase() == c
+                sound = unicodedata.normalize("NFD", c)[0].lower() in VOWELS
+                classes[block, kind, cased, sound] = classes.get((block, kind, cased, sound), "") + c
+    lone = "".join(x for x in classes.values() if len(x) == 1)
+    return (*(x for x in classes.values() if len(x) > 1), *((lone,) if len(lone) > 1 else ()))
+
+
+SECRET_CLASSES = (DIGITS, LOWER, UPPER, *_other_letters())
+NAME_CLASSES = (*LATIN_SOUNDS, *_other_letters())
+EMAIL_CLASSES = (DIGITS, LOWER, *_other_letters())
 
 
 def _chars(text: Column) -> Column:
@@ -71,30 +115,47 @@ def _joined(array: Column) -> Column:
 
 
 def _byte(digest: Column, i: Column) -> Column:
-    """The i-th byte (around and around) of a digest in hexadecimal digits, and 65,536 values of it."""
+    """One of 65,536 values for the place ``i`` from a digest in hexadecimal digits, around and around."""
     return F.conv(F.substring(digest, F.pmod(i, F.lit(30)) * 2 + 1, F.lit(4)), 16, 10).cast("int")
 
 
+def _numbers(values) -> Column:
+    """An array of numbers as one expression, which the optimizer works out once."""
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<int>")
+
+
 def _shifted(c: Column, by: Column, alphabets) -> Column:
-    """``c`` moved on in the first alphabet that has it; other characters stay."""
-    out = c
-    for alphabet in reversed(alphabets):
-        a = F.lit(alphabet)
-        out = F.when(F.instr(a, c) > 0, F.substring(a, F.pmod(F.instr(a, c) - 1 + by, F.lit(len(alphabet))) + 1, F.lit(1))).otherwise(out)
-    return out
+    """``c`` moved on in the alphabet that has it. With letters of other blocks, one of yet another script moves in its row of 16."""
+    table = F.lit("".join(alphabets))
+    begins = _numbers(sum(map(len, alphabets[:k])) + 1 for k, a in enumerate(alphabets) for _ in a)
+    sizes = _numbers(len(a) for a in alphabets for _ in a)
+    moved = _bind(F.instr(table, c), lambda p: F.when(p > 0, F.substring(table, F.get(begins, p - 1) + F.pmod(p - F.get(begins, p - 1) + by, F.get(sizes, p - 1)), F.lit(1))))
+    if len(alphabets) < 6:
+        return F.coalesce(moved, c)
+    code = F.ascii(c)
+    far = (code >= 0x0250) & ~code.between(0x0300, 0x052F) & ~code.between(0x1E00, 0x2BFF) & ~code.between(0x3000, 0x303F) & ~code.between(0xD800, 0xF8FF)
+    row = code.bitwiseAND(F.lit(~15))
+    there = F.decode(F.unhex(F.lpad(F.hex((row + F.pmod(code - row + by, F.lit(16))).cast("long")), 8, "0")), "UTF-32")
+    return F.coalesce(moved, F.when(far, there).otherwise(c))
 
 
 def _cipher(text: Column, key: str, kind: str, alphabets) -> Column:
-    """Feistel network over the halves of ``text``: a permutation of the texts with the same classes at the same places."""
+    """A permutation, with no fixed points, of the texts that have the same classes at the same places; texts without any stay."""
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
+    moved = lambda part, digest, sign: _joined(F.transform(_chars(part), lambda c, i: _shifted(c, _byte(digest, i) * sign, alphabets)))
+    of = lambda r, part: F.sha2(F.concat_ws(MARK, F.lit(key), F.lit(kind), r.cast("string"), part), 256)
+    rounds = F.array(*map(F.lit, range(ROUNDS)))
 
-    def step(s: Column, r: Column) -> Column:
-        digest = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit(kind), r.cast("string"), s["b"]), 256)
-        moved = _joined(F.transform(_chars(s["a"]), lambda c, i: _shifted(c, _byte(digest, i), alphabets)))
-        return F.struct(s["b"].alias("a"), moved.alias("b"))
+    def forth(s: Column, r: Column) -> Column:
+        return F.struct(s["b"].alias("a"), moved(s["a"], of(r, s["b"]), 1).alias("b"))
 
-    return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), start, step, lambda s: F.concat(s["a"], s["b"]))
+    def back(s: Column, r: Column) -> Column:
+        return F.struct(moved(s["b"], of(r, s["a"]), -1).alias("a"), s["a"].alias("b"))
+
+    on = lambda part: _joined(F.transform(_chars(part), lambda c: _shifted(c, F.lit(1), alphabets)))
+    there = F.aggregate(rounds, start, forth, lambda s: F.struct(on(s["a"]).alias("a"), on(s["b"]).alias("b")))
+    return F.aggregate(F.reverse(rounds), there, back, lambda s: F.concat(s["a"], s["b"]))
 
 
 def _bind(value: Column, then) -> Column:
@@ -113,6 +174,9 @@ def _refilled(form: Column, digits: Column) -> Column:
     )
 
 
+# ---- kinds -----------------------------------------------------------------------------------------
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum modulo 10 of a digit string, its last digit counting once."""
     n = F.length(digits)
@@ -134,45 +198,64 @@ def _card(m: Column, key: str) -> Column:
     return _refilled(m, _bind(_digits(m), whole))
 
 
+def phone_number(m: Column) -> Column:
+    """Calling code (empty without a plus sign) and national digits of a phone number."""
+    return _bind(
+        F.when(F.startswith(m, F.lit("+")), F.regexp_extract(_digits(m), f"^(?:{CALLING_CODE})", 0)).otherwise(F.lit("")),
+        lambda code: F.struct(code.alias("code"), F.substring(_digits(m), F.length(code) + 1, F.length(m)).alias("national")),
+    )
+
+
 def _phone(m: Column, key: str) -> Column:
-    """The country code and the first digit behind it stay, the other digits are enciphered as a sequence."""
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, _refilled(rest, _bind(_digits(rest), lambda d: F.concat(F.substring(d, 1, 1), _cipher(F.substring(d, F.lit(2), F.length(d)), key, "phone", (DIGITS,))))))
+    """The calling code and the first digit behind it stay, the other digits are enciphered as a sequence."""
+    moved = lambda n: F.concat(n["code"], F.substring(n["national"], 1, 1), _cipher(F.substring(n["national"], F.lit(2), F.length(n["national"])), key, "phone", (DIGITS,)))
+    return _refilled(m, _bind(phone_number(m), moved))
 
 
 def _email(m: Column, key: str) -> Column:
     """Enciphered up to the last two parts of the host in lower case; then letters get the case that they had."""
     tail = F.regexp_extract(m, r"(?:(?<=[@.])[^@.]+)?\.[^.]+$", 0)
     head = F.substring(m, F.lit(1), F.length(m) - F.length(tail))
-    moved = _cipher(F.lower(head), key, "email", (DIGITS, LOWER))
-    return _bind(moved, lambda s: F.concat(_joined(F.zip_with(_chars(s), _chars(head), lambda c, h: F.when(h.rlike("[A-Z]"), F.upper(c)).otherwise(c))), tail))
+    moved = _cipher(F.lower(head), key, "email", EMAIL_CLASSES)
+    return _bind(moved, lambda s: F.concat(_joined(F.zip_with(_chars(s), _chars(head), lambda c, h: F.when(h.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))), tail))
 
 
 #: First octets of addresses that aren't public.
 PRIVATE_OCTETS = (0, 10, 127, 169, 172, 192, 198, 203, *range(224, 256))
+PUBLIC_OCTETS = tuple(x for x in range(256) if x not in PRIVATE_OCTETS)
 
 
 def _ip(m: Column, key: str) -> Column:
-    """A 32-bit Feistel permutation, repeated while a public address would become another kind."""
+    """A Feistel permutation of the pair of the upper and the lower half: the upper one counts public addresses, or those of one first part that isn't public."""
+    octets = F.split(m, r"\.")
+    part = lambda k: F.get(octets, F.lit(k)).cast("long")
+    first = part(0)
+    rank = F.array_position(_numbers(PUBLIC_OCTETS), first.cast("int")) - 1
+    public = rank >= 0
+    size = F.when(public, F.lit(256 * len(PUBLIC_OCTETS))).otherwise(F.lit(256)).cast("long")
+    start = F.struct((F.when(public, rank * 256).otherwise(F.lit(0)) + part(1)).cast("long").alias("a"), (part(2) * 256 + part(3)).alias("b"))
+    rounds = F.array(*map(F.lit, range(ROUNDS)))
+
+    def drawn(r: Column, x: Column) -> Column:
+        text = F.concat_ws(MARK, F.lit(key), F.lit("ip"), F.when(public, F.lit("")).otherwise(first.cast("string")), r.cast("string"), x.cast("string"))
+        return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
 
-    def once(x: Column) -> Column:
-        def step(s: Column, r: Column) -> Column:
-            digest = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("ip"), r.cast("string"), s["b"].cast("string")), 256)
-            return F.struct(s["b"].alias("a"), F.pmod(s["a"] + F.conv(F.substring(digest, 1, 4), 16, 10).cast("long"), F.lit(65536)).alias("b"))
+    def forth(s: Column, r: Column) -> Column:
+        a = F.pmod(s["a"] + drawn(r * 2, s["b"]), size)
+        return _bind(a, lambda a: F.struct(a.alias("a"), F.pmod(s["b"] + drawn(r * 2 + 1, a), F.lit(65536)).alias("b")))
 
-        start = F.struct(F.shiftright(x, 16).alias("a"), x.bitwiseAND(65535).alias("b"))
-        return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), start, step, lambda s: s["a"] * 65536 + s["b"])
+    def back(s: Column, r: Column) -> Column:
+        b = F.pmod(s["b"] - drawn(r * 2 + 1, s["a"]), F.lit(65536))
+        return _bind(b, lambda b: F.struct(F.pmod(s["a"] - drawn(r * 2, b), size).alias("a"), b.alias("b")))
 
-    number = F.aggregate(F.split(m, r"\."), F.lit(0).cast("long"), lambda n, o: n * 256 + o.cast("long"))
-    private = lambda x: F.shiftright(x, 24).isin(*PRIVATE_OCTETS)
+    there = F.aggregate(rounds, start, forth, lambda s: F.struct(s["a"].alias("a"), F.pmod(s["b"] + 1, F.lit(65536)).alias("b")))
 
-    def walk(x: Column) -> Column:
-        # the chance that a public address isn't public after so many steps is under one in a thousand million
-        return F.aggregate(F.array(*map(F.lit, range(12))), once(x), lambda y, _: F.when(private(y) & ~private(x), once(y)).otherwise(y))
+    def dotted(s: Column) -> Column:
+        high, low = s["a"], s["b"]
+        octet = F.when(public, F.get(_numbers(PUBLIC_OCTETS), F.floor(high / 256).cast("int"))).otherwise(first)
+        return F.concat_ws(".", *[x.cast("string") for x in (octet, F.pmod(high, F.lit(256)), F.floor(low / 256), F.pmod(low, F.lit(256)))])
 
-    dotted = lambda y: F.concat_ws(".", *[F.pmod(F.shiftright(y, k), F.lit(256)).cast("string") for k in (24, 16, 8, 0)])
-    return _bind(_bind(number, walk), dotted)
+    return _bind(F.aggregate(F.reverse(rounds), there, back), dotted)
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -198,27 +281,35 @@ def _iban(m: Column, key: str) -> Column:
     return _bind(_bind(F.replace(m, F.lit(" "), F.lit("")), whole), spaced)
 
 
+def given_names(key: str) -> dict[str, str]:
+    """A known given name: the next one of its list in an order under the key, around."""
+    out = {}
+    for names in GIVEN_NAMES.values():
+        order = sorted(names, key=lambda n: hashlib.sha256(f"{key}{MARK}given{MARK}{n}".encode()).digest())
+        out |= dict(zip(order, [*order[1:], order[0]]))
+    return out
+
+
 def _name(m: Column, key: str) -> Column:
-    """Titles stay; known given names are permuted within gender and script, all other words enciphered."""
-    seed = sum(key.encode()) + len(key)
+    """Titles stay; known given names become others of their list, all other words are enciphered up to an ending that tells a gender."""
+    spin = given_names(key)
+    known, listed = F.lit(sorted(spin)), F.create_map(*[F.lit(x) for kv in spin.items() for x in kv])
+
+    def moved(w: Column) -> Column:
+        ending = F.regexp_extract(w, GENDER_ENDING, 0)
+        return F.concat(_cipher(F.substring(w, F.lit(1), F.length(w) - F.length(ending)), key, "name", NAME_CLASSES), ending)
 
     def word(w: Column) -> Column:
-        # a known given name stays among the given names, and no other word is moved among them: cycle walking
-        known = [n for v in GIVEN_NAMES.values() for n in v]
-        moved = F.aggregate(F.array(*map(F.lit, range(3))), _cipher(w, key, "name", NAME_CLASSES), lambda y, _: F.when(y.isin(*known), _cipher(y, key, "name", NAME_CLASSES)).otherwise(y))
-        out = moved
-        for names in GIVEN_NAMES.values():
-            step = seed % (len(names) - 1) + 1
-            spin = {n: names[(i + step) % len(names)] for i, n in enumerate(names)}
-            listed = F.create_map(*[F.lit(x) for kv in spin.items() for x in kv])
-            out = F.when(w.isin(*names), listed[w]).otherwise(out)
-        return F.when(w.rlike(rf"^(?:{TITLES})\.?$"), w).otherwise(out)
+        # no other word becomes a known name or one with an ending of a gender that it hasn't: cycle walking
+        strays = lambda y: F.array_contains(known, y) | (F.regexp_extract(y, GENDER_ENDING, 0) != F.regexp_extract(w, GENDER_ENDING, 0))
+        walked = F.aggregate(F.array(*map(F.lit, range(8))), moved(w), lambda y, _: F.when(strays(y), moved(y)).otherwise(y))
+        return F.when(w.rlike(rf"^(?:{TITLES})\.?$"), w).when(F.array_contains(known, w), F.get(F.array(listed[w]), F.lit(0))).otherwise(walked)
 
     return F.array_join(F.transform(F.split(m, " "), word), " ")
 
 
-def _secret(m: Column, key: str, kind: str, keep: int, alphabets) -> Column:
-    return F.concat(F.substring(m, F.lit(1), F.lit(keep)), _cipher(F.substring(m, F.lit(keep + 1), F.length(m)), key, kind, alphabets))
+def _access_key(m: Column, key: str) -> Column:
+    return F.concat(F.substring(m, 1, 4), _cipher(F.substring(m, F.lit(5), F.length(m)), key, "access_key", (DIGITS, UPPER)))
 
 
 def _hex_key(m: Column, key: str) -> Column:
@@ -227,61 +318,111 @@ def _hex_key(m: Column, key: str) -> Column:
 
 
 def _password(m: Column, key: str) -> Column:
-    return F.when(m.rlike("^[0-9a-f]+$"), _cipher(m, key, "password", (HEX,))).otherwise(_cipher(m, key, "password", (DIGITS, LOWER, UPPER)))
+    return F.when(m.rlike("^[0-9a-f]+$"), _cipher(m, key, "password", (HEX,))).otherwise(_cipher(m, key, "password", SECRET_CLASSES))
 
 
-def kind_of(m: Column) -> Column:
-    """The kind of a found entity, by its shape."""
-    tests = {
-        "email": "@", "access_key": "^(?:AKIA|ASIA)[A-Z0-9]{16}$", "hex_key": "^[0-9a-fA-F]{32,}$", "iban": r"^[A-Z]{2}[0-9]{2}[ A-Z0-9]{11,40}$",
-        "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$", "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "card": r"^[0-9](?:[ -]?[0-9]){12,18}$",
-        "phone": r"^[+(]?[0-9][0-9() .-]+$", "name": rf"^(?:{TITLES})\.? |^(?:{'|'.join(n for v in GIVEN_NAMES.values() for n in v)}) \p{{Lu}}",
+def surrogate(kind: Column, m: Column, key: str = DEFAULT_KEY) -> Column:
+    """The replacement of one entity of one of ``KINDS``."""
+    made = {
+        "email": _email(m, key), "access_key": _access_key(m, key), "hex_key": _hex_key(m, key), "iban": _iban(m, key), "ip": _ip(m, key), "card": _card(m, key),
+        "ssn": _refilled(m, _cipher(_digits(m), key, "ssn", (DIGITS,))), "phone": _phone(m, key), "name": _name(m, key),
     }
-    return reduce(lambda out, kv: F.when(m.rlike(kv[1]), kv[0]).otherwise(out), reversed(tests.items()), F.lit("password"))
+    return reduce(lambda out, kv: F.when(kind == kv[0], kv[1]).otherwise(out), made.items(), _password(m, key))
 
 
-def surrogate(m: Column, key: str = DEFAULT_KEY) -> Column:
-    """The replacement of one entity."""
-    made = {
-        "email": _email(m, key), "access_key": _secret(m, key, "access_key", 4, (DIGITS, UPPER)), "hex_key": _hex_key(m, key),
-        "iban": _iban(m, key), "ip": _ip(m, key), "card": _card(m, key), "ssn": _refilled(m, _cipher(_digits(m), key, "ssn", (DIGITS,))),
-        "phone": _phone(m, key), "name": _name(m, key),
-    }
-    return _bind(kind_of(m), lambda k: reduce(lambda out, kv: F.when(k == kv[0], kv[1]).otherwise(out), made.items(), _password(m, key)))
+def plain_form(kind: Column, m: Column) -> Column:
+    """An entity without the ways of writing it: two with the same plain form are the same."""
+    return (
+        F.when(kind == "phone", phone_number(m)["national"]).when(kind.isin("card", "ssn"), _digits(m)).when(kind == "email", F.lower(m))
+        .when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).otherwise(m)
+    )
 
 
-def entities(text: Column) -> Column:
-    """All entities of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+# ---- texts -----------------------------------------------------------------------------------------
 
 
-def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str = "text") -> DataFrame:
-    """``docs`` with every entity in ``text_column`` replaced, and ``n_entities``, the number of them.
+def _parts(text: Column) -> Column:
+    """What stands between entities, and between these for each entity all groups of the expression; one pass over the text."""
+    marked = F.regexp_replace(text, ANY, MARK + GROUP.join(f"${k}" for k in range(1, len(KINDS) + 2)) + MARK)
+    return F.split(marked, MARK, -1)
+
+
+def _escaped(text: Column) -> Column:
+    """``text`` with the marks that it has itself spelled by others."""
+    out = F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "\u0006"))
+    for mark, sign in ((MARK, "\u0004"), (GROUP, "\u0005")):
+        out = F.replace(out, F.lit(mark), F.lit(ESCAPE + sign))
+    return F.when(_is_odd(text), out).otherwise(text)
+
+
+def _unescaped(text: Column) -> Column:
+    out = text
+    for mark, sign in ((MARK, "\u0004"), (GROUP, "\u0005"), (ESCAPE, "\u0006")):
+        out = F.replace(out, F.lit(ESCAPE + sign), F.lit(mark))
+    return F.when(F.contains(text, F.lit(ESCAPE)), out).otherwise(text)
+
+
+def _is_odd(text: Column) -> Column:
+    return F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(GROUP)) | F.contains(text, F.lit(ESCAPE))
+
+
+def _entity(groups: Column) -> Column:
+    """(before, kind, entity) of the groups of a match; a keyword's group stands before the password's."""
+
+    def of(parts: Column) -> Column:
+        place = F.when(F.get(parts, F.lit(len(KINDS))) != "", F.lit(len(KINDS))).otherwise(F.array_position(F.transform(parts, lambda p: p != ""), True).cast("int") - 1)
+        named = F.when(place == len(KINDS), F.lit("password")).otherwise(F.get(F.lit(list(KINDS)), place))
+        before = F.when(place == len(KINDS), F.get(parts, F.lit(len(KINDS) - 1))).otherwise(F.lit(""))
+        return F.struct(_unescaped(before).alias("before"), named.alias("kind"), _unescaped(F.get(parts, place)).alias("entity"))
+
+    return _bind(F.split(groups, GROUP, -1), of)
 
-    Texts without entities, null ones among them (with ``n_entities`` 0), stay as they are; other
-    columns, repeated rows and nulls are kept. A column that is called n_entities already is replaced.
-    An empty table gives an empty table. Texts of any length are taken whole.
-    """
-    text = F.col(text_column)
-    found = F.coalesce(entities(text), F.array().cast("array<string>"))
-    rows = docs.drop("n_entities").withColumn("__found", found)
-    # what stands between the entities, and after each its surrogate
-    gaps = F.split(text, ANY, -1)
-    new = F.concat(F.transform("__found", lambda m: surrogate(m, key)), F.array(F.lit("")))
-    changed = _joined(F.zip_with(gaps, new, lambda g, s: F.concat(g, s)))
-    columns = [F.when(F.size("__found") > 0, changed).otherwise(text).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"]
-    return rows.select(*columns, F.size("__found").cast("long").alias("n_entities"))
+
+def _found(parts: Column) -> Column:
+    return F.transform(F.filter(parts, lambda _, i: i % 2 == 1), _entity)
+
+
+def entities(text: Column) -> Column:
+    """(before, kind, entity) of all entities of a text, in order; ``before`` is what the match has before the entity."""
+    return _found(_parts(_escaped(text)))
+
+
+def _map_of(found: DataFrame, key: str) -> DataFrame:
+    rows = found.select(F.explode("found").alias("e")).select("e.kind", "e.entity").distinct()
+    return rows.select("entity", "kind", surrogate(F.col("kind"), F.col("entity"), key).alias("surrogate"))
 
 
 def surrogate_map(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str = "text") -> DataFrame:
-    """``entity, kind, surrogate`` of the different entities of ``docs``; the entity in its plain form."""
-    found = docs.select(F.explode(entities(F.col(text_column))).alias("entity")).distinct()
-    return found.select("entity", kind_of(F.col("entity")).alias("kind"), surrogate(F.col("entity"), key).alias("surrogate"))
+    """``entity, kind, surrogate`` of the different entities of ``docs``."""
+    return _map_of(docs.select(entities(F.col(text_column)).alias("found")), key)
 
 
 def collisions(mapped: DataFrame) -> DataFrame:
     """Collision check of a :func:`surrogate_map`: surrogates that stand for several entities, or for themselves."""
-    plain = F.when(F.col("kind").isin("card", "phone", "ssn"), _digits(F.col("entity"))).when(F.col("kind") == "email", F.lower("entity")).otherwise(F.col("entity"))
-    made = F.when(F.col("kind").isin("card", "phone", "ssn"), _digits(F.col("surrogate"))).when(F.col("kind") == "email", F.lower("surrogate")).otherwise(F.col("surrogate"))
-    rows = mapped.select("kind", plain.alias("plain"), made.alias("made"))
-    return rows.groupBy("kind", "made").agg(F.countDistinct("plain").alias("n"), F.max((F.col("plain") == F.col("made")).cast("int")).alias("same")).where("n > 1 or same = 1")
+    rows = mapped.select("kind", plain_form(F.col("kind"), F.col("entity")).alias("plain"), plain_form(F.col("kind"), F.col("surrogate")).alias("made"))
+    return rows.groupBy("kind", "made").agg(F.min("plain").alias("least"), F.max("plain").alias("greatest")).where("least <> greatest or least = made")
+
+
+def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str = "text") -> DataFrame:
+    """``docs`` with every entity in ``text_column`` replaced, and ``n_entities``, the number of them.
+
+    Texts without entities, null ones among them (with ``n_entities`` 0), stay as they are; other
+    columns, repeated rows and nulls are kept. A column that is called n_entities already is replaced.
+    An empty table gives an empty table. Texts of any length are taken whole. What was found is kept in
+    the shared folder; its different entities are checked for collisions before any is replaced, and
+    with collisions another key, derived from this one, is taken.
+    """
+    name = fresh(docs, "parts")
+    rows = cut(docs.drop("n_entities").withColumn(name, _parts(_escaped(F.col(text_column)))).withColumn(text_column, F.when(F.size(name) == 1, F.col(text_column))))
+    parts = F.col(name)
+    found = rows.where(F.size(parts) > 1).select(_found(parts).alias("found"))
+    for k in range(ATTEMPTS):
+        now = key if k == 0 else f"{key}/{k}"
+        if collisions(_map_of(found, now)).isEmpty():
+            break
+    else:
+        raise ValueError(f"surrogates collide under {ATTEMPTS} keys")
+    replaced = lambda e: F.concat(e["before"], surrogate(e["kind"], e["entity"], now))
+    changed = _joined(F.transform(parts, lambda p, i: F.when(i % 2 == 0, _unescaped(p)).otherwise(_bind(_entity(p), replaced))))
+    columns = [F.when(F.size(parts) > 1, changed).otherwise(F.col(text_column)).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"]
+    return rows.select(*columns, F.when(parts.isNull(), 0).otherwise(F.floor(F.size(parts) / 2)).cast("long").alias("n_entities"))
