@@ -50,6 +50,38 @@ def test_topk_edges(spark):
     assert knn.top_k(empty, empty).count() == 0 and knn.top_k(df, empty).count() == 0
 
 
+def test_bounds_skip_cells_of_clustered_vectors(spark):
+    """Of clustered vectors a query needs few cells; those that it needs hold all of its best."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16)) * 40
+    x = np.concatenate([c + rng.normal(size=(60, 16)) * 0.5 for c in centres])
+    df = knn.integer_vectors(table(spark, range(len(x)), x, np.zeros(len(x))))
+    cells = knn.cells_of(df, 16, 20, 160)
+    v = np.floor(64 * x.astype(np.float32).astype(np.float64))
+    least, need = cells.bounds(v[::20], 20)
+    where, _ = cells.of(v)
+    scores = v[::20] @ v.T
+    scores[np.arange(len(least)), np.arange(0, len(v), 20)] = -np.inf
+    kth = np.sort(scores, 1)[:, -20]
+    assert (least <= kth).all() and all(need[i, where[scores[i] >= kth[i]]].all() for i in range(len(least)))
+    assert need.mean() < 0.2
+    got = knn.top_k(df, df.where("vec_id % 20 = 0"), pivots=160)
+    assert sorted(tuple(r) for r in got.collect()) == top(np.arange(len(x)), x.astype(np.float32).astype(np.float64))
+
+
+def test_topk_of_large_and_missing_components(spark):
+    big = [(20, [float(1 << 40), 1.0], 0), (1, [3.0, float(1 << 38) + 1], 0), (2, [-5.0, 7.0], 0), (40, [], 0), (3, [], 0), (4, [], 0)]
+    df = knn.integer_vectors(spark.createDataFrame(big, "vec_id long, embedding array<double>, label int"))
+    got = sorted(tuple(r) for r in knn.top_k(df, df.where("vec_id % 20 = 0")).collect())
+    product = lambda a, b: sum(int(64 * x) * int(64 * y) for x, y in zip(a, b))
+    assert got == [(20, 1, 1, product(big[0][1], big[1][1])), (20, 2, 2, product(big[0][1], big[2][1])), (40, 1, 3, 0), (40, 2, 4, 0)]
+    with pytest.raises(Exception, match="ArithmeticError"):
+        huge = knn.integer_vectors(spark.createDataFrame([(20, [2.0**50, 1.0], 0), (1, [2.0**50, 1.0], 0)], SCHEMA))
+        knn.top_k(huge, huge).collect()
+    with pytest.raises(Exception, match="too large"):
+        knn.integer_vectors(spark.createDataFrame([(20, [2.0**70], 0)], SCHEMA)).collect()
+
+
 def linked(ids, x, labels, cosine=0.93):
     n = np.linalg.norm(x, axis=1)
     near = (x @ x.T) / np.outer(n, n) >= cosine
