@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import texts_of
+from tessera.llm.common import cut, texts_of
 from tessera.llm.tokens import byte_bpe, default_path
 
 #: Bytes of one block; a multiple of every width of a token.
@@ -95,7 +95,7 @@ def scan(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> DataFrame:
     Blocks of one file have consecutive numbers from 0 and, but for the last, whole tokens. A trailing
     part of a token, an empty payload and a null one hold no tokens; no blocks give no rows.
     """
-    summed = summarise(blocks, end_id, width)
+    summed = cut(summarise(blocks, end_id, width))  # a hundredth of the tokens; the prefix scan reads it twice
     return _documents(_stitch(summed))
 
 

@@ -125,6 +125,19 @@ def test_segments_cover_the_ball():
     assert sum(w for _, w, _ in simhash.SEGMENTS) == 64
 
 
+def test_ids_are_the_librarys(spark, data):
+    from tokenizers import Tokenizer
+
+    library, ours = Tokenizer.from_file(default_path()), byte_bpe(default_path())
+    texts = [t or "" for t in ODD] + [r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    texts += ["don't  we'll\t\n x²³ ½ Ⅷ٣ \u200b\ufeff\x00 'S", "a\u0301 é \U0001F468\u200d\U0001F469", " \u00a0 \u3000x", "ı İ ß ſ ǅ"]
+    for text in texts:
+        assert ours.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    library.encode_special_tokens = True
+    for text in texts + ["<|endoftext|>", "a<|endoftext|><|endoftext|>b"]:
+        assert ours.encode_ordinary(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def lengths(texts):
     return [len(byte_bpe(default_path()).encode(t or "")) for t in texts]
 
