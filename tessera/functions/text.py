@@ -15,6 +15,17 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 
 
+# Patterns of LaTeX commands, degrees, names before an equals sign, boxes in loose markup, marks of choices and of images.
+TEXT_COMMANDS = r"\\(?:text|mathrm|mbox|operatorname)(?U:\s*)\{([^{}]*)\}"
+SPACING = r"\\left|\\right|\\,|\\;|\\!|\\ "
+PERCENT = r"\\%|%"
+DEGREES = r"\^\{?\\circ\}?|\\circ|\\degree|°|~"
+NAMED_VALUE = r"(?U)\A[a-z][a-z\s]*="
+LOOSE_BOX = r"(?:<boxed>|(?<![A-Za-z])\\?boxed(?U:\s*)\{)(?U:\s*)[\(\[]?(?U:\s*)([A-Za-z])(?U:\b)"
+CHOICE_MARK = r"(?md)^(?U:\s*)[\(\[]?(?U:\s*)([A-Z])(?U:\s*)[\.\)\]\．、:](?U:\s*)"
+IMAGE_MARK = r"(?i)<image(?U:\s+)([0-9]+)>"
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 
@@ -66,8 +77,8 @@ def boxed(text: Column) -> Column:
 
 def strip_latex(text: Column) -> Column:
     """Text commands unwrapped one level, spacing commands to spaces, dollar signs dropped, stripped."""
-    out = F.regexp_replace(text, r"\\(?:text|mathrm|mbox|operatorname)(?U:\s*)\{([^{}]*)\}", "$1")
-    out = F.regexp_replace(out, r"\\left|\\right|\\,|\;|\\!|\\ ", " ")
+    out = F.regexp_replace(text, TEXT_COMMANDS, "$1")
+    out = F.regexp_replace(out, SPACING, " ")
     return strip(F.replace(out, F.lit("$"), F.lit("")))
 
 
@@ -78,9 +89,9 @@ def first_number(text: Column) -> Column:
 
 def clean_number(text: Column) -> Column:
     out = F.regexp_replace(F.lower(strip_latex(text)), ",", "")
-    out = F.regexp_replace(out, r"\\%|%", "")
-    out = F.regexp_replace(out, r"\^\{?\\circ\}?|\\circ|\\degree|°|~", "")
-    return strip(F.regexp_replace(out, r"(?U)\A[a-z][a-z\s]*=", ""))
+    out = F.regexp_replace(out, PERCENT, "")
+    out = F.regexp_replace(out, DEGREES, "")
+    return strip(F.regexp_replace(out, NAMED_VALUE, ""))
 
 
 _FLOAT = r"(?i)\A[+-]?(?:(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:e[+-]?[0-9]+)?)\z"
@@ -136,14 +147,11 @@ def normalize_choice(text: Column) -> Column:
     return F.regexp_replace(out, r"\A[()\[\]]+|[()\[\]]+\z", "")
 
 
-_MARK = r"(?md)^(?U:\s*)[\(\[]?(?U:\s*)([A-Z])(?U:\s*)[\.\)\]\．、:](?U:\s*)"
-
-
 def choices(question: Column) -> Column:
     """Map of choice letters to texts: a choice runs from its mark at a line's start to the next; the last of a letter counts."""
-    letters = F.regexp_extract_all(question, F.lit(_MARK), F.lit(1))
+    letters = F.regexp_extract_all(question, F.lit(CHOICE_MARK), F.lit(1))
     # a piece before the first mark, then one behind each
-    texts = F.slice(F.split(question, _MARK, -1), F.lit(2), F.size(letters))
+    texts = F.slice(F.split(question, CHOICE_MARK, -1), F.lit(2), F.size(letters))
     pairs = F.zip_with(letters, texts, lambda a, b: F.struct(a.alias("key"), strip(b).alias("value")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     # the order is that of a letter's first mark
@@ -164,7 +172,7 @@ def last_sentence(text: Column) -> Column:
 
 def lenient_boxed_letter(text: Column) -> Column:
     """The letter of the last box in loose markup; null without one."""
-    found = F.regexp_extract_all(text, F.lit(r"(?:<boxed>|(?<![A-Za-z])\\?boxed(?U:\s*)\{)(?U:\s*)[\(\[]?(?U:\s*)([A-Za-z])(?U:\b)"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(LOOSE_BOX), F.lit(1))
     return F.upper(F.try_element_at(found, F.lit(-1)))
 
 
@@ -173,7 +181,7 @@ def image_parts(text: Column, numbers: Column) -> Column:
 
     A mark of an unknown image, or one used before, stays text; images without a mark come at the end.
     """
-    mark = r"(?i)<image(?U:\s+)([0-9]+)>"
+    mark = IMAGE_MARK
     between, marks, named = F.split(text, mark, -1), F.regexp_extract_all(text, F.lit(mark), F.lit(0)), F.transform(F.regexp_extract_all(text, F.lit(mark), F.lit(1)), lambda n: n.try_cast("int"))
     part = lambda kind, t, n: F.struct(F.lit(kind).alias("kind"), t.cast("string").alias("text"), n.cast("int").alias("number"))
     none = F.lit(None)

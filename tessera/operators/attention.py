@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.schema import ATTENTION_GROUPS, ATTENTION_METRICS, SCENARIOS
+from tessera.schema import ATTENTION_COUNTS, ATTENTION_GROUPS, ATTENTION_METRICS, SCENARIOS
 
 #: Below this total a distribution or a ratio is undefined; values above its negative count as 0.
 EPSILON = 1e-8
@@ -83,14 +81,16 @@ def mean_over_layers(df: DataFrame, key: list[str], layer: str = "layer", vector
     before the shuffle; the three overlapping scenarios are conditional sums of one aggregation.
     """
     v = F.col(vector).cast("array<double>")
-    rows = df.select(*key, F.col(layer).alias("_layer"), F.coalesce(is_valid(v), F.lit(False)).alias("_ok"), F.posexplode(v).alias("_at", "_x"))
+    ok = F.coalesce(is_valid(v) & (F.size(v) > 0), F.lit(False))
+    # a null or empty vector keeps its row, so that it makes the scenarios of its layer invalid
+    rows = df.select(*key, F.col(layer).alias("_layer"), ok.alias("_ok"), F.posexplode_outer(v).alias("_at", "_x"))
     inside = {s: F.col("_layer").between(lo, hi) for s, (lo, hi) in SCENARIOS.items()}
     sums = rows.groupBy(*key, "_at").agg(
         *[F.avg(F.when(c, F.when(F.col("_x") < 0, 0.0).otherwise(F.col("_x")))).alias(s) for s, c in inside.items()],
-        *[F.coalesce(F.bool_and(F.when(c, F.col("_ok"))), F.lit(False)).alias(f"_{s}") for s, c in inside.items()],
+        *[F.bool_or(F.when(c, ~F.col("_ok"))).alias(f"_{s}") for s, c in inside.items()],
     )
-    ordered = lambda s: F.transform(F.array_sort(F.collect_list(F.struct("_at", s))), lambda x: x[s])
-    return sums.groupBy(*key).agg(*[F.when(F.bool_and(f"_{s}"), ordered(s)).alias(s) for s in SCENARIOS])
+    ordered = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", s)))), lambda x: x[s])
+    return sums.groupBy(*key).agg(*[F.when(~F.coalesce(F.bool_or(f"_{s}"), F.lit(True)), ordered(s)).alias(s) for s in SCENARIOS])
 
 
 def layer_errors(df: DataFrame, key: list[str], layer: str = "layer") -> DataFrame:
@@ -102,6 +102,15 @@ def layer_errors(df: DataFrame, key: list[str], layer: str = "layer") -> DataFra
 
 def scenarios(df: DataFrame, key: list[str], positions: DataFrame, layer: str = "layer", vector: str = "attention") -> DataFrame:
     """All 3 x 41 metrics with their scenario's prefix, from heads (``df``) and the groups (``positions``: key, image, prompt, generated)."""
-    means = mean_over_layers(df, key, layer, vector).join(positions, key)
-    parts = [metrics(means, vector=s, prefix=f"{s}__", keep=key) for s in SCENARIOS]
-    return reduce(lambda a, b: a.join(b, key), parts)
+    groups = ["image", "prompt", "generated"]
+    rows, done = mean_over_layers(df, key, layer, vector).join(positions.select(*key, *groups), key), []
+    for at, s in enumerate(SCENARIOS):
+        rows = metrics(rows, vector=s, prefix=f"{s}__", keep=[*key, *groups, *list(SCENARIOS)[at + 1 :], *done])
+        done = [c for c in rows.columns if "__" in c]
+    return rows.select(*key, *counts(F.col("image"), F.col("prompt"), F.col("generated")), *done)
+
+
+def counts(image: Column, prompt: Column, generated: Column) -> list[Column]:
+    """The five numbers of tokens of an attention record, from the arrays of positions."""
+    i, p, g = (F.size(c) for c in (image, prompt, generated))
+    return [c.cast("int").alias(n) for n, c in zip(ATTENTION_COUNTS, (i, p, g, p + g, i + p + g))]

@@ -20,9 +20,17 @@ def _finite(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """(cos + 1) / 2 within 0 to 1; null if either vector is null, not finite, shorter than 1e-8, or of another size."""
     a, b = a.cast("array<double>"), b.cast("array<double>")
-    na, nb = F.sqrt(_dot(a, a)), F.sqrt(_dot(b, b))
-    defined = (F.size(a) == F.size(b)) & _finite(a) & _finite(b) & (na >= EPSILON) & (nb >= EPSILON)
-    return F.when(defined, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (_dot(a, b) / (na * nb) + 1) / 2)))
+    # scaled by the largest component, so that no square leaves the doubles
+    most = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
+    scaled = lambda v: F.element_at(F.transform(F.array(F.struct(v.alias("v"), most(v).alias("m"))), lambda s: F.struct(F.transform(s["v"], lambda x: F.try_divide(x, s["m"])).alias("v"), s["m"].alias("m"))), 1)
+    sound = F.when((F.size(a) == F.size(b)) & _finite(a) & _finite(b), F.array(F.struct(scaled(a).alias("a"), scaled(b).alias("b"))))
+
+    def of(s: Column) -> Column:
+        va, vb = s["a"]["v"], s["b"]["v"]
+        na, nb = F.sqrt(_dot(va, va)), F.sqrt(_dot(vb, vb))
+        return F.when((na * s["a"]["m"] >= EPSILON) & (nb * s["b"]["m"] >= EPSILON), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (_dot(va, vb) / (na * nb) + 1) / 2)))
+
+    return F.get(F.transform(sound, of), F.lit(0))
 
 
 def admitted(value: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from tessera.schema import PROBABILITY_FLOATS, PROBABILITY_INTEGERS, PROBABILITY_METRICS
+from tessera.session import in_arrow
 
 REASON = "invalid_probability_logits"
 MASSES, NUCLEI = (2, 5, 10, 20), {"0p9": 0.9, "0p95": 0.95, "0p99": 0.99}
@@ -153,7 +154,7 @@ def arrow(df: DataFrame, logits: str = "logits", selected: str = "selected") ->
                 yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(valid), reasons, *made], names=[f.name for f in fields])
 
     rows = df.select(F.col(logits).cast("array<double>").alias("_z"), F.col(selected).cast("int").alias("_j"), *keep)
-    return rows.mapInArrow(run, StructType(fields))
+    return rows.transform(in_arrow, run, StructType(fields))
 
 
 def exploded(df: DataFrame, key: list[str], logits: str = "logits", selected: str = "selected") -> DataFrame:

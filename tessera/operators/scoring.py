@@ -20,10 +20,6 @@ _OPTION_LETTER = r"(?iU)\boption\s*(?:is\b\s*)?:?\s*[\(\[]?\s*([A-Z])\b"
 _ONLY_LETTER = r"(?U)\A[\(\[]?\s*([A-Z])\s*(?:[.\):\]]|\z)"
 _ANSWER_NUMBER = r"(?iU)(?:answer|result|value\b[^.]{0,20}?)\s+(?:is|=|:)\s*([-+]?[\d,]+(?:\.\d+)?(?:\s*/\s*[\d,]+(?:\.\d+)?)?)"
 
-#: Decimals that a truth may have for rounding; beyond, numbers must be equal as they are.
-MOST_DECIMALS = 15
-_DECIMAL = "decimal(38,15)"
-
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -50,27 +46,74 @@ def decimals(gold: Column) -> Column:
     return F.length(F.regexp_extract(F.replace(T.strip_latex(gold), F.lit(","), F.lit("")), r"-?[0-9]*\.([0-9]+)", 1))
 
 
+#: Digits of the products that decide about fractions, and of numbers that are rounded; beyond, a comparison is null.
+MOST_DIGITS = 37
+
+
+def _number(text: Column) -> Column:
+    """A number of digits and a point: whether it is negative, its digits without zeros at either end, and how many of them stand behind the point."""
+
+    def shape(t: Column) -> Column:
+        behind = F.regexp_extract(t, r"\.([0-9]*)$", 1)
+        kept = F.regexp_replace(behind, "0+$", "")
+        digits = F.regexp_replace(F.concat(F.regexp_extract(t, r"^[-+]?([0-9]*)", 1), kept), "^0+", "")
+        scale = F.length(kept)
+        # whole numbers give their last zeros to the scale, so that equal numbers look alike
+        zeros = F.when(scale == 0, F.length(F.regexp_extract(digits, "0*$", 0))).otherwise(0)
+        cut = F.substring(digits, F.lit(1), F.length(digits) - zeros)
+        return F.struct((t.startswith("-") & (cut != "")).alias("minus"), cut.alias("digits"), F.when(cut == "", 0).otherwise(scale - zeros).alias("scale"))
+
+    return F.when(text.isNotNull(), bind(text, shape))
+
+
+def _product(a: Column, b: Column) -> Column:
+    """The exact product of two numbers as a number; null if it has more than ``MOST_DIGITS`` digits."""
+    whole = F.when(F.length(a["digits"]) + F.length(b["digits"]) <= MOST_DIGITS, F.coalesce(F.nullif(a["digits"], F.lit("")), F.lit("0")).cast("decimal(38,0)") * F.coalesce(F.nullif(b["digits"], F.lit("")), F.lit("0")).cast("decimal(38,0)"))
+    zeros = lambda d: F.length(F.regexp_extract(d, "0*$", 0))
+
+    def shape(d: Column) -> Column:
+        cut = F.when(d == "0", "").otherwise(F.regexp_replace(d, "0+$", ""))
+        return F.struct(((a["minus"] != b["minus"]) & (cut != "")).alias("minus"), cut.alias("digits"), F.when(cut == "", 0).otherwise(a["scale"] + b["scale"] - zeros(d)).alias("scale"))
+
+    return F.when(whole.isNotNull(), bind(whole.cast("string"), shape))
+
+
+def _rounded(x: Column, decimals_: Column) -> Column:
+    """A number rounded half away from zero to so many decimals, as an unscaled whole number; null beyond ``MOST_DIGITS`` digits."""
+    spare = x["scale"] - decimals_
+    whole = F.when(spare <= 0, F.concat(x["digits"], F.repeat(F.lit("0"), -spare))).otherwise(F.substring(x["digits"], F.lit(1), F.length(x["digits"]) - spare))
+    # the first digit that goes; there is none if all that is left stands further behind the point
+    next_ = F.when((spare > 0) & (F.length(x["digits"]) >= spare), F.substring(x["digits"], F.length(x["digits"]) - spare + 1, F.lit(1))).otherwise(F.lit("0"))
+    value = F.when(F.length(whole) <= MOST_DIGITS, F.coalesce(F.nullif(whole, F.lit("")), F.lit("0")).cast("decimal(38,0)") + F.when(next_ >= "5", 1).otherwise(0))
+    return F.when(x["minus"], -value).otherwise(value)
+
+
 def numeric_equal(predicted: Column, gold: Column) -> Column:
     """Whether two answers are the same number; null if either isn't one.
 
-    If either is a fraction they must be equal exactly, which cross-multiplication decides. Otherwise
-    both are rounded (half up) to the truth's decimals. A fraction over 0 is no number, nor is one of
-    more digits than a decimal of 38 holds.
+    Numbers are taken digit by digit. If either is a fraction they must be equal exactly, which
+    cross-multiplication decides. Otherwise both are rounded (half up) to the truth's decimals, or
+    compared as they are if it has none. A fraction over 0 is no number. Products and rounded numbers of
+    more than ``MOST_DIGITS`` digits are not compared (null).
     """
     both = F.struct(T.clean_number(predicted).alias("p"), T.clean_number(gold).alias("g"))
-    number = lambda t, kind: t.try_cast(kind)
 
     def compare(s: Column) -> Column:
         fp, fg = fraction(s["p"]), fraction(s["g"])
-        exact = "decimal(18,9)"
-        top = lambda f, t: F.when(f.isNotNull(), number(f["n"], exact)).otherwise(number(plain_number(t), exact))
-        bottom = lambda f: F.when(f.isNotNull(), number(f["d"], exact)).otherwise(F.lit(1).cast(exact))
-        np, dp, ng, dg = top(fp, s["p"]), bottom(fp), top(fg, s["g"]), bottom(fg)
-        crossed = F.when((dp != 0) & (dg != 0), np * dg == ng * dp)
-        p, g = number(plain_number(s["p"]), _DECIMAL), number(plain_number(s["g"]), _DECIMAL)
-        d = decimals(gold)
-        rounded = reduce(lambda out, k: F.when(d == k, F.round(p, k) == F.round(g, k)).otherwise(out), range(1, MOST_DECIMALS + 1), p == g)
-        return F.when(fp.isNotNull() | fg.isNotNull(), crossed).otherwise(rounded)
+        one = F.lit("1")
+        parts = F.struct(
+            _number(F.when(fp.isNotNull(), fp["n"]).otherwise(plain_number(s["p"]))).alias("np"), _number(F.when(fp.isNotNull(), fp["d"]).otherwise(one)).alias("dp"),
+            _number(F.when(fg.isNotNull(), fg["n"]).otherwise(plain_number(s["g"]))).alias("ng"), _number(F.when(fg.isNotNull(), fg["d"]).otherwise(one)).alias("dg"),
+            (fp.isNotNull() | fg.isNotNull()).alias("crossed"), decimals(gold).alias("d"),
+        )
+
+        def decide(x: Column) -> Column:
+            sound = x["np"].isNotNull() & x["ng"].isNotNull() & (x["dp"]["digits"] != "") & (x["dg"]["digits"] != "")
+            crossed = _product(x["np"], x["dg"]) == _product(x["ng"], x["dp"])
+            rounded = _rounded(x["np"], x["d"]) == _rounded(x["ng"], x["d"])
+            return F.when(sound, F.when(x["crossed"], crossed).when(x["d"] == 0, x["np"] == x["ng"]).otherwise(rounded))
+
+        return bind(parts, decide)
 
     return bind(both, compare)
 
@@ -119,9 +162,10 @@ def score(df: DataFrame, text: str = "generated_text", question: str = "question
 
 
 def pending(generations: DataFrame, scores: DataFrame, key: list[str], name: str, version: str) -> DataFrame:
-    """Generations without a score of this scorer and version."""
+    """Generations without a score of this scorer and version; nulls in the key are equal to each other."""
     done = scores.where((F.col("scorer_name") == name) & (F.col("scorer_version") == version)).select(*key).distinct()
-    return generations.join(done, key, "left_anti")
+    same = reduce(lambda a, b: a & b, [F.col(f"g.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in key])
+    return generations.alias("g").join(done.alias("s"), same, "left_anti")
 
 
 def with_examples(generations: DataFrame, examples: DataFrame, key: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:

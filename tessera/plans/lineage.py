@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Take the shared folder of ``spark.checkpoint.dir``. Where it is unset, a session of one machine gets a temporary one; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", None)
+        if shared is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 

@@ -31,42 +31,102 @@ HIDDEN_METRICS = tuple(f"cosine_gen_imgproto_hidden_{x}" for x in ("avg_all_laye
 
 #: Unsigned 64-bit numbers, which Spark has no type for.
 UINT64 = DecimalType(20, 0)
-_KINDS: dict[str, DataType] = {
-    "string": StringType(), "short": ShortType(), "int": IntegerType(), "long": LongType(), "float": FloatType(), "double": DoubleType(), "bool": BooleanType(), "time": TimestampType(), "uint64": UINT64,
-    "ints": ArrayType(IntegerType(), False),
-    "images": ArrayType(StructType([StructField("source_ref", StringType()), *(StructField(n, t, False) for n, t in (("sha256", StringType()), ("width", IntegerType()), ("height", IntegerType()), ("mode", StringType())))]), False),
-}
+STRING, SHORT, INT, LONG, FLOAT, DOUBLE, BOOL, TIME = StringType(), ShortType(), IntegerType(), LongType(), FloatType(), DoubleType(), BooleanType(), TimestampType()
+INTS = ArrayType(INT, False)
+
+
+def field(name: str, kind: DataType) -> StructField:
+    """A column without nulls."""
+    return StructField(name, kind, False)
+
 
+def nullable(name: str, kind: DataType) -> StructField:
+    return StructField(name, kind, True)
 
-def _table(key: tuple[str, ...], columns: str) -> StructType:
-    """A schema from ``name:kind`` words; a question mark allows nulls."""
-    fields = [StructField(k, IntegerType() if k in ("rollout_index", "step") else StringType(), False) for k in key]
-    for word in columns.split():
-        name, _, kind = word.partition(":")
-        fields.append(StructField(name, _KINDS[kind.rstrip("?")], kind.endswith("?")))
-    return StructType(fields)
 
+IMAGES = ArrayType(StructType([nullable("source_ref", STRING), field("sha256", STRING), field("width", INT), field("height", INT), field("mode", STRING)]), False)
 
-_words = lambda names, kind: " ".join(f"{n}:{kind}" for n in names)
+# The stored tables, column by column.
+EXAMPLE_FIELDS = [field("run_id", STRING), field("dataset", STRING), field("split", STRING), field("sample_id", STRING)]
+ROLLOUT_FIELDS = [*EXAMPLE_FIELDS, field("strategy", STRING), field("rollout_index", INT)]
+TOKEN_FIELDS = [*ROLLOUT_FIELDS, field("step", INT)]
+SCORE_FIELDS = [*ROLLOUT_FIELDS, field("scorer_name", STRING), field("scorer_version", STRING)]
+ATTENTION_COUNTS = ("n_image_tokens", "n_prompt_text_tokens", "n_generated_text_tokens", "n_prompt_generated_text_tokens", "n_all_attn_tokens")
 
 TABLES: dict[str, StructType] = {
-    "examples": _table(EXAMPLE_KEY, "source_row_index:long? question:string rendered_prompt:string prompt_token_ids:ints prompt_token_count:int ground_truth_json:string answer_type:string? images:images metadata_json:string"),
-    "generations": _table(
-        ROLLOUT_KEY,
-        "shard_id:string rollout_seed:uint64 temperature:float top_p:float top_k:int? repetition_penalty:float generated_token_ids:ints generated_text:string num_retained_tokens:int stop_reason:string "
-        "terminating_token_id:int? hit_max_new_tokens:bool prompt_token_count:int wall_time_seconds:double? tokens_per_second:double? completed_at_utc:time",
-    ),
-    "tokens": _table(TOKEN_KEY, "shard_id:string token_id:int token_piece:string token_text:string predictor_position:int context_length:int"),
-    "token_probability_metrics": _table(TOKEN_KEY, f"shard_id:string metrics_valid:bool invalid_reason:string? {_words(PROBABILITY_FLOATS, 'float?')} {_words(PROBABILITY_INTEGERS, 'int?')}"),
-    "token_attention_metrics": _table(
-        TOKEN_KEY,
-        "shard_id:string " + _words(("n_img_tokens", "n_prompt_text_tokens", "n_generated_text_tokens", "n_prompt_generated_text_tokens", "n_all_tokens"), "int") + " "
-        + " ".join(f"{s}__valid:bool {_words([f'{s}__{m}' for m in ATTENTION_METRICS], 'float?')}" for s in SCENARIOS),
-    ),
-    "token_hidden_state_metrics": _table(
-        TOKEN_KEY, "shard_id:string " + _words(("valid_layers_all", "valid_layers_early_visual_integration", "valid_layers_visual_reasoning"), "short") + f" last_layer_valid:bool {_words(HIDDEN_METRICS, 'float?')}"
-    ),
-    "scores": _table(SCORE_KEY, "score_shard_id:string is_correct:bool? raw_final_answer:string? extracted_answer:string? scorer_method:string score_details_json:string scored_at_utc:time"),
+    "examples": StructType([
+        *EXAMPLE_FIELDS,
+        nullable("source_row_index", LONG),
+        field("question", STRING),
+        field("rendered_prompt", STRING),
+        field("prompt_token_ids", INTS),
+        field("prompt_token_count", INT),
+        field("ground_truth_json", STRING),
+        nullable("answer_type", STRING),
+        field("images", IMAGES),
+        field("metadata_json", STRING),
+    ]),
+    "generations": StructType([
+        *ROLLOUT_FIELDS,
+        field("shard_id", STRING),
+        field("rollout_seed", UINT64),
+        field("temperature", FLOAT),
+        field("top_p", FLOAT),
+        nullable("top_k", INT),
+        field("repetition_penalty", FLOAT),
+        field("generated_token_ids", INTS),
+        field("generated_text", STRING),
+        field("num_retained_tokens", INT),
+        field("stop_reason", STRING),
+        nullable("terminating_token_id", INT),
+        field("hit_max_new_tokens", BOOL),
+        field("prompt_token_count", INT),
+        nullable("wall_time_seconds", DOUBLE),
+        nullable("tokens_per_second", DOUBLE),
+        field("completed_at_utc", TIME),
+    ]),
+    "tokens": StructType([
+        *TOKEN_FIELDS,
+        field("shard_id", STRING),
+        field("token_id", INT),
+        field("token_piece", STRING),
+        field("token_text", STRING),
+        field("predictor_position", INT),
+        field("context_length", INT),
+    ]),
+    "token_probability_metrics": StructType([
+        *TOKEN_FIELDS,
+        field("shard_id", STRING),
+        field("metrics_valid", BOOL),
+        nullable("invalid_reason", STRING),
+        *[nullable(m, FLOAT) for m in PROBABILITY_FLOATS],
+        *[nullable(m, INT) for m in PROBABILITY_INTEGERS],
+    ]),
+    "token_attention_metrics": StructType([
+        *TOKEN_FIELDS,
+        field("shard_id", STRING),
+        *[field(n, INT) for n in ATTENTION_COUNTS],
+        *[f for s in SCENARIOS for f in (field(f"{s}__valid", BOOL), *[nullable(f"{s}__{m}", FLOAT) for m in ATTENTION_METRICS])],
+    ]),
+    "token_hidden_state_metrics": StructType([
+        *TOKEN_FIELDS,
+        field("shard_id", STRING),
+        field("valid_layers_all", SHORT),
+        field("valid_layers_early_visual_integration", SHORT),
+        field("valid_layers_visual_reasoning", SHORT),
+        field("last_layer_valid", BOOL),
+        *[nullable(m, FLOAT) for m in HIDDEN_METRICS],
+    ]),
+    "scores": StructType([
+        *SCORE_FIELDS,
+        field("score_shard_id", STRING),
+        nullable("is_correct", BOOL),
+        nullable("raw_final_answer", STRING),
+        nullable("extracted_answer", STRING),
+        field("scorer_method", STRING),
+        field("score_details_json", STRING),
+        field("scored_at_utc", TIME),
+    ]),
 }
 CORE_TABLES = tuple(t for t in TABLES if t not in ("examples", "scores"))
 TOKEN_TABLES = CORE_TABLES[1:]

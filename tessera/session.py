@@ -25,6 +25,12 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow``, for functions of this package: the executors get it first. Made for ``df.transform``."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read only through Spark."""
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators import scoring
-from tessera.schema import TABLES
+from tessera.schema import ROLLOUT_KEY, TABLES
 
 SCORED = ("raw_final_answer", "extracted_answer", "is_correct", "scorer_method")
 
@@ -20,15 +20,22 @@ def score_rows(generations: DataFrame, examples: DataFrame, key: list[str], name
     return scored.select(*columns, F.lit(name).alias("scorer_name"), F.lit(version).alias("scorer_version"), *SCORED)
 
 
-def score_stream(spark: SparkSession, source: str, examples: DataFrame, target: str, checkpoint: str, key: list[str], name: str, version: str, schema=None, columns: list[str] | None = None) -> StreamingQuery:
+def score_stream(
+    spark: SparkSession, source: str, examples: DataFrame, target: str, checkpoint: str, key: list[str], name: str, version: str, schema=None, columns: list[str] | None = None,
+    identity: list[str] | None = None, shard: str | None = None,
+) -> StreamingQuery:
     """Score every generation below ``source`` once and append to ``target``.
 
-    Each micro-batch is joined against the scores that are there, so a batch that is run again after a
-    failure adds nothing twice. The query processes what there is and ends; start it again for more.
+    ``identity`` names a generation (the rollout's key unless given); nulls in it are equal to each other.
+    Each micro-batch is joined on it against the scores that are there, so a batch that is run again
+    after a failure adds nothing twice. With ``shard`` the scores are partitioned by that column, and only
+    partitions that the batch has are read. The query processes what there is and ends; start it again
+    for more.
     """
     schema = schema or TABLES["generations"]
-    identity = columns or [c for c in schema.fieldNames() if c != "generated_text"]
-    rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source).select(*identity, "generated_text")
+    kept = columns or [c for c in schema.fieldNames() if c != "generated_text"]
+    identity = identity or [c for c in ROLLOUT_KEY if c in kept] or kept
+    rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source).select(*kept, "generated_text")
 
     def write(batch: DataFrame, _: int) -> None:
         made = score_rows(batch, examples, key, name, version)
@@ -38,7 +45,10 @@ def score_stream(spark: SparkSession, source: str, examples: DataFrame, target:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         else:
+            if shard:
+                done = done.join(F.broadcast(batch.select(shard).distinct()), shard, "left_semi")
             made = scoring.pending(made, done, identity, name, version)
-        made.write.mode("append").parquet(target)
+        writer = made.write.mode("append")
+        (writer.partitionBy(shard) if shard else writer).parquet(target)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -143,3 +143,12 @@ def test_config(tmp_path):
     for change in ({"microbatch": 64}, {"extra": 1}, {"base_seed": -1}, {"hardware": {"max_rows": 8}}, {"strategies": {"x": {"temperature": 0}}}, {"scheduler": {"batch_size": 4, "strategy": "token_count_bucketed", "window_size": 2}}):
         with pytest.raises(config.ConfigError):
             config.build(config.GroupConfig, GROUP | change)
+
+
+def test_stored_names():
+    """Names and order of a stored table's columns are fixed."""
+    names = TABLES["token_attention_metrics"].names
+    assert names[:13] == [
+        "run_id", "dataset", "split", "sample_id", "strategy", "rollout_index", "step", "shard_id", "n_image_tokens", "n_prompt_text_tokens", "n_generated_text_tokens", "n_prompt_generated_text_tokens", "n_all_attn_tokens",
+    ]
+    assert len(names) == 13 + 3 * 42 and not TABLES["scores"]["scorer_method"].nullable and TABLES["scores"]["is_correct"].nullable
