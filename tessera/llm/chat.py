@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import key_runs, pieces
+from tessera.llm.common import in_arrow, key_runs, pieces
 
 START, BREAK, END = "<|im_start|>", "\n", "<|im_end|>\n"
 #: Control strings of this and other common templates; each is broken up inside roles and texts.
@@ -124,7 +124,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
             part += len(runs) - 1
 
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInArrow(run, FORMATTED)
+    return ordered.transform(in_arrow, run, FORMATTED)
 
 
 def parse_chat(formatted: str) -> list[tuple[str, str]]:
@@ -179,4 +179,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
         close()
         yield batch_of()
 
-    return formatted.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, READ)
+    return formatted.select("conv_id", "formatted", "loss_start", "loss_end").transform(in_arrow, run, READ)

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.lineage import cut, ensure_checkpoint_dir
-from tessera.session import read_table
+from tessera.session import in_arrow, read_table
 
-__all__ = ["Remembered", "connected_components", "cut", "edge_batch", "ensure_checkpoint_dir", "fresh", "key_runs", "pieces", "read_table", "spanning_forest", "texts_of"]
+__all__ = ["Remembered", "connected_components", "cut", "edge_batch", "ensure_checkpoint_dir", "fresh", "in_arrow", "key_runs", "pieces", "read_table", "spanning_forest", "texts_of"]
 
 
 def spanning_forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, key_runs
+from tessera.llm.common import connected_components, cut, in_arrow, key_runs
 
 #: Principal dimensions that the grid is laid over.
 AXES = 4
@@ -54,7 +54,7 @@ def _placed(classes: DataFrame, axes: np.ndarray, dim: int, epsilon: float) -> D
             )
 
     schema = "label long, rep long, copies long, data binary, " + ", ".join([f"c{k} int" for k in range(AXES)] + [f"y{k} double" for k in range(AXES)])
-    return classes.where(F.col("dim") == dim).select("label", "rep", "copies", "embedding").mapInArrow(run, schema)
+    return classes.where(F.col("dim") == dim).select("label", "rep", "copies", "embedding").transform(in_arrow, run, schema)
 
 
 def _blocks(placed: DataFrame, dim: int) -> DataFrame:
@@ -88,7 +88,7 @@ def _blocks(placed: DataFrame, dim: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield block(held)
 
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, BLOCKS)
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).transform(in_arrow, run, BLOCKS)
 
 
 def _near(epsilon: float) -> Column:
@@ -190,7 +190,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     pairs = _leaf_pairs(blocks, epsilon).alias("p")
     joined = pairs.join(whole.alias("a"), (F.col("p.a") == F.col("a.id")) & (F.col("p.dim") == F.col("a.dim"))).join(whole.alias("b"), (F.col("p.b") == F.col("b.id")) & (F.col("p.dim") == F.col("b.dim")))
     compared = joined.select("p.a", "p.b", "a.dim", "a.reps", "a.copies", "a.data", "b.reps", "b.copies", "b.data").toDF("a", "b", "dim", "ra", "ca", "da", "rb", "cb", "db")
-    found = cut(compared.mapInArrow(_compare(cosine), "a long, b long, n long"))
+    found = cut(compared.transform(in_arrow, _compare(cosine), "a long, b long, n long"))
     parts = connected_components(found.select("a", "b")).select(F.col("node").alias("rep"), "component")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     named = classes.select("label", "embedding", "rep", "copies", F.xxhash64("label", "embedding").alias("key")).join(parts, "rep", "left").join(counts, "rep", "left")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, key_runs
+from tessera.llm.common import cut, in_arrow, key_runs
 
 #: Least and greatest number of pivots, which are taken from the data by a hash of vec_id; between, as many as the root of the vectors' number.
 PIVOTS = (16, 4096)
@@ -105,7 +105,7 @@ def _data(vectors: DataFrame, cells: Cells, chunks: np.ndarray, dim: int, kind)
             groups = [order[a:b] for a, b in zip(runs[:-1], runs[1:])]
             yield _rows_of([cell[g[0]] for g in groups], [chunk[g[0]] for g in groups], False, [ids[g].tobytes() for g in groups], [None] * len(groups), [x[g].astype(kind).tobytes() for g in groups])
 
-    return vectors.select("vec_id", "v").mapInArrow(run, ROWS)
+    return vectors.select("vec_id", "v").transform(in_arrow, run, ROWS)
 
 
 def _groups(queries: DataFrame, cells: Cells, chunks: np.ndarray, dim: int, k: int, kind) -> DataFrame:
@@ -131,8 +131,8 @@ def _groups(queries: DataFrame, cells: Cells, chunks: np.ndarray, dim: int, k: i
                         n = int(chunks[cell])
                         yield _rows_of([cell] * n, list(range(n)), True, [row[0]] * n, [row[1]] * n, [row[2]] * n)
 
-    dealt = queries.select("vec_id", "v").mapInArrow(placed, "cell int, vec_id long, v binary")
-    return dealt.repartition("cell", F.pmod(F.xxhash64("vec_id"), F.lit(16))).sortWithinPartitions("cell", "vec_id").mapInArrow(run, ROWS)
+    dealt = queries.select("vec_id", "v").transform(in_arrow, placed, "cell int, vec_id long, v binary")
+    return dealt.repartition("cell", F.pmod(F.xxhash64("vec_id"), F.lit(16))).sortWithinPartitions("cell", "vec_id").transform(in_arrow, run, ROWS)
 
 
 def _solve(dim: int, k: int, kind):
@@ -228,7 +228,7 @@ def cells_of(vectors: DataFrame, dim: int, k: int, pivots: int) -> Cells:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some]), pa.array(radii[some]), pa.array([near[c] for c in some], pa.list_(pa.float64()))], names=["cell", "n", "radius", "near"])
 
-    parts = vectors.select("vec_id", "v").mapInArrow(measure, "cell int, n long, radius double, near array<double>").withColumn("part", F.spark_partition_id() % 64)
+    parts = vectors.select("vec_id", "v").transform(in_arrow, measure, "cell int, n long, radius double, near array<double>").withColumn("part", F.spark_partition_id() % 64)
     for key in (["cell", "part"], ["cell"]):  # in two steps, so that no row holds the distances of all tasks
         parts = parts.groupBy(*key).agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     cells.counts, cells.radii = np.zeros(len(cells.pivots)), np.zeros(len(cells.pivots))
@@ -244,4 +244,4 @@ def _of_dimension(vectors: DataFrame, queries: DataFrame, dim: int, k: int, pivo
     chunks = np.maximum(1, np.ceil(cells.counts / CHUNK)).astype(np.int64)
     rows = _data(vectors, cells, chunks, dim, kind).unionByName(_groups(queries, cells, chunks, dim, k, kind))
     dealt = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "query")
-    return dealt.mapInArrow(_solve(dim, k, kind), "query_id long, vec_id long, score long")
+    return dealt.transform(in_arrow, _solve(dim, k, kind), "query_id long, vec_id long, score long")

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import texts_of
+from tessera.llm.common import in_arrow, texts_of
 from tessera.llm.tokens import byte_bpe, default_path
 
 #: Context sizes; each is a power of two, and each is half of the one before.
@@ -174,4 +174,4 @@ def pack(
 
     fields = FIELDS if keep_ids else FIELDS[:-1]
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {SQL_TYPES[t]}" for n, t in fields))
+    return rows.transform(in_arrow, run, ", ".join(f"`{n}` {SQL_TYPES[t]}" for n, t in fields))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import key_runs, texts_of
+from tessera.llm.common import in_arrow, key_runs, texts_of
 
 SPACE = "▁"
 #: Bytes that a task spends on parts that it remembers. Longer parts than ``LONGEST`` are searched one by one.
@@ -472,7 +472,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             )
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, rank int, score double, ids binary")
+    return rows.transform(in_arrow, run, "doc_id long, rank int, score double, ids binary")
 
 
 def decode_column(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -485,7 +485,7 @@ def decode_column(encoded: DataFrame, model: str | None = None) -> DataFrame:
             texts = [None if p is None else decode(lattice, p) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "rank", "text"])
 
-    return encoded.select("doc_id", "rank", "ids").mapInArrow(run, "doc_id long, rank int, text string")
+    return encoded.select("doc_id", "rank", "ids").transform(in_arrow, run, "doc_id long, rank int, text string")
 
 
 def digests(docs: DataFrame, n: int = 3, model: str | None = None) -> DataFrame:
@@ -503,4 +503,4 @@ def digests(docs: DataFrame, n: int = 3, model: str | None = None) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, scores array<double>, ids_crc32 array<long>, exact boolean")
+    return rows.transform(in_arrow, run, "doc_id long, n_pieces long, scores array<double>, ids_crc32 array<long>, exact boolean")

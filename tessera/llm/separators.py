@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, texts_of
+from tessera.llm.common import cut, in_arrow, texts_of
 from tessera.llm.tokens import byte_bpe, default_path
 
 #: Bytes of one block; a multiple of every width of a token.
@@ -81,7 +81,7 @@ def flatten(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
         yield from blocks(True)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, f"{BLOCKS}, ended array<long>")
+    return rows.transform(in_arrow, run, f"{BLOCKS}, ended array<long>")
 
 
 def scan(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> DataFrame:
@@ -117,7 +117,7 @@ def summarise(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> DataFr
             )
 
     rows = blocks.select(F.col("file").cast("string"), F.col("block").cast("long"), F.col("payload").cast("binary"), *names[3:])
-    return rows.mapInArrow(run, "file string, block long, tokens long, ends array<long>" + (", ended array<long>" if names[3:] else ""))
+    return rows.transform(in_arrow, run, "file string, block long, tokens long, ends array<long>" + (", ended array<long>" if names[3:] else ""))
 
 
 def _stitch(summed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, edge_batch, key_runs, pieces, spanning_forest, texts_of
+from tessera.llm.common import connected_components, cut, edge_batch, in_arrow, key_runs, pieces, spanning_forest, texts_of
 
 SHINGLE, SEED, BITS = 4, 42, 64
 #: Fingerprints at so many differing bits or fewer are linked.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.transform(in_arrow, run, "doc_id long, fp long")
 
 
 def _table_and_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +134,8 @@ def links(classes: DataFrame) -> DataFrame:
     Every link within ``RADIUS`` is found and verified; those which a chain of other links replaces
     in the same block are left out.
     """
-    rows = classes.select("fp").mapInArrow(_table_and_probes, "key long, probe boolean, fp long")
-    entries = classes.select("fp").mapInArrow(_table_and_probes, "key long, probe boolean, fp long").where("not probe")
+    rows = classes.select("fp").transform(in_arrow, _table_and_probes, "key long, probe boolean, fp long")
+    entries = classes.select("fp").transform(in_arrow, _table_and_probes, "key long, probe boolean, fp long").where("not probe")
     hot = cut(entries.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     small = hot.count() <= BROADCAST_ENTRIES
     rows = rows.join(F.broadcast(hot) if small else hot, "key", "left")
@@ -144,7 +144,7 @@ def links(classes: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     rows = rows.select("key", F.col("block").cast("long"), (F.col("probe") | F.coalesce(own != F.col("block"), F.lit(False))).alias("probe"), "fp")
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe")
-    return dealt.mapInArrow(_verify, "a long, b long")
+    return dealt.transform(in_arrow, _verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

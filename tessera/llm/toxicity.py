@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from tessera.llm.common import Remembered, cut, texts_of
+from tessera.llm.common import Remembered, cut, in_arrow, texts_of
 
 #: Labelled documents that the model is fitted on, at most (chosen by a hash of doc_id); bounds the
 #: vocabulary that is counted and the rows that the calibration brings to the driver.
@@ -206,7 +206,7 @@ def _learn(train: DataFrame) -> tuple[Model, Model]:
                     long = 0
         yield flush()
 
-    counted = train.mapInArrow(count, "token string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    counted = train.transform(in_arrow, count, "token string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
     toxic, clean = F.col("toxic_aside") + F.col("toxic"), F.col("clean_aside") + F.col("clean")
     special = F.col("token").isin("", " ")
     counted = cut(counted.where((toxic >= MIN_COUNT) | special))
@@ -263,7 +263,7 @@ def _calibrate(model: Model, train: DataFrame) -> None:
                 names=["toxic", "n", "found"],
             )
 
-    measured = cut(train.mapInArrow(measure, "toxic int, n long, found array<double>"))
+    measured = cut(train.transform(in_arrow, measure, "toxic int, n long, found array<double>"))
     best = F.when(F.size("found") > 0, F.col("found")[0]).otherwise(0.0)
     clean, mass = measured.where("toxic = 0 and n > 0").agg(F.count(F.lit(1)), F.sum(F.col("n") * F.exp(-F.lit(model.decay) * best))).first()
     if clean:
@@ -275,7 +275,7 @@ def _calibrate(model: Model, train: DataFrame) -> None:
             x = [scorer.statistic(n, [(0, 0, s) for s in f]) for n, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.float64())], names=["toxic", "n", "x"])
 
-    rows = measured.mapInArrow(weigh, "toxic int, n long, x double").collect()  # MAX_LABELLED rows at most
+    rows = measured.transform(in_arrow, weigh, "toxic int, n long, x double").collect()  # MAX_LABELLED rows at most
     x = np.array([r.x for r in rows])
     y = np.array([float(r.toxic > 0) for r in rows])
     n = np.array([r.n for r in rows], np.float64)
@@ -328,7 +328,7 @@ def score(docs: DataFrame, model: Model, passages: bool = False, columns: list[s
     schema = StructType([*(docs.schema[c] for c in names), StructField("score", DoubleType())])
     if passages:
         schema = schema.add("passages", ArrayType(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType()), StructField("log_odds", DoubleType())])))
-    return rows.mapInArrow(run, schema)
+    return rows.transform(in_arrow, run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, texts_of
+from tessera.llm.common import cut, in_arrow, texts_of
 
 #: Pages of a host from which on a text that is the same on all of them is part of the frame.
 FIXED_PAGES = 5
@@ -437,12 +437,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def _hosts(rows: list[tuple[str, str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["host", "wrapper"])
 
-    some = pages.select("host", "html").mapInArrow(partial, "host string, path string, tag string, rank int, chars long, lo long, hi long, slot boolean, pages long")
+    some = pages.select("host", "html").transform(in_arrow, partial, "host string, path string, tag string, rank int, chars long, lo long, hi long, slot boolean, pages long")
     whole = some.groupBy("host", "path").agg(
         F.min("tag").alias("tag"), F.max("rank").alias("rank"), F.sum("chars").alias("chars"), (~F.max("slot") & (F.min("lo") == F.max("hi"))).alias("same"), F.sum("pages").alias("pages")
     )
     # a path sorts behind the paths that it begins with
-    return whole.repartition("host").sortWithinPartitions("host", "path").mapInArrow(induce, "host string, wrapper string")
+    return whole.repartition("host").sortWithinPartitions("host", "path").transform(in_arrow, induce, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -472,4 +472,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return joined.transform(in_arrow, run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
