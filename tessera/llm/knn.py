@@ -14,14 +14,14 @@ from tessera.llm.common import cut, in_arrow, key_runs
 
 #: Least and greatest number of pivots, which are taken from the data by a hash of vec_id; between, as many as the root of the vectors' number.
 PIVOTS = (16, 4096)
-#: Vectors of one chunk of a cell; a larger cell has several chunks, so a hot one is shared out.
+#: Vectors of one chunk. Cells around one of fewer pivots are a unit of about one chunk; a larger unit has several, so a hot cell is shared out.
 CHUNK = 16_384
 #: Queries of one group that travel in one row.
 QUERIES = 256
 #: Numbers that are held at once while bounds are worked out.
 NUMBERS = 2_000_000
 
-ROWS = "cell int, chunk int, query boolean, n int, ids binary, bounds binary, v binary"
+ROWS = "unit int, chunk int, query boolean, n int, ids binary, bounds binary, cells binary, v binary"
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -43,6 +43,13 @@ class Cells:
         self.counts = self.radii = np.zeros(len(pivots))
         self.nearest_distances = np.full((len(pivots), 1), np.inf)
 
+    def units(self) -> tuple[np.ndarray, np.ndarray]:
+        """The unit of each cell, and the number of chunks of each unit."""
+        n = max(1, math.ceil(self.counts.sum() / CHUNK))
+        coarse = Cells(self.pivots[np.random.default_rng(0).permutation(len(self.pivots))[:n]])
+        unit, _ = coarse.of(self.pivots)
+        return unit, np.maximum(1, np.ceil(np.bincount(unit, self.counts, len(coarse.pivots)) / CHUNK)).astype(np.int64)
+
     def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cell of each vector, and its distance from the pivot."""
         cell = np.empty(len(x), np.int64)
@@ -85,31 +92,40 @@ def _parts(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.nda
             yield part.column(0).to_numpy(), _matrix(part.column(1), dim)
 
 
-def _rows_of(cells, chunks, query: bool, ids: list[bytes], bounds: list, vectors: list[bytes]) -> pa.RecordBatch:
+def _rows_of(units, chunks, query: bool, ids: list[bytes], bounds: list, cells: list[bytes], vectors: list[bytes]) -> pa.RecordBatch:
     n = [len(i) // 8 for i in ids]
     return pa.RecordBatch.from_arrays(
-        [pa.array(cells, pa.int32()), pa.array(chunks, pa.int32()), pa.array([query] * len(ids)), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array(bounds, pa.binary()), pa.array(vectors, pa.binary())],
-        names=["cell", "chunk", "query", "n", "ids", "bounds", "v"],
+        [
+            pa.array(units, pa.int32()), pa.array(chunks, pa.int32()), pa.array([query] * len(ids)), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array(bounds, pa.binary()),
+            pa.array(cells, pa.binary()), pa.array(vectors, pa.binary()),
+        ],
+        names=["unit", "chunk", "query", "n", "ids", "bounds", "cells", "v"],
     )
 
 
-def _data(vectors: DataFrame, cells: Cells, chunks: np.ndarray, dim: int, kind) -> DataFrame:
-    """Each vector in a chunk of its cell."""
+def _data(vectors: DataFrame, cells: Cells, dim: int, kind) -> DataFrame:
+    """Each vector in a chunk of its cell's unit."""
+    unit_of, chunks = cells.units()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in _parts(batches, dim):
             cell, _ = cells.of(x.astype(np.float64))
-            chunk = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % chunks[cell]
-            order = np.lexsort((chunk, cell))
-            runs = key_runs(cell[order] << 32 | chunk[order])
+            unit = unit_of[cell]
+            chunk = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % chunks[unit]
+            order = np.lexsort((cell, chunk, unit))
+            runs = key_runs(unit[order] << 32 | chunk[order])
             groups = [order[a:b] for a, b in zip(runs[:-1], runs[1:])]
-            yield _rows_of([cell[g[0]] for g in groups], [chunk[g[0]] for g in groups], False, [ids[g].tobytes() for g in groups], [None] * len(groups), [x[g].astype(kind).tobytes() for g in groups])
+            yield _rows_of(
+                [unit[g[0]] for g in groups], [chunk[g[0]] for g in groups], False, [ids[g].tobytes() for g in groups], [None] * len(groups), [cell[g].astype(np.int32).tobytes() for g in groups],
+                [x[g].astype(kind).tobytes() for g in groups],
+            )
 
     return vectors.select("vec_id", "v").transform(in_arrow, run, ROWS)
 
 
-def _groups(queries: DataFrame, cells: Cells, chunks: np.ndarray, dim: int, k: int, kind) -> DataFrame:
-    """Groups of queries of one cell, each with its bounds, in one row for each chunk of each cell that one of them needs."""
+def _groups(queries: DataFrame, cells: Cells, dim: int, k: int, kind) -> DataFrame:
+    """Groups of queries of one cell, each with its bounds, in one row for each chunk of each unit that has a cell which one of them needs."""
+    unit_of, chunks = cells.units()
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in _parts(batches, dim):
@@ -125,35 +141,42 @@ def _groups(queries: DataFrame, cells: Cells, chunks: np.ndarray, dim: int, k: i
                     ids = part.column(1).to_numpy()
                     x = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int64).reshape(len(ids), dim)
                     least, need = cells.bounds(x.astype(np.float64), k)
-                    for cell in np.flatnonzero(need.any(0)).tolist():
-                        some = need[:, cell]
-                        row = (ids[some].tobytes(), least[some].tobytes(), x[some].astype(kind).tobytes())
-                        n = int(chunks[cell])
-                        yield _rows_of([cell] * n, list(range(n)), True, [row[0]] * n, [row[1]] * n, [row[2]] * n)
+                    for unit in np.unique(unit_of[need.any(0)]).tolist():
+                        inside = need & (unit_of == unit)
+                        some, n = inside.any(1), int(chunks[unit])
+                        row = (ids[some].tobytes(), least[some].tobytes(), np.flatnonzero(inside.any(0)).astype(np.int32).tobytes(), x[some].astype(kind).tobytes())
+                        yield _rows_of([unit] * n, list(range(n)), True, *([c] * n for c in row))
 
-    dealt = queries.select("vec_id", "v").transform(in_arrow, placed, "cell int, vec_id long, v binary")
-    return dealt.repartition("cell", F.pmod(F.xxhash64("vec_id"), F.lit(16))).sortWithinPartitions("cell", "vec_id").transform(in_arrow, run, ROWS)
+    dealt = cut(queries.select("vec_id", "v").transform(in_arrow, placed, "cell int, vec_id long, v binary"))
+    # a hot cell's queries are dealt out, some groups to a task
+    hot = [r.cell for r in dealt.groupBy("cell").count().where(F.col("count") > 16 * QUERIES).collect()]  # a row for each pivot at most
+    salt = F.when(F.col("cell").isin(hot), F.pmod(F.xxhash64("vec_id"), F.lit(64))).otherwise(F.lit(0)) if hot else F.lit(0)
+    return dealt.repartition("cell", salt).sortWithinPartitions("cell", "vec_id").transform(in_arrow, run, ROWS)
 
 
 def _solve(dim: int, k: int, kind):
-    """The k best of each query among the vectors of one chunk; rows come chunk by chunk, data first."""
+    """The k best of each query among the vectors of one chunk that are in cells which its group needs; rows come chunk by chunk, data first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, data, ids = None, [], np.zeros((0, dim)), np.zeros(0, np.int64)
+        at, held, data, ids, cell = None, [], np.zeros((0, dim)), np.zeros(0, np.int64), np.zeros(0, np.int32)
         for batch in batches:
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for row, key in enumerate(keys):
-                query, n, own, least, x = (batch.column(c)[row].as_py() for c in range(2, 7))
-                own, x = np.frombuffer(own, np.int64), np.frombuffer(x, kind).reshape(n, dim)
+                query, n, own, least, cells, x = (batch.column(c)[row].as_py() for c in range(2, 8))
+                own, cells, x = np.frombuffer(own, np.int64), np.frombuffer(cells, np.int32), np.frombuffer(x, kind).reshape(n, dim)
                 if key != at:
-                    at, held, data, ids = key, [], np.zeros((0, dim)), np.zeros(0, np.int64)
+                    at, held, data, ids, cell = key, [], np.zeros((0, dim)), np.zeros(0, np.int64), np.zeros(0, np.int32)
                 if not query:
-                    held.append((x, own))
+                    held.append((x, own, cells))
                     continue
                 if held:
-                    data, ids, held = np.concatenate([d for d, _ in held]), np.concatenate([i for _, i in held]), []
-                if len(ids):
+                    data, ids, cell = (np.concatenate(c) for c in zip(*held))
+                    held = []
+                needed = np.isin(cell, cells)
+                if needed.all() and len(ids):
                     yield _best(x, own, np.frombuffer(least), data, ids, k)
+                elif needed.any():
+                    yield _best(x, own, np.frombuffer(least), data[needed], ids[needed], k)
 
     return run
 
@@ -241,7 +264,6 @@ def cells_of(vectors: DataFrame, dim: int, k: int, pivots: int) -> Cells:
 
 def _of_dimension(vectors: DataFrame, queries: DataFrame, dim: int, k: int, pivots: int, kind) -> DataFrame:
     cells = cells_of(vectors, dim, k, pivots)
-    chunks = np.maximum(1, np.ceil(cells.counts / CHUNK)).astype(np.int64)
-    rows = _data(vectors, cells, chunks, dim, kind).unionByName(_groups(queries, cells, chunks, dim, k, kind))
-    dealt = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "query")
+    rows = _data(vectors, cells, dim, kind).unionByName(_groups(queries, cells, dim, k, kind))
+    dealt = rows.repartition("unit", "chunk").sortWithinPartitions("unit", "chunk", "query")
     return dealt.transform(in_arrow, _solve(dim, k, kind), "query_id long, vec_id long, score long")
