@@ -78,6 +78,14 @@ def alignment_mismatches(t: Tables) -> DataFrame:
     return rows.where("context_length <> prompt_token_count + step - 1 or predictor_position <> context_length - 1")
 
 
+def attention_mismatches(t: Tables) -> DataFrame:
+    """Attention rows whose numbers of tokens are negative, don't add up, or count other than the tokens before the step as generated."""
+    return t["token_attention_metrics"].where(
+        "n_generated_text_tokens <> step - 1 or n_image_tokens < 0 or n_prompt_text_tokens < 0 or n_prompt_generated_text_tokens <> n_prompt_text_tokens + n_generated_text_tokens "
+        "or n_all_attn_tokens <> n_image_tokens + n_prompt_generated_text_tokens"
+    )
+
+
 def validity_mismatches(t: Tables) -> DataFrame:
     return t["token_probability_metrics"].where("metrics_valid <=> (invalid_reason is not null)")
 
@@ -93,7 +101,7 @@ def storage_rules() -> list[Rule]:
     return rules + [
         Rule("tokens_have_generation", lambda t: orphans(t["tokens"], t["generations"], ROLLOUT_KEY)), Rule("scores_have_generation", lambda t: orphans(t["scores"], t["generations"], ROLLOUT_KEY)),
         Rule("generations_have_example", lambda t: orphans(t["generations"], t["examples"], KEYS["examples"])), Rule("contiguous_steps", lambda t: contiguity(t["tokens"], ROLLOUT_KEY, "step")),
-        Rule("token_ids_match", id_mismatches), Rule("stop_reason", stop_mismatches), Rule("context_alignment", alignment_mismatches), Rule("validity_reason", validity_mismatches), Rule("generation_ranges", out_of_range),
+        Rule("token_ids_match", id_mismatches), Rule("stop_reason", stop_mismatches), Rule("context_alignment", alignment_mismatches), Rule("attention_counts", attention_mismatches), Rule("validity_reason", validity_mismatches), Rule("generation_ranges", out_of_range),
         Rule("one_shard_per_rollout", lambda t: t["generations"].groupBy(*ROLLOUT_KEY).agg(F.countDistinct("shard_id").alias("n")).where("n > 1")),
         Rule("one_shard_per_score", lambda t: t["scores"].groupBy(*SCORE_KEY).agg(F.countDistinct("score_shard_id").alias("n")).where("n > 1")),
     ]

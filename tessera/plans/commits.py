@@ -9,15 +9,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
-from tessera.operators.constraints import Rule, check
-from tessera.schema import CORE_TABLES, RESUME_KEY, ROLLOUT_KEY, SCORE_KEY, TABLES
+from tessera.operators.constraints import Rule, check, duplicates
+from tessera.schema import CORE_TABLES, EXAMPLE_KEY, RESUME_KEY, ROLLOUT_KEY, SCORE_KEY, TABLES
+
+#: Tables of a shard of each kind.
+KINDS = {"core": CORE_TABLES, "scores": ("scores",), "examples": ("examples",)}
 
 
 class CommitError(RuntimeError):
@@ -51,16 +57,19 @@ class Store:
             stream.close()
 
     def create(self, name: str, text: str) -> None:
-        """Write a file that must not exist: first aside, then renamed."""
-        if self.exists(name):
-            raise CommitError(f"{name} exists")
-        aside = f"_tmp/{uuid.uuid4().hex}"
-        stream = self.fs.create(self._path(aside), False)
+        """Write a file that must not exist, under its own name and only if nobody else has: the store decides between writers.
+
+        A writer that dies in between leaves a file that is no JSON; readers pass over it and :func:`quarantine` moves it away.
+        """
+        self.fs.mkdirs(self._path(name).getParent())
+        try:
+            stream = self.fs.create(self._path(name), False)
+        except Exception as e:
+            if "exist" in str(e).lower():
+                raise CommitError(f"{name} exists") from None
+            raise
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.fs.mkdirs(self._path(name).getParent())
-        if self.exists(name) or not self.fs.rename(self._path(aside), self._path(name)):
-            raise CommitError(f"{name} exists")
 
     def move(self, name: str, to: str) -> None:
         self.fs.mkdirs(self._path(to).getParent())
@@ -68,13 +77,28 @@ class Store:
             raise CommitError(f"{name} can't be moved")
 
 
+def _lenient(kind: DataType) -> DataType:
+    """The same type with nulls allowed inside; what comes from an expression may always be null to Spark."""
+    if isinstance(kind, ArrayType):
+        return ArrayType(_lenient(kind.elementType), True)
+    return StructType([StructField(f.name, _lenient(f.dataType), True) for f in kind]) if isinstance(kind, StructType) else kind
+
+
+def _has_null(kind: DataType) -> Callable[[Column], Column]:
+    """Whether an element is null, or a field of it that must not be."""
+    fields = [f.name for f in kind if not f.nullable] if isinstance(kind, StructType) else []
+    return lambda x: reduce(lambda a, b: a | b, [x[n].isNull() for n in fields], x.isNull())
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """``df`` with exactly the columns and types of a stored table; other or missing columns are an error, NaN too."""
     want = TABLES[table]
     if set(df.columns) != set(want.names):
         raise CommitError(f"{table}: columns differ by {sorted(set(df.columns) ^ set(want.names))}")
-    out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in want])
+    out = df.select(*[F.col(f.name).cast(_lenient(f.dataType)).alias(f.name) for f in want])
     for f in want:
+        if isinstance(f.dataType, ArrayType):
+            out = out.withColumn(f.name, F.when(F.exists(f.name, _has_null(f.dataType.elementType)), F.raise_error(F.lit(f"null inside {table}.{f.name}"))).otherwise(F.col(f.name)))
         if f.dataType.typeName() in ("float", "double"):
             out = out.withColumn(f.name, F.when(F.isnan(f.name), F.raise_error(F.lit(f"NaN in {table}.{f.name}"))).otherwise(F.col(f.name)))
         if not f.nullable:
@@ -82,22 +106,70 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return out
 
 
+def run_rules(run: dict, shard: str | None = None, kind: str = "core") -> list[Rule]:
+    """Rules of one shard against its run (``run_id, dataset, split, strategy`` and, for a core shard, ``rollouts`` and the sampling fields): identity, shard column, sampling fields, rollout numbers."""
+    own = [c for c in ("run_id", "dataset", "split", "strategy") if c in run]
+    sampling = [c for c in ("temperature", "top_p", "top_k", "repetition_penalty") if c in run]
+    column = "score_shard_id" if kind == "scores" else "shard_id"
+
+    def differs(df: DataFrame, names: list[str]) -> DataFrame:
+        """Rows that differ from the run in one of these columns, as the column's own type has the run's value."""
+        same = [F.col(c).eqNullSafe(F.lit(run[c]).cast(df.schema[c].dataType)) for c in names]
+        return df.where(~reduce(lambda a, b: a & b, same, F.lit(True)))
+
+    tables = CORE_TABLES if kind == "core" else ("scores",)
+    rules = [Rule(f"run_of_{t}", lambda x, t=t: differs(x[t], own)) for t in tables]
+    if shard is not None:
+        rules += [Rule(f"shard_of_{t}", lambda x, t=t: x[t].where(~F.col(column).eqNullSafe(F.lit(shard)))) for t in tables]
+    if kind == "core":
+        rules.append(Rule("sampling_of_run", lambda x: differs(x["generations"], sampling)))
+        if "rollouts" in run:
+            rules.append(Rule("rollouts_of_run", lambda x: x["generations"].where(F.col("rollout_index") >= run["rollouts"])))
+    return rules
+
+
+def _digest(table: str, columns: list[str]) -> Column:
+    """Order-free digest of a table's keys, without the run's id."""
+    keys = {"examples": EXAMPLE_KEY, "scores": SCORE_KEY}.get(table, RESUME_KEY)
+    return F.coalesce(F.sum(F.xxhash64(*[c for c in keys if c in columns]).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
+
+
+def _types(schema: StructType) -> str:
+    """Names and types of columns in order; files don't keep whether nulls are allowed."""
+    return hashlib.sha256(schema.simpleString().encode()).hexdigest()
+
+
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``part``, ``name``, ``length``, ``sha256`` of the data files of parts, hashed where they are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(paths)
+    at = F.regexp_extract("path", "([^/]+)/([^/]+)$", 1), F.regexp_extract("path", "([^/]+)$", 1)
+    return files.select(at[0].alias("part"), at[1].alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def _step_range(written: DataFrame):
+    return (F.min("step"), F.max("step")) if "step" in written.columns else (F.lit(None).cast("int"), F.lit(None).cast("int"))
+
+
 def commit_shard(
-    store: Store, shard: str, tables: dict[str, DataFrame], rules: list[Rule] | None = None, failure_injector: Callable[[str], None] | None = None, kind: str = "core",
+    store: Store, shard: str, tables: dict[str, DataFrame], rules: list[Rule] | None = None, failure_injector: Callable[[str], None] | None = None, kind: str = "core", run: dict | None = None,
 ) -> dict:
     """Validate, write and publish one shard; gives the commit record.
 
-    ``failure_injector`` is called with the name of each stage before it, for tests of crashes. A
-    failed attempt leaves parts that nothing refers to; see :func:`quarantine`.
+    ``kind`` is core, scores or examples. With ``run`` the shard is held against its run (:func:`run_rules`);
+    a core shard's rows must all name ``shard``. The record has each part's rows, digest of keys, range of
+    steps, types, and its files with length and SHA-256. ``failure_injector`` is called with the name of
+    each stage before it, for tests of crashes. A failed attempt leaves parts that nothing refers to; see
+    :func:`quarantine`.
     """
     stage = failure_injector or (lambda name: None)
-    expected = CORE_TABLES if kind == "core" else ("scores",)
+    expected = KINDS[kind]
     if set(tables) != set(expected):
         raise CommitError(f"a {kind} shard has the tables {expected}")
     record = f"_commits/{kind}/{shard}.json"
     if store.exists(record):
         raise CommitError(f"shard {shard} is committed")
     stage("validate")
+    rules = [*(rules or ()), *(run_rules(run, shard if kind == "core" else None, kind) if run else ())]
     if rules:
         broken = [r.rule for r in check(tables, rules).where("n_violations > 0").collect()]
         if broken:
@@ -109,15 +181,14 @@ def commit_shard(
         conform(tables[name], name).write.mode("errorifexists").option("compression", "zstd").parquet(f"{store.root}/{part}")
         stage(f"verify:{name}")
         written = store.spark.read.parquet(f"{store.root}/{part}")
-        keys = RESUME_KEY if kind == "core" else SCORE_KEY
-        digest = F.sum(F.xxhash64(*[c for c in keys if c in written.columns]).cast("decimal(38,0)"))
-        n, keys_digest = written.agg(F.count(F.lit(1)), digest).first()
-        parts[name] = {"path": part, "rows": n, "keys": str(keys_digest)}
-    rollouts = store.spark.read.parquet(f"{store.root}/{parts[expected[0]]['path']}")
-    done = {"shard": shard, "kind": kind, "parts": parts, "created_at": datetime.now(timezone.utc).isoformat(), "columns": hashlib.sha256(json.dumps({t: TABLES[t].simpleString() for t in expected}).encode()).hexdigest()}
+        n, keys, first, last = written.agg(F.count(F.lit(1)), _digest(name, written.columns), *_step_range(written)).first()
+        files = sorted((r["name"], r.length, r.sha256) for r in _files(store.spark, [f"{store.root}/{part}"]).collect())
+        parts[name] = {
+            "path": part, "rows": n, "keys": keys, "min_step": first, "max_step": last, "types": _types(written.schema), "files": [dict(zip(("name", "length", "sha256"), f)) for f in files],
+        }
+    done = {"shard": shard, "kind": kind, "parts": parts, "created_at": datetime.now(timezone.utc).isoformat()}
     if kind == "core":
-        tokens = store.spark.read.parquet(f"{store.root}/{parts['tokens']['path']}").agg(F.min("step"), F.max("step")).first()
-        done |= {"rollouts": rollouts.count(), "min_step": tokens[0], "max_step": tokens[1]}
+        done |= {"rollouts": parts["generations"]["rows"], "token_keys": parts["tokens"]["rows"], "min_step": parts["tokens"]["min_step"], "max_step": parts["tokens"]["max_step"]}
     stage("commit")
     store.create(record, json.dumps(done, sort_keys=True, indent=2))
     stage("after")
@@ -125,21 +196,86 @@ def commit_shard(
 
 
 def commits(store: Store, kind: str = "core") -> list[dict]:
-    return [json.loads(store.read(f"_commits/{kind}/{n}")) for n in store.list(f"_commits/{kind}") if n.endswith(".json")]
+    """The commit records by shard, read in one job. Files that are no JSON are attempts that died and count as nothing."""
+    if not any(n.endswith(".json") for n in store.list(f"_commits/{kind}")):
+        return []
+    found = []
+    for r in store.spark.read.text(f"{store.root}/_commits/{kind}", wholetext=True, pathGlobFilter="*.json").collect():
+        try:
+            found.append(json.loads(r.value))
+        except ValueError:
+            continue
+    for c in found:
+        for table, part in c["parts"].items():
+            if not re.fullmatch(rf"data/{table}/[^/]+", part["path"]) or part["path"].endswith(("/..", "/.")):
+                raise CommitError(f"commit {c['shard']} names a part outside of its table: {part['path']}")
+    return sorted(found, key=lambda c: c["shard"])
+
+
+def _parts(store: Store, table: str) -> list[str]:
+    kind = next(k for k, tables in KINDS.items() if table in tables)
+    return [f"{store.root}/{c['parts'][table]['path']}" for c in commits(store, kind)]
 
 
 def read_committed(store: Store, table: str) -> DataFrame:
     """All committed rows of a table: the parts that commits name, never a listing of the data."""
-    paths = [f"{store.root}/{c['parts'][table]['path']}" for c in commits(store, "scores" if table == "scores" else "core")]
+    paths = _parts(store, table)
     if not paths:
         return store.spark.createDataFrame([], TABLES[table])
     return store.spark.read.schema(TABLES[table]).parquet(*paths)
 
 
+def write_examples(store: Store, examples: DataFrame, shard: str = "examples") -> dict:
+    """Store a run's examples, written and published in one step."""
+    return commit_shard(store, shard, {"examples": examples}, [Rule("unique_examples", lambda t: duplicates(t["examples"], EXAMPLE_KEY))], kind="examples")
+
+
+def read_examples(store: Store) -> DataFrame:
+    """A run's examples; other types of columns and repeated keys are errors."""
+    paths = _parts(store, "examples")
+    if not paths:
+        raise CommitError("no examples are committed")
+    if _types(store.spark.read.parquet(*paths).schema) != _types(TABLES["examples"]):
+        raise CommitError("the stored examples have other columns or types")
+    rows = read_committed(store, "examples")
+    if not duplicates(rows, EXAMPLE_KEY).isEmpty():
+        raise CommitError("the stored examples repeat a key")
+    return rows
+
+
+def inventory(store: Store, kind: str = "core") -> DataFrame:
+    """What is there of each committed part: ``part, table, rows, keys, min_step, max_step, types``, one grouped job a table."""
+    made = []
+    for table in KINDS[kind]:
+        paths = _parts(store, table)
+        if not paths:
+            continue
+        rows = store.spark.read.parquet(*paths)
+        types = _types(store.spark.read.option("mergeSchema", True).parquet(*paths).schema)
+        part = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
+        counted = rows.select("*", part.alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), _digest(table, rows.columns).alias("keys"), *[c.alias(n) for n, c in zip(("min_step", "max_step"), _step_range(rows))])
+        made.append(counted.select(F.col("_part").alias("part"), F.lit(table).alias("table"), "rows", "keys", "min_step", "max_step", F.lit(types).alias("types")))
+    return reduce(DataFrame.unionByName, made) if made else store.spark.createDataFrame([], "part string, table string, rows long, keys string, min_step int, max_step int, types string")
+
+
 def verify(store: Store, kind: str = "core") -> DataFrame:
-    """``shard``, ``table``, ``declared``, ``actual``: parts whose rows differ from their commit's count."""
-    rows = [(c["shard"], t, p["rows"], store.spark.read.parquet(f"{store.root}/{p['path']}").count()) for c in commits(store, kind) for t, p in c["parts"].items()]
-    return store.spark.createDataFrame(rows, "shard string, table string, declared long, actual long").where("declared <> actual")
+    """``shard, table, what, declared, actual``: parts that differ from their commit in rows, keys, steps, types, or in a file's length or SHA-256."""
+    spark, recorded = store.spark, commits(store, kind)
+    rows = [(c["shard"], t, p["path"].rsplit("/", 1)[1], p["rows"], p["keys"], p["min_step"], p["max_step"], p["types"]) for c in recorded for t, p in c["parts"].items()]
+    declared = spark.createDataFrame(rows, "shard string, table string, part string, rows long, keys string, min_step int, max_step int, types string")
+    names = ("rows", "keys", "min_step", "max_step", "types")
+    actual = inventory(store, kind).select("part", "table", *[F.col(n).alias(f"_{n}") for n in names])
+    both = declared.join(actual, ["part", "table"], "left").select(
+        "shard", "table", F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(n).cast("string").alias("declared"), F.col(f"_{n}").cast("string").alias("actual")) for n in names])).alias("c")
+    )
+    # a part without rows isn't in the inventory: nothing of it can differ but its rows
+    differ = both.select("shard", "table", "c.*").where("not (declared <=> actual) and not (actual is null and (declared in ('0') or what in ('keys', 'types')))")
+    files = [(c["shard"], t, p["path"].rsplit("/", 1)[1], f["name"], f"{f['length']} {f['sha256']}") for c in recorded for t, p in c["parts"].items() for f in p["files"]]
+    if not files:
+        return differ
+    there = _files(spark, [f"{store.root}/{p['path']}" for c in recorded for p in c["parts"].values()]).select("part", "name", F.concat_ws(" ", "length", "sha256").alias("actual"))
+    hashed = spark.createDataFrame(files, "shard string, table string, part string, name string, declared string").join(there, ["part", "name"], "full")
+    return differ.unionByName(hashed.where("not (declared <=> actual)").select("shard", "table", F.concat(F.lit("file:"), F.col("name")).alias("what"), "declared", "actual"))
 
 
 def completed(store: Store) -> DataFrame:
@@ -148,17 +284,19 @@ def completed(store: Store) -> DataFrame:
 
 
 def orphans(store: Store) -> list[str]:
-    """Parts that no commit names."""
-    named = {p["path"] for kind in ("core", "scores") for c in commits(store, kind) for p in c["parts"].values()}
+    """Parts that no commit names, loose files among the parts, and commit files of attempts that died."""
+    recorded = {kind: commits(store, kind) for kind in KINDS}
+    named = {p["path"] for c in recorded.values() for r in c for p in r["parts"].values()}
     present = {f"data/{t}/{d}" for t in store.list("data") for d in store.list(f"data/{t}")}
-    return sorted(present - named)
+    torn = [f"_commits/{kind}/{n}" for kind, c in recorded.items() for n in store.list(f"_commits/{kind}") if n.endswith(".json") and n.removesuffix(".json") not in {r["shard"] for r in c}]
+    return sorted([*(present - named), *torn])
 
 
 def quarantine(store: Store) -> list[str]:
     """Move orphans aside; gives their names."""
     found = orphans(store)
     for name in found:
-        store.move(name, f"_quarantine/{name}")
+        store.move(name, f"_quarantine/{uuid.uuid4().hex[:8]}/{name}")
     return found
 
 
@@ -169,5 +307,12 @@ def append_failure(store: Store, failure: dict) -> str:
     return name
 
 
+def append_failures(store: Store, rows: DataFrame) -> None:
+    """Record many failures, one line each, written where they are."""
+    rows.write.mode("append").json(f"{store.root}/_failures/{uuid.uuid4().hex}")
+
+
 def failures(store: Store) -> DataFrame:
-    return store.spark.read.json(f"{store.root}/_failures") if store.list("_failures") else store.spark.createDataFrame([], "stage string, message string")
+    if not store.list("_failures"):
+        return store.spark.createDataFrame([], "stage string, message string")
+    return store.spark.read.option("recursiveFileLookup", True).json(f"{store.root}/_failures")

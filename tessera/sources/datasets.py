@@ -18,6 +18,8 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 from tessera.functions import text as T
 from tessera.functions.identity import sample_id
 from tessera.operators.scheduling import with_ordinal
+from tessera.session import ship
+from tessera.sources.images import dimensions
 
 EXAMPLE = ("source_row_index", "sample_id", "question", "eval_question", "rendered_prompt", "ground_truth", "answer_type", "images", "metadata_json")
 
@@ -51,7 +53,8 @@ def equals(df: DataFrame, wanted: dict, loose: bool = False) -> Column:
     for name, value in wanted.items():
         c = column(df, name)
         if loose and isinstance(value, str):
-            tests.append(F.coalesce(F.lower(T.strip(c.cast("string"))) == value.strip().casefold(), F.lit(False)))
+            folded = F.lower(F.upper(T.strip(c.cast("string"))))  # as casefold has it: capitals first, so that sharp s is two letters
+            tests.append(F.coalesce(folded == value.strip().upper().lower(), F.lit(False)))
         else:
             tests.append(c.eqNullSafe(F.lit(value)))
     return reduce(lambda a, b: a & b, tests, F.lit(True))
@@ -59,15 +62,55 @@ def equals(df: DataFrame, wanted: dict, loose: bool = False) -> Column:
 
 def read_ordered(spark: SparkSession, path: str) -> DataFrame:
     """All rows of a file or a directory of files with ``source_row_index``: by file name, then by place in the file."""
-    df = spark.read.parquet(path)
+    df = ship(spark).read.parquet(path)
     rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
-    return with_ordinal(rows, ["_file", "_block", "_place"], "source_row_index").drop("_file", "_block", "_place")
+    return with_ordinal(rows, ["_file", "_block", "_place"], "source_row_index").drop("_block", "_place")
+
+
+#: Files that an image's path may name.
+IMAGE_FILES = "*.{png,PNG,jpg,JPG,jpeg,JPEG,gif,GIF,bmp,BMP,webp,WEBP}"
+
+
+def _bare(path: Column) -> Column:
+    """A path without repeated slashes behind its scheme, so that two ways of writing it compare equal."""
+    return F.regexp_replace(path, "^([a-z]+):/+", "$1:/")
+
+
+def with_files(rows: DataFrame, names: list[str], path: str) -> DataFrame:
+    """Images that are given by a path alone, with that file's bytes; a relative path starts at the row's own file. A file that isn't there is an error.
+
+    The files are read below the source's directory by the executors and joined by path.
+    """
+    spark = rows.sparkSession
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = there.getParent().toString() if system.getFileStatus(there).isFile() else path
+    for name in names:
+        if not has(rows, f"{name}.bytes") or not has(rows, f"{name}.path"):
+            continue
+        data, where = F.col(f"{name}.bytes"), F.nullif(F.col(f"{name}.path"), F.lit(""))
+        alone = F.coalesce(F.octet_length(data), F.lit(0)).eqNullSafe(0) & where.isNotNull()
+        if rows.where(alone).isEmpty():
+            continue
+        base = F.regexp_extract("_file", "^(.*/)[^/]*$", 1)
+        full = F.when(where.rlike("^[a-z]+:/"), where).when(where.startswith("/"), F.concat(F.lit("file:"), where)).otherwise(F.concat(base, where))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_FILES).load(root).select(_bare(F.col("path")).alias("_path"), F.col("content").alias("_content"))
+        joined = rows.withColumn("_path", F.when(alone, _bare(full))).join(files, "_path", "left")
+        read = F.when(F.col("_path").isNull(), data).otherwise(F.coalesce("_content", F.raise_error(F.concat(F.lit("no image "), F.col("_path"))).cast("binary")))
+        rows = joined.withColumn(name, F.when(F.col(name).isNotNull(), F.struct(read.alias("bytes"), F.col(f"{name}.path").alias("path")))).drop("_path", "_content")
+    return rows
 
 
 def image(df: DataFrame, name: str, number: int) -> Column:
-    """An image of {bytes, path}: the hash is of the stored bytes, which win over the path."""
+    """An image of {bytes, path}: the hash is of the bytes, width and height are those that its header tells."""
     data, path = column(df, f"{name}.bytes", "binary"), column(df, f"{name}.path")
-    return F.when(data.isNotNull() | path.isNotNull(), F.struct(F.lit(number).alias("number"), path.alias("path"), F.sha2(data, 256).alias("sha256"), F.octet_length(data).cast("long").alias("size")))
+    shape = dimensions(data) if has(df, f"{name}.bytes") else F.lit(None).cast("struct<width:int,height:int>")
+    return F.when(
+        data.isNotNull() | path.isNotNull(),
+        F.struct(
+            F.lit(number).alias("number"), path.alias("path"), F.sha2(data, 256).alias("sha256"), F.octet_length(data).cast("long").alias("size"), shape["width"].alias("width"), shape["height"].alias("height"),
+        ),
+    )
 
 
 def images(df: DataFrame, names: list[str]) -> Column:
@@ -95,7 +138,8 @@ def typed(kind: Column, answer: Column, question: Column) -> Column:
 def math_diagrams(spark: SparkSession, path: str, where: dict | None = None, template: str = "reasoning_boxed_v1") -> DataFrame:
     """Diagram problems: one image, ids from sample or problem index or else from a hash of the content."""
     rows = read_ordered(spark, path)
-    rows = rows.where(equals(rows, where or {}, loose=True)).withColumn("images_", images(rows, ["image"]))
+    rows = with_files(rows.where(equals(rows, where or {}, loose=True)), ["image"], path)
+    rows = rows.withColumn("images_", images(rows, ["image"]))
     question, answer = F.coalesce(column(rows, "question"), F.lit("")), F.coalesce(column(rows, "answer"), F.lit(""))
     asked = F.coalesce(T.blank_to_null(column(rows, "question_for_eval")), question)
     ids = sample_id(column(rows, "sample_index"), column(rows, "problem_index"), answer, F.try_element_at("images_", F.lit(1))["sha256"], question)
@@ -110,7 +154,7 @@ def math_diagrams(spark: SparkSession, path: str, where: dict | None = None, tem
 def math_figures(spark: SparkSession, path: str, where: dict | None = None, template: str = "reasoning_boxed_v1") -> DataFrame:
     """Figure questions with optional choices; a blank id is an error."""
     rows = read_ordered(spark, path)
-    rows = rows.where(equals(rows, where or {}))
+    rows = with_files(rows.where(equals(rows, where or {})), ["decoded_image"], path)
     options = column(rows, "choices", "array<string>")
     question, answer = F.coalesce(column(rows, "question"), F.lit("")), F.coalesce(column(rows, "answer").cast("string"), F.lit(""))
     ids = F.coalesce(T.blank_to_null(column(rows, "pid").cast("string")), F.raise_error(F.lit("blank sample id")))
@@ -132,10 +176,14 @@ def literal_list(value: Column) -> Column:
     return F.transform(found, plain)
 
 
+IMAGE_COLUMNS = [f"image_{k}" for k in range(1, 8)]
+
+
 def exam_questions(spark: SparkSession, path: str, where: dict | None = None, template: str = "reasoning_boxed_v1") -> DataFrame:
     """Exam questions over a directory of files: 2 to 26 options and one to seven images, else an error."""
     rows = read_ordered(spark, path)
-    rows = rows.where(equals(rows, where or {})).withColumn("images_", images(rows, [f"image_{k}" for k in range(1, 8)]))
+    rows = with_files(rows.where(equals(rows, where or {})), IMAGE_COLUMNS, path)
+    rows = rows.withColumn("images_", images(rows, IMAGE_COLUMNS))
     listed = isinstance(rows.schema["options"].dataType, ArrayType) if "options" in rows.columns else False
     options = column(rows, "options", "array<string>") if listed else literal_list(column(rows, "options"))
     rows = rows.withColumn("options_", options)
@@ -143,7 +191,7 @@ def exam_questions(spark: SparkSession, path: str, where: dict | None = None, te
     rows = rows.withColumn("options_", F.when(sound, F.col("options_")).otherwise(F.raise_error(F.lit("an exam question needs 2 to 26 options and an image")).cast("array<string>")))
     question = F.coalesce(column(rows, "question"), F.lit(""))
     asked = T.stripped_options(question, F.col("options_"))
-    details = {n: text_or_empty(rows, n) for n in ("explanation", "img_type", "topic_difficulty", "subject")}
+    details = {n: text_or_empty(rows, n) for n in ("explanation", "img_type", "topic_difficulty", "subject")} | {"options": F.col("options_")}
     return rows.select(
         "source_row_index", column(rows, "id").cast(StringType()).alias("sample_id"), question.alias("question"), asked.alias("eval_question"), T.render_question(asked, template).alias("rendered_prompt"),
         F.coalesce(column(rows, "answer"), F.lit("")).alias("ground_truth"), F.lit("multiple_choice").alias("answer_type"), F.col("images_").alias("images"), metadata(**details).alias("metadata_json"),

@@ -36,7 +36,7 @@ def shard(spark, sample: str, lengths: list[int]) -> dict:
             at = {**key, "rollout_index": k, "step": step}
             rows["tokens"].append(filled(TABLES["tokens"], **at, token_id=token, context_length=5 + step - 1, predictor_position=5 + step - 2))
             for t in TOKEN_TABLES[1:]:
-                rows[t].append(filled(TABLES[t], **at))
+                rows[t].append(filled(TABLES[t], **at, n_generated_text_tokens=step - 1, n_prompt_generated_text_tokens=step - 1, n_all_attn_tokens=step - 1))
     from decimal import Decimal
 
     fix = lambda t, row: tuple(Decimal(v) if f.dataType.typeName().startswith("decimal") else v for f, v in zip(TABLES[t], row))
@@ -152,3 +152,161 @@ def test_stored_names():
         "run_id", "dataset", "split", "sample_id", "strategy", "rollout_index", "step", "shard_id", "n_image_tokens", "n_prompt_text_tokens", "n_generated_text_tokens", "n_prompt_generated_text_tokens", "n_all_attn_tokens",
     ]
     assert len(names) == 13 + 3 * 42 and not TABLES["scores"]["scorer_method"].nullable and TABLES["scores"]["is_correct"].nullable
+
+
+RUN = {"run_id": "r", "dataset": "d", "split": "t", "strategy": "st", "rollouts": 2, "temperature": 0.5, "top_p": 0.5, "top_k": None, "repetition_penalty": 0.5}
+
+
+def test_a_shard_is_held_against_its_run(spark, store):
+    tables = shard(spark, "a", [2, 1])
+    commits.commit_shard(store, "a", tables, core_rules(), run=RUN)
+    for change, rule in (({"run_id": "q"}, "run_of_tokens"), ({"rollouts": 1}, "rollouts_of_run"), ({"top_p": 0.9}, "sampling_of_run"), ({"top_k": 5}, "sampling_of_run")):
+        with pytest.raises(commits.CommitError, match=rule):
+            commits.commit_shard(store, "b", shard(spark, "b", [2, 1]), run=RUN | change)
+    with pytest.raises(commits.CommitError, match="shard_of_generations"):
+        commits.commit_shard(store, "c", tables, run=RUN)
+    wrong = tables | {"token_attention_metrics": tables["token_attention_metrics"].withColumn("n_all_attn_tokens", F.lit(7))}
+    with pytest.raises(commits.CommitError, match="attention_counts"):
+        commits.commit_shard(store, "d", wrong, core_rules())
+
+
+def test_changed_parts_are_told(spark, store, tmp_path):
+    commits.commit_shard(store, "a", shard(spark, "a", [2, 1]), run=RUN)
+    commits.commit_shard(store, "b", shard(spark, "b", [0]), run=RUN)
+    assert commits.verify(store).count() == 0
+    part = next(c for c in commits.commits(store) if c["shard"] == "a")["parts"]["tokens"]["path"]
+    spark.createDataFrame([], TABLES["tokens"]).coalesce(1).write.mode("append").parquet(f"{store.root}/{part}")
+    assert {r.what.split(":")[0] for r in commits.verify(store).collect()} == {"file"}
+    commits.read_committed(store, "tokens").limit(1).coalesce(1).write.mode("append").parquet(f"{store.root}/{part}")
+    found = commits.verify(store).collect()
+    assert {"rows", "keys", "file"} <= {r.what.split(":")[0] for r in found} and {r.shard for r in found if r.what == "rows"} == {"a"}
+    torn = tmp_path / "run/_commits/core/z.json"
+    torn.write_text('{"sh')
+    assert len(commits.commits(store)) == 2 and commits.orphans(store) == ["_commits/core/z.json"]
+    with pytest.raises(commits.CommitError):
+        store.create("_commits/core/z.json", "{}")
+    commits.quarantine(store)
+    (tmp_path / "run/_commits/core/y.json").write_text(json.dumps({"shard": "y", "parts": {"tokens": {"path": "data/tokens/../../x"}}}))
+    with pytest.raises(commits.CommitError, match="outside"):
+        commits.commits(store)
+
+
+PNG = b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + (30).to_bytes(4, "big") + (20).to_bytes(4, "big") + b"\x08\x02\x00\x00\x00"
+
+
+def test_from_a_source_to_committed_scores(spark, store, tmp_path):
+    from tessera.plans import records, runs
+    from tessera.plans.scoring_run import Scorer, score_run
+    from tessera.sources import adapters
+
+    (tmp_path / "pictures").mkdir()
+    (tmp_path / "pictures/b.png").write_bytes(PNG)
+    picture = "struct<bytes: binary, path: string>"
+    source = [("a", None, "Vision", "Which?\n(A) x\n(B) y", "B", (PNG, None)), ("b", None, "Vision", "How many?", "1/2", (None, "pictures/b.png")), ("c", None, "Text", "Else", "2", None)]
+    path = str(tmp_path / "source.parquet")
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    kinds = [("sample_index", pa.string()), ("problem_index", pa.string()), ("problem_version", pa.string()), ("question", pa.string()), ("answer", pa.string()), ("image", pa.struct([("bytes", pa.binary()), ("path", pa.string())]))]
+    rows = [dict(zip([k for k, _ in kinds], (*r[:5], None if r[5] is None else dict(zip(("bytes", "path"), r[5]))))) for r in source]
+    pq.write_table(pa.Table.from_pylist(rows, pa.schema(kinds)), path)
+    adapter = adapters.adapter("mathverse")
+    examples = adapter.examples(spark, path, {"problem_version": " VISION"})
+    assert [tuple(m.role for m in r.messages) for r in adapter.messages(examples).collect()] == [("user",)] * 2
+    made = records.example_rows(examples, "r", "d", "t", F.array(F.lit(1), F.lit(2)))
+    commits.write_examples(store, made)
+    stored = {r.sample_id: r for r in commits.read_examples(store).collect()}
+    assert len(stored) == 2 and all(r.prompt_token_count == 2 for r in stored.values())
+    assert [(i.source_ref, i.width, i.height, i.mode) for i in stored["b"].images] == [("pictures/b.png", 30, 20, "RGB")] and stored["a"].images[0].sha256 == stored["b"].images[0].sha256
+    assert json.loads(stored["a"].ground_truth_json) == {"answer": "B", "question_for_eval": "Which?\n(A) x\n(B) y"}
+    for sample, said in (("a", ["\\boxed{B}", "no idea"]), ("b", ["\\boxed{0.5}", "\\boxed{3}"]), ("z", ["\\boxed{1}"])):
+        tables = shard(spark, sample, [0] * len(said))
+        answers = F.array(*[F.lit(x) for x in said])
+        commits.commit_shard(store, sample, tables | {"generations": tables["generations"].withColumn("generated_text", F.get(answers, F.col("rollout_index")))}, run=RUN)
+    summary = score_run(store, "r", adapter.scorer(), scored_at=NOW)
+    assert (summary.committed, summary.shards, summary.skipped, summary.failed) == (4, 2, 0, 1)
+    scores = {(r.sample_id, r.rollout_index): r for r in commits.read_committed(store, "scores").collect()}
+    assert {k: r.is_correct for k, r in scores.items()} == {("a", 0): True, ("a", 1): None, ("b", 0): True, ("b", 1): False}
+    details = json.loads(scores["a", 0].score_details_json)
+    assert details["ground_truth"]["answer"] == "B" and details["answer_type"] == "multiple_choice" and len(details["scorer_code_hash"]) == 64 and scores["a", 0].scored_at_utc == NOW
+    assert scores["a", 0].score_shard_id.startswith("a-") and scores["a", 0].score_shard_id == scores["a", 1].score_shard_id
+    assert commits.failures(store).first().message == "missing_example"
+    again = score_run(store, "r", adapter.scorer())
+    assert (again.committed, again.skipped, again.failed) == (0, 4, 1) and commits.read_committed(store, "scores").count() == 4
+
+    def picky(question, truth, kind, text):
+        if "idea" in text:
+            raise ValueError("no answer")
+        return None if "3" in text else {"is_correct": truth in text, "scorer_method": "picky", "length": len(text)}
+
+    other = score_run(store, "r", Scorer("picky", "1", picky))
+    assert (other.committed, other.failed) == (3, 2)
+    mine = {(r.sample_id, r.rollout_index): r for r in commits.read_committed(store, "scores").where("scorer_name = 'picky'").collect()}
+    assert mine["b", 1].scorer_method == "abstain" and mine["b", 1].is_correct is None and json.loads(mine["a", 0].score_details_json)["extra"] == {"length": 9}
+    assert {r.exception_type for r in commits.failures(store).collect()} == {"missing_example", "ValueError"}
+    with pytest.raises(commits.CommitError, match="conflicts"):
+        score_run(store, "r", Scorer("picky", "1", lambda q, t, k, x: None))
+    told = []
+    engine = runs.Engine(lambda run_id: store, lambda name: adapter, on_measurement=told.append)
+    plan = spark.createDataFrame([("r", "mathverse", "complete"), ("q", "mathverse", None)], "run_id string, dataset string, status string")
+    assert engine.score(plan, "r")[0].skipped == 4 and told[0]["run_id"] == "r"
+    with pytest.raises(KeyError):
+        engine.score(plan, "unknown")
+    assert [r.run_id for r in runs.unfinished_runs(plan).collect()] == ["q"]
+    assert commits.verify(store).count() == 0 and commits.verify(store, "scores").count() == 0 and commits.verify(store, "examples").count() == 0
+
+
+def test_sources_refuse(spark, tmp_path):
+    from tessera.sources import adapters
+
+    path = str(tmp_path / "a.parquet")
+    spark.createDataFrame([("x", None, "Q", "1"), ("x", None, "R", "2")], "sample_index string, problem_index string, question string, answer string").coalesce(1).write.parquet(path)
+    with pytest.raises(ValueError, match="repeated"):
+        adapters.adapter("mathverse").examples(spark, path)
+    path = str(tmp_path / "b.parquet")
+    spark.createDataFrame([("x", "Q", "1", (None, "gone.png"))], "sample_index string, question string, answer string, image struct<bytes: binary, path: string>").coalesce(1).write.parquet(path)
+    with pytest.raises(Exception, match="no image"):
+        adapters.adapter("mathverse").examples(spark, path).collect()
+    with pytest.raises(KeyError):
+        adapters.adapter("unknown")
+    with pytest.raises(ValueError):
+        adapters.register(adapters.adapter("mathverse"))
+
+
+def test_image_headers():
+    from tessera.sources.images import size_of
+
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + (7).to_bytes(2, "big") + (9).to_bytes(2, "big") + b"\x03\x01\x11\x00"
+    webp = b"RIFF\x00\x00\x00\x00WEBPVP8X" + b"\x0a\x00\x00\x00\x00\x00\x00\x00" + (4).to_bytes(3, "little") + (5).to_bytes(3, "little")
+    assert [size_of(x) for x in (PNG, b"GIF89a\x05\x00\x06\x00", jpeg, webp, b"abc", b"", None, PNG[:18])] == [(30, 20), (5, 6), (9, 7), (5, 6), None, None, None, None]
+
+
+def test_order_and_plans(spark):
+    from tessera.plans import runs
+
+    rows = spark.createDataFrame([(2, 0), (1, 1), (1, 0), (0, 5)], "ordinal int, rollout_index int")
+    assert [tuple(r) for r in runs.ordered_bundles(rows).collect()] == [(0, 5), (1, 0), (1, 1), (2, 0)]
+    assert [r.ordinal for r in runs.first_examples(rows, 1, "ordinal").collect()] == [0]
+    prompts = spark.createDataFrame([(0, "p"), (1, "q")], "prompt_row int, prompt string")
+    taken = rows.select(F.least(F.col("ordinal"), F.lit(1)).alias("prompt_row"), "rollout_index")
+    assert sorted(r.prompt for r in runs.gathered(taken, prompts).collect()) == ["p", "q", "q", "q"]
+    with pytest.raises(Exception, match="no prompt"):
+        runs.gathered(rows.select(F.col("ordinal").alias("prompt_row")), prompts.limit(1)).collect()
+    cells = spark.createDataFrame([("d", "t", "all", "s")], "dataset string, split string, filter_id string, strategy string")
+    runs.check_plan(cells, cells)
+    with pytest.raises(ValueError):
+        runs.check_plan(cells, cells.limit(0))
+    assert runs.missing_keys({"a"}, {"b", "a", "c"}) == ["b", "c"]
+
+
+def test_stream_retries_add_nothing(spark, tmp_path):
+    from tessera.streaming.scores import score_stream
+
+    schema = "sample_id string, rollout_index int, top_k int, shard_id string, generated_text string"
+    rows = spark.createDataFrame([("a", 0, None, "s", r"\boxed{1}"), ("a", 1, None, "s", "x"), ("b", 0, 5, "t", r"\boxed{2}")], schema)
+    rows.write.parquet(str(tmp_path / "in"))
+    examples = spark.createDataFrame([("a", "q", "1", "freeform"), ("b", "q", "3", "freeform")], "sample_id string, question string, ground_truth string, answer_type string")
+    for k, identity in enumerate((None, ["sample_id", "rollout_index", "top_k"])):
+        for attempt in range(2):  # the second has lost the stream's offsets and meets all rows again
+            score_stream(spark, str(tmp_path / "in"), examples, str(tmp_path / f"out{k}"), str(tmp_path / f"offsets{k}{attempt}"), ["sample_id"], "rules", "1", schema=rows.schema, identity=identity, shard="shard_id").awaitTermination()
+        assert spark.read.parquet(str(tmp_path / f"out{k}")).count() == 3
