@@ -256,6 +256,43 @@ def test_wrapper_inference():
     assert p.repeated and p.text is None and hr.optional and not i.optional and i.text == "same"
 
 
+def pages_of(spark, host, *htmls):
+    rows = [(i, f"http://{host}/{i}", h) for i, h in enumerate(htmls)]
+    return [r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_topics_of_an_article_stay(spark):
+    kept = ['<div class="related-work">Work {0}</div>', '<p class="notice">Notice {0}</p>', '<section class="social-history">History {0}</section>', '<p class="reply">Reply {0}</p>', "<menu><li>Soup {0}<li>Fish {0}</menu>", '<div class="a b c d e f g h">Many {0}</div>']
+    gone = [
+        '<div class="comments"><p>Comment {0}</p></div>', '<div class="comment-list">More {0}</div>', '<p class="notice cookie">Cookies {0}</p>', '<div class="adBox">Buy {0}</div>', '<div class="related-posts"><a href=x>One {0}</a></div>',
+        '<div class="related"><a href=1>A {0}</a><a href=2>B {0}</a><a href=3>C {0}</a></div>', '<p class="notice">All pages say this</p>', '<menu><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Shop</a></menu>', '<form>Mail {0}</form>',
+    ]
+    page = lambda parts, n: "<body><article><h1>Title {0}</h1>".replace("{0}", str(n)) + "".join(p.replace("{0}", f"w{n}") for p in parts) + "<p>End</p></article></body>"
+    for n, text in enumerate(pages_of(spark, "k.example", *[page(kept, n) for n in range(4)])):
+        assert text == f"Title {n}\nWork w{n}\nNotice w{n}\nHistory w{n}\nReply w{n}\nSoup w{n}\nFish w{n}\nMany w{n}\nEnd"
+    for part in gone:
+        assert pages_of(spark, "g.example", *[page([part], n) for n in range(4)]) == [f"Title {n}\nEnd" for n in range(4)], part
+    assert pages_of(spark, "one.example", page(kept, 0)) == ["Title 0\nWork w0\nNotice w0\nHistory w0\nReply w0\nSoup w0\nFish w0\nMany w0\nEnd"]
+    links = "<ul>" + "".join(f"<li><a href={k}>Place {k}</a>" for k in range(6)) + "</ul>"
+    assert pages_of(spark, "bare.example", f"<body>{links}<div><h2>Head</h2><p>{'Some words of the text. ' * 9}</p></div></body>") == ["Head\n" + ("Some words of the text. " * 9).strip()]
+
+
+def test_deep_and_crooked_pages(spark):
+    import time
+
+    start = time.perf_counter()
+    n = 100_000
+    deep = ["<div>" * n + "deep" + "</div>" * n, "<span>" * n + "<p>x</p>" * 50, "<b>" * 2000 + "<li>y</b>" * 2000, "</div>" * n + "z", "<article>" + "<i>" * n + "in" + "</i>" * n + "</article>"]
+    got = pages_of(spark, "deep.example", *deep)
+    assert got[0] == "deep" and got[1].split("\n") == ["x"] * 50 and got[3] == "z" and got[4] == "in" and time.perf_counter() - start < 120
+
+
+def test_expressions_of_hosts(spark):
+    rows = [(i, "http://e.example/", f"<body><h1>T{i}</h1>{'<p>a</p>' * (i + 1)}<i>same</i>{'<hr><em>x</em>' if i else ''}</body>") for i in range(3)]
+    found = wrappers.wrappers(spark.createDataFrame(rows, "page_id long, host string, html string")).first()
+    assert found.expression == "(<body>(<em></em>)?(<h1>#text</h1>)(<hr></hr>)?(<i></i>)(<p></p>)+</body>)" and found.host == "http://e.example/"
+
+
 @pytest.mark.parametrize("n", [9, 40])
 def test_frames_are_on_all_pages_of_a_host(spark, n):
     frame = '<body><div class="top">Menu bar</div><div class="post"><h2>Head {0}</h2><p>{0} body text of this page {0}</p>{1}</div><div class="base">All rights</div>'
