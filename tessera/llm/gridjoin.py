@@ -15,11 +15,13 @@ from tessera.llm.common import connected_components, cut, in_arrow, key_runs
 
 #: Principal dimensions that the grid is laid over.
 AXES = 4
-#: Vectors of the sample (by a hash of vec_id) that the principal dimensions are taken from; they
-#: decide how much is skipped, never what is found.
-SAMPLE = 20_000
-#: Vectors of a block, the leaf of the interval tree.
-BLOCK = 1024
+#: Vectors of the sample (by a hash of vec_id) that the principal dimensions are taken from, and of their
+#: components those that are looked at; they decide how much is skipped, never what is found.
+SAMPLE, COMPONENTS = 20_000, 1024
+#: Vectors of a block, the leaf of the interval tree, and bytes of a block of long vectors.
+BLOCK, BLOCK_BYTES = 1024, 1 << 22
+#: So many consecutive blocks meet so many others in one task, a tile.
+TILE = 8
 #: Intervals joined into one of the next level: a power of two.
 FAN_BITS = 3
 
@@ -27,14 +29,33 @@ BLOCKS = "label long, dim int, task long, seq long, reps array<long>, copies arr
 
 
 def _axes(classes: DataFrame, dim: int) -> np.ndarray:
-    """The leading principal directions of a bounded sample of unit vectors; orthonormal in any case."""
-    n = max(1, classes.count())
-    some = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, SAMPLE / n)))).select("embedding").collect()
-    if len(some) < 2:
+    """The leading principal directions of a bounded sample of unit vectors, from sums of products made by the executors; orthonormal in any case."""
+    n, seen = max(1, classes.count()), min(dim, COMPONENTS)
+    some = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, SAMPLE / n)))).select("embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total, products = 0, np.zeros(seen), np.zeros((seen, seen))
+        for batch in batches:
+            x = _scaled(batch.column(0), dim)
+            x = (x / np.linalg.norm(x, axis=1)[:, None])[:, :seen]
+            count, total, products = count + len(x), total + x.sum(0), products + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([products.tobytes()], pa.binary())], names=["n", "total", "products"])
+
+    rows = some.repartition(8).transform(in_arrow, run, "n long, total binary, products binary").collect()  # eight matrices
+    count = sum(r.n for r in rows)
+    if count < 2:
         return np.eye(dim, min(AXES, dim))
-    x = np.array([r.embedding for r in some], np.float64)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    return np.linalg.eigh(np.cov(x.T).reshape(dim, dim))[1][:, ::-1][:, :AXES]
+    mean = sum(np.frombuffer(r.total) for r in rows) / count
+    covariance = sum(np.frombuffer(r.products).reshape(seen, seen) for r in rows) / count - np.outer(mean, mean)
+    out = np.zeros((dim, min(AXES, seen)))
+    out[:seen] = np.linalg.eigh(covariance)[1][:, ::-1][:, :AXES]
+    return out
+
+
+def _scaled(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors, each times a power of two that brings its largest component to 0.5 to 1, so that no square leaves the doubles."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
 
 
 def _placed(classes: DataFrame, axes: np.ndarray, dim: int, epsilon: float) -> DataFrame:
@@ -43,7 +64,7 @@ def _placed(classes: DataFrame, axes: np.ndarray, dim: int, epsilon: float) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim)
+            data = _scaled(batch.column(3), dim)
             y = np.zeros((batch.num_rows, AXES))
             y[:, :width] = (data / np.linalg.norm(data, axis=1)[:, None]) @ axes
             cells = np.floor(y / epsilon).astype(np.int32)
@@ -59,7 +80,7 @@ def _placed(classes: DataFrame, axes: np.ndarray, dim: int, epsilon: float) -> D
 
 def _blocks(placed: DataFrame, dim: int) -> DataFrame:
     """Consecutive vectors in epsilon grid order, ``BLOCK`` in a row, with their bounding box."""
-    order = ["label", *[f"c{k}" for k in range(AXES)], "rep"]
+    order, size = ["label", *[f"c{k}" for k in range(AXES)], "rep"], max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, dim))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq, held = TaskContext.get().partitionId(), 0, None
@@ -80,15 +101,23 @@ def _blocks(placed: DataFrame, dim: int) -> DataFrame:
             runs = key_runs(held.column("label").to_numpy())
             for a, b in zip(runs[:-1], runs[1:]):
                 last = b == held.num_rows
-                while b - a >= BLOCK or (b > a and not last):
-                    yield block(held.slice(a, min(BLOCK, b - a)))
-                    a += min(BLOCK, b - a)
+                while b - a >= size or (b > a and not last):
+                    yield block(held.slice(a, min(size, b - a)))
+                    a += min(size, b - a)
                 rest = a
             held = held.slice(rest).combine_chunks()
         if held is not None and held.num_rows:
             yield block(held)
 
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).transform(in_arrow, run, BLOCKS)
+    made = cut(placed.repartitionByRange(*order).sortWithinPartitions(*order).transform(in_arrow, run, BLOCKS))
+    # blocks are numbered on from task to task, so that the tree goes over the whole sequence
+    sizes = {r.task: r.n for r in made.groupBy("task").agg(F.max("seq").alias("n")).collect()}  # a row for each task
+    before, shifts = 0, []
+    for task in sorted(sizes):
+        shifts.append((task, before))
+        before += sizes[task] + 1
+    shift = made.sparkSession.createDataFrame(shifts, "task long, _shift long")
+    return made.join(F.broadcast(shift), "task").withColumn("seq", F.col("seq") + F.col("_shift")).drop("_shift", "task")
 
 
 def _near(epsilon: float) -> Column:
@@ -98,23 +127,24 @@ def _near(epsilon: float) -> Column:
 
 
 def _leaf_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """``dim``, ``a``, ``b``: ids of the pairs of blocks that can't be skipped, each pair once.
+    """``dim``, ``a``, ``b``: numbers of the pairs of blocks that can't be skipped, each pair once.
 
-    The sequence of a task's blocks is a tree of intervals. From its roots on, pairs of intervals with
-    distant boxes are dropped and the others are replaced by the pairs of their children, so the work
-    follows the pairs that stay, not all pairs of blocks.
+    The sequence of all blocks is a tree of intervals. From its root on, pairs of intervals with distant
+    boxes are dropped and the others are replaced by the pairs of their children, so the work follows the
+    pairs that stay, not all pairs of blocks. An interval has one row for each label in it.
     """
     boxes = [F.min(f"lo{k}").alias(f"lo{k}") for k in range(AXES)] + [F.max(f"hi{k}").alias(f"hi{k}") for k in range(AXES)]
-    leaves = cut(blocks.select("label", "dim", "task", "seq", *[f"{s}{k}" for k in range(AXES) for s in ("lo", "hi")]))
+    sides = [f"{s}{k}" for k in range(AXES) for s in ("lo", "hi")]
+    leaves = cut(blocks.select("label", "dim", "seq", *sides))
     height = max(0, ((leaves.agg(F.max("seq")).first()[0] or 0).bit_length() + FAN_BITS - 1) // FAN_BITS)
 
     def level(h: int) -> DataFrame:
-        nodes = leaves.groupBy("label", "dim", "task", F.shiftright("seq", FAN_BITS * h).alias("seq")).agg(*boxes) if h else leaves
-        return nodes.select((F.shiftleft("task", 40) + F.col("seq")).alias("id"), (F.shiftleft("task", 40) + F.shiftright("seq", FAN_BITS)).alias("parent"), "label", "dim", *[f"{s}{k}" for k in range(AXES) for s in ("lo", "hi")])
+        nodes = leaves.groupBy("label", "dim", F.shiftright("seq", FAN_BITS * h).alias("seq")).agg(*boxes) if h else leaves
+        return nodes.select(F.col("seq").alias("id"), F.shiftright("seq", FAN_BITS).alias("parent"), "label", "dim", *sides)
 
     same = (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim"))
-    roots = level(height)
-    pairs = roots.alias("a").join(roots.alias("b"), same & (F.col("a.id") <= F.col("b.id")) & _near(epsilon)).select("a.label", "a.dim", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    root = level(height)
+    pairs = root.select("label", "dim", F.col("id").alias("a"), F.col("id").alias("b"))
     for h in reversed(range(height)):
         nodes = level(h)
         first = pairs.select("label", "dim", F.col("a").alias("pa"), F.col("b").alias("pb")).alias("p")
@@ -124,42 +154,73 @@ def _leaf_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     return pairs.select("dim", "a", "b")
 
 
+def _tiles(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (dim, ta, tb, id, pairs, reps, copies, data), dealt and sorted by the first four: first a tile's pairs of blocks, then its blocks.
+
+    A tile has the pairs of ``TILE`` consecutive blocks with ``TILE`` others, and each block travels once
+    for each tile that it is in, not for each pair.
+    """
+    tiled = cut(pairs.withColumn("ta", F.floor(F.col("a") / TILE)).withColumn("tb", F.floor(F.col("b") / TILE)))
+    lists = tiled.groupBy("dim", "ta", "tb").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("pairs"))  # twice TILE * TILE numbers at most
+    members = tiled.select("dim", "ta", "tb", F.explode(F.array("a", "b")).alias("id")).distinct()
+    whole = members.join(blocks.select("dim", F.col("seq").alias("id"), "reps", "copies", "data"), ["dim", "id"])
+    none = lambda t: F.lit(None).cast(t)
+    rows = whole.select("dim", "ta", "tb", "id", none("array<long>").alias("pairs"), "reps", "copies", "data").unionByName(
+        lists.select("dim", "ta", "tb", F.lit(-1).cast("long").alias("id"), "pairs", none("array<long>").alias("reps"), none("array<long>").alias("copies"), none("binary").alias("data"))
+    )
+    return rows.repartition("dim", "ta", "tb").sortWithinPartitions("dim", "ta", "tb", "id")
+
+
 def _compare(cosine: float):
-    """Links between two blocks, or within one: for each vector their number, and a forest of them."""
+    """Links between the blocks of each tile's pairs, or within one: for each vector their number, and a forest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[tuple[int, int]] = []
+        held: dict[int, tuple] = {}  # the blocks of the tile so far
         for batch in batches:
             for i in range(batch.num_rows):
-                a_id, b_id, dim, ra, ca, da, rb, cb, db = (batch.column(k)[i] for k in range(9))
-                dim, alone = dim.as_py(), a_id.as_py() == b_id.as_py()
-                a, b = (np.frombuffer(d.as_py(), np.float64).reshape(-1, dim) for d in (da, db))
-                ra, rb, ca, cb = (np.array(x.as_py(), np.int64) for x in (ra, rb, ca, cb))
-                near = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]) >= cosine
-                if alone:
-                    np.fill_diagonal(near, False)
-                if not near.any():
+                dim, number = batch.column(0)[i].as_py(), batch.column(3)[i].as_py()
+                if number < 0:
+                    listed = batch.column(4)[i].as_py()
+                    pairs, held = list(zip(listed[::2], listed[1::2])), {}
                     continue
-                rows, columns = near.any(1), near.any(0)
-                # least rep over the links, until nothing changes
-                of_a, of_b, before = ra.copy(), rb.copy(), -1
-                top = np.iinfo(np.int64).max
-                while (now := int(of_a[rows].sum(dtype=np.float64))) != before:
-                    before = now
-                    of_b = np.minimum(of_b, np.where(near, of_a[:, None], top).min(0))
-                    of_a = np.minimum(of_a, np.where(near, of_b[None, :], top).min(1))
-                    if alone:
-                        of_a = of_b = np.minimum(of_a, of_b)
-                links = [near @ cb] if alone else [near @ cb, ca @ near]
-                sides = [(ra, rows, of_a)] if alone else [(ra, rows, of_a), (rb, columns, of_b)]
-                reps = np.concatenate([r[m] for r, m, _ in sides])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(reps), pa.array(np.concatenate([o[m] for _, m, o in sides])), pa.array(np.concatenate([n[m] for n, (_, m, _) in zip(links, sides)]), pa.int64())],
-                    names=["a", "b", "n"],
-                )
+                reps, copies = (np.array(batch.column(c)[i].as_py(), np.int64) for c in (5, 6))
+                x = np.frombuffer(batch.column(7)[i].as_py(), np.float64).reshape(-1, dim)
+                held[number] = (reps, copies, x, np.linalg.norm(x, axis=1))
+                # a pair is compared when its later block has come
+                for a, b in pairs:
+                    if b == number:
+                        yield from _links(held[a], held[b], a == b, cosine)
 
     return run
 
 
+def _links(left: tuple, right: tuple, alone: bool, cosine: float) -> Iterator[pa.RecordBatch]:
+    (ra, ca, a, na), (rb, cb, b, nb) = left, right
+    near = (a @ b.T) / (na[:, None] * nb[None, :]) >= cosine
+    if alone:
+        np.fill_diagonal(near, False)
+    if not near.any():
+        return
+    rows, columns = near.any(1), near.any(0)
+    # least rep over the links, until nothing changes
+    of_a, of_b, before = ra.copy(), rb.copy(), -1
+    top = np.iinfo(np.int64).max
+    while (now := int(of_a[rows].sum(dtype=np.float64))) != before:
+        before = now
+        of_b = np.minimum(of_b, np.where(near, of_a[:, None], top).min(0))
+        of_a = np.minimum(of_a, np.where(near, of_b[None, :], top).min(1))
+        if alone:
+            of_a = of_b = np.minimum(of_a, of_b)
+    links = [near @ cb] if alone else [near @ cb, ca @ near]
+    sides = [(ra, rows, of_a)] if alone else [(ra, rows, of_a), (rb, columns, of_b)]
+    reps = np.concatenate([r[m] for r, m, _ in sides])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(reps), pa.array(np.concatenate([o[m] for _, m, o in sides])), pa.array(np.concatenate([n[m] for n, (_, m, _) in zip(links, sides)]), pa.int64())],
+        names=["a", "b", "n"],
+    )
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vec_id, embedding, label``.
 
@@ -180,17 +241,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     rows = rows.withColumn("sound", sound).withColumn("key", F.when(F.col("sound"), F.xxhash64("label", "embedding")))
     classes = cut(rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding")))
     blocks = None
-    for dim in sorted(r.dim for r in classes.select("dim").distinct().limit(1000).collect()):
+    for at, dim in enumerate(sorted(r.dim for r in classes.select("dim").distinct().collect()), 1):
         part = cut(_blocks(_placed(classes, _axes(classes, dim), dim, max(epsilon, 1e-6)), dim))
         blocks = part if blocks is None else blocks.unionByName(part)
+        if at % 8 == 0:
+            blocks = cut(blocks)
     singles = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if blocks is None:
         return singles
-    whole = blocks.select((F.shiftleft("task", 40) + F.col("seq")).alias("id"), "dim", "reps", "copies", "data")
-    pairs = _leaf_pairs(blocks, epsilon).alias("p")
-    joined = pairs.join(whole.alias("a"), (F.col("p.a") == F.col("a.id")) & (F.col("p.dim") == F.col("a.dim"))).join(whole.alias("b"), (F.col("p.b") == F.col("b.id")) & (F.col("p.dim") == F.col("b.dim")))
-    compared = joined.select("p.a", "p.b", "a.dim", "a.reps", "a.copies", "a.data", "b.reps", "b.copies", "b.data").toDF("a", "b", "dim", "ra", "ca", "da", "rb", "cb", "db")
-    found = cut(compared.transform(in_arrow, _compare(cosine), "a long, b long, n long"))
+    found = cut(_tiles(_leaf_pairs(blocks, epsilon), blocks).transform(in_arrow, _compare(cosine), "a long, b long, n long"))
     parts = connected_components(found.select("a", "b")).select(F.col("node").alias("rep"), "component")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     named = classes.select("label", "embedding", "rep", "copies", F.xxhash64("label", "embedding").alias("key")).join(parts, "rep", "left").join(counts, "rep", "left")

@@ -96,13 +96,14 @@ def linked(ids, x, labels, cosine=0.93):
         comp = new
 
 
-@pytest.mark.parametrize("block", [4, 1024])
-def test_grid_join_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,tile", [(4, 2), (4, 8), (1024, 8)])
+def test_grid_join_against_brute_force(spark, monkeypatch, block, tile):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 6))
     x = np.concatenate([centres[rng.integers(0, 30, 250)] + rng.normal(size=(250, 6)) * 0.15, np.repeat(centres[:1], 40, 0), 3 * centres[:5]]).astype(np.float32)
     ids, labels = rng.permutation(len(x)) + 5, rng.integers(0, 2, len(x))
     monkeypatch.setattr(gridjoin, "BLOCK", block)
+    monkeypatch.setattr(gridjoin, "TILE", tile)
     got = gridjoin.near_duplicates(table(spark, ids, x, labels))
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()} == linked(ids, x.astype(np.float64), labels)
 
@@ -115,6 +116,12 @@ def test_grid_join_edges(spark):
     assert gridjoin.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_vectors_of_any_size_link(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e-200, 1e-200], 0), (3, [5e-324, 5e-324], 0), (4, [1.7e308, 0.0], 0), (5, [1.0, 1e-9], 0), (6, [0.0, 1.0], 0)] + [(10 + k, [1.0] * (k + 1), 0) for k in range(2, 14)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in gridjoin.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)} | {10 + k: (0, 10 + k) for k in range(2, 14)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, int(j)) for j in rng.integers(101, 200, 150)] + [(5, 5), (7, None)]
