@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.schema import KEYS, ROLLOUT_KEY, SCORE_KEY, TOKEN_KEY, TOKEN_TABLES
@@ -123,6 +123,11 @@ def check_transition(now: str, then: str) -> None:
         raise ValueError(f"{now} is not followed by {then}")
 
 
+def may_follow(now: Column, then: Column) -> Column:
+    """Whether a status may follow another."""
+    return F.coalesce(F.array_contains(F.array(*[F.lit("\n".join(t)) for t in sorted(TRANSITIONS)]), F.concat(now, F.lit("\n"), then)), F.lit(False))
+
+
 def completed_prompts(df: DataFrame, sample: str, index: str, n: int) -> DataFrame:
     """Samples with at least ``n`` different rollouts."""
     return df.groupBy(sample).agg(F.countDistinct(index).alias("n_rollouts")).where(F.col("n_rollouts") >= n)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,10 +104,11 @@ def prob_exploded(spark, sf_dir):
     return rounded(probability.exploded(_logits(spark, sf_dir), ["vec_id"]), ["vec_id"], EXPLODED)
 
 
-@query("SELECT vec_id, label BETWEEN 0 AND 5 AS metrics_valid, CASE WHEN label NOT BETWEEN 0 AND 5 THEN 'invalid_probability_logits' END AS invalid_reason FROM embeddings")
+@query("SELECT vec_id, label BETWEEN 1 AND 7 AS metrics_valid, CASE WHEN label NOT BETWEEN 1 AND 7 THEN 'invalid_probability_logits' END AS invalid_reason FROM embeddings")
 def prob_validity(spark, sf_dir):
-    cut = _logits(spark, sf_dir).withColumn("logits", F.slice("logits", 1, 6))
-    return probability.native(cut, metrics=()).select("vec_id", "metrics_valid", "invalid_reason")
+    """Whole vectors of 64; a selected index of -1, or of 64 and more, is none of theirs."""
+    picked = F.when(F.col("selected") == 0, -1).otherwise(F.col("selected") * 8)
+    return probability.native(_logits(spark, sf_dir).withColumn("selected", picked), metrics=()).select("vec_id", "metrics_valid", "invalid_reason")
 
 
 # ---- attention -----------------------------------------------------------------------------------
@@ -464,16 +464,16 @@ def predictor_alignment(spark, sf_dir):
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT item_id, text || chr(10) || 'A. ' || text[1:5] || chr(10) || 'B. ' || CAST(item_id AS VARCHAR) AS asked, text || chr(10) || chr(10) || 'Think step by step inside <think> </think> tags, then give your final answer inside \\boxed{}.' AS prompt FROM benchmark".replace("\\\\", "\\"))
+@query("SELECT item_id, text || chr(10) || 'A. ' || text || chr(10) || 'B. ' || CAST(item_id AS VARCHAR) AS asked, text || chr(10) || chr(10) || 'Think step by step inside <think> </think> tags, then give your final answer inside \\boxed{}.' AS prompt FROM benchmark".replace("\\\\", "\\"))
 def rendered_prompts(spark, sf_dir):
     rows = read_table(spark, sf_dir, "benchmark")
-    options = F.array(F.substring("text", 1, 5), F.col("item_id").cast("string"))
+    options = F.array(F.col("text"), F.col("item_id").cast("string"))
     return rows.select("item_id", T.with_choices(F.col("text"), options).alias("asked"), T.render_question(F.col("text")).alias("prompt"))
 
 
-@query("""SELECT item_id, [text[1:10], '#1', ' and ', '<image 1>', '#2'] AS parts FROM benchmark""")
+@query("""SELECT item_id, [text, '#1', ' and ', '<image 1>', '#2'] AS parts FROM benchmark""")
 def image_placeholders(spark, sf_dir):
-    text = F.concat(F.substring("text", 1, 10), F.lit("<image 1> and <image 1>"))
+    text = F.concat("text", F.lit("<image 1> and <image 1>"))
     parts = T.image_parts(text, F.array(F.lit(1), F.lit(2)))
     return read_table(spark, sf_dir, "benchmark").select("item_id", F.transform(parts, lambda p: F.coalesce(p["text"], F.concat(F.lit("#"), p["number"].cast("string")))).alias("parts"))
 
@@ -508,9 +508,9 @@ def boxed_extract(spark, sf_dir):
 
 
 def _generated() -> Column:
-    """By turn: a boxed letter behind another box, a boxed fraction, an unclosed box, a plain sentence."""
+    """Behind the whole text, by turn: a boxed letter behind another box, a boxed fraction, an unclosed box, a plain sentence."""
     letter = F.char(65 + (F.col("conv_id") % 5).cast("int"))
-    head = F.concat(F.regexp_replace(F.substring("text", 1, 40), r"\n", " "), F.lit("\n"))
+    head = F.concat("text", F.lit("\n"))
     kind = F.col("turn") % 4
     return F.concat(
         head,
@@ -573,9 +573,9 @@ def last_lines(spark, sf_dir):
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", T.last_line(F.col("text")).alias("last_line"))
 
 
-@query("SELECT item_id, ['A', 'B', 'C'] AS letters, [trim(text[1:4]), 'two', 'three' || chr(10) || 'more'] AS texts FROM benchmark")
+@query("SELECT item_id, ['A', 'B', 'C'] AS letters, [trim(replace(text, chr(10), ' ')), 'two', 'three' || chr(10) || 'more'] AS texts FROM benchmark")
 def parsed_choices(spark, sf_dir):
-    question = F.concat(F.lit("Pick one.\n(A) "), F.substring("text", 1, 4), F.lit("\n B. two \nC) three\nmore\n"))
+    question = F.concat(F.lit("Pick one.\n(A) "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n B. two \nC) three\nmore\n"))
     rows = read_table(spark, sf_dir, "benchmark").select("item_id", T.choices(question).alias("c"))
     return rows.select("item_id", F.transform("c", lambda c: c["key"]).alias("letters"), F.transform("c", lambda c: c["value"]).alias("texts"))
 

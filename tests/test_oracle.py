@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tessera import stored_queries  # noqa: F401  (registers its queries)
 from tessera.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
