@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -89,32 +90,67 @@ def _native_metrics() -> dict[str, Column]:
     return {k: F.when(F.col("_ok"), v) for k, v in made.items()}
 
 
+#: Logits of a block of the kernel, which stay in a core's cache; up to so many a row, whole rows are sorted.
+BLOCK, SORTED = 1 << 18, 4096
+
+
 def kernel(z: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
-    """All metrics of valid rows of logits of one length."""
+    """All metrics of valid rows of logits of one length, some rows at a time."""
+    step = max(1, BLOCK // z.shape[1])
+    parts = [_kernel(z[a : a + step], j[a : a + step]) for a in range(0, len(z), step)]
+    return {m: np.concatenate([p[m] for p in parts]) for m in parts[0]}
+
+
+def _reached(p: np.ndarray) -> dict[str, np.ndarray]:
+    """How many of the greatest rates together reach each nucleus; all of them where rounding keeps the sum below it.
+
+    In a long row only rates from 1 % of the uniform one on are sorted: all others together have less than
+    1 %, so the greatest nucleus is reached without them. Where rounding spoils that, the whole row is.
+    """
+    n = p.shape[1]
+    if n <= SORTED:
+        c = np.cumsum(-np.sort(-p, axis=1), axis=1)
+        return {k: np.where((c >= q).any(1), (c >= q).argmax(1) + 1, n) for k, q in NUCLEI.items()}
+    out = {k: np.empty(len(p), np.int64) for k in NUCLEI}
+    for i, row in enumerate(p):
+        c = np.cumsum(np.sort(row[row >= (1 - max(NUCLEI.values())) / n])[::-1])
+        if not len(c) or c[-1] < max(NUCLEI.values()):
+            c = np.cumsum(np.sort(row)[::-1])
+        for k, q in NUCLEI.items():
+            out[k][i] = min(np.searchsorted(c, q) + 1, n)
+    return out
+
+
+def _kernel(z: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
     with np.errstate(divide="ignore", invalid="ignore"):
         n, rows = z.shape[1], np.arange(len(z))
-        top = z.max(1, keepdims=True)
-        lp = z - top - np.log(np.exp(z - top).sum(1, keepdims=True))
-        p = np.exp(lp)
-        finite = np.where(p > 0, lp, 0.0)
-        slp = -np.sort(-lp, axis=1)
+        lp = z - z.max(1, keepdims=True)
+        e = np.exp(lp)  # rates relative to the greatest
+        sums = e.sum(1, keepdims=True)
+        lp -= np.log(sums)
+        p = e / sums
+        most = min(max(MASSES), n)
+        slp = -np.sort(-(np.partition(lp, n - most, axis=1)[:, n - most :] if most < n else lp), axis=1)
         s = np.exp(slp)
         c = np.cumsum(s, axis=1)
+        finite = lp if np.isfinite(lp.min()) else np.where(p > 0, lp, 0.0)
         h, u, l = (p * finite).sum(1), -math.log(n), lp[rows, j]
-        rank = 1 + (lp > l[:, None]).sum(1)
-        rest = lp.copy()
-        rest[rows, j] = -np.inf
-        renyi = lambda a: (a * slp[:, 0] + np.log(np.exp(a * (lp - slp[:, :1])).sum(1))) / (a - 1)
-        mix = np.logaddexp(lp, u) - math.log(2)
-        js = ((p * np.where(p > 0, finite - mix, 0.0)).sum(1) + ((u - mix) / n).sum(1)) / 2
+        rank = 1 + np.count_nonzero(lp > l[:, None], axis=1)
+        powers = {0.5: np.sqrt(e).sum(1)}
+        e *= e
+        powers[2.0] = e.sum(1)
+        e *= e
+        powers[4.0] = e.sum(1)
+        renyi = lambda a: (a * slp[:, 0] + np.log(powers[a])) / (a - 1)
+        mix = np.log(p + 1 / n) - math.log(2)
+        js = ((p * (finite - mix)).sum(1) + (u - mix).sum(1) / n) / 2
         mass = {k: c[:, min(k, n) - 1] for k in MASSES}
-        reached = {k: np.where((c >= q).any(1), (c >= q).argmax(1) + 1, n) for k, q in NUCLEI.items()}
         return {
             "logp": l, "kl_u_p": u - lp.mean(1), "kl_p_u": -u + h, "gini": (p * p).sum(1), "entropy": h, "dist_perplexity": -np.exp(-h), "inverse_perplexity": np.exp(h), "max_prob": s[:, 0],
-            "margin_top2": s[:, 0] - s[:, 1], "log_ratio_margin_top2": slp[:, 0] - slp[:, 1], "selected_dominance": l - rest.max(1), "selected_logrank": -np.log(rank),
+            "margin_top2": s[:, 0] - s[:, 1], "log_ratio_margin_top2": slp[:, 0] - slp[:, 1], "selected_dominance": l - np.where(l == slp[:, 0], slp[:, 1], slp[:, 0]), "selected_logrank": -np.log(rank),
             **{f"topk_mass_{k}": m for k, m in mass.items()}, **{f"tail_mass_{k}": m - 1 for k, m in mass.items()}, "norm_entropy_concentration": 1 + h / math.log(n),
             "renyi_entropy_0p5": renyi(0.5), "renyi_entropy_1": h, "renyi_entropy_2": renyi(2.0), "renyi_entropy_4": renyi(4.0), "renyi_entropy_inf": slp[:, 0],
-            "js_p_u": np.sqrt(np.maximum(js, 0)), "selected_rank": -rank, **{f"nucleus_size_{k}": -r for k, r in reached.items()},
+            "js_p_u": np.sqrt(np.maximum(js, 0)), "selected_rank": -rank, **{f"nucleus_size_{k}": -r for k, r in _reached(p).items()},
         }
 
 
@@ -130,25 +166,27 @@ def arrow(df: DataFrame, logits: str = "logits", selected: str = "selected") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            longest = max((len(x) for x in whole.column(0) if x.is_valid), default=1)
+            longest = int(np.diff(whole.column(0).offsets.to_numpy()).max(initial=1))
             step = max(1, CELLS // max(longest, 1))
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                lists, picks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                groups: dict[int, list[int]] = {}
-                for i, (z, j) in enumerate(zip(lists, picks)):
-                    if z is not None and len(z) >= 2 and j is not None and 0 <= j < len(z) and None not in z:
-                        groups.setdefault(len(z), []).append(i)
+                lists, begins = batch.column(0), batch.column(0).offsets.to_numpy()
+                values, lengths = lists.values.to_numpy(zero_copy_only=False), np.diff(begins)  # nulls are NaN
+                picks = pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False)
+                sound = lists.is_valid().to_numpy(zero_copy_only=False) & (lengths >= 2) & (picks >= 0) & (picks < lengths)
                 valid = np.zeros(batch.num_rows, bool)
                 out = {m: np.zeros(batch.num_rows) for m in PROBABILITY_METRICS}
-                for n, which in groups.items():
-                    z, index = np.array([lists[i] for i in which], np.float64).reshape(-1, n), np.array(which)
-                    ok = ~np.isnan(z).any(1) & (z < np.inf).all(1) & (z > -np.inf).any(1)
-                    z, index = z[ok], index[ok]
+                for n in np.unique(lengths[sound]).tolist():
+                    index = np.flatnonzero(sound & (lengths == n))
+                    whole_rows = len(index) == batch.num_rows
+                    z = values[begins[0] : begins[-1]].reshape(-1, n) if whole_rows else values[begins[index][:, None] + np.arange(n)]
+                    low, high = z.min(1), z.max(1)  # NaN if there is one
+                    ok = (high < np.inf) & (high > -np.inf) & ~np.isnan(low)
+                    z, index = (z, index) if ok.all() else (z[ok], index[ok])
                     valid[index] = True
                     if len(index):
-                        for m, values in kernel(z, np.array([picks[i] for i in index])).items():
-                            out[m][index] = values
+                        for m, found in kernel(z, picks[index]).items():
+                            out[m][index] = found
                 made = [pa.array(out[m], mask=~valid) for m in PROBABILITY_FLOATS] + [pa.array(out[m].astype(np.int32), mask=~valid) for m in PROBABILITY_INTEGERS]
                 reasons = pa.array([None if v else REASON for v in valid], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(valid), reasons, *made], names=[f.name for f in fields])
