@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     if whole.scores:
         # the curve is fitted on documents that the tokens' scores weren't learned from
         _calibrate(rest, train.where("aside").select("toxic", "text"))
-        whole.scale, whole.slope, whole.length, whole.shift = rest.scale, rest.slope, rest.length, rest.shift
+        whole.decay, whole.scale, whole.slope, whole.length, whole.shift = rest.decay, rest.scale, rest.slope, rest.length, rest.shift
     return whole
 
 
@@ -245,6 +245,9 @@ def _model(kept: dict[str, tuple[int, int]], toxic: int, clean: int, words: tupl
     told = [sum(kept[t][k] for t in model.scores if t.endswith(" ")) for k in (0, 1)]
     rates = [min(told[k] / (words[k] + 1), 0.5) for k in (0, 1)]
     model.other = min(math.log((1 - rates[0]) / (1 - rates[1])), -0.002)
+    told = [t for t in model.scores if t.endswith(" ")]
+    clean = np.array([kept[t][1] / (words[1] + 1) for t in told])
+    model.decay = decay_of(np.append(clean, 1 - clean.sum()), np.array([model.scores[t] for t in told] + [model.other]))
     return model
 
 
@@ -282,6 +285,24 @@ def _calibrate(model: Model, train: DataFrame) -> None:
     model.slope, model.length, model.shift = _logistic(np.log1p(x), np.log1p(n), y)
 
 
+def decay_of(rates: np.ndarray, scores: np.ndarray) -> float:
+    """Lambda of the extreme-value law: where the mean of exp(lambda s) over a clean text's words is 1 (Karlin and Altschul, 1990).
+
+    ``rates`` are those of the scored words and of all others together, which add up to 1. It is 1 for
+    scores that are the log-odds of the rates, and another for scores that are pooled, drawn and clipped.
+    Without scores on either side of 0 or with a mean that isn't below it there is no such law, and 1 is given.
+    """
+    if not len(scores) or scores.max() <= 0 or float(rates @ scores) >= 0:
+        return 1.0
+    low, high = 1e-3, 1e-3
+    while float(rates @ np.exp(high * scores)) < 1 and high < 64:
+        low, high = high, high * 2
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if float(rates @ np.exp(middle * scores)) < 1 else (low, middle)
+    return (low + high) / 2
+
+
 def _logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Coefficients of the evidence (not negative) and of the length, which moves the law of the evidence, and the shift.
 
@@ -332,8 +353,11 @@ def score(docs: DataFrame, model: Model, passages: bool = False, columns: list[s
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document, by a model of the labels that aren't held out.
+    """``doc_id, held_out, score, predicted, n_passages`` of every document, by a model of the labels that aren't held out.
+
+    ``n_passages`` counts the significant passages, which :func:`score` gives with their places.
 
     Repeated rows are scored each for itself; no documents give no rows; a null doc_id isn't held out.
     """
-    return score(docs, fit(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(docs, fit(docs, labels), passages=True)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
