@@ -135,7 +135,8 @@ def links(classes: DataFrame) -> DataFrame:
     in the same block are left out.
     """
     rows = classes.select("fp").transform(in_arrow, _table_and_probes, "key long, probe boolean, fp long")
-    entries = classes.select("fp").transform(in_arrow, _table_and_probes, "key long, probe boolean, fp long").where("not probe")
+    segment = lambda k, low, width: F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(k << 32))
+    entries = classes.select(F.explode(F.array(*[segment(k, low, width) for k, (low, width, _) in enumerate(SEGMENTS)])).alias("key"))
     hot = cut(entries.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     small = hot.count() <= BROADCAST_ENTRIES
     rows = rows.join(F.broadcast(hot) if small else hot, "key", "left")
