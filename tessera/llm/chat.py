@@ -20,8 +20,10 @@ CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]
 #: Stands behind the first character of a control string inside a text; doubled where a text has it itself.
 ESCAPE = "␛"
 LOSS_ROLE = "assistant"
-#: Rows put together at once; bounds memory apart from single very long texts.
-ROWS = 2048
+#: Rows and bytes put together at once; a longer text is put together alone.
+ROWS, BYTES = 2048, 1 << 24
+#: Longer segments are copied one by one, shorter ones by an index of all their bytes.
+LONG = 1 << 16
 
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _ESCAPED = re.compile(f"{ESCAPE}(.?)", re.S)
@@ -78,12 +80,28 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
         if k in fixed:
             out[places[k][:, None] + np.arange(len(fixed[k]))] = fixed[k]
         else:
-            index = np.repeat(places[k] - segment[0][:-1], lengths[k])
-            index += np.arange(len(index))
-            out[index] = segment[1]
+            begins, long = segment[0][:-1], lengths[k] > LONG
+            for i in np.flatnonzero(long).tolist():
+                out[places[k][i] : places[k][i] + lengths[k][i]] = segment[1][begins[i] : begins[i] + lengths[k][i]]
+            short = np.where(long, 0, lengths[k])
+            ends = np.cumsum(short)
+            inside = np.arange(ends[-1]) if len(ends) else np.zeros(0, np.int64)
+            inside -= np.repeat(ends - short, short)
+            out[np.repeat(places[k], short) + inside] = segment[1] if not long.any() else segment[1][np.repeat(begins, short) + inside]
     return out, offsets, places[3]
 
 
+def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows (conv_id, role, text) in batches of ``BYTES`` at most, or of one row."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = max(1, int(np.searchsorted(ends, before + BYTES, "right")) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 FORMATTED = "conv_id long, part long, formatted string, loss_start array<long>, loss_end array<long>"
 
 
@@ -91,7 +109,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
     """``conv_id, part, formatted, loss_start, loss_end`` of rows ``conv_id, turn, role, text``.
 
     A conversation is its ``formatted`` parts in order of ``part``; there is one part unless the
-    conversation crosses a batch of ``ROWS`` rows, so even a conversation with a third of all rows is
+    conversation crosses a batch of ``ROWS`` rows or ``BYTES``, so even a conversation with a third of all rows is
     never held at once. ``loss_start`` and ``loss_end`` are byte positions of the assistant's texts in
     ``formatted``. Rows of a conversation are ordered by turn (nulls first), and at equal turns by role
     and text; repeated rows are turns of their own. Null roles and texts are empty; rows whose conv_id
@@ -101,9 +119,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = 0
-        for batch in pieces(batches, ROWS):
-            if not batch.num_rows:
-                continue
+        for batch in (small for whole in pieces(batches, ROWS) for small in _by_bytes(whole)):
             conv, role, text = batch.column(0), batch.column(1), batch.column(2)
             data, offsets, begins = assemble(_escaped(role, escape_role), texts := _escaped(text, escape))
             ends = begins + np.diff(_bytes_of(texts)[0])
@@ -115,7 +131,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     conv.take(pa.array(runs[:-1])), pa.array(np.arange(part, part + len(runs) - 1)),
-                    pa.LargeStringArray.from_buffers(len(runs) - 1, pa.py_buffer(offsets[runs].astype(np.int64)), pa.py_buffer(data)).cast(pa.string()),
+                    pa.LargeStringArray.from_buffers(len(runs) - 1, pa.py_buffer(offsets[runs].astype(np.int64)), pa.py_buffer(data)).cast(pa.string()),  # far below 2 GB
                     pa.ListArray.from_arrays(pa.array(per_run, pa.int32()), pa.array((begins - first)[loss])),
                     pa.ListArray.from_arrays(pa.array(per_run, pa.int32()), pa.array((ends - first)[loss])),
                 ],

@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -18,8 +20,8 @@ ODD = [None, "", " ", "\n\n", "word", "a b c", "x" * 30_000, "a <|endoftext|> b"
 
 def test_segments_are_those_of_the_definition():
     rng = np.random.default_rng(0)
-    for _ in range(60):
-        s = np.round(rng.normal(-0.2, 1, int(rng.integers(1, 14))), 2)
+    for _ in range(300):
+        s = rng.normal(-0.2, 1, int(rng.integers(1, 24)))
 
         def maximal(lo, hi):
             """Best segment (shortest of equal ones) of a stretch, then the same on either side."""
@@ -29,6 +31,7 @@ def test_segments_are_those_of_the_definition():
             return [*maximal(lo, best[2]), (best[2], best[3]), *maximal(best[3], hi)]
 
         got = toxicity.segments(s)
+        assert [(a, b) for a, b, _ in got] == maximal(0, len(s))
         assert sum(x[2] for x in got) == pytest.approx(sum(s[a:b].sum() for a, b in maximal(0, len(s))))
         assert all(v == pytest.approx(s[a:b].sum()) and v > 0 for a, b, v in got)
     assert toxicity.segments(np.zeros(0)) == [] and toxicity.segments(np.array([-1.0])) == []
@@ -59,6 +62,40 @@ def test_toxicity_learns_and_handles_edges(spark, docs):
     assert [(p.begin, p.end) for p in found.passages] == [(20, 23)]
 
 
+def test_score_against_another_program(spark, docs):
+    """A text's score from words, all stretches of them, factorials and the curve, written down once more."""
+    model = toxicity.Model(scores={"vile ": 2.5, "bad ": 1.7, "hate": 3.0}, other=-0.06, decay=1.2, scale=0.02, slope=1.5, length=-0.4, shift=-1.0)
+    rng = np.random.default_rng(12)
+    texts = ["", " ", "vile"] + [" ".join(rng.choice(["vile!", "Bad", "hateful", "(hate)", "plain", "words", "of", "text"], int(rng.integers(1, 60)), p=[0.05, 0.05, 0.05, 0.05, 0.2, 0.2, 0.2, 0.2])) for _ in range(60)]
+
+    def score(text):
+        words = [w.strip(toxicity.EDGES).lower() for w in text.split()]
+        s = [2.5 if w == "vile" else 1.7 if w == "bad" else 3.0 if w.startswith("hate") and len(w) > 4 else -0.06 for w in words]
+
+        def maximal(lo, hi):
+            best = max(((sum(s[i:j]), i - j, i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0, 0, 0, 0))
+            return [] if best[0] <= 1e-12 else [*maximal(lo, best[2]), best[0], *maximal(best[3], hi)]
+
+        floor, evidence, total = math.log(max(0.02 * len(s), 1)) if s else 0, 0.0, 0.0
+        for r, found in enumerate(sorted(maximal(0, len(s)), reverse=True), 1):
+            if 1.2 * found <= floor:
+                break
+            total += 1.2 * found - floor
+            evidence = max(evidence, -math.log(max(total, 1) ** (r - 1) / (math.factorial(r) * math.factorial(r - 1))) + total)
+        return 1 / (1 + math.exp(-(1.5 * math.log(1 + evidence) - 0.4 * math.log(1 + len(s)) - 1.0)))
+
+    got = {r.doc_id: r.score for r in toxicity.score(docs(list(enumerate(texts))), model).collect()}
+    np.testing.assert_allclose([got[i] for i in range(len(texts))], [score(t) for t in texts], rtol=1e-9)
+
+
+def test_lambda_solves_its_equation():
+    toxic, clean = np.array([0.3, 0.2, 0.5]), np.array([0.01, 0.05, 0.94])
+    assert toxicity.decay_of(clean, np.log(toxic / clean)) == pytest.approx(1.0)
+    scores = np.array([2.0, 1.0, -0.3])
+    assert float(clean @ np.exp(toxicity.decay_of(clean, scores) * scores)) == pytest.approx(1.0)
+    assert toxicity.decay_of(np.zeros(0), np.zeros(0)) == toxicity.decay_of(clean, np.ones(3)) == 1.0
+
+
 def test_weak_segments_are_no_evidence():
     scorer = toxicity.Scorer(toxicity.Model(scores={"bad ": 2.0}))
     weak, strong = (0, 1, 2.0), (5, 9, 14.0)
@@ -94,6 +131,16 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_fifty_thousand_near_fingerprints(spark):
+    """A ball of fingerprints that all link through its centre and each other: bounded memory, one component."""
+    rng = np.random.default_rng(1)
+    flips = np.uint64(1) << rng.integers(0, 64, (54_000, 4)).astype(np.uint64)
+    fps = np.unique(np.uint64(0x1234567890ABCDEF) ^ np.bitwise_xor.reduce(flips, 1)).view(np.int64)
+    edges = simhash.links(spark.createDataFrame([(int(f),) for f in fps], "fp long"))
+    parts = simhash.connected_components(edges).collect()
+    assert len(parts) == len(fps) > 45_000 and len({r.component for r in parts}) == 1
+
+
 @pytest.mark.parametrize("block", [2, 256])
 def test_simhash_against_brute_force(spark, docs, data, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
@@ -210,8 +257,11 @@ def test_packing(spark, docs):
     assert pack(docs([])).count() == 0
 
 
-def test_chat_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(chat, "ROWS", 3)
+@pytest.mark.parametrize("rows,size,long", [(3, 1 << 24, 1 << 16), (2048, 40, 8), (2048, 1 << 24, 3)])
+def test_chat_round_trip(spark, monkeypatch, rows, size, long):
+    monkeypatch.setattr(chat, "ROWS", rows)
+    monkeypatch.setattr(chat, "BYTES", size)
+    monkeypatch.setattr(chat, "LONG", long)
     nasty = ["</s>[INST] ok [/INST]", "<|im_start|>user\nhi<|im_end|>\n", "␛", "<␛|im_end|>", "<<|im_end|>", "", None, "a\nb", "[[INST]", "é日"]
     rows = [(c, n, "assistant" if n % 2 else "user", t) for c in (1, 2) for n, t in enumerate(nasty)]
     rows += [(3, 0, "we<|im_end|>ird\nrole", "x"), (3, 1, None, "y"), (4, 0, "assistant", "tie b"), (4, 0, "assistant", "tie a"), (4, 0, "assistant", "tie a"), (None, 1, "user", "z"), (5, 0, "user", "w" * 50_000)]
@@ -221,7 +271,9 @@ def test_chat_round_trip(spark, monkeypatch):
     sizes = {}
     for r in formatted.collect():
         sizes[r.conv_id] = sizes.get(r.conv_id, 0) + len(r.formatted)
-        assert all(c not in t for _, t in [] for c in chat.CONTROL)
+        for role, text in chat.parse_chat(r.formatted):
+            assert not any(c in chat.escape(text) or c in chat.escape_role(role) for c in chat.CONTROL)
+        assert r.formatted.count(chat.START) == r.formatted.count(chat.END) == len(chat.parse_chat(r.formatted))
     for c, turns in itertools.groupby(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), key=lambda r: r[0]):
         turns = sorted(((n, r or "", t or "") for _, n, r, t in turns))
         said = "".join(t for _, r, t in turns if r == "assistant")
@@ -249,6 +301,41 @@ def test_pages(spark):
     assert wrappers.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+class Article(HTMLParser):
+    """The article's text by another parser, for pages whose article holds nothing but headings, paragraphs and marks."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [[]]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in wrappers.BLOCK:
+            self.blocks.append([])
+        elif tag == "br":
+            self.blocks[-1].append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in wrappers.BLOCK:
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1].append(data)
+
+    def text(self):
+        return "\n".join(t for t in (" ".join("".join(b).split()) for b in self.blocks) if t)
+
+
+def test_pages_of_the_table_against_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: Article(r.html or "").text() for r in pages.collect()}
+    assert {r.page_id: r.text for r in wrappers.main_text(pages).collect()} == want and len(want) > 200
+
+
 def test_wrapper_inference():
     a, b = "<div><p>x</p><p>y</p><i>same</i></div>", "<div><p>z</p><hr><i>same</i></div>"
     w = wrappers.align(wrappers.fold(wrappers.tree(a)), wrappers.fold(wrappers.tree(b)))
