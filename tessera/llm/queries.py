@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.chat import format_chat, read_back
+from tessera.llm.chat import BREAK, CONTROL, END, ESCAPE, START, format_chat, read_back
 from tessera.llm.common import read_table
 from tessera.llm.gridjoin import near_duplicates as vector_duplicates
 from tessera.llm.knn import integer_vectors, top_k
@@ -62,4 +62,53 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_topk, op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op7_embedding_dedup, op8_chat_formatting, op9_html_extraction, op10_sentencepiece)}
-ORACLE_SQL: dict[str, str] = {}
+
+# ---- the same in SQL, where SQL can express it -----------------------------------------------------
+
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+TOPK_SQL = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE {_SOUND}),
+p AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(coalesce(list_sum(list_transform(q.e, lambda x, i: x * d.e[i])), 0) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id AND len(q.e) = len(d.e)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+"""
+
+LINKS_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND {_SOUND} AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_sum(list_transform(a.e, lambda x, i: x * b.e[i])) / (a.size * b.size) >= 0.93
+),
+reached AS (SELECT vec_id, vec_id AS component FROM embeddings UNION SELECT l.b, r.component FROM reached r JOIN links l ON l.a = r.vec_id),
+least AS (SELECT vec_id, min(component) AS component_id FROM reached GROUP BY vec_id)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) c USING (vec_id)
+"""
+
+
+def _escaped_sql(text: str) -> str:
+    """The text with its control strings broken up, as the formatter writes it."""
+    out = f"replace({text}, '{ESCAPE}', '{ESCAPE * 2}')"
+    for c in CONTROL:
+        out = f"replace({out}, '{c}', '{c[0] + ESCAPE + c[1:]}')"
+    return out
+
+
+_ROLE_SQL = f"replace({_escaped_sql('role')}, chr(10), '{ESCAPE}n')"
+CHAT_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum({len(START) + len(BREAK) + len(END)} + length({_ROLE_SQL}) + length({_escaped_sql('text')})) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_topk": TOPK_SQL, "op7_embedding_dedup": LINKS_SQL, "op8_chat_formatting": CHAT_SQL}

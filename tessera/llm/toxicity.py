@@ -33,7 +33,7 @@ MAX_SCORE = 6.0
 #: A passage is reported when so many or fewer as good are expected in a clean text of its length.
 MAX_EXPECTED = 0.01
 #: Bytes that a task spends on remembered words, and on counted tokens before it hands them on.
-REMEMBERED_BYTES, COUNTED_BYTES = 24_000_000, 32_000_000
+REMEMBERED_BYTES, COUNTED_BYTES = 48_000_000, 48_000_000
 #: One in so many labelled documents is set aside for the calibration.
 FOLDS = 4
 COUNTS = ("toxic_aside", "toxic", "clean_aside", "clean")

@@ -7,7 +7,7 @@ import pytest
 
 from tessera.llm import gridjoin, knn
 from tessera.llm.common import connected_components, spanning_forest
-from tessera.llm.queries import QUERIES
+from tessera.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -130,3 +130,18 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     nodes, least = spanning_forest(np.array([3, 2, 9]), np.array([2, 1, 8]))
     assert dict(zip(nodes.tolist(), least.tolist())) == {3: 1, 2: 1, 9: 8}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, data, name):
+    """Rows and types of the queries that SQL can express."""
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("embeddings", "conversations"):
+        con.sql(f"create view {table} as select * from '{data}/{table}.parquet'")
+    ours, theirs = QUERIES[name](spark, data), con.sql(ORACLE_SQL[name])
+    order = [theirs.columns.index(c) for c in ours.columns]
+    names = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    assert [names[t] for _, t in ours.dtypes] == [str(theirs.types[i]) for i in order]
+    assert sorted(map(tuple, ours.collect())) == sorted(tuple(r[i] for i in order) for r in theirs.fetchall())
