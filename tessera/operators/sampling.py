@@ -81,11 +81,13 @@ def softmax(logits: Column) -> Column:
 
 
 def draw(probabilities: Column, *identity: Column) -> Column:
-    """An index drawn by the inverse of the running sum at a uniform number hashed from ``identity``.
+    """An index drawn by the inverse of the running sum at a uniform number from the SHA-256 of ``identity``.
 
-    The same identity draws the same index on any cluster; no other generator's draws are reproduced.
+    The number is the first 13 hexadecimal digits of the hash of the values as texts, with U+0001 between
+    them. The same identity draws the same index on any cluster; no other generator's draws are reproduced.
     """
-    uniform = F.pmod(F.xxhash64(*identity), F.lit(1 << 53)) / float(1 << 53)
+    text = F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("")) for c in identity])
+    uniform = F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
     start = F.struct(F.lit(0.0).alias("c"), F.lit(-1).alias("i"), F.lit(-1).alias("last"))
 
     def of(p: Column, u: Column) -> Column:

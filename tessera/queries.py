@@ -222,7 +222,7 @@ def hidden_layer_ranges(spark, sf_dir):
 k AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, i) <= 20),
 e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS x FROM k), p AS (SELECT *, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM e),
 c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY z DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
-SELECT vec_id, count(*) AS n_kept, sum(i) AS sum_ids, round(sum(p), 6) AS mass FROM c WHERE before < 0.8 GROUP BY vec_id"""
+SELECT vec_id, count(*) AS n_kept, CAST(sum(i) AS BIGINT) AS sum_ids, round(sum(p), 6) AS mass FROM c WHERE before < 0.8 GROUP BY vec_id"""
 )
 def topk_topp_filter(spark, sf_dir):
     rows = _logits(spark, sf_dir)
@@ -234,7 +234,13 @@ def topk_topp_filter(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    """WITH a AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: 20.0 * CAST(x AS DOUBLE))) AS z, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS x FROM a), p AS (SELECT *, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM e),
+c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY z DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+k AS (SELECT vec_id, i, sum(x) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(x) OVER (PARTITION BY vec_id) AS reached FROM c WHERE before < 0.99)
+SELECT vec_id, CAST(min(i) FILTER (reached > CAST('0x' || sha256(vec_id || chr(1) || '7')[1:13] AS BIGINT) / 4503599627370496.0) AS INTEGER) AS token_id FROM k GROUP BY vec_id"""
+)
 def sample_draw(spark, sf_dir):
     rows = _logits(spark, sf_dir)
     return rows.select("vec_id", sampling.draw(sampling.softmax(sampling.filtered(F.col("logits"), sampling.DIVERSE)), F.col("vec_id"), F.lit(7)).alias("token_id"))
