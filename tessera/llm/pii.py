@@ -403,17 +403,17 @@ def collisions(mapped: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "made").agg(F.min("plain").alias("least"), F.max("plain").alias("greatest")).where("least <> greatest or least = made")
 
 
-def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str = "text") -> DataFrame:
-    """``docs`` with every entity in ``text_column`` replaced, and ``n_entities``, the number of them.
+def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str = "text", count: str = "n_entities") -> DataFrame:
+    """``docs`` with every entity in ``text_column`` replaced, and ``n_entities`` (or another name for ``count``), the number of them.
 
     Texts without entities, null ones among them (with ``n_entities`` 0), stay as they are; other
-    columns, repeated rows and nulls are kept. A column that is called n_entities already is replaced.
+    columns, repeated rows and nulls are kept. A column that is called as ``count`` is replaced.
     An empty table gives an empty table. Texts of any length are taken whole. What was found is kept in
     the shared folder; its different entities are checked for collisions before any is replaced, and
     with collisions another key, derived from this one, is taken.
     """
     name = fresh(docs, "parts")
-    rows = cut(docs.drop("n_entities").withColumn(name, _parts(_escaped(F.col(text_column)))).withColumn(text_column, F.when(F.size(name) == 1, F.col(text_column))))
+    rows = cut(docs.drop(count).withColumn(name, _parts(_escaped(F.col(text_column)))).withColumn(text_column, F.when(F.size(name) == 1, F.col(text_column))))
     parts = F.col(name)
     found = rows.where(F.size(parts) > 1).select(_found(parts).alias("found"))
     for k in range(ATTEMPTS):
@@ -424,5 +424,5 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str =
         raise ValueError(f"surrogates collide under {ATTEMPTS} keys")
     replaced = lambda e: F.concat(e["before"], surrogate(e["kind"], e["entity"], now))
     changed = _joined(F.transform(parts, lambda p, i: F.when(i % 2 == 0, _unescaped(p)).otherwise(_bind(_entity(p), replaced))))
-    columns = [F.when(F.size(parts) > 1, changed).otherwise(F.col(text_column)).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"]
-    return rows.select(*columns, F.when(parts.isNull(), 0).otherwise(F.floor(F.size(parts) / 2)).cast("long").alias("n_entities"))
+    columns = [F.when(F.size(parts) > 1, changed).otherwise(F.col(text_column)).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns if c != count]
+    return rows.select(*columns, F.when(parts.isNull(), 0).otherwise(F.floor(F.size(parts) / 2)).cast("long").alias(count))

@@ -325,14 +325,14 @@ def _logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float
     return max(float(w[0]), 0.0), float(w[1]), float(w[2])
 
 
-def score(docs: DataFrame, model: Model, passages: bool = False, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` (doc_id alone unless given) and ``score`` of every row's whole text; ``passages`` adds the significant ones.
+def score(docs: DataFrame, model: Model, passages: bool = False, columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``columns`` (doc_id alone unless given) and ``score`` (or another ``name``) of every row's whole text; ``passages`` adds the significant ones.
 
     ``score`` lies in 0 to 1 and grows with the toxic evidence; empty and null texts have the score of
     no evidence. A passage is (first word, word behind the last, log-odds). Only the text is looked at.
     A column of the input that has the name of a new one is left out.
     """
-    new = ["score", "passages"] if passages else ["score"]
+    new = [name, "passages"] if passages else [name]
     names = [c for c in columns or ["doc_id"] if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +346,7 @@ def score(docs: DataFrame, model: Model, passages: bool = False, columns: list[s
             yield pa.RecordBatch.from_arrays(out, names=[*names, *new])
 
     rows = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in names])
-    schema = StructType([*(docs.schema[c] for c in names), StructField("score", DoubleType())])
+    schema = StructType([*(docs.schema[c] for c in names), StructField(name, DoubleType())])
     if passages:
         schema = schema.add("passages", ArrayType(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType()), StructField("log_odds", DoubleType())])))
     return rows.transform(in_arrow, run, schema)
