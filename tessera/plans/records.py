@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.identity import canonical_json, sha256_hex
+from tessera.functions.text import PROMPT_SUFFIXES, render_question
 from tessera.schema import ATTENTION_METRICS, HIDDEN_METRICS, KEYS, PROBABILITY_METRICS, SCENARIOS, TABLES, TOKEN_KEY
 
 
@@ -14,6 +19,14 @@ def prompt_hash(rendered: Column, token_ids: Column) -> Column:
     return sha256_hex(canonical_json(rendered_prompt=rendered, prompt_token_ids=token_ids))
 
 
+def template_hash(template: str) -> str:
+    """Identity of a prompt template: SHA-256 of its name, its end and the code that applies it."""
+    if template not in PROMPT_SUFFIXES:
+        raise KeyError(f"unknown prompt template {template!r}")
+    payload = {"name": template, "renderer": inspect.getsource(render_question), "suffix": PROMPT_SUFFIXES[template]}
+    return hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
 def example_rows(examples: DataFrame, run_id: str, dataset: str, split: str, token_ids: Column | None = None) -> DataFrame:
     """Rows of ``examples`` from a reader's. ``token_ids`` are the rendered prompt's tokens (the column prompt_token_ids unless given); they are counted.
 
