@@ -24,7 +24,10 @@ def sha256_hex(text: Column) -> Column:
 
 def seed(base_seed: Column, dataset: Column, sample_id: Column, strategy: Column, rollout_index: Column, version: int = SEED_VERSION) -> Column:
     """An unsigned 64-bit seed: the first eight bytes of the SHA-256 of a rollout's identity."""
-    text = canonical_json(base_seed=base_seed, dataset=dataset, rollout_index=rollout_index, sample_id=sample_id, seed_derivation_version=F.lit(version), strategy=strategy)
+    text = canonical_json(
+        base_seed=base_seed, dataset=dataset, rollout_index=rollout_index, sample_id=sample_id, seed_derivation_version=F.lit(version),
+        strategy=strategy,
+    )
     return F.conv(F.substring(sha256_hex(text), 1, 16), 16, 10).cast("decimal(20,0)")
 
 

@@ -47,7 +47,10 @@ def render_question(question: Column, template: str = "reasoning_boxed_v1") -> C
 
 def lettered(choices: Column) -> Column:
     """``A. first`` and so on, a line each; null for no choices."""
-    return F.when(F.size(choices) > 0, F.array_join(F.transform(choices, lambda c, i: F.concat(F.substring(F.lit(LETTERS), i + 1, F.lit(1)), F.lit(". "), c)), "\n"))
+    return F.when(
+        F.size(choices) > 0,
+        F.array_join(F.transform(choices, lambda c, i: F.concat(F.substring(F.lit(LETTERS), i + 1, F.lit(1)), F.lit(". "), c)), "\n"),
+    )
 
 
 def with_choices(question: Column, choices: Column) -> Column:
@@ -128,13 +131,18 @@ def normalize_answer(text: Column) -> Column:
         named = F.regexp_extract(strip(t), r"(?i)\A([+-]?)(?:inf|infinity|nan)\z", 0)
         lowered = F.lower(named)
         special = F.when(lowered.rlike("nan$"), "nan").when(lowered.startswith("-"), "-inf").otherwise("inf")
-        return F.when(named != "", special).when(strip(t).rlike(_FLOAT), general(F.replace(strip(t), F.lit("_"), F.lit("")).try_cast("double"))).otherwise(strip(t))
+        return F.when(named != "", special).when(
+            strip(t).rlike(_FLOAT), general(F.replace(strip(t), F.lit("_"), F.lit("")).try_cast("double")),
+        ).otherwise(strip(t))
 
     return F.when(text.isNull(), "").otherwise(bind(plain, number))
 
 
 #: What normalisation of a choice replaces, in order.
-CHOICE_REPLACEMENTS = (("$", ""), ("\\(", ""), ("\\)", ""), ("\\[", ""), ("\\]", ""), ("\\left", ""), ("\\right", ""), ("\\mathrm", ""), ("\\text", ""), ("\\dfrac", "\\frac"), ("°", "^\\circ"))
+CHOICE_REPLACEMENTS = (
+    ("$", ""), ("\\(", ""), ("\\)", ""), ("\\[", ""), ("\\]", ""), ("\\left", ""), ("\\right", ""), ("\\mathrm", ""), ("\\text", ""),
+    ("\\dfrac", "\\frac"), ("°", "^\\circ"),
+)
 
 
 def normalize_choice(text: Column) -> Column:
@@ -182,10 +190,18 @@ def image_parts(text: Column, numbers: Column) -> Column:
     A mark of an unknown image, or one used before, stays text; images without a mark come at the end.
     """
     mark = IMAGE_MARK
-    between, marks, named = F.split(text, mark, -1), F.regexp_extract_all(text, F.lit(mark), F.lit(0)), F.transform(F.regexp_extract_all(text, F.lit(mark), F.lit(1)), lambda n: n.try_cast("int"))
+    between, marks, named = F.split(text, mark, -1), F.regexp_extract_all(text, F.lit(mark), F.lit(0)), F.transform(
+        F.regexp_extract_all(text, F.lit(mark), F.lit(1)), lambda n: n.try_cast("int"),
+    )
     part = lambda kind, t, n: F.struct(F.lit(kind).alias("kind"), t.cast("string").alias("text"), n.cast("int").alias("number"))
     none = F.lit(None)
     used = lambda i: F.array_contains(numbers, named[i]) & ~F.array_contains(F.slice(named, F.lit(1), i), named[i])
-    pieces = F.flatten(F.transform(between, lambda t, i: F.array(part("text", t, none), F.when(i < F.size(named), F.when(F.coalesce(used(i), F.lit(False)), part("image", none, named[i])).otherwise(part("text", marks[i], none))))))
+    pieces = F.flatten(F.transform(
+        between,
+        lambda t, i: F.array(
+            part("text", t, none),
+            F.when(i < F.size(named), F.when(F.coalesce(used(i), F.lit(False)), part("image", none, named[i])).otherwise(part("text", marks[i], none))),
+        ),
+    ))
     rest = F.transform(F.filter(numbers, lambda n: ~F.array_contains(F.coalesce(named, F.array().cast("array<int>")), n)), lambda n: part("image", none, n))
     return F.concat(F.filter(pieces, lambda p: p.isNotNull() & ((p["kind"] == "image") | (p["text"] != ""))), rest)

@@ -36,12 +36,18 @@ def _group_metrics(name: str, values: Column, total: Column, d: Column, valid: C
     has = valid & (F.size(values) > 0) & (total >= EPSILON)
     entropy = F.aggregate(d, F.lit(0.0), lambda s, x: s + F.when(x > 0, x * F.ln(x)).otherwise(0.0))
     spread = F.aggregate(d, F.lit(0.0), lambda s, x: s + F.when(x > 0, F.ln(x)).otherwise(F.lit(-INF)))
-    defined = {"gini": F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x), "entropy": entropy, "kl_u_p": -F.ln(n) - spread / n, "kl_p_u": F.ln(n) + entropy, "dist_perplexity": -F.exp(-entropy)}
+    defined = {
+        "gini": F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x), "entropy": entropy, "kl_u_p": -F.ln(n) - spread / n, "kl_p_u": F.ln(n) + entropy,
+        "dist_perplexity": -F.exp(-entropy),
+    }
     made = {"total": F.when(valid, total), "avg": F.when(valid & (F.size(values) > 0), total / n)} | {k: F.when(has, v) for k, v in defined.items()}
     return {f"{name}_{k}": v for k, v in made.items()}
 
 
-def metrics(df: DataFrame, vector: str = "attention", image: str = "image", prompt: str = "prompt", generated: str = "generated", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
+def metrics(
+    df: DataFrame, vector: str = "attention", image: str = "image", prompt: str = "prompt", generated: str = "generated", prefix: str = "",
+    keep: list[str] | None = None,
+) -> DataFrame:
     """The 41 metrics and ``valid`` of each row, by array expressions alone; the vector is never made to sum to 1.
 
     The groups are arrays of 0-based positions; positions in no group are ignored. An empty group has
@@ -55,7 +61,10 @@ def metrics(df: DataFrame, vector: str = "attention", image: str = "image", prom
     rows = df.withColumn("_ok", ok).withColumn("_v", F.when(F.col("_ok"), F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))))
     for name, c in zip("ipg", (image, prompt, generated)):
         rows = rows.withColumn(f"_{name}", F.when(F.col("_ok"), F.transform(c, lambda i: F.col("_v")[i])))
-    parts = {"img_attn": F.col("_i"), "prompt_text_attn": F.col("_p"), "generated_text_attn": F.col("_g"), "prompt_generated_text_attn": F.concat("_p", "_g"), "all_attn": F.concat("_i", "_p", "_g")}
+    parts = {
+        "img_attn": F.col("_i"), "prompt_text_attn": F.col("_p"), "generated_text_attn": F.col("_g"),
+        "prompt_generated_text_attn": F.concat("_p", "_g"), "all_attn": F.concat("_i", "_p", "_g"),
+    }
     valid = F.col("_ok")
     made: dict[str, Column] = {}
     # each group's values, total and distribution are columns of their own, so they are worked out once

@@ -51,12 +51,16 @@ def positional_differences(source: DataFrame, stored: DataFrame, ordinal: str, c
     """Ordinals at which two ordered tables differ or one has no row."""
     a = source.select(F.col(ordinal), F.struct(*columns).alias("_a"))
     b = stored.select(F.col(ordinal), F.struct(*columns).alias("_b"))
-    return a.join(b, ordinal, "full").where("not (_a <=> _b)").select(ordinal, F.col("_a").isNull().alias("only_stored"), F.col("_b").isNull().alias("only_source"))
+    return a.join(b, ordinal, "full").where("not (_a <=> _b)").select(
+        ordinal, F.col("_a").isNull().alias("only_stored"), F.col("_b").isNull().alias("only_source"),
+    )
 
 
 def contiguity(tokens: DataFrame, key, step: str) -> DataFrame:
     """Keys whose steps aren't 1 to n, each once: three sums decide, no rows are gathered."""
-    sums = tokens.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(step).alias("first"), F.max(step).alias("last"), F.countDistinct(step).alias("distinct"))
+    sums = tokens.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.min(step).alias("first"), F.max(step).alias("last"), F.countDistinct(step).alias("distinct"),
+    )
     return sums.where("first <> 1 or last <> n or distinct <> n")
 
 
@@ -99,8 +103,12 @@ def storage_rules() -> list[Rule]:
     rules = [Rule(f"unique_{name}", lambda t, n=name: duplicates(t[n], KEYS[n])) for name in ("generations", *TOKEN_TABLES, "scores")]
     rules += [Rule(f"aligned_{name}", lambda t, n=name: misaligned(t["tokens"], t[n], TOKEN_KEY)) for name in TOKEN_TABLES[1:]]
     return rules + [
-        Rule("tokens_have_generation", lambda t: orphans(t["tokens"], t["generations"], ROLLOUT_KEY)), Rule("scores_have_generation", lambda t: orphans(t["scores"], t["generations"], ROLLOUT_KEY)),
-        Rule("generations_have_example", lambda t: orphans(t["generations"], t["examples"], KEYS["examples"])), Rule("contiguous_steps", lambda t: contiguity(t["tokens"], ROLLOUT_KEY, "step")),
+        Rule(
+            "tokens_have_generation", lambda t: orphans(t["tokens"], t["generations"], ROLLOUT_KEY),
+        ), Rule("scores_have_generation", lambda t: orphans(t["scores"], t["generations"], ROLLOUT_KEY)),
+        Rule(
+            "generations_have_example", lambda t: orphans(t["generations"], t["examples"], KEYS["examples"]),
+        ), Rule("contiguous_steps", lambda t: contiguity(t["tokens"], ROLLOUT_KEY, "step")),
         Rule("token_ids_match", id_mismatches), Rule("stop_reason", stop_mismatches), Rule("context_alignment", alignment_mismatches), Rule("attention_counts", attention_mismatches), Rule("validity_reason", validity_mismatches), Rule("generation_ranges", out_of_range),
         Rule("one_shard_per_rollout", lambda t: t["generations"].groupBy(*ROLLOUT_KEY).agg(F.countDistinct("shard_id").alias("n")).where("n > 1")),
         Rule("one_shard_per_score", lambda t: t["scores"].groupBy(*SCORE_KEY).agg(F.countDistinct("score_shard_id").alias("n")).where("n > 1")),

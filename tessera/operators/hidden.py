@@ -28,7 +28,10 @@ def cosine(a: Column, b: Column) -> Column:
     def of(s: Column) -> Column:
         va, vb = s["a"]["v"], s["b"]["v"]
         na, nb = F.sqrt(_dot(va, va)), F.sqrt(_dot(vb, vb))
-        return F.when((na * s["a"]["m"] >= EPSILON) & (nb * s["b"]["m"] >= EPSILON), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (_dot(va, vb) / (na * nb) + 1) / 2)))
+        return F.when(
+            (na * s["a"]["m"] >= EPSILON) & (nb * s["b"]["m"] >= EPSILON),
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), (_dot(va, vb) / (na * nb) + 1) / 2)),
+        )
 
     return F.get(F.transform(sound, of), F.lit(0))
 

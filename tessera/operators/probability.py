@@ -46,7 +46,9 @@ def native(df: DataFrame, logits: str = "logits", selected: str = "selected", me
     keep = [c for c in df.columns if c != logits]
     z = F.col(logits).cast("array<double>")
     rows = df.withColumn("_ok", is_valid(z, F.col(selected))).withColumn("_z", F.when(F.col("_ok"), z)).withColumn("_j", F.col(selected).cast("int"))
-    rows = rows.withColumn("_m", F.array_max("_z")).withColumn("_lse", F.col("_m") + F.ln(F.aggregate("_z", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_m")))))
+    rows = rows.withColumn("_m", F.array_max("_z")).withColumn(
+        "_lse", F.col("_m") + F.ln(F.aggregate("_z", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_m")))),
+    )
     rows = rows.withColumn("_lp", F.transform("_z", lambda x: x - F.col("_lse")))
     rows = rows.withColumn("_slp", F.sort_array("_lp", asc=False)).withColumn("_l", F.try_element_at("_lp", F.col("_j") + 1))
     rows = rows.withColumn("_s", F.transform("_slp", lambda x: F.exp(x)))
@@ -77,7 +79,9 @@ def _native_metrics() -> dict[str, Column]:
     def nucleus(q: float) -> Column:
         # how many sorted rates come before the running sum reaches q
         start = F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("k"))
-        return F.aggregate(s, start, lambda a, x: F.when(a["c"] >= q, a).otherwise(F.struct((a["c"] + x).alias("c"), (a["k"] + 1).alias("k"))), lambda a: a["k"])
+        return F.aggregate(
+            s, start, lambda a, x: F.when(a["c"] >= q, a).otherwise(F.struct((a["c"] + x).alias("c"), (a["k"] + 1).alias("k"))), lambda a: a["k"],
+        )
 
     made = {
         "logp": l, "kl_u_p": u - _total(lp) / n, "kl_p_u": F.ln(n) + h, "gini": F.aggregate(lp, F.lit(0.0), lambda t, x: t + F.exp(2 * x)), "entropy": h,
@@ -201,7 +205,9 @@ def exploded(df: DataFrame, key: list[str], logits: str = "logits", selected: st
     rows = df.where(is_valid(z, F.col(selected))).select(*key, F.col(selected).alias("_j"), F.posexplode(z).alias("_i", "_z"))
     whole = Window.partitionBy(*key)
     down = whole.orderBy(F.desc("_z"), "_i")
-    rows = rows.withColumn("_m", F.max("_z").over(whole)).withColumn("_lp", F.col("_z") - F.col("_m") - F.ln(F.sum(F.exp(F.col("_z") - F.col("_m"))).over(whole)))
+    rows = rows.withColumn("_m", F.max("_z").over(whole)).withColumn(
+        "_lp", F.col("_z") - F.col("_m") - F.ln(F.sum(F.exp(F.col("_z") - F.col("_m"))).over(whole)),
+    )
     rows = rows.withColumn("_p", F.exp("_lp")).withColumn("_r", F.row_number().over(down)).withColumn("_rank", F.rank().over(whole.orderBy(F.desc("_z"))))
     rows = rows.withColumn("_c", F.sum("_p").over(down.rowsBetween(Window.unboundedPreceding, 0)))
     picked = F.col("_i") == F.col("_j")

@@ -67,7 +67,10 @@ def survivors(logits: Column, s: Sampling) -> Column:
 
 def filtered(logits: Column, s: Sampling) -> Column:
     """Logits over temperature, with -Inf for all but the :func:`survivors`."""
-    return bind(survivors(logits, s), lambda ids: F.transform(logits.cast("array<double>"), lambda x, i: F.when(F.array_contains(ids, i), x / s.temperature).otherwise(F.lit(-INF))))
+    return bind(
+        survivors(logits, s),
+        lambda ids: F.transform(logits.cast("array<double>"), lambda x, i: F.when(F.array_contains(ids, i), x / s.temperature).otherwise(F.lit(-INF))),
+    )
 
 
 def softmax(logits: Column) -> Column:

@@ -24,7 +24,10 @@ def with_ordinal(df: DataFrame, order: list, name: str = "ordinal", start: int =
     return rows.join(F.broadcast(shifts), "_part").withColumn(name, F.col("_shift") + F.col("_nth") + start).drop("_part", "_nth", "_shift")
 
 
-def schedule(work: DataFrame, batch_size: int, strategy: str, window_size: int | None = None, ordinal: str = "ordinal", tokens: str = "tokens", images: str = "images") -> DataFrame:
+def schedule(
+    work: DataFrame, batch_size: int, strategy: str, window_size: int | None = None, ordinal: str = "ordinal", tokens: str = "tokens",
+    images: str = "images",
+) -> DataFrame:
     """``work`` with ``window``, ``batch`` (global number) and ``slot``.
 
     ``ordinal`` counts pending rows from 0. Contiguous windows are batches as they are; bucketed ones are
@@ -43,7 +46,9 @@ def schedule(work: DataFrame, batch_size: int, strategy: str, window_size: int |
     inside = Window.partitionBy("window").orderBy(*([tokens, images, ordinal] if bucketed and batch_size > 1 else [ordinal]))
     nth = F.row_number().over(inside) - 1
     per_window = -(-size // batch_size)
-    return rows.withColumn("_nth", nth).withColumn("batch", F.col("window") * per_window + F.floor(F.col("_nth") / batch_size)).withColumn("slot", (F.col("_nth") % batch_size).cast("int")).drop("_nth")
+    return rows.withColumn("_nth", nth).withColumn(
+        "batch", F.col("window") * per_window + F.floor(F.col("_nth") / batch_size),
+    ).withColumn("slot", (F.col("_nth") % batch_size).cast("int")).drop("_nth")
 
 
 def padding(n: Column, longest: Column, total: Column) -> Column:
@@ -62,7 +67,10 @@ def telemetry(scheduled: DataFrame, tokens: str = "tokens", images: str = "image
 def totals(batches: DataFrame) -> DataFrame:
     """Sums of a run's telemetry; without padded tokens the fraction is null."""
     padded, plain = F.sum("total_padded_prompt_tokens"), F.sum("total_unpadded_prompt_tokens")
-    return batches.agg(F.count(F.lit(1)).alias("batches"), F.sum("prompt_count").alias("prompts"), plain.alias("unpadded_tokens"), padded.alias("padded_tokens"), F.try_divide(padded - plain, padded).alias("padding_fraction"))
+    return batches.agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("prompt_count").alias("prompts"), plain.alias("unpadded_tokens"), padded.alias("padded_tokens"),
+        F.try_divide(padded - plain, padded).alias("padding_fraction"),
+    )
 
 
 def throughput(tokens: Column, seconds: Column) -> Column:

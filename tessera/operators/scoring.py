@@ -68,12 +68,18 @@ def _number(text: Column) -> Column:
 
 def _product(a: Column, b: Column) -> Column:
     """The exact product of two numbers as a number; null if it has more than ``MOST_DIGITS`` digits."""
-    whole = F.when(F.length(a["digits"]) + F.length(b["digits"]) <= MOST_DIGITS, F.coalesce(F.nullif(a["digits"], F.lit("")), F.lit("0")).cast("decimal(38,0)") * F.coalesce(F.nullif(b["digits"], F.lit("")), F.lit("0")).cast("decimal(38,0)"))
+    whole = F.when(
+        F.length(a["digits"]) + F.length(b["digits"]) <= MOST_DIGITS,
+        F.coalesce(F.nullif(a["digits"], F.lit("")), F.lit("0")).cast("decimal(38,0)") * F.coalesce(F.nullif(b["digits"], F.lit("")), F.lit("0")).cast("decimal(38,0)"),
+    )
     zeros = lambda d: F.length(F.regexp_extract(d, "0*$", 0))
 
     def shape(d: Column) -> Column:
         cut = F.when(d == "0", "").otherwise(F.regexp_replace(d, "0+$", ""))
-        return F.struct(((a["minus"] != b["minus"]) & (cut != "")).alias("minus"), cut.alias("digits"), F.when(cut == "", 0).otherwise(a["scale"] + b["scale"] - zeros(d)).alias("scale"))
+        return F.struct(
+            ((a["minus"] != b["minus"]) & (cut != "")).alias("minus"), cut.alias("digits"),
+            F.when(cut == "", 0).otherwise(a["scale"] + b["scale"] - zeros(d)).alias("scale"),
+        )
 
     return F.when(whole.isNotNull(), bind(whole.cast("string"), shape))
 
@@ -81,10 +87,15 @@ def _product(a: Column, b: Column) -> Column:
 def _rounded(x: Column, decimals_: Column) -> Column:
     """A number rounded half away from zero to so many decimals, as an unscaled whole number; null beyond ``MOST_DIGITS`` digits."""
     spare = x["scale"] - decimals_
-    whole = F.when(spare <= 0, F.concat(x["digits"], F.repeat(F.lit("0"), -spare))).otherwise(F.substring(x["digits"], F.lit(1), F.length(x["digits"]) - spare))
+    whole = F.when(
+        spare <= 0, F.concat(x["digits"], F.repeat(F.lit("0"), -spare)),
+    ).otherwise(F.substring(x["digits"], F.lit(1), F.length(x["digits"]) - spare))
     # the first digit that goes; there is none if all that is left stands further behind the point
     next_ = F.when((spare > 0) & (F.length(x["digits"]) >= spare), F.substring(x["digits"], F.length(x["digits"]) - spare + 1, F.lit(1))).otherwise(F.lit("0"))
-    value = F.when(F.length(whole) <= MOST_DIGITS, F.coalesce(F.nullif(whole, F.lit("")), F.lit("0")).cast("decimal(38,0)") + F.when(next_ >= "5", 1).otherwise(0))
+    value = F.when(
+        F.length(whole) <= MOST_DIGITS,
+        F.coalesce(F.nullif(whole, F.lit("")), F.lit("0")).cast("decimal(38,0)") + F.when(next_ >= "5", 1).otherwise(0),
+    )
     return F.when(x["minus"], -value).otherwise(value)
 
 
@@ -126,11 +137,19 @@ def choice(text: Column, question: Column, raw: Column) -> Column:
     """(extracted, method) of a multiple-choice answer: the first rule that finds a letter."""
     shown = T.choices(question)
     wanted = T.normalize_choice(raw)
-    same = bind(F.struct(wanted.alias("w"), shown.alias("c")), lambda s: F.try_element_at(F.filter(s["c"], lambda c: (s["w"] != "") & (T.normalize_choice(c["value"]) == s["w"])), F.lit(1))["key"])
+    same = bind(
+        F.struct(wanted.alias("w"), shown.alias("c")),
+        lambda s: F.try_element_at(F.filter(s["c"], lambda c: (s["w"] != "") & (T.normalize_choice(c["value"]) == s["w"])), F.lit(1))["key"],
+    )
     final, line = T.last_sentence(text), T.last_line(text)
-    only = bind(F.struct(_found(line, _ONLY_LETTER).alias("l"), F.transform(shown, lambda c: c["key"]).alias("k")), lambda s: F.when((F.size(s["k"]) == 0) | F.array_contains(s["k"], s["l"]), s["l"]))
+    only = bind(
+        F.struct(_found(line, _ONLY_LETTER).alias("l"), F.transform(shown, lambda c: c["key"]).alias("k")),
+        lambda s: F.when((F.size(s["k"]) == 0) | F.array_contains(s["k"], s["l"]), s["l"]),
+    )
     rules = (
-        (_found(F.upper(T.strip_latex(raw)), _OPTION), "boxed_letter"), (F.when(raw != "", same), "boxed_option_text"), (T.lenient_boxed_letter(text), "boxed_letter_lenient"),
+        (
+            _found(F.upper(T.strip_latex(raw)), _OPTION), "boxed_letter",
+        ), (F.when(raw != "", same), "boxed_option_text"), (T.lenient_boxed_letter(text), "boxed_letter_lenient"),
         (F.upper(F.coalesce(_found(final, _ANSWER_LETTER), _found(final, _OPTION_LETTER))), "explicit_answer_letter"), (only, "final_line_letter"),
     )
     nothing = F.struct(F.lit(None).cast("string").alias("extracted"), F.when(raw != "", "boxed_unmapped").otherwise("none").alias("method"))
@@ -177,4 +196,7 @@ def with_examples(generations: DataFrame, examples: DataFrame, key: list[str], c
 def summary(scored: DataFrame, by: list[str]) -> DataFrame:
     """Per group: answers, correct and abstained ones, and the accuracy of those that were scored."""
     right, known = F.count_if(F.col("is_correct")), F.count("is_correct")
-    return scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), right.alias("n_correct"), (F.count(F.lit(1)) - known).alias("n_abstained"), F.try_divide(right, known).alias("accuracy"))
+    return scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), right.alias("n_correct"), (F.count(F.lit(1)) - known).alias("n_abstained"),
+        F.try_divide(right, known).alias("accuracy"),
+    )

@@ -98,7 +98,10 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     out = df.select(*[F.col(f.name).cast(_lenient(f.dataType)).alias(f.name) for f in want])
     for f in want:
         if isinstance(f.dataType, ArrayType):
-            out = out.withColumn(f.name, F.when(F.exists(f.name, _has_null(f.dataType.elementType)), F.raise_error(F.lit(f"null inside {table}.{f.name}"))).otherwise(F.col(f.name)))
+            out = out.withColumn(
+                f.name,
+                F.when(F.exists(f.name, _has_null(f.dataType.elementType)), F.raise_error(F.lit(f"null inside {table}.{f.name}"))).otherwise(F.col(f.name)),
+            )
         if f.dataType.typeName() in ("float", "double"):
             out = out.withColumn(f.name, F.when(F.isnan(f.name), F.raise_error(F.lit(f"NaN in {table}.{f.name}"))).otherwise(F.col(f.name)))
         if not f.nullable:
@@ -188,7 +191,10 @@ def commit_shard(
         }
     done = {"shard": shard, "kind": kind, "parts": parts, "created_at": datetime.now(timezone.utc).isoformat()}
     if kind == "core":
-        done |= {"rollouts": parts["generations"]["rows"], "token_keys": parts["tokens"]["rows"], "min_step": parts["tokens"]["min_step"], "max_step": parts["tokens"]["max_step"]}
+        done |= {
+            "rollouts": parts["generations"]["rows"], "token_keys": parts["tokens"]["rows"], "min_step": parts["tokens"]["min_step"],
+            "max_step": parts["tokens"]["max_step"],
+        }
     stage("commit")
     store.create(record, json.dumps(done, sort_keys=True, indent=2))
     stage("after")
@@ -253,29 +259,46 @@ def inventory(store: Store, kind: str = "core") -> DataFrame:
         rows = store.spark.read.parquet(*paths)
         types = _types(store.spark.read.option("mergeSchema", True).parquet(*paths).schema)
         part = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
-        counted = rows.select("*", part.alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), _digest(table, rows.columns).alias("keys"), *[c.alias(n) for n, c in zip(("min_step", "max_step"), _step_range(rows))])
-        made.append(counted.select(F.col("_part").alias("part"), F.lit(table).alias("table"), "rows", "keys", "min_step", "max_step", F.lit(types).alias("types")))
-    return reduce(DataFrame.unionByName, made) if made else store.spark.createDataFrame([], "part string, table string, rows long, keys string, min_step int, max_step int, types string")
+        counted = rows.select("*", part.alias("_part")).groupBy("_part").agg(
+            F.count(F.lit(1)).alias("rows"), _digest(table, rows.columns).alias("keys"),
+            *[c.alias(n) for n, c in zip(("min_step", "max_step"), _step_range(rows))],
+        )
+        made.append(counted.select(
+            F.col("_part").alias("part"), F.lit(table).alias("table"), "rows", "keys", "min_step", "max_step", F.lit(types).alias("types"),
+        ))
+    return reduce(DataFrame.unionByName, made) if made else store.spark.createDataFrame(
+        [], "part string, table string, rows long, keys string, min_step int, max_step int, types string",
+    )
 
 
 def verify(store: Store, kind: str = "core") -> DataFrame:
     """``shard, table, what, declared, actual``: parts that differ from their commit in rows, keys, steps, types, or in a file's length or SHA-256."""
     spark, recorded = store.spark, commits(store, kind)
-    rows = [(c["shard"], t, p["path"].rsplit("/", 1)[1], p["rows"], p["keys"], p["min_step"], p["max_step"], p["types"]) for c in recorded for t, p in c["parts"].items()]
+    rows = [(
+        c["shard"], t, p["path"].rsplit("/", 1)[1], p["rows"], p["keys"], p["min_step"], p["max_step"], p["types"],
+    ) for c in recorded for t, p in c["parts"].items()]
     declared = spark.createDataFrame(rows, "shard string, table string, part string, rows long, keys string, min_step int, max_step int, types string")
     names = ("rows", "keys", "min_step", "max_step", "types")
     actual = inventory(store, kind).select("part", "table", *[F.col(n).alias(f"_{n}") for n in names])
     both = declared.join(actual, ["part", "table"], "left").select(
-        "shard", "table", F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(n).cast("string").alias("declared"), F.col(f"_{n}").cast("string").alias("actual")) for n in names])).alias("c")
+        "shard", "table", F.explode(F.array(*[F.struct(
+            F.lit(n).alias("what"), F.col(n).cast("string").alias("declared"), F.col(f"_{n}").cast("string").alias("actual"),
+        ) for n in names])).alias("c")
     )
     # a part without rows isn't in the inventory: nothing of it can differ but its rows
     differ = both.select("shard", "table", "c.*").where("not (declared <=> actual) and not (actual is null and (declared in ('0') or what in ('keys', 'types')))")
-    files = [(c["shard"], t, p["path"].rsplit("/", 1)[1], f["name"], f"{f['length']} {f['sha256']}") for c in recorded for t, p in c["parts"].items() for f in p["files"]]
+    files = [(
+        c["shard"], t, p["path"].rsplit("/", 1)[1], f["name"], f"{f['length']} {f['sha256']}",
+    ) for c in recorded for t, p in c["parts"].items() for f in p["files"]]
     if not files:
         return differ
-    there = _files(spark, [f"{store.root}/{p['path']}" for c in recorded for p in c["parts"].values()]).select("part", "name", F.concat_ws(" ", "length", "sha256").alias("actual"))
+    there = _files(
+        spark, [f"{store.root}/{p['path']}" for c in recorded for p in c["parts"].values()],
+    ).select("part", "name", F.concat_ws(" ", "length", "sha256").alias("actual"))
     hashed = spark.createDataFrame(files, "shard string, table string, part string, name string, declared string").join(there, ["part", "name"], "full")
-    return differ.unionByName(hashed.where("not (declared <=> actual)").select("shard", "table", F.concat(F.lit("file:"), F.col("name")).alias("what"), "declared", "actual"))
+    return differ.unionByName(hashed.where("not (declared <=> actual)").select(
+        "shard", "table", F.concat(F.lit("file:"), F.col("name")).alias("what"), "declared", "actual",
+    ))
 
 
 def completed(store: Store) -> DataFrame:

@@ -53,7 +53,10 @@ def benchmark_findings(measured: DataFrame, shapes: list[tuple[int, int]]) -> li
     rows = measured.groupBy("prompts", "rollouts").agg(F.bool_and("complete").alias("complete"), F.collect_set("ids_hash").alias("hashes")).collect()
     done = {(r.prompts, r.rollouts) for r in rows if r.complete}
     hashes = {h for r in rows for h in r.hashes}
-    return [Finding("benchmark_shapes", set(shapes) <= done, str(sorted(set(shapes) - done))), Finding("benchmark_ids_agree", len(hashes) == 1, str(len(hashes)))]
+    return [
+        Finding("benchmark_shapes", set(shapes) <= done, str(sorted(set(shapes) - done))),
+        Finding("benchmark_ids_agree", len(hashes) == 1, str(len(hashes))),
+    ]
 
 
 def passed(findings: list[Finding]) -> bool:

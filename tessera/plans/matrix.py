@@ -17,13 +17,17 @@ def runs(datasets: DataFrame, strategies: DataFrame, group: str, prefix: str = "
 
 def expected_rollouts(examples: DataFrame, n: int) -> DataFrame:
     """Each example with each rollout index below ``n``, generated in place."""
-    return examples.withColumn("rollout_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else examples.withColumn("rollout_index", F.lit(0)).limit(0)
+    return examples.withColumn(
+        "rollout_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))),
+    ) if n > 0 else examples.withColumn("rollout_index", F.lit(0)).limit(0)
 
 
 def with_seeds(rollouts: DataFrame, base_seed: int) -> DataFrame:
     if not 0 <= base_seed < 1 << 64:
         raise ValueError("the base seed must be an unsigned 64-bit number")
-    return rollouts.withColumn("rollout_seed", seed(F.lit(base_seed).cast("decimal(20,0)"), F.col("dataset"), F.col("sample_id"), F.col("strategy"), F.col("rollout_index")))
+    return rollouts.withColumn(
+        "rollout_seed", seed(F.lit(base_seed).cast("decimal(20,0)"), F.col("dataset"), F.col("sample_id"), F.col("strategy"), F.col("rollout_index")),
+    )
 
 
 def pending(expected: DataFrame, completed: DataFrame, key: list[str]) -> DataFrame:

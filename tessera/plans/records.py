@@ -34,7 +34,13 @@ def example_rows(examples: DataFrame, run_id: str, dataset: str, split: str, tok
     """
     ids = (F.col("prompt_token_ids") if token_ids is None else token_ids).cast("array<int>")
     truth = canonical_json(answer=F.col("ground_truth"), question_for_eval=F.col("eval_question"))
-    pictures = F.transform("images", lambda i: F.struct(i["path"].alias("source_ref"), i["sha256"].alias("sha256"), i["width"].alias("width"), i["height"].alias("height"), F.lit("RGB").alias("mode")))
+    pictures = F.transform(
+        "images",
+        lambda i: F.struct(
+            i["path"].alias("source_ref"), i["sha256"].alias("sha256"), i["width"].alias("width"), i["height"].alias("height"),
+            F.lit("RGB").alias("mode"),
+        ),
+    )
     return examples.select(
         F.lit(run_id).alias("run_id"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), "sample_id", "source_row_index", "question", "rendered_prompt", ids.alias("prompt_token_ids"),
         F.size(ids).alias("prompt_token_count"), truth.alias("ground_truth_json"), "answer_type", pictures.alias("images"), "metadata_json",
@@ -43,16 +49,23 @@ def example_rows(examples: DataFrame, run_id: str, dataset: str, split: str, tok
 
 def generation_rows(generations: DataFrame) -> DataFrame:
     """Rows of ``generations``: retained tokens are counted, and the maximum is hit where no stop token ended the text."""
-    counted = generations.withColumn("num_retained_tokens", F.size("generated_token_ids")).withColumn("hit_max_new_tokens", F.col("stop_reason") == "max_new_tokens")
+    counted = generations.withColumn("num_retained_tokens", F.size("generated_token_ids")).withColumn(
+        "hit_max_new_tokens", F.col("stop_reason") == "max_new_tokens",
+    )
     return counted.select(*TABLES["generations"].names)
 
 
 def token_rows(generations: DataFrame, pieces: Column, texts: Column) -> DataFrame:
     """Rows of ``tokens``: one for each retained token, from arrays of ids, pieces and texts of the same length."""
     zipped = F.arrays_zip(F.col("generated_token_ids").alias("token_id"), pieces.alias("token_piece"), texts.alias("token_text"))
-    rows = generations.select(*KEYS["generations"], "shard_id", "prompt_token_count", F.posexplode(zipped).alias("_at", "t")).withColumn("step", F.col("_at") + 1)
+    rows = generations.select(
+        *KEYS["generations"], "shard_id", "prompt_token_count", F.posexplode(zipped).alias("_at", "t"),
+    ).withColumn("step", F.col("_at") + 1)
     context = F.col("prompt_token_count") + F.col("step") - 1
-    return rows.select(*TOKEN_KEY, "shard_id", "t.token_id", "t.token_piece", "t.token_text", (context - 1).alias("predictor_position"), context.alias("context_length"))
+    return rows.select(
+        *TOKEN_KEY, "shard_id", "t.token_id", "t.token_piece", "t.token_text", (context - 1).alias("predictor_position"),
+        context.alias("context_length"),
+    )
 
 
 def _cast(df: DataFrame, table: str, named: dict[str, Column] | None = None) -> DataFrame:
@@ -68,7 +81,9 @@ def probability_rows(metrics: DataFrame) -> DataFrame:
 
 def attention_rows(scenarios: DataFrame) -> DataFrame:
     """Rows of ``token_attention_metrics`` from keys, shard and :func:`tessera.operators.attention.scenarios`, whose columns are ``<scenario>__<metric>`` and the numbers of tokens."""
-    finite = {f"{s}__{m}": F.when(~F.isnan(F.col(f"{s}__{m}")) & (F.abs(F.col(f"{s}__{m}")) < float("inf")), F.col(f"{s}__{m}")) for s in SCENARIOS for m in ATTENTION_METRICS}
+    finite = {f"{s}__{m}": F.when(
+        ~F.isnan(F.col(f"{s}__{m}")) & (F.abs(F.col(f"{s}__{m}")) < float("inf")), F.col(f"{s}__{m}"),
+    ) for s in SCENARIOS for m in ATTENTION_METRICS}
     return _cast(scenarios, "token_attention_metrics", finite)
 
 

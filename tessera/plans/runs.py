@@ -56,7 +56,10 @@ def gathered(rollouts: DataFrame, prompts: DataFrame, row: str = "prompt_row") -
     """Each rollout with what its prompt has; several rollouts share a prompt, and one without a prompt is an error."""
     marked = prompts.withColumn("_has", F.lit(True))
     joined = rollouts.join(marked, row, "left")
-    return joined.withColumn(row, F.when(F.col("_has"), F.col(row)).otherwise(F.raise_error(F.concat(F.lit("no prompt "), F.col(row).cast("string"))).cast(rollouts.schema[row].dataType))).drop("_has")
+    return joined.withColumn(
+        row,
+        F.when(F.col("_has"), F.col(row)).otherwise(F.raise_error(F.concat(F.lit("no prompt "), F.col(row).cast("string"))).cast(rollouts.schema[row].dataType)),
+    ).drop("_has")
 
 
 def missing_keys(present: Iterable[str], required: Iterable[str]) -> list[str]:

@@ -63,7 +63,9 @@ class Scorer:
                 if found is None:
                     return None, None, None, "abstain", "{}", None
                 correct = found.get("is_correct")
-                extra = json.dumps({k: v for k, v in found.items() if k not in FIELDS}, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+                extra = json.dumps(
+                    {k: v for k, v in found.items() if k not in FIELDS}, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False,
+                )
                 said = [None if found.get(k) is None else str(found[k]) for k in FIELDS[1:3]]
                 return None if correct is None else bool(correct), *said, str(found.get("scorer_method") or "unknown"), extra, None
             except Exception as e:
@@ -73,7 +75,10 @@ class Scorer:
             for batch in batches:
                 made = [one(*values) for values in zip(*(batch.column(kept.index(c)).to_pylist() for c in inputs))]
                 columns = list(zip(*made)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(columns[0], pa.bool_()), *[pa.array(c, pa.string()) for c in columns[1:]]], names=[*kept, *FIELDS, "extra", "error"])
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(columns[0], pa.bool_()), *[pa.array(c, pa.string()) for c in columns[1:]]],
+                    names=[*kept, *FIELDS, "extra", "error"],
+                )
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
         return rows.transform(in_arrow, run, f"{schema}, {RESULT}")
@@ -106,14 +111,19 @@ def details(identity: dict[str, str], answer_type: Column, truth: Column, extra:
     plain = canonical_json(answer_type=answer_type, scorer_code_hash=F.lit(identity["code_hash"]), scorer_config_hash=F.lit(identity["config_hash"]))
     added = F.when(F.coalesce(F.size(own), F.lit(0)) > 0, F.concat(F.lit(',"extra":'), extra)).otherwise("")
     # answer_type, extra, ground_truth and scorer_* are in the order of their names
-    head, tail = F.regexp_extract(plain, '^(\\{"answer_type":.*?)(,"scorer_code_hash":.*)$', 1), F.regexp_extract(plain, '^(\\{"answer_type":.*?)(,"scorer_code_hash":.*)$', 2)
+    head, tail = F.regexp_extract(
+        plain, '^(\\{"answer_type":.*?)(,"scorer_code_hash":.*)$', 1,
+    ), F.regexp_extract(plain, '^(\\{"answer_type":.*?)(,"scorer_code_hash":.*)$', 2)
     return F.concat(head, added, F.lit(',"ground_truth":'), F.coalesce(truth, F.lit("null")), tail)
 
 
 def score_rows(scored: DataFrame, identity: dict[str, str], scored_at: datetime) -> DataFrame:
     """Rows of ``scores`` from results; a score shard is named by its core shard, the scorer's hashes and the rollouts in it."""
     members = scored.groupBy("shard_id").agg(F.array_sort(F.collect_list("rollout_index")).alias("rollouts"))
-    payload = canonical_json(code_hash=F.lit(identity["code_hash"]), config_hash=F.lit(identity["config_hash"]), core_shard_id=F.col("shard_id"), name=F.lit(identity["name"]), rollouts=F.col("rollouts"), version=F.lit(identity["version"]))
+    payload = canonical_json(
+        code_hash=F.lit(identity["code_hash"]), config_hash=F.lit(identity["config_hash"]), core_shard_id=F.col("shard_id"),
+        name=F.lit(identity["name"]), rollouts=F.col("rollouts"), version=F.lit(identity["version"]),
+    )
     named = members.select("shard_id", score_shard_id(F.col("shard_id"), payload).alias("score_shard_id"))
     made = scored.join(named, "shard_id").withColumns({
         "scorer_name": F.lit(identity["name"]), "scorer_version": F.lit(identity["version"]), "scored_at_utc": F.lit(scored_at).cast("timestamp"),
@@ -138,14 +148,26 @@ def score_run(store: Store, run_id: str, scorer: Scorer, attempt: str | None = N
     if not n:
         return ScoreSummary(run_id, scorer.name, scorer.version, 0, 0, skipped, 0)
     truth = F.from_json("ground_truth_json", "answer string, question_for_eval string")
-    examples = read_examples(store).select(*EXAMPLE_KEY, F.coalesce(truth["question_for_eval"], "question").alias("question"), F.coalesce(truth["answer"], F.lit("")).alias("ground_truth"), "answer_type", "ground_truth_json")
-    found, alone = scoring.with_examples(left.select(*ROLLOUT_KEY, "shard_id", "generated_text"), examples, list(EXAMPLE_KEY), ["question", "ground_truth", "answer_type", "ground_truth_json"])
+    examples = read_examples(store).select(
+        *EXAMPLE_KEY, F.coalesce(truth["question_for_eval"], "question").alias("question"),
+        F.coalesce(truth["answer"], F.lit("")).alias("ground_truth"), "answer_type", "ground_truth_json",
+    )
+    found, alone = scoring.with_examples(
+        left.select(*ROLLOUT_KEY, "shard_id", "generated_text"), examples, list(EXAMPLE_KEY),
+        ["question", "ground_truth", "answer_type", "ground_truth_json"],
+    )
     results = cut(scorer.results(found))
     failed = results.where("error is not null").select(*ROLLOUT_KEY, "error").unionByName(alone.select(*ROLLOUT_KEY, "error"))
     n_failed = failed.count()
     if n_failed:
         told = {"stage": "scoring", "attempt": attempt, "scorer_name": scorer.name, "scorer_version": scorer.version, "created_at_utc": scored_at.isoformat()}
-        append_failures(store, failed.select(*[F.lit(v).alias(k) for k, v in told.items()], *ROLLOUT_KEY, F.substring_index("error", ":", 1).alias("exception_type"), F.col("error").alias("message")))
+        append_failures(
+            store,
+            failed.select(
+                *[F.lit(v).alias(k) for k, v in told.items()], *ROLLOUT_KEY, F.substring_index("error", ":", 1).alias("exception_type"),
+                F.col("error").alias("message"),
+            ),
+        )
     rows = cut(score_rows(results.where("error is null"), identity, scored_at))
     committed, shards = rows.agg(F.count(F.lit(1)), F.countDistinct("score_shard_id")).first()
     if committed:

@@ -68,7 +68,9 @@ def _probability_sql(metrics) -> str:
 
 
 def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 20.0).alias("logits"), F.col("label").alias("selected"))
+    return read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda x: x.cast("double") * 20.0).alias("logits"), F.col("label").alias("selected"),
+    )
 
 
 BASIC = ("logp", "kl_u_p", "kl_p_u", "gini", "entropy", "dist_perplexity", "inverse_perplexity", "norm_entropy_concentration")
@@ -96,7 +98,10 @@ def prob_arrow(spark, sf_dir):
     return rounded(probability.arrow(_logits(spark, sf_dir)), ["vec_id"], PROBABILITY_METRICS)
 
 
-EXPLODED = ("logp", "gini", "entropy", "max_prob", "selected_rank", "topk_mass_2", "topk_mass_5", "topk_mass_10", "topk_mass_20", "nucleus_size_0p9", "nucleus_size_0p95", "nucleus_size_0p99")
+EXPLODED = (
+    "logp", "gini", "entropy", "max_prob", "selected_rank", "topk_mass_2", "topk_mass_5", "topk_mass_10", "topk_mass_20", "nucleus_size_0p9",
+    "nucleus_size_0p95", "nucleus_size_0p99",
+)
 
 
 @query(_probability_sql(EXPLODED))
@@ -113,7 +118,10 @@ def prob_validity(spark, sf_dir):
 
 # ---- attention -----------------------------------------------------------------------------------
 
-_GROUP_LISTS = {"img_attn": "v[1:16]", "prompt_text_attn": "v[17:40]", "generated_text_attn": "v[41:40 + label]", "prompt_generated_text_attn": "v[17:40 + label]", "all_attn": "v[1:40 + label]"}
+_GROUP_LISTS = {
+    "img_attn": "v[1:16]", "prompt_text_attn": "v[17:40]", "generated_text_attn": "v[41:40 + label]",
+    "prompt_generated_text_attn": "v[17:40 + label]", "all_attn": "v[1:40 + label]",
+}
 _NORMED = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE) / (list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))))"
 
 
@@ -158,7 +166,10 @@ def attn_ratios(spark, sf_dir):
 
 @query("SELECT vec_id, list_min(embedding) >= -1e-8 AS valid, CASE WHEN list_min(embedding) >= -1e-8 THEN round(list_sum(list_transform(embedding[1:2], lambda x: CAST(x AS DOUBLE))), 6) + 0.0 END AS img_attn_total FROM embeddings")
 def attn_invalid(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("attention"), F.array(F.lit(0), F.lit(1)).alias("image"), F.array(F.lit(2)).alias("prompt"), F.array().cast("array<int>").alias("generated"))
+    rows = read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("embedding").alias("attention"), F.array(F.lit(0), F.lit(1)).alias("image"), F.array(F.lit(2)).alias("prompt"),
+        F.array().cast("array<int>").alias("generated"),
+    )
     return attention.metrics(rows).select("vec_id", "valid", (F.round("img_attn_total", 6) + 0.0).alias("img_attn_total"))
 
 
@@ -170,7 +181,9 @@ SELECT label, pos, {', '.join(f"round(avg(x) FILTER (layer BETWEEN {lo} AND {hi}
 def attn_layers(spark, sf_dir):
     rows = _attention_rows(spark, sf_dir).withColumn("layer", (F.col("vec_id") % 36 + 1).cast("int"))
     means = attention.mean_over_layers(rows, ["label"])
-    spread = means.select("label", F.posexplode(F.arrays_zip(*SCENARIOS)).alias("pos", "x")).select("label", "pos", *[F.col(f"x.{s}").alias(s) for s in SCENARIOS])
+    spread = means.select(
+        "label", F.posexplode(F.arrays_zip(*SCENARIOS)).alias("pos", "x"),
+    ).select("label", "pos", *[F.col(f"x.{s}").alias(s) for s in SCENARIOS])
     return spread.select("label", F.col("pos").cast("long").alias("pos"), *[(F.round(s, 9) + 0.0).alias(s) for s in SCENARIOS])
 
 
@@ -191,7 +204,9 @@ c AS (SELECT vec_id, label, greatest(0.0, least(1.0, (ab / (na * nb) + 1) / 2))
 
 def _cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    return rows.join(hidden.prototypes(rows, ["label"], "embedding"), "label").select("vec_id", "label", hidden.cosine(F.col("embedding"), F.col("prototype")).alias("cosine"))
+    return rows.join(hidden.prototypes(rows, ["label"], "embedding"), "label").select(
+        "vec_id", "label", hidden.cosine(F.col("embedding"), F.col("prototype")).alias("cosine"),
+    )
 
 
 @query(f"{_HIDDEN_SQL} SELECT vec_id, round(cosine, 8) + 0.0 AS cosine FROM c")
@@ -209,9 +224,14 @@ SELECT label, {', '.join(f"count(cosine) FILTER (layer BETWEEN {r}) AS {n}" for
 {', '.join(f"round(avg(cosine) FILTER (layer BETWEEN {r}), 8) + 0.0 AS cosine_gen_imgproto_hidden_{n}" for n, r in _MEANS.items())}, round(max(cosine) FILTER (layer = 36), 8) + 0.0 AS cosine_gen_imgproto_hidden_last_layer FROM e GROUP BY label"""
 )
 def hidden_layer_ranges(spark, sf_dir):
-    rows = _cosines(spark, sf_dir).select("label", (F.col("vec_id") % 36 + 1).alias("layer"), F.when(F.col("vec_id") % 7 != 0, F.col("cosine")).alias("cosine"))
+    rows = _cosines(spark, sf_dir).select(
+        "label", (F.col("vec_id") % 36 + 1).alias("layer"), F.when(F.col("vec_id") % 7 != 0, F.col("cosine")).alias("cosine"),
+    )
     made = hidden.layer_means(rows, ["label"])
-    return made.select("label", *[F.col(c).cast("long").alias(c) for c in _RANGES], "last_layer_valid", *[(F.round(c, 8) + 0.0).alias(c) for c in made.columns if c.startswith("cosine_")])
+    return made.select(
+        "label", *[F.col(c).cast("long").alias(c) for c in _RANGES], "last_layer_valid",
+        *[(F.round(c, 8) + 0.0).alias(c) for c in made.columns if c.startswith("cosine_")],
+    )
 
 
 # ---- sampling ------------------------------------------------------------------------------------
@@ -243,7 +263,9 @@ SELECT vec_id, CAST(min(i) FILTER (reached > CAST('0x' || sha256(vec_id || chr(1
 )
 def sample_draw(spark, sf_dir):
     rows = _logits(spark, sf_dir)
-    return rows.select("vec_id", sampling.draw(sampling.softmax(sampling.filtered(F.col("logits"), sampling.DIVERSE)), F.col("vec_id"), F.lit(7)).alias("token_id"))
+    return rows.select(
+        "vec_id", sampling.draw(sampling.softmax(sampling.filtered(F.col("logits"), sampling.DIVERSE)), F.col("vec_id"), F.lit(7)).alias("token_id"),
+    )
 
 
 @query(
@@ -251,7 +273,9 @@ def sample_draw(spark, sf_dir):
 FROM lineitem GROUP BY ALL"""
 )
 def stop_rule(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", sampling.stop(F.col("l_partkey") % 5, F.col("l_linenumber") - 1, F.lit(4), [0]).alias("s"))
+    rows = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", sampling.stop(F.col("l_partkey") % 5, F.col("l_linenumber") - 1, F.lit(4), [0]).alias("s"),
+    )
     return rows.groupBy("l_orderkey", "l_linenumber", "s.retain", "s.stop", "s.reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -301,7 +325,10 @@ def batch_totals(spark, sf_dir):
 def throughput_eta(spark, sf_dir):
     rows = read_table(spark, sf_dir, "events")
     done = F.col("event_id") % 100
-    return rows.select("event_id", F.round(scheduling.throughput(F.col("event_id"), F.col("value")), 6).alias("tokens_per_second"), F.round(scheduling.remaining_seconds(F.lit(100), done, F.lit(10), F.lit(5.0)), 6).alias("eta"))
+    return rows.select(
+        "event_id", F.round(scheduling.throughput(F.col("event_id"), F.col("value")), 6).alias("tokens_per_second"),
+        F.round(scheduling.remaining_seconds(F.lit(100), done, F.lit(10), F.lit(5.0)), 6).alias("eta"),
+    )
 
 
 # ---- constraints ---------------------------------------------------------------------------------
@@ -315,7 +342,10 @@ def token_key_dupes(spark, sf_dir):
 @query("SELECT l_orderkey, count(*) AS n, CAST(min(l_linenumber) AS BIGINT) AS first, CAST(max(l_linenumber) AS BIGINT) AS last, count(DISTINCT l_linenumber) AS distinct_steps FROM lineitem GROUP BY l_orderkey HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)")
 def token_contiguity(spark, sf_dir):
     found = constraints.contiguity(read_table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
-    return found.select("l_orderkey", "n", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.col("distinct").alias("distinct_steps"))
+    return found.select(
+        "l_orderkey", "n", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"),
+        F.col("distinct").alias("distinct_steps"),
+    )
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -356,7 +386,10 @@ def family_alignment(spark, sf_dir):
 UNION ALL (SELECT l_orderkey, l_linenumber, 'undeclared' FROM lineitem WHERE l_partkey % 10 > 0 EXCEPT ALL SELECT l_orderkey, l_linenumber, 'undeclared' FROM lineitem WHERE l_partkey % 10 < 9)""")
 def declared_vs_actual(spark, sf_dir):
     items = read_table(spark, sf_dir, "lineitem")
-    return constraints.set_difference(items.where("l_partkey % 10 < 9").select("l_orderkey", "l_linenumber"), items.where("l_partkey % 10 > 0").select("l_orderkey", "l_linenumber"))
+    return constraints.set_difference(
+        items.where("l_partkey % 10 < 9").select("l_orderkey", "l_linenumber"),
+        items.where("l_partkey % 10 > 0").select("l_orderkey", "l_linenumber"),
+    )
 
 
 @query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 50 <> 7), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 60 = 3 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 70 <> 9)
@@ -369,7 +402,9 @@ def positional_diff(spark, sf_dir):
 
 @query("SELECT l_suppkey % 16 AS shard_id, count(*) AS token_count, min(l_linenumber) AS min_step, max(l_linenumber) AS max_step FROM lineitem GROUP BY 1")
 def shard_inventory(spark, sf_dir):
-    return constraints.inventory(read_table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 16).alias("shard_id"), F.col("l_linenumber").alias("step")))
+    return constraints.inventory(read_table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 16).alias("shard_id"), F.col("l_linenumber").alias("step"),
+    ))
 
 
 @query("""SELECT 'unique_lines' AS rule, count(*) AS n_violations FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
@@ -379,7 +414,10 @@ def constraint_report(spark, sf_dir):
     tables = {n: read_table(spark, sf_dir, n) for n in ("lineitem", "orders")}
     rules = [
         constraints.Rule("unique_lines", lambda t: constraints.duplicates(t["lineitem"], ["l_orderkey", "l_linenumber"])),
-        constraints.Rule("lines_have_order", lambda t: constraints.orphans(t["lineitem"], t["orders"].withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"])),
+        constraints.Rule(
+            "lines_have_order",
+            lambda t: constraints.orphans(t["lineitem"], t["orders"].withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"]),
+        ),
         constraints.Rule("contiguous_lines", lambda t: constraints.contiguity(t["lineitem"], ["l_orderkey"], "l_linenumber")),
     ]
     return constraints.check(tables, rules)
@@ -413,12 +451,16 @@ def run_ids(spark, sf_dir):
 FROM (SELECT n_name AS dataset, r_name AS strategy FROM nation, region), (SELECT unnest(range(0, 3)) AS k)""")
 def rollout_seeds(spark, sf_dir):
     rows = matrix.expected_rollouts(_cells(spark, sf_dir).withColumn("sample_id", F.lit("s-1")), 3)
-    return matrix.with_seeds(rows, 42).select("dataset", "strategy", F.col("rollout_index").cast("long").alias("rollout_index"), F.col("rollout_seed").cast("string").alias("rollout_seed"))
+    return matrix.with_seeds(rows, 42).select(
+        "dataset", "strategy", F.col("rollout_index").cast("long").alias("rollout_index"), F.col("rollout_seed").cast("string").alias("rollout_seed"),
+    )
 
 
 @query("SELECT item_id, 'sample-' || sha256(text)[1:16] || '-r' || lpad(CAST(item_id AS VARCHAR), 4, '0') || '-' || lpad(CAST(item_id + 31 AS VARCHAR), 4, '0') AS shard_id FROM benchmark")
 def shard_ids(spark, sf_dir):
-    return read_table(spark, sf_dir, "benchmark").select("item_id", identity.shard_id(F.col("text"), F.col("item_id"), F.col("item_id") + 31).alias("shard_id"))
+    return read_table(spark, sf_dir, "benchmark").select(
+        "item_id", identity.shard_id(F.col("text"), F.col("item_id"), F.col("item_id") + 31).alias("shard_id"),
+    )
 
 
 @query("""SELECT conv_id, sha256(unhex(string_agg(lpad(hex(octet_length(encode(text))), 16, '0') || hex(encode(text)), '' ORDER BY turn))) AS digest FROM conversations GROUP BY conv_id""")
@@ -481,7 +523,9 @@ def rendered_prompts(spark, sf_dir):
 def image_placeholders(spark, sf_dir):
     text = F.concat("text", F.lit("<image 1> and <image 1>"))
     parts = T.image_parts(text, F.array(F.lit(1), F.lit(2)))
-    return read_table(spark, sf_dir, "benchmark").select("item_id", F.transform(parts, lambda p: F.coalesce(p["text"], F.concat(F.lit("#"), p["number"].cast("string")))).alias("parts"))
+    return read_table(spark, sf_dir, "benchmark").select(
+        "item_id", F.transform(parts, lambda p: F.coalesce(p["text"], F.concat(F.lit("#"), p["number"].cast("string")))).alias("parts"),
+    )
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lower(trim(lang)) = 'fr' AND source = 'src4'")
@@ -492,7 +536,9 @@ def source_filter(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal, o_orderkey FROM orders")
 def source_ordinal(spark, sf_dir):
-    return scheduling.with_ordinal(read_table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).select("ordinal", "o_orderkey")
+    return scheduling.with_ordinal(
+        read_table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"],
+    ).select("ordinal", "o_orderkey")
 
 
 @query("SELECT CAST(item_id AS VARCHAR) AS sample_id, text FROM benchmark WHERE item_id IN (7, 3, 11)")
@@ -534,7 +580,10 @@ CASE WHEN turn % 4 IN (0, 3) THEN conv_id % 5 = conv_id % 3 END AS is_correct, C
 def _scored(spark: SparkSession, sf_dir: str, kind: str, gold: Column) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")
     question = F.lit("Which?\n(A) red\n[B] green\nC) blue\nD: black\nE. white")
-    made = rows.select("conv_id", "turn", "role", _generated().alias("generated_text"), question.alias("question"), gold.alias("ground_truth"), F.lit(kind).alias("answer_type"))
+    made = rows.select(
+        "conv_id", "turn", "role", _generated().alias("generated_text"), question.alias("question"), gold.alias("ground_truth"),
+        F.lit(kind).alias("answer_type"),
+    )
     return scoring.score(made)
 
 
@@ -569,7 +618,9 @@ def numeric_rounding(spark, sf_dir):
 def normalized_text(spark, sf_dir):
     rows = read_table(spark, sf_dir, "part")
     return rows.select(
-        "p_partkey", T.normalize_choice(F.concat(F.lit("( "), F.col("p_type"), F.lit(". )"))).alias("choice"), T.strip_latex(F.concat(F.lit("$\\text{a }\\mathrm{"), F.col("p_brand"), F.lit("}$ "))).alias("latex"),
+        "p_partkey", T.normalize_choice(F.concat(F.lit("( "), F.col("p_type"), F.lit(". )"))).alias("choice"), T.strip_latex(F.concat(
+            F.lit("$\\text{a }\\mathrm{"), F.col("p_brand"), F.lit("}$ "),
+        )).alias("latex"),
         T.normalize_answer(F.concat(F.col("p_size").cast("string"), F.lit(".00%"))).alias("answer"),
     )
 
@@ -597,7 +648,9 @@ def pending_scores(spark, sf_dir):
 def scored_or_failed(spark, sf_dir):
     docs, labels = read_table(spark, sf_dir, "documents").select("doc_id"), read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     found, failed = scoring.with_examples(docs, labels, ["doc_id"], ["quality"])
-    return found.select("doc_id", "quality", F.lit(None).cast("string").alias("error")).unionByName(failed.select("doc_id", F.lit(None).cast("int").alias("quality"), "error"))
+    return found.select(
+        "doc_id", "quality", F.lit(None).cast("string").alias("error"),
+    ).unionByName(failed.select("doc_id", F.lit(None).cast("int").alias("quality"), "error"))
 
 
 @query(_MCQ_SQL.replace("FROM conversations", "FROM conversations WHERE role = 'assistant'"))

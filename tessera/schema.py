@@ -25,7 +25,9 @@ PROBABILITY_METRICS = PROBABILITY_FLOATS + PROBABILITY_INTEGERS
 SCENARIOS = {"all_layers_all_heads": (1, 36), "early_visual_integration": (1, 21), "visual_reasoning": (22, 34)}
 ATTENTION_GROUPS = ("img_attn", "prompt_text_attn", "generated_text_attn", "prompt_generated_text_attn", "all_attn")
 ATTENTION_SUFFIXES = ("total", "avg", "gini", "entropy", "kl_u_p", "kl_p_u", "dist_perplexity")
-ATTENTION_RATIOS = tuple(f"attn_ratio_{x}" for x in ("img_to_prompt_text", "img_to_generated_text", "img_to_all", "prompt_text_to_all", "generated_text_to_all", "prompt_generated_text_to_all"))
+ATTENTION_RATIOS = tuple(f"attn_ratio_{x}" for x in (
+    "img_to_prompt_text", "img_to_generated_text", "img_to_all", "prompt_text_to_all", "generated_text_to_all", "prompt_generated_text_to_all",
+))
 ATTENTION_METRICS = tuple(f"{g}_{s}" for g in ATTENTION_GROUPS for s in ATTENTION_SUFFIXES) + ATTENTION_RATIOS
 HIDDEN_METRICS = tuple(f"cosine_gen_imgproto_hidden_{x}" for x in ("avg_all_layers", "last_layer", "early_visual_integration", "visual_reasoning"))
 
@@ -44,7 +46,9 @@ def nullable(name: str, kind: DataType) -> StructField:
     return StructField(name, kind, True)
 
 
-IMAGES = ArrayType(StructType([nullable("source_ref", STRING), field("sha256", STRING), field("width", INT), field("height", INT), field("mode", STRING)]), False)
+IMAGES = ArrayType(
+    StructType([nullable("source_ref", STRING), field("sha256", STRING), field("width", INT), field("height", INT), field("mode", STRING)]), False,
+)
 
 # The stored tables, column by column.
 EXAMPLE_FIELDS = [field("run_id", STRING), field("dataset", STRING), field("split", STRING), field("sample_id", STRING)]

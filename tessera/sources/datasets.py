@@ -63,7 +63,10 @@ def equals(df: DataFrame, wanted: dict, loose: bool = False) -> Column:
 def read_ordered(spark: SparkSession, path: str) -> DataFrame:
     """All rows of a file or a directory of files with ``source_row_index``: by file name, then by place in the file."""
     df = ship(spark).read.parquet(path)
-    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+    rows = df.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
     return with_ordinal(rows, ["_file", "_block", "_place"], "source_row_index").drop("_block", "_place")
 
 
@@ -94,10 +97,16 @@ def with_files(rows: DataFrame, names: list[str], path: str) -> DataFrame:
             continue
         base = F.regexp_extract("_file", "^(.*/)[^/]*$", 1)
         full = F.when(where.rlike("^[a-z]+:/"), where).when(where.startswith("/"), F.concat(F.lit("file:"), where)).otherwise(F.concat(base, where))
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_FILES).load(root).select(_bare(F.col("path")).alias("_path"), F.col("content").alias("_content"))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_FILES).load(root).select(
+            _bare(F.col("path")).alias("_path"), F.col("content").alias("_content"),
+        )
         joined = rows.withColumn("_path", F.when(alone, _bare(full))).join(files, "_path", "left")
-        read = F.when(F.col("_path").isNull(), data).otherwise(F.coalesce("_content", F.raise_error(F.concat(F.lit("no image "), F.col("_path"))).cast("binary")))
-        rows = joined.withColumn(name, F.when(F.col(name).isNotNull(), F.struct(read.alias("bytes"), F.col(f"{name}.path").alias("path")))).drop("_path", "_content")
+        read = F.when(F.col("_path").isNull(), data).otherwise(F.coalesce(
+            "_content", F.raise_error(F.concat(F.lit("no image "), F.col("_path"))).cast("binary"),
+        ))
+        rows = joined.withColumn(
+            name, F.when(F.col(name).isNotNull(), F.struct(read.alias("bytes"), F.col(f"{name}.path").alias("path"))),
+        ).drop("_path", "_content")
     return rows
 
 
@@ -132,7 +141,9 @@ def typed(kind: Column, answer: Column, question: Column) -> Column:
     """multiple_choice if the source says choice, or if the answer is the letter of a choice in the question; else freeform."""
     letters = F.transform(T.choices(question), lambda c: c["key"])
     letter = F.upper(T.strip(answer))
-    return F.when(F.lower(F.coalesce(kind, F.lit(""))).contains("choice") | (letter.rlike(r"\A[A-Z]\z") & F.array_contains(letters, letter)), "multiple_choice").otherwise("freeform")
+    return F.when(
+        F.lower(F.coalesce(kind, F.lit(""))).contains("choice") | (letter.rlike(r"\A[A-Z]\z") & F.array_contains(letters, letter)), "multiple_choice",
+    ).otherwise("freeform")
 
 
 def math_diagrams(spark: SparkSession, path: str, where: dict | None = None, template: str = "reasoning_boxed_v1") -> DataFrame:
@@ -159,7 +170,9 @@ def math_figures(spark: SparkSession, path: str, where: dict | None = None, temp
     question, answer = F.coalesce(column(rows, "question"), F.lit("")), F.coalesce(column(rows, "answer").cast("string"), F.lit(""))
     ids = F.coalesce(T.blank_to_null(column(rows, "pid").cast("string")), F.raise_error(F.lit("blank sample id")))
     asked = T.with_choices(question, options)
-    details = {n: text_or_empty(rows, n) for n in ("unit", "precision", "question_type")} | {n: text_or_empty(rows, f"metadata.{n}") for n in ("category", "context", "grade", "language", "source", "split", "task")}
+    details = {n: text_or_empty(rows, n) for n in ("unit", "precision", "question_type")} | {n: text_or_empty(rows, f"metadata.{n}") for n in (
+        "category", "context", "grade", "language", "source", "split", "task",
+    )}
     skills = column(rows, "metadata.skills", "array<string>")
     details["skills"] = F.coalesce(skills, F.array().cast("array<string>"))
     return rows.select(
@@ -188,7 +201,10 @@ def exam_questions(spark: SparkSession, path: str, where: dict | None = None, te
     options = column(rows, "options", "array<string>") if listed else literal_list(column(rows, "options"))
     rows = rows.withColumn("options_", options)
     sound = F.size("options_").between(2, 26) & (F.size("images_") >= 1)
-    rows = rows.withColumn("options_", F.when(sound, F.col("options_")).otherwise(F.raise_error(F.lit("an exam question needs 2 to 26 options and an image")).cast("array<string>")))
+    rows = rows.withColumn(
+        "options_",
+        F.when(sound, F.col("options_")).otherwise(F.raise_error(F.lit("an exam question needs 2 to 26 options and an image")).cast("array<string>")),
+    )
     question = F.coalesce(column(rows, "question"), F.lit(""))
     asked = T.stripped_options(question, F.col("options_"))
     details = {n: text_or_empty(rows, n) for n in ("explanation", "img_type", "topic_difficulty", "subject")} | {"options": F.col("options_")}

@@ -45,12 +45,17 @@ def reader_diagrams(spark, sf_dir):
     answer = F.when(F.col("item_id") % 8 == 0, F.char(65 + F.col("item_id") % 3)).otherwise(F.col("item_id").cast("string"))
     source = rows.select(
         "item_id", F.when(F.col("item_id") % 3 != 0, F.col("item_id").cast("string")).alias("sample_index"), F.lit(" ").alias("problem_index"), F.when(F.col("item_id") % 2 == 0, " Vision ").otherwise("Text").alias("problem_version"),
-        F.col("text").alias("question"), answer.alias("answer"), F.concat("text", F.lit("\n(A) one\n(B) two")).alias("question_for_eval"), F.struct(F.col("text").cast("binary").alias("bytes"), F.lit(None).cast("string").alias("path")).alias("image"),
+        F.col("text").alias("question"), answer.alias("answer"), F.concat("text", F.lit("\n(A) one\n(B) two")).alias("question_for_eval"), F.struct(
+            F.col("text").cast("binary").alias("bytes"), F.lit(None).cast("string").alias("path"),
+        ).alias("image"),
     )
     source.repartition(1).sortWithinPartitions("item_id").drop("item_id").write.parquet(path)
     found = adapters.adapter("mathverse").examples(spark, path, {"problem_version": "VISION"})
     image = F.get("images", F.lit(0))
-    return found.select("source_row_index", "sample_id", "ground_truth", "answer_type", "eval_question", image["sha256"].alias("image_sha256"), image["size"].alias("image_size"), "metadata_json")
+    return found.select(
+        "source_row_index", "sample_id", "ground_truth", "answer_type", "eval_question", image["sha256"].alias("image_sha256"),
+        image["size"].alias("image_size"), "metadata_json",
+    )
 
 
 @query("""SELECT CAST(item_id AS VARCHAR) AS sample_id, CASE WHEN item_id % 2 = 0 THEN 'B' ELSE '7' END AS ground_truth, CASE WHEN item_id % 2 = 0 THEN 'multiple_choice' ELSE 'freeform' END AS answer_type,
@@ -59,7 +64,10 @@ def reader_figures(spark, sf_dir):
     path, rows = _scratch(spark, "figures"), read_table(spark, sf_dir, "benchmark")
     even, number = F.col("item_id") % 2 == 0, F.col("item_id").cast("string")
     options = F.when(even, F.array(F.lit("red"), F.concat(F.lit("Blue "), number)))
-    rows.select(number.alias("pid"), F.col("text").alias("question"), options.alias("choices"), F.when(even, F.concat(F.lit(" blue "), number)).otherwise("7").alias("answer")).write.parquet(path)
+    rows.select(
+        number.alias("pid"), F.col("text").alias("question"), options.alias("choices"),
+        F.when(even, F.concat(F.lit(" blue "), number)).otherwise("7").alias("answer"),
+    ).write.parquet(path)
     return adapters.adapter("mathvista").examples(spark, path).select("sample_id", "ground_truth", "answer_type", "rendered_prompt")
 
 
@@ -69,14 +77,21 @@ def reader_exams(spark, sf_dir):
     number = F.col("item_id").cast("string")
     picture = lambda k: F.when(F.col("item_id") % 3 >= k, F.struct(F.lit(b"x").alias("bytes"), F.lit(None).cast("string").alias("path"))).alias(f"image_{k + 1}")
     options = F.concat(F.lit("[\"it's "), number, F.lit("\", '\"two\"']"))
-    rows.select(F.concat(F.lit("q"), number).alias("id"), F.col("text").alias("question"), options.alias("options"), F.lit("A").alias("answer"), *map(picture, range(3))).repartition(3).write.parquet(path)
-    return adapters.adapter("mmmu_pro").examples(spark, path).select("sample_id", "eval_question", "ground_truth", F.size("images").cast("long").alias("n_images"))
+    rows.select(
+        F.concat(F.lit("q"), number).alias("id"), F.col("text").alias("question"), options.alias("options"), F.lit("A").alias("answer"),
+        *map(picture, range(3)),
+    ).repartition(3).write.parquet(path)
+    return adapters.adapter("mmmu_pro").examples(spark, path).select(
+        "sample_id", "eval_question", "ground_truth", F.size("images").cast("long").alias("n_images"),
+    )
 
 
 @query(f"SELECT item_id, [text || ' see ', '#1', ' and ', '<image 1>', '#2', chr(10) || chr(10) || 'A. yes' || chr(10) || 'B. no' || {_TAIL}] AS parts FROM benchmark")
 def reader_messages(spark, sf_dir):
     rows = read_table(spark, sf_dir, "benchmark").select(
-        "item_id", F.concat("text", F.lit(" see <image 1> and <image 1>")).alias("question"), F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.struct(n.alias("number"))).alias("images"), F.lit('{"options":["yes","no"]}').alias("metadata_json")
+        "item_id", F.concat("text", F.lit(" see <image 1> and <image 1>")).alias("question"), F.transform(
+            F.array(F.lit(1), F.lit(2)), lambda n: F.struct(n.alias("number")),
+        ).alias("images"), F.lit('{"options":["yes","no"]}').alias("metadata_json")
     )
     parts = F.get("messages", F.lit(0))["content"]
     said = F.transform(parts, lambda p: F.coalesce(p["text"], F.concat(F.lit("#"), p["number"].cast("string"))))
@@ -98,7 +113,10 @@ def first_numbers(spark, sf_dir):
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'B' END AS letter FROM conversations")
 def lenient_boxes(spark, sf_dir):
     said = F.concat("text", F.lit(" <boxed>a, then "), F.when(F.col("turn") % 2 == 0, F.lit("boxed { (b")).otherwise(F.lit("unboxed")))
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, T.lenient_boxed_letter(said)).otherwise(T.lenient_boxed_letter(F.col("text"))).alias("letter"))
+    return read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn",
+        F.when(F.col("turn") % 2 == 0, T.lenient_boxed_letter(said)).otherwise(T.lenient_boxed_letter(F.col("text"))).alias("letter"),
+    )
 
 
 @query("SELECT p_partkey, ['it''s ' || p_brand, p_type || '\"', 'c'] AS options FROM part")
@@ -127,12 +145,16 @@ def example_records(spark, sf_dir):
     )
     store = commits.Store(spark, _scratch(spark, "examples"))
     commits.write_examples(store, records.example_rows(made, "r", "d", "t", F.transform(F.split("question", " "), F.length)))
-    return commits.read_examples(store).select("run_id", "sample_id", F.col("prompt_token_count").cast("long").alias("prompt_token_count"), "ground_truth_json")
+    return commits.read_examples(store).select(
+        "run_id", "sample_id", F.col("prompt_token_count").cast("long").alias("prompt_token_count"), "ground_truth_json",
+    )
 
 
 @query("""SELECT item_id, sha256('{"prompt_token_ids":[' || item_id || ',7],"rendered_prompt":' || CAST(to_json(text) AS VARCHAR) || '}') AS hash FROM benchmark""")
 def prompt_hashes(spark, sf_dir):
-    return read_table(spark, sf_dir, "benchmark").select("item_id", records.prompt_hash(F.col("text"), F.array(F.col("item_id"), F.lit(7).cast("long"))).alias("hash"))
+    return read_table(spark, sf_dir, "benchmark").select(
+        "item_id", records.prompt_hash(F.col("text"), F.array(F.col("item_id"), F.lit(7).cast("long"))).alias("hash"),
+    )
 
 
 @query("SELECT o_orderkey, 'exp-' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '-' || sha256(o_orderpriority)[1:8] AS group_id FROM orders")
@@ -146,7 +168,9 @@ def score_details(spark, sf_dir):
     shard = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
     rows = read_table(spark, sf_dir, "conversations").select(
         "conv_id", *[F.lit(c).alias(c) for c in ("run_id", "dataset", "split", "strategy")], F.col("conv_id").cast("string").alias("sample_id"), F.col("turn").cast("int").alias("rollout_index"), shard.alias("shard_id"), F.lit(True).alias("is_correct"),
-        *[F.lit("x").alias(c) for c in ("raw_final_answer", "extracted_answer", "scorer_method")], F.lit("freeform").alias("answer_type"), F.concat(F.lit('{"answer":"'), F.col("conv_id").cast("string"), F.lit('"}')).alias("ground_truth_json"), F.lit('{"k":1}').alias("extra"),
+        *[F.lit("x").alias(c) for c in ("raw_final_answer", "extracted_answer", "scorer_method")], F.lit("freeform").alias("answer_type"), F.concat(
+            F.lit('{"answer":"'), F.col("conv_id").cast("string"), F.lit('"}'),
+        ).alias("ground_truth_json"), F.lit('{"k":1}').alias("extra"),
     )
     made = scoring_run.score_rows(rows, {"name": "n", "version": "1", "code_hash": "c", "config_hash": "d"}, NOW)
     return made.select(F.col("sample_id").cast("long").alias("conv_id"), "score_shard_id", "score_details_json").distinct()
@@ -163,7 +187,9 @@ def attn_counts(spark, sf_dir):
 @query("SELECT label, max(CASE WHEN layer = 5 THEN 1 ELSE 0 END) = 0 AND count(*) > 0 AS has_all, max(CASE WHEN layer = 5 THEN 1 ELSE 0 END) = 0 AND count(*) FILTER (layer <= 21) > 0 AS has_early, count(*) FILTER (layer BETWEEN 22 AND 34) > 0 AS has_reasoning FROM (SELECT label, vec_id % 36 + 1 AS layer FROM embeddings) GROUP BY label")
 def attn_null_layers(spark, sf_dir):
     """A null vector in layer 5 makes the scenarios that hold this layer invalid, and no other."""
-    rows = _attention_rows(spark, sf_dir).withColumn("layer", (F.col("vec_id") % 36 + 1).cast("int")).withColumn("attention", F.when(F.col("layer") != 5, F.col("attention")))
+    rows = _attention_rows(spark, sf_dir).withColumn("layer", (F.col("vec_id") % 36 + 1).cast("int")).withColumn(
+        "attention", F.when(F.col("layer") != 5, F.col("attention")),
+    )
     means = attention.mean_over_layers(rows, ["label"])
     return means.select("label", *[F.col(s).isNotNull().alias(n) for s, n in zip(SCENARIOS, ("has_all", "has_early", "has_reasoning"))])
 
@@ -200,20 +226,27 @@ c AS (SELECT *, CASE WHEN tag = '<br' AND depth = 1 THEN 'image' WHEN tag IN ('<
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = read_table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(</?[a-z0-9]+)"), F.lit(1))).alias("pos", "tag"))
+    tags = read_table(spark, sf_dir, "pages").select(
+        "page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(</?[a-z0-9]+)"), F.lit(1))).alias("pos", "tag"),
+    )
     is_ = lambda t: F.col("tag") == t
     return positions.spans(tags, ["page_id"], "pos", is_("<p"), is_("</p"), is_("<br"), is_("<li"))
 
 
 @query(f"{_SPANS} SELECT page_id, kind, error, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places, max(depth) AS depth FROM c GROUP BY page_id, kind, error")
 def prompt_kinds(spark, sf_dir):
-    return _classified(spark, sf_dir).groupBy("page_id", "kind", "error").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").cast("long").alias("places"), F.max("depth").alias("depth"))
+    return _classified(spark, sf_dir).groupBy("page_id", "kind", "error").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pos").cast("long").alias("places"), F.max("depth").alias("depth"),
+    )
 
 
 @query(f"{_SPANS} SELECT page_id, count(*) FILTER (kind = 'image') AS n_image, CAST(sum(pos) FILTER (kind = 'text') AS BIGINT) AS text_places, count(error) AS n_errors, count(*) FILTER (tag = '<p') > count(*) FILTER (tag = '</p') AS unterminated FROM c GROUP BY page_id")
 def prompt_groups(spark, sf_dir):
     made = positions.groups(_classified(spark, sf_dir), ["page_id"], "pos", F.col("tag") == "<p", F.col("tag") == "</p")
-    return made.select("page_id", F.size("image").cast("long").alias("n_image"), F.nullif(F.aggregate("prompt", F.lit(0).cast("long"), lambda s, x: s + x), F.lit(-1)).alias("text_places"), "n_errors", "unterminated")
+    return made.select(
+        "page_id", F.size("image").cast("long").alias("n_image"),
+        F.nullif(F.aggregate("prompt", F.lit(0).cast("long"), lambda s, x: s + x), F.lit(-1)).alias("text_places"), "n_errors", "unterminated",
+    )
 
 
 # ---- scores ----------------------------------------------------------------------------------------
@@ -239,7 +272,10 @@ def freeform_stated(spark, sf_dir):
     said = F.concat(F.lit("The value of it is 1,00"), turn.cast("string"), F.when(even, " / 2").otherwise(".50"))
     right = F.when(even, ((1000 + turn) / 2).cast("decimal(10,1)").cast("string")).otherwise(F.concat((1000 + turn).cast("string"), F.lit(".5")))
     gold = F.when(F.col("conv_id") % 2 == 0, right).otherwise(F.concat(right, F.lit("1")))
-    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit("\n"), said).alias("generated_text"), F.lit("q").alias("question"), gold.alias("ground_truth"), F.lit("freeform").alias("answer_type"))
+    rows = read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat("text", F.lit("\n"), said).alias("generated_text"), F.lit("q").alias("question"), gold.alias("ground_truth"),
+        F.lit("freeform").alias("answer_type"),
+    )
     return scoring.score(rows).select("conv_id", "turn", "extracted_answer", "scorer_method", "is_correct")
 
 
@@ -249,7 +285,9 @@ def numeric_exact(spark, sf_dir):
     k = F.col("p_partkey")
     whole = F.concat(F.lit("98765432101234567"), k.cast("string"))
     double = (whole.cast("decimal(38,0)") * 2 + F.when(k % 3 == 1, 1).otherwise(0)).cast("string")
-    long, other = F.concat(F.lit("0.000000000000000000"), k.cast("string")), F.concat(F.lit("0.000000000000000000"), (k + F.when(k % 2 == 0, 0).otherwise(1)).cast("string"))
+    long, other = F.concat(F.lit("0.000000000000000000"), k.cast("string")), F.concat(
+        F.lit("0.000000000000000000"), (k + F.when(k % 2 == 0, 0).otherwise(1)).cast("string"),
+    )
     return read_table(spark, sf_dir, "part").select(
         "p_partkey", scoring.numeric_equal(F.concat(double, F.lit("/2")), whole).alias("fraction"), scoring.numeric_equal(long, other).alias("decimals"),
         (T.strip_latex(F.concat(k.cast("string"), F.lit("\\;cm;"))) == F.concat(k.cast("string"), F.lit(" cm;"))).alias("spaced"),
@@ -266,8 +304,13 @@ def python_scorer(spark, sf_dir):
             raise ValueError("not this one")
         return None if int(question) % 3 == 0 else {"is_correct": len(said) % 2 == 0, "scorer_method": "parity", "length": len(said)}
 
-    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").cast("string").alias("question"), F.lit("").alias("ground_truth"), F.lit("freeform").alias("answer_type"), F.col("text").alias("generated_text"))
-    return scoring_run.Scorer("parity", "1", parity).results(rows).select("conv_id", "turn", "is_correct", "scorer_method", "extra", F.substring_index("error", ":", 1).alias("error"))
+    rows = read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("turn").cast("string").alias("question"), F.lit("").alias("ground_truth"), F.lit("freeform").alias("answer_type"),
+        F.col("text").alias("generated_text"),
+    )
+    return scoring_run.Scorer("parity", "1", parity).results(rows).select(
+        "conv_id", "turn", "is_correct", "scorer_method", "extra", F.substring_index("error", ":", 1).alias("error"),
+    )
 
 
 _RUN = {"run_id": "r", "dataset": "d", "split": "t", "strategy": "s"}
@@ -275,9 +318,14 @@ _RUN = {"run_id": "r", "dataset": "d", "split": "t", "strategy": "s"}
 
 def _core(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Core tables of a run: a generation for each conversation, a token for each of its turns; with faults by the conversation's number."""
-    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("token_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("step"))
+    turns = read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.length("text").alias("token_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("step"),
+    )
     c = F.col("conv_id")
-    key = [*[F.lit(v).alias(k) for k, v in _RUN.items() if k != "strategy"], c.cast("string").alias("sample_id"), F.lit("s").alias("strategy"), F.lit(0).alias("rollout_index")]
+    key = [
+        *[F.lit(v).alias(k) for k, v in _RUN.items() if k != "strategy"], c.cast("string").alias("sample_id"), F.lit("s").alias("strategy"),
+        F.lit(0).alias("rollout_index"),
+    ]
     shard = (c % 4).cast("string").alias("shard_id")
     ids = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "token_id"))), lambda x: x["token_id"]).alias("ids"))
     kept = F.when(c % 7 == 0, F.slice("ids", 1, F.size("ids") - 1)).otherwise(F.col("ids"))
@@ -291,13 +339,22 @@ def _core(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     generations = generations.unionByName(twice).drop("conv_id")
     step = F.col("step")
     prompt = F.when(c % 23 == 0, 0).otherwise(5)
-    tokens = turns.select(*key, "step", shard, "token_id", F.lit("p").alias("token_piece"), F.lit("t").alias("token_text"), (prompt + step - 2).alias("predictor_position"), (prompt + step - 1 + F.when(c % 13 == 0, 1).otherwise(0)).alias("context_length"))
+    tokens = turns.select(
+        *key, "step", shard, "token_id", F.lit("p").alias("token_piece"), F.lit("t").alias("token_text"),
+        (prompt + step - 2).alias("predictor_position"), (prompt + step - 1 + F.when(c % 13 == 0, 1).otherwise(0)).alias("context_length"),
+    )
     valid = c % 5 != 0
     probability = turns.select(*key, "step", shard, valid.alias("metrics_valid"), F.when(~valid & (c % 10 == 0), "broken").alias("invalid_reason"))
     generated = step - 1 + F.when(c % 17 == 0, 1).otherwise(0)
-    heads = turns.select(*key, "step", shard, F.lit(3).alias("n_image_tokens"), F.lit(2).alias("n_prompt_text_tokens"), generated.alias("n_generated_text_tokens"), (generated + 2).alias("n_prompt_generated_text_tokens"), (generated + 5).alias("n_all_attn_tokens"))
+    heads = turns.select(
+        *key, "step", shard, F.lit(3).alias("n_image_tokens"), F.lit(2).alias("n_prompt_text_tokens"), generated.alias("n_generated_text_tokens"),
+        (generated + 2).alias("n_prompt_generated_text_tokens"), (generated + 5).alias("n_all_attn_tokens"),
+    )
     hidden_ = turns.where("conv_id % 31 <> 0 or step <> 1").select(*key, "step", shard)
-    return {"generations": generations, "tokens": tokens, "token_probability_metrics": probability, "token_attention_metrics": heads, "token_hidden_state_metrics": hidden_}
+    return {
+        "generations": generations, "tokens": tokens, "token_probability_metrics": probability, "token_attention_metrics": heads,
+        "token_hidden_state_metrics": hidden_,
+    }
 
 
 @query("""WITH t AS (SELECT conv_id, turn, length(text) AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM conversations), c AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)
@@ -316,7 +373,10 @@ def storage_report(spark, sf_dir):
     # the list of ids against rows is a rule of rollouts that are stored once
     once = tables | {"generations": tables["generations"].where("shard_id <> 'other'")}
     named = {r.name: r for r in constraints.storage_rules()}
-    every = ("stop_reason", "context_alignment", "attention_counts", "validity_reason", "generation_ranges", "one_shard_per_rollout", "unique_generations", "aligned_token_hidden_state_metrics")
+    every = (
+        "stop_reason", "context_alignment", "attention_counts", "validity_reason", "generation_ranges", "one_shard_per_rollout", "unique_generations",
+        "aligned_token_hidden_state_metrics",
+    )
     return constraints.check(once, [named["token_ids_match"]]).unionByName(constraints.check(tables, [named[n] for n in every]))
 
 
@@ -367,7 +427,10 @@ def scored_run(spark, sf_dir):
     failed.write.parquet(kept := _scratch(spark, "failed"))
     scoring_run.score_run(store, "r", scorer, scored_at=NOW)
     truth = F.get_json_object("score_details_json", "$.ground_truth.answer").alias("truth")
-    scores = commits.read_committed(store, "scores").select("sample_id", F.col("rollout_index").cast("long").alias("rollout_index"), "extracted_answer", "is_correct", "scorer_method", truth, F.lit("scored").alias("outcome"))
+    scores = commits.read_committed(store, "scores").select(
+        "sample_id", F.col("rollout_index").cast("long").alias("rollout_index"), "extracted_answer", "is_correct", "scorer_method", truth,
+        F.lit("scored").alias("outcome"),
+    )
     return scores.unionByName(spark.read.parquet(kept), allowMissingColumns=True)
 
 
@@ -384,7 +447,10 @@ def stored_inventory(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY event_type")
 def recorded_failures(spark, sf_dir):
     store = commits.Store(spark, _scratch(spark, "failures"))
-    commits.append_failures(store, read_table(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.lit("scoring").alias("stage"), "event_type", F.col("props").alias("message")))
+    commits.append_failures(
+        store,
+        read_table(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.lit("scoring").alias("stage"), "event_type", F.col("props").alias("message")),
+    )
     return commits.failures(store).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -395,7 +461,9 @@ _STATUS = F.expr("CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'pla
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id FROM orders WHERE o_orderstatus <> 'F'")
 def unfinished_runs(spark, sf_dir):
-    return runs.unfinished_runs(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), _STATUS.alias("status"))).select("run_id")
+    return runs.unfinished_runs(read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("run_id"), _STATUS.alias("status"),
+    )).select("run_id")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
@@ -453,9 +521,13 @@ def gate_report(spark, sf_dir):
     from tessera.plans import gate
 
     names = [(r.n_name, r.n_regionkey) for r in read_table(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect()]  # configuration, 25 rows
-    listed = [{"run_id": n, "status": "complete" if k < 9 else "failed", "rollouts": 32, "dataset": n, "split": "t", "filter_id": "all", "strategy": "s"} for n, k in names]
+    listed = [{
+        "run_id": n, "status": "complete" if k < 9 else "failed", "rollouts": 32, "dataset": n, "split": "t", "filter_id": "all", "strategy": "s",
+    } for n, k in names]
     found = gate.manifest_findings({"status": "complete", "git_dirty": False, "runs": listed}, listed, 25, 32, {})
-    measured = read_table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("prompts"), F.lit(32).alias("rollouts"), F.lit(True).alias("complete"), F.col("r_name").alias("ids_hash"))
+    measured = read_table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").alias("prompts"), F.lit(32).alias("rollouts"), F.lit(True).alias("complete"), F.col("r_name").alias("ids_hash"),
+    )
     found += gate.benchmark_findings(measured, [(0, 32), (1, 32)])
     shown = {"run_count", "unique_runs", "all_complete", "benchmark_shapes", "benchmark_ids_agree"}
     return spark.createDataFrame([(f.rule, f.passed) for f in found if f.rule in shown], "rule string, passed boolean")

@@ -16,11 +16,15 @@ def failed(findings):
 
 def test_manifest_rules():
     assert gate.passed(gate.manifest_findings(GROUP, [RUN], 1, 32, {"config_hash": "h"}))
-    assert failed(gate.manifest_findings(GROUP | {"git_dirty": True}, [RUN | {"status": "failed", "split": "x", "rollouts": 8}], 2, 32, {"config_hash": "z"})) == {"run_count", "all_complete", "rollouts_per_example", "clean_source", "parent_agrees", "hash:config_hash"}
+    assert failed(gate.manifest_findings(GROUP | {"git_dirty": True}, [RUN | {"status": "failed", "split": "x", "rollouts": 8}], 2, 32, {"config_hash": "z"})) == {
+        "run_count", "all_complete", "rollouts_per_example", "clean_source", "parent_agrees", "hash:config_hash",
+    }
 
 
 def test_benchmark_rules(spark):
-    rows = spark.createDataFrame([(4, 32, True, "a"), (8, 32, True, "b"), (16, 32, False, "a")], "prompts int, rollouts int, complete boolean, ids_hash string")
+    rows = spark.createDataFrame(
+        [(4, 32, True, "a"), (8, 32, True, "b"), (16, 32, False, "a")], "prompts int, rollouts int, complete boolean, ids_hash string",
+    )
     assert failed(gate.benchmark_findings(rows, [(4, 32), (16, 32)])) == {"benchmark_shapes", "benchmark_ids_agree"}
     assert gate.passed(gate.benchmark_findings(rows.limit(1), [(4, 32)]))
 

@@ -39,7 +39,10 @@ def test_point_mass(spark, form):
 
 
 def test_invalid_rows(spark, form):
-    bad = [(None, 0), ([1.0], 0), ([1.0, math.nan], 0), ([1.0, math.inf], 0), ([-math.inf] * 2, 0), ([1.0, 2.0], 2), ([1.0, 2.0], -1), ([1.0, 2.0], None), ([1.0, None], 0), ([], 0)]
+    bad = [
+        (None, 0), ([1.0], 0), ([1.0, math.nan], 0), ([1.0, math.inf], 0), ([-math.inf] * 2, 0), ([1.0, 2.0], 2), ([1.0, 2.0], -1),
+        ([1.0, 2.0], None), ([1.0, None], 0), ([], 0),
+    ]
     for r in form(spark.createDataFrame(bad, "logits array<double>, selected int")).collect():
         assert not r.metrics_valid and r.invalid_reason == probability.REASON and all(r[m] is None for m in PROBABILITY_METRICS)
 
@@ -115,7 +118,9 @@ def test_stop_rule(spark):
 
 
 def test_schedule(spark):
-    items = spark.createDataFrame([("a", 9, 2, 0), ("b", 3, 0, 1), ("c", 3, 0, 2), ("d", 8, 1, 3), ("e", 2, 0, 4)], "id string, tokens int, images int, ordinal long")
+    items = spark.createDataFrame(
+        [("a", 9, 2, 0), ("b", 3, 0, 1), ("c", 3, 0, 2), ("d", 8, 1, 3), ("e", 2, 0, 4)], "id string, tokens int, images int, ordinal long",
+    )
 
     def batches(*args):
         out = {}
@@ -149,4 +154,6 @@ def test_spans(spark):
 
 
 def test_column_counts():
-    assert {n: len(TABLES[n]) for n in ("token_probability_metrics", "token_attention_metrics", "token_hidden_state_metrics")} == {"token_probability_metrics": 41, "token_attention_metrics": 139, "token_hidden_state_metrics": 16}
+    assert {n: len(TABLES[n]) for n in ("token_probability_metrics", "token_attention_metrics", "token_hidden_state_metrics")} == {
+        "token_probability_metrics": 41, "token_attention_metrics": 139, "token_hidden_state_metrics": 16,
+    }

@@ -14,17 +14,31 @@ from tessera.sources import datasets
 
 QUESTION = "Pick:\n(A) blue\n[B] red\nC) 4\nD: x"
 CASES = [
-    (r"\boxed{1.15}", "", "1.2", "freeform", True, "boxed_freeform"), (r"\boxed{\frac{3}{4}}", "", "0.8", "freeform", False, "boxed_freeform"), ("<boxed>C", QUESTION, "C", "multiple_choice", True, "boxed_letter_lenient"),
-    (r"\boxed{42", "", "42", "freeform", None, "none"), (r"\boxed{\frac{3}{4} cm}", "", "0.75", "freeform", True, "boxed_freeform"), (r"\boxed{45°}", "", "45", "freeform", True, "boxed_freeform"),
-    (r"\boxed{red}", QUESTION, "B", "multiple_choice", True, "boxed_option_text"), (r"so \boxed{B} no, \boxed{ {(C)} }", QUESTION, "C", "multiple_choice", False, "boxed_letter_lenient"), (r"\boxed{ {9} }", QUESTION, "C", "multiple_choice", None, "boxed_unmapped"),
-    ("First. The answer is (B).", QUESTION, "b", "multiple_choice", True, "explicit_answer_letter"), ("I pick option C", QUESTION, "A", "multiple_choice", False, "explicit_answer_letter"), ("Hmm\n\n(D)\n", QUESTION, "D", "multiple_choice", True, "final_line_letter"),
-    ("Hmm\nE.", QUESTION, "E", "multiple_choice", None, "none"), ("The result is 1,234 / 2", "", "617", "freeform", True, "explicit_answer_freeform"), (r"\boxed{1/0}", "", "x", "freeform", False, "boxed_freeform"),
-    (r"\boxed{x=3}", "", "3", "freeform", True, "boxed_freeform"), (r"\boxed{50\%}", "", "50", "freeform", True, "boxed_freeform"), ("", "", "", "freeform", None, "none"), (None, None, None, "multiple_choice", None, "none"),
+    (r"\boxed{1.15}", "", "1.2", "freeform", True, "boxed_freeform"), (r"\boxed{\frac{3}{4}}", "", "0.8", "freeform", False, "boxed_freeform"), (
+        "<boxed>C", QUESTION, "C", "multiple_choice", True, "boxed_letter_lenient",
+    ),
+    (r"\boxed{42", "", "42", "freeform", None, "none"), (
+        r"\boxed{\frac{3}{4} cm}", "", "0.75", "freeform", True, "boxed_freeform",
+    ), (r"\boxed{45°}", "", "45", "freeform", True, "boxed_freeform"),
+    (r"\boxed{red}", QUESTION, "B", "multiple_choice", True, "boxed_option_text"), (
+        r"so \boxed{B} no, \boxed{ {(C)} }", QUESTION, "C", "multiple_choice", False, "boxed_letter_lenient",
+    ), (r"\boxed{ {9} }", QUESTION, "C", "multiple_choice", None, "boxed_unmapped"),
+    (
+        "First. The answer is (B).", QUESTION, "b", "multiple_choice", True, "explicit_answer_letter",
+    ), ("I pick option C", QUESTION, "A", "multiple_choice", False, "explicit_answer_letter"), ("Hmm\n\n(D)\n", QUESTION, "D", "multiple_choice", True, "final_line_letter"),
+    ("Hmm\nE.", QUESTION, "E", "multiple_choice", None, "none"), (
+        "The result is 1,234 / 2", "", "617", "freeform", True, "explicit_answer_freeform",
+    ), (r"\boxed{1/0}", "", "x", "freeform", False, "boxed_freeform"),
+    (r"\boxed{x=3}", "", "3", "freeform", True, "boxed_freeform"), (
+        r"\boxed{50\%}", "", "50", "freeform", True, "boxed_freeform",
+    ), ("", "", "", "freeform", None, "none"), (None, None, None, "multiple_choice", None, "none"),
 ]
 
 
 def test_score_cases(spark):
-    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(CASES)], "i int, generated_text string, question string, ground_truth string, answer_type string")
+    df = spark.createDataFrame(
+        [(i, *c[:4]) for i, c in enumerate(CASES)], "i int, generated_text string, question string, ground_truth string, answer_type string",
+    )
     for r in scoring.score(df).collect():
         assert (r.is_correct, r.scorer_method) == CASES[r.i][4:], (r, CASES[r.i])
 
@@ -69,7 +83,10 @@ def test_choices_take_the_last_of_a_letter(spark):
 
 
 def test_answer_types(spark):
-    rows = [("free", "C", "(A) x\n(C) y", "multiple_choice"), ("multi-choice", "1", "", "multiple_choice"), ("free", "D", "A. x\nB. y", "freeform"), (None, "A", "the point A.", "freeform")]
+    rows = [
+        ("free", "C", "(A) x\n(C) y", "multiple_choice"), ("multi-choice", "1", "", "multiple_choice"), ("free", "D", "A. x\nB. y", "freeform"),
+        (None, "A", "the point A.", "freeform"),
+    ]
     df = spark.createDataFrame(rows, "kind string, answer string, question string, want string")
     assert df.where(datasets.typed(F.col("kind"), F.col("answer"), F.col("question")) != F.col("want")).count() == 0
 
@@ -99,18 +116,28 @@ def test_image_parts(spark):
 
 def test_sources(spark, tmp_path):
     picture = "struct<bytes: binary, path: string>"
-    rows = [(None, "7", " Vision intensive ", "Q1?\n(A) x\n(B) y", "B", (b"abc", None)), ("", None, "Vision Intensive", "Q2", "5", (b"abc", "p")), ("3", "9", "Other", "Q3", "5", None)]
+    rows = [
+        (None, "7", " Vision intensive ", "Q1?\n(A) x\n(B) y", "B", (b"abc", None)), ("", None, "Vision Intensive", "Q2", "5", (b"abc", "p")),
+        ("3", "9", "Other", "Q3", "5", None),
+    ]
     path = str(tmp_path / "a.parquet")
-    spark.createDataFrame(rows, f"sample_index string, problem_index string, problem_version string, question string, answer string, image {picture}").coalesce(1).write.parquet(path)
+    spark.createDataFrame(
+        rows, f"sample_index string, problem_index string, problem_version string, question string, answer string, image {picture}",
+    ).coalesce(1).write.parquet(path)
     got = datasets.examples(spark, "mathverse", path, {"problem_version": "vision intensive"}).orderBy("source_row_index").collect()
     assert [(r.source_row_index, r.answer_type) for r in got] == [(0, "multiple_choice"), (1, "freeform")]
     assert got[0].sample_id == "7" and got[1].sample_id.startswith("sha256-") and got[0].images[0].sha256 == hashlib.sha256(b"abc").hexdigest()
     path = str(tmp_path / "b.parquet")
-    spark.createDataFrame([("1", "What?", ["red", "blue"], "Blue "), ("2", "How?", [], "5")], "pid string, question string, choices array<string>, answer string").write.parquet(path)
+    spark.createDataFrame(
+        [("1", "What?", ["red", "blue"], "Blue "), ("2", "How?", [], "5")], "pid string, question string, choices array<string>, answer string",
+    ).write.parquet(path)
     got = {r.sample_id: r for r in datasets.examples(spark, "mathvista", path).collect()}
     assert got["1"].ground_truth == "B" and got["1"].eval_question == "What?\nA. red\nB. blue" and got["2"].answer_type == "freeform"
     path = str(tmp_path / "c")
-    spark.createDataFrame([("x", "Q <image 1>", """['a, "b"', "it's"]""", "A", (b"1", None))], f"id string, question string, options string, answer string, image_1 {picture}").write.parquet(path)
+    spark.createDataFrame(
+        [("x", "Q <image 1>", """['a, "b"', "it's"]""", "A", (b"1", None))],
+        f"id string, question string, options string, answer string, image_1 {picture}",
+    ).write.parquet(path)
     r = datasets.examples(spark, "mmmu_pro", path).first()
     assert r.eval_question == 'Q <image 1>\nA. a, "b"\nB. it\'s' and len(r.images) == 1
     with pytest.raises(KeyError):

@@ -31,7 +31,10 @@ def shard(spark, sample: str, lengths: list[int]) -> dict:
     rows = {t: [] for t in CORE_TABLES}
     for k, n in enumerate(lengths):
         ids = list(range(100, 100 + n))
-        rows["generations"].append(filled(TABLES["generations"], **key, rollout_index=k, generated_token_ids=ids, num_retained_tokens=n, stop_reason="stop_token", terminating_token_id=9, hit_max_new_tokens=False, prompt_token_count=5))
+        rows["generations"].append(filled(
+            TABLES["generations"], **key, rollout_index=k, generated_token_ids=ids, num_retained_tokens=n, stop_reason="stop_token",
+            terminating_token_id=9, hit_max_new_tokens=False, prompt_token_count=5,
+        ))
         for step, token in enumerate(ids, 1):
             at = {**key, "rollout_index": k, "step": step}
             rows["tokens"].append(filled(TABLES["tokens"], **at, token_id=token, context_length=5 + step - 1, predictor_position=5 + step - 2))
@@ -74,7 +77,9 @@ def test_crashes(spark, store, at):
         commits.commit_shard(store, "a", tables, failure_injector=crash)
     assert commits.read_committed(store, "generations").count() == (at == "after")
     if at != "after":
-        assert len(commits.quarantine(store)) == len(commits.orphans(store)) + {"validate": 0, "write:generations": 0, "verify:tokens": 2, "write:token_hidden_state_metrics": 4, "commit": 5}[at]
+        assert len(commits.quarantine(store)) == len(commits.orphans(store)) + {
+            "validate": 0, "write:generations": 0, "verify:tokens": 2, "write:token_hidden_state_metrics": 4, "commit": 5,
+        }[at]
         commits.commit_shard(store, "a", tables)
         assert commits.read_committed(store, "generations").count() == 1
 
@@ -140,7 +145,10 @@ def test_config(tmp_path):
     (tmp_path / "hw.json").write_text(json.dumps({"max_rows": 64}))
     (tmp_path / "g.json").write_text(json.dumps(GROUP | {"hardware": {"include": "hw.json"}}))
     assert config.load(str(tmp_path / "g.json")).hash == config.build(config.GroupConfig, GROUP).hash
-    for change in ({"microbatch": 64}, {"extra": 1}, {"base_seed": -1}, {"hardware": {"max_rows": 8}}, {"strategies": {"x": {"temperature": 0}}}, {"scheduler": {"batch_size": 4, "strategy": "token_count_bucketed", "window_size": 2}}):
+    for change in (
+        {"microbatch": 64}, {"extra": 1}, {"base_seed": -1}, {"hardware": {"max_rows": 8}}, {"strategies": {"x": {"temperature": 0}}},
+        {"scheduler": {"batch_size": 4, "strategy": "token_count_bucketed", "window_size": 2}},
+    ):
         with pytest.raises(config.ConfigError):
             config.build(config.GroupConfig, GROUP | change)
 
@@ -154,13 +162,19 @@ def test_stored_names():
     assert len(names) == 13 + 3 * 42 and not TABLES["scores"]["scorer_method"].nullable and TABLES["scores"]["is_correct"].nullable
 
 
-RUN = {"run_id": "r", "dataset": "d", "split": "t", "strategy": "st", "rollouts": 2, "temperature": 0.5, "top_p": 0.5, "top_k": None, "repetition_penalty": 0.5}
+RUN = {
+    "run_id": "r", "dataset": "d", "split": "t", "strategy": "st", "rollouts": 2, "temperature": 0.5, "top_p": 0.5, "top_k": None,
+    "repetition_penalty": 0.5,
+}
 
 
 def test_a_shard_is_held_against_its_run(spark, store):
     tables = shard(spark, "a", [2, 1])
     commits.commit_shard(store, "a", tables, core_rules(), run=RUN)
-    for change, rule in (({"run_id": "q"}, "run_of_tokens"), ({"rollouts": 1}, "rollouts_of_run"), ({"top_p": 0.9}, "sampling_of_run"), ({"top_k": 5}, "sampling_of_run")):
+    for change, rule in (
+        ({"run_id": "q"}, "run_of_tokens"), ({"rollouts": 1}, "rollouts_of_run"), ({"top_p": 0.9}, "sampling_of_run"),
+        ({"top_k": 5}, "sampling_of_run"),
+    ):
         with pytest.raises(commits.CommitError, match=rule):
             commits.commit_shard(store, "b", shard(spark, "b", [2, 1]), run=RUN | change)
     with pytest.raises(commits.CommitError, match="shard_of_generations"):
@@ -202,12 +216,18 @@ def test_from_a_source_to_committed_scores(spark, store, tmp_path):
     (tmp_path / "pictures").mkdir()
     (tmp_path / "pictures/b.png").write_bytes(PNG)
     picture = "struct<bytes: binary, path: string>"
-    source = [("a", None, "Vision", "Which?\n(A) x\n(B) y", "B", (PNG, None)), ("b", None, "Vision", "How many?", "1/2", (None, "pictures/b.png")), ("c", None, "Text", "Else", "2", None)]
+    source = [
+        ("a", None, "Vision", "Which?\n(A) x\n(B) y", "B", (PNG, None)), ("b", None, "Vision", "How many?", "1/2", (None, "pictures/b.png")),
+        ("c", None, "Text", "Else", "2", None),
+    ]
     path = str(tmp_path / "source.parquet")
     import pyarrow as pa
     import pyarrow.parquet as pq
 
-    kinds = [("sample_index", pa.string()), ("problem_index", pa.string()), ("problem_version", pa.string()), ("question", pa.string()), ("answer", pa.string()), ("image", pa.struct([("bytes", pa.binary()), ("path", pa.string())]))]
+    kinds = [
+        ("sample_index", pa.string()), ("problem_index", pa.string()), ("problem_version", pa.string()), ("question", pa.string()),
+        ("answer", pa.string()), ("image", pa.struct([("bytes", pa.binary()), ("path", pa.string())])),
+    ]
     rows = [dict(zip([k for k, _ in kinds], (*r[:5], None if r[5] is None else dict(zip(("bytes", "path"), r[5]))))) for r in source]
     pq.write_table(pa.Table.from_pylist(rows, pa.schema(kinds)), path)
     adapter = adapters.adapter("mathverse")
@@ -222,7 +242,10 @@ def test_from_a_source_to_committed_scores(spark, store, tmp_path):
     for sample, said in (("a", ["\\boxed{B}", "no idea"]), ("b", ["\\boxed{0.5}", "\\boxed{3}"]), ("z", ["\\boxed{1}"])):
         tables = shard(spark, sample, [0] * len(said))
         answers = F.array(*[F.lit(x) for x in said])
-        commits.commit_shard(store, sample, tables | {"generations": tables["generations"].withColumn("generated_text", F.get(answers, F.col("rollout_index")))}, run=RUN)
+        commits.commit_shard(
+            store, sample, tables | {"generations": tables["generations"].withColumn("generated_text", F.get(answers, F.col("rollout_index")))},
+            run=RUN,
+        )
     summary = score_run(store, "r", adapter.scorer(), scored_at=NOW)
     assert (summary.committed, summary.shards, summary.skipped, summary.failed) == (4, 2, 0, 1)
     scores = {(r.sample_id, r.rollout_index): r for r in commits.read_committed(store, "scores").collect()}
@@ -260,11 +283,15 @@ def test_sources_refuse(spark, tmp_path):
     from tessera.sources import adapters
 
     path = str(tmp_path / "a.parquet")
-    spark.createDataFrame([("x", None, "Q", "1"), ("x", None, "R", "2")], "sample_index string, problem_index string, question string, answer string").coalesce(1).write.parquet(path)
+    spark.createDataFrame(
+        [("x", None, "Q", "1"), ("x", None, "R", "2")], "sample_index string, problem_index string, question string, answer string",
+    ).coalesce(1).write.parquet(path)
     with pytest.raises(ValueError, match="repeated"):
         adapters.adapter("mathverse").examples(spark, path)
     path = str(tmp_path / "b.parquet")
-    spark.createDataFrame([("x", "Q", "1", (None, "gone.png"))], "sample_index string, question string, answer string, image struct<bytes: binary, path: string>").coalesce(1).write.parquet(path)
+    spark.createDataFrame(
+        [("x", "Q", "1", (None, "gone.png"))], "sample_index string, question string, answer string, image struct<bytes: binary, path: string>",
+    ).coalesce(1).write.parquet(path)
     with pytest.raises(Exception, match="no image"):
         adapters.adapter("mathverse").examples(spark, path).collect()
     with pytest.raises(KeyError):
@@ -278,7 +305,9 @@ def test_image_headers():
 
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + (7).to_bytes(2, "big") + (9).to_bytes(2, "big") + b"\x03\x01\x11\x00"
     webp = b"RIFF\x00\x00\x00\x00WEBPVP8X" + b"\x0a\x00\x00\x00\x00\x00\x00\x00" + (4).to_bytes(3, "little") + (5).to_bytes(3, "little")
-    assert [size_of(x) for x in (PNG, b"GIF89a\x05\x00\x06\x00", jpeg, webp, b"abc", b"", None, PNG[:18])] == [(30, 20), (5, 6), (9, 7), (5, 6), None, None, None, None]
+    assert [size_of(x) for x in (
+        PNG, b"GIF89a\x05\x00\x06\x00", jpeg, webp, b"abc", b"", None, PNG[:18],
+    )] == [(30, 20), (5, 6), (9, 7), (5, 6), None, None, None, None]
 
 
 def test_order_and_plans(spark):
@@ -305,8 +334,13 @@ def test_stream_retries_add_nothing(spark, tmp_path):
     schema = "sample_id string, rollout_index int, top_k int, shard_id string, generated_text string"
     rows = spark.createDataFrame([("a", 0, None, "s", r"\boxed{1}"), ("a", 1, None, "s", "x"), ("b", 0, 5, "t", r"\boxed{2}")], schema)
     rows.write.parquet(str(tmp_path / "in"))
-    examples = spark.createDataFrame([("a", "q", "1", "freeform"), ("b", "q", "3", "freeform")], "sample_id string, question string, ground_truth string, answer_type string")
+    examples = spark.createDataFrame(
+        [("a", "q", "1", "freeform"), ("b", "q", "3", "freeform")], "sample_id string, question string, ground_truth string, answer_type string",
+    )
     for k, identity in enumerate((None, ["sample_id", "rollout_index", "top_k"])):
         for attempt in range(2):  # the second has lost the stream's offsets and meets all rows again
-            score_stream(spark, str(tmp_path / "in"), examples, str(tmp_path / f"out{k}"), str(tmp_path / f"offsets{k}{attempt}"), ["sample_id"], "rules", "1", schema=rows.schema, identity=identity, shard="shard_id").awaitTermination()
+            score_stream(
+                spark, str(tmp_path / "in"), examples, str(tmp_path / f"out{k}"), str(tmp_path / f"offsets{k}{attempt}"), ["sample_id"], "rules", "1",
+                schema=rows.schema, identity=identity, shard="shard_id",
+            ).awaitTermination()
         assert spark.read.parquet(str(tmp_path / f"out{k}")).count() == 3
