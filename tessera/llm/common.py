@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from tessera.plans.lineage import cut, ensure_checkpoint_dir
 from tessera.session import in_arrow, read_table
 
-__all__ = ["Remembered", "connected_components", "cut", "edge_batch", "ensure_checkpoint_dir", "fresh", "in_arrow", "key_runs", "pieces", "read_table", "spanning_forest", "texts_of"]
+__all__ = [
+    "Remembered", "connected_components", "cut", "edge_batch", "ensure_checkpoint_dir", "fresh", "in_arrow", "key_runs", "pieces", "read_table",
+    "spanning_forest", "texts_of",
+]
 
 
 def spanning_forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +76,10 @@ def _digest(pairs: DataFrame) -> tuple:
     """Count and order-free digest; equal digests of two rounds end the loop."""
     h = F.xxhash64("u", "v")
     return tuple(
-        pairs.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum((h % 2147483647).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+        pairs.agg(
+            F.count(F.lit(1)), F.coalesce(F.bit_xor(h), F.lit(0)),
+            F.coalesce(F.sum((h % 2147483647).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")),
+        ).first()
     )
 
 

@@ -39,7 +39,10 @@ def _axes(classes: DataFrame, dim: int) -> np.ndarray:
             x = _scaled(batch.column(0), dim)
             x = (x / np.linalg.norm(x, axis=1)[:, None])[:, :seen]
             count, total, products = count + len(x), total + x.sum(0), products + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([products.tobytes()], pa.binary())], names=["n", "total", "products"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([count], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([products.tobytes()], pa.binary())],
+            names=["n", "total", "products"],
+        )
 
     rows = some.repartition(8).transform(in_arrow, run, "n long, total binary, products binary").collect()  # eight matrices
     count = sum(r.n for r in rows)
@@ -88,10 +91,16 @@ def _blocks(placed: DataFrame, dim: int) -> DataFrame:
         def block(t: pa.Table) -> pa.RecordBatch:
             nonlocal seq
             y = [t.column(f"y{k}").to_numpy() for k in range(AXES)]
-            row = {"label": t.column("label")[0].as_py(), "dim": dim, "task": task, "seq": seq, "reps": t.column("rep").to_pylist(), "copies": t.column("copies").to_pylist(), "data": b"".join(t.column("data").to_pylist())}
+            row = {
+                "label": t.column("label")[0].as_py(), "dim": dim, "task": task, "seq": seq, "reps": t.column("rep").to_pylist(),
+                "copies": t.column("copies").to_pylist(), "data": b"".join(t.column("data").to_pylist()),
+            }
             row |= {f"lo{k}": float(v.min()) for k, v in enumerate(y)} | {f"hi{k}": float(v.max()) for k, v in enumerate(y)}
             seq += 1
-            kinds = {"label": pa.int64(), "dim": pa.int32(), "task": pa.int64(), "seq": pa.int64(), "reps": pa.list_(pa.int64()), "copies": pa.list_(pa.int64()), "data": pa.binary()}
+            kinds = {
+                "label": pa.int64(), "dim": pa.int32(), "task": pa.int64(), "seq": pa.int64(), "reps": pa.list_(pa.int64()),
+                "copies": pa.list_(pa.int64()), "data": pa.binary(),
+            }
             names = [*kinds, *[f"{s}{k}" for k in range(AXES) for s in ("lo", "hi")]]
             return pa.RecordBatch.from_arrays([pa.array([row[c]], kinds.get(c, pa.float64())) for c in names], names=names)
 
@@ -166,7 +175,10 @@ def _tiles(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     whole = members.join(blocks.select("dim", F.col("seq").alias("id"), "reps", "copies", "data"), ["dim", "id"])
     none = lambda t: F.lit(None).cast(t)
     rows = whole.select("dim", "ta", "tb", "id", none("array<long>").alias("pairs"), "reps", "copies", "data").unionByName(
-        lists.select("dim", "ta", "tb", F.lit(-1).cast("long").alias("id"), "pairs", none("array<long>").alias("reps"), none("array<long>").alias("copies"), none("binary").alias("data"))
+        lists.select(
+            "dim", "ta", "tb", F.lit(-1).cast("long").alias("id"), "pairs", none("array<long>").alias("reps"), none("array<long>").alias("copies"),
+            none("binary").alias("data"),
+        )
     )
     return rows.repartition("dim", "ta", "tb").sortWithinPartitions("dim", "ta", "tb", "id")
 
@@ -216,7 +228,10 @@ def _links(left: tuple, right: tuple, alone: bool, cosine: float) -> Iterator[pa
     sides = [(ra, rows, of_a)] if alone else [(ra, rows, of_a), (rb, columns, of_b)]
     reps = np.concatenate([r[m] for r, m, _ in sides])
     yield pa.RecordBatch.from_arrays(
-        [pa.array(reps), pa.array(np.concatenate([o[m] for _, m, o in sides])), pa.array(np.concatenate([n[m] for n, (_, m, _) in zip(links, sides)]), pa.int64())],
+        [
+            pa.array(reps), pa.array(np.concatenate([o[m] for _, m, o in sides])),
+            pa.array(np.concatenate([n[m] for n, (_, m, _) in zip(links, sides)]), pa.int64()),
+        ],
         names=["a", "b", "n"],
     )
 
@@ -235,24 +250,40 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     vectors) along the leading principal dimensions, cut into blocks, and joined interval by interval.
     """
     epsilon = math.sqrt(max(0.0, 2 - 2 * cosine))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("embedding", lambda x: F.coalesce(x != 0, F.lit(False)))
+    rows = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("label").cast("long").alias("label"),
+    )
+    finite = F.forall(
+        "embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)),
+    ) & F.exists("embedding", lambda x: F.coalesce(x != 0, F.lit(False)))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
     rows = rows.withColumn("sound", sound).withColumn("key", F.when(F.col("sound"), F.xxhash64("label", "embedding")))
-    classes = cut(rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding")))
+    classes = cut(rows.where("sound").groupBy("label", "embedding").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
+    ).withColumn("dim", F.size("embedding")))
     blocks = None
     for at, dim in enumerate(sorted(r.dim for r in classes.select("dim").distinct().collect()), 1):
         part = cut(_blocks(_placed(classes, _axes(classes, dim), dim, max(epsilon, 1e-6)), dim))
         blocks = part if blocks is None else blocks.unionByName(part)
         if at % 8 == 0:
             blocks = cut(blocks)
-    singles = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    singles = rows.where("not sound").select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"),
+    )
     if blocks is None:
         return singles
     found = cut(_tiles(_leaf_pairs(blocks, epsilon), blocks).transform(in_arrow, _compare(cosine), "a long, b long, n long"))
     parts = connected_components(found.select("a", "b")).select(F.col("node").alias("rep"), "component")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    named = classes.select("label", "embedding", "rep", "copies", F.xxhash64("label", "embedding").alias("key")).join(parts, "rep", "left").join(counts, "rep", "left")
-    named = named.select("key", "label", "embedding", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = rows.where("sound").join(named, ["key", "label", "embedding"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    named = classes.select(
+        "label", "embedding", "rep", "copies", F.xxhash64("label", "embedding").alias("key"),
+    ).join(parts, "rep", "left").join(counts, "rep", "left")
+    named = named.select(
+        "key", "label", "embedding", F.coalesce("component", "rep").alias("component_id"),
+        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
+    linked = rows.where("sound").join(named, ["key", "label", "embedding"]).select(
+        "vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"),
+    )
     return linked.unionByName(singles)

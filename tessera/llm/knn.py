@@ -30,7 +30,9 @@ def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
     A component whose integer doesn't fit into 62 bits is an error.
     """
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null").where(finite)
+    rows = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+    ).where("vec_id is not null and embedding is not null").where(finite)
     whole = lambda x: F.when(F.abs(x * scale) < float(1 << 62), F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component is too large for integer products")).cast("long"))
     return rows.select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", whole).alias("v"))
 
@@ -130,7 +132,10 @@ def _groups(queries: DataFrame, cells: Cells, dim: int, k: int, kind) -> DataFra
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in _parts(batches, dim):
             cell, _ = cells.of(x.astype(np.float64))
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(ids), pa.array([v.tobytes() for v in x.astype(np.int64)], pa.binary())], names=["cell", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell, pa.int32()), pa.array(ids), pa.array([v.tobytes() for v in x.astype(np.int64)], pa.binary())],
+                names=["cell", "vec_id", "v"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +149,10 @@ def _groups(queries: DataFrame, cells: Cells, dim: int, k: int, kind) -> DataFra
                     for unit in np.unique(unit_of[need.any(0)]).tolist():
                         inside = need & (unit_of == unit)
                         some, n = inside.any(1), int(chunks[unit])
-                        row = (ids[some].tobytes(), least[some].tobytes(), np.flatnonzero(inside.any(0)).astype(np.int32).tobytes(), x[some].astype(kind).tobytes())
+                        row = (
+                            ids[some].tobytes(), least[some].tobytes(), np.flatnonzero(inside.any(0)).astype(np.int32).tobytes(),
+                            x[some].astype(kind).tobytes(),
+                        )
                         yield _rows_of([unit] * n, list(range(n)), True, *([c] * n for c in row))
 
     dealt = cut(queries.select("vec_id", "v").transform(in_arrow, placed, "cell int, vec_id long, v binary"))
@@ -215,7 +223,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int | Non
     task. Of equal vectors the k + 1 smallest vec_ids can be in a result at most, so only these are kept;
     that is done before the shuffle too.
     """
-    vectors = cut(vectors.dropDuplicates(["vec_id", "v"]).withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1).drop("nth"))
+    vectors = cut(vectors.dropDuplicates(["vec_id", "v"]).withColumn(
+        "nth", F.row_number().over(Window.partitionBy("v").orderBy("vec_id")),
+    ).where(F.col("nth") <= k + 1).drop("nth"))
     queries = cut(queries.dropDuplicates(["vec_id", "v"]))
     found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
     largest = lambda v: F.coalesce(F.array_max(F.transform(v, F.abs)), F.lit(0))
@@ -249,11 +259,18 @@ def cells_of(vectors: DataFrame, dim: int, k: int, pivots: int) -> Cells:
                 c = cell[order[a]]
                 near[c] = np.sort(np.concatenate([near[c], far[order[a : min(b, a + k + 1)]]]))[: k + 1]
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some]), pa.array(radii[some]), pa.array([near[c] for c in some], pa.list_(pa.float64()))], names=["cell", "n", "radius", "near"])
-
-    parts = vectors.select("vec_id", "v").transform(in_arrow, measure, "cell int, n long, radius double, near array<double>").withColumn("part", F.spark_partition_id() % 64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()), pa.array(counts[some]), pa.array(radii[some]), pa.array([near[c] for c in some], pa.list_(pa.float64()))],
+            names=["cell", "n", "radius", "near"],
+        )
+
+    parts = vectors.select("vec_id", "v").transform(
+        in_arrow, measure, "cell int, n long, radius double, near array<double>",
+    ).withColumn("part", F.spark_partition_id() % 64)
     for key in (["cell", "part"], ["cell"]):  # in two steps, so that no row holds the distances of all tasks
-        parts = parts.groupBy(*key).agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+        parts = parts.groupBy(*key).agg(
+            F.sum("n").alias("n"), F.max("radius").alias("radius"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"),
+        )
     cells.counts, cells.radii = np.zeros(len(cells.pivots)), np.zeros(len(cells.pivots))
     cells.nearest_distances = np.full((len(cells.pivots), k + 1), np.inf)
     for r in parts.collect():  # a row for each pivot

@@ -326,7 +326,9 @@ class Encoder:
             scores = scores + np.where(fed, self.lattice.unknown, 0.0)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.scores, self.leads, self.counts, self.ids = (np.concatenate(x) for x in ((self.scores, scores), (self.leads, leads), (self.counts, counts), (self.ids, ids)))
+        self.scores, self.leads, self.counts, self.ids = (np.concatenate(x) for x in (
+            (self.scores, scores), (self.leads, leads), (self.counts, counts), (self.ids, ids),
+        ))
         self.bytes += 200 * len(new) + 4 * sum(map(len, new))
 
     @staticmethod
@@ -467,7 +469,10 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             which = np.repeat(np.arange(len(ranked)), [len(r) for r in ranked])
             rows = [x for r in ranked for x in r]
             yield pa.RecordBatch.from_arrays(
-                [doc_ids.take(pa.array(which)), pa.array([k + 1 for r in ranked for k in range(len(r))], pa.int32()), pa.array([x[0] for x in rows], pa.float64()), pa.array([x[1] for x in rows], pa.binary())],
+                [
+                    doc_ids.take(pa.array(which)), pa.array([k + 1 for r in ranked for k in range(len(r))], pa.int32()),
+                    pa.array([x[0] for x in rows], pa.float64()), pa.array([x[1] for x in rows], pa.binary()),
+                ],
                 names=["doc_id", "rank", "score", "ids"],
             )
 
@@ -497,7 +502,9 @@ def digests(docs: DataFrame, n: int = 3, model: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     doc_ids, pa.array([len(r[0][1]) // 4 for r in ranked], pa.int64()), pa.array([[x[0] for x in r] for r in ranked], pa.list_(pa.float64())),
-                    pa.array([[zlib.crc32(x[1]) for x in r] for r in ranked], pa.list_(pa.int64())), pa.array([all(x[2] for x in r) for r in ranked], pa.bool_()),
+                    pa.array(
+                        [[zlib.crc32(x[1]) for x in r] for r in ranked], pa.list_(pa.int64()),
+                    ), pa.array([all(x[2] for x in r) for r in ranked], pa.bool_()),
                 ],
                 names=["doc_id", "n_pieces", "scores", "ids_crc32", "exact"],
             )

@@ -129,7 +129,10 @@ def _shifted(c: Column, by: Column, alphabets) -> Column:
     table = F.lit("".join(alphabets))
     begins = _numbers(sum(map(len, alphabets[:k])) + 1 for k, a in enumerate(alphabets) for _ in a)
     sizes = _numbers(len(a) for a in alphabets for _ in a)
-    moved = _bind(F.instr(table, c), lambda p: F.when(p > 0, F.substring(table, F.get(begins, p - 1) + F.pmod(p - F.get(begins, p - 1) + by, F.get(sizes, p - 1)), F.lit(1))))
+    moved = _bind(
+        F.instr(table, c),
+        lambda p: F.when(p > 0, F.substring(table, F.get(begins, p - 1) + F.pmod(p - F.get(begins, p - 1) + by, F.get(sizes, p - 1)), F.lit(1))),
+    )
     if len(alphabets) < 6:
         return F.coalesce(moved, c)
     code = F.ascii(c)
@@ -170,7 +173,10 @@ def _digits(text: Column) -> Column:
 def _refilled(form: Column, digits: Column) -> Column:
     """``form`` with its digits replaced by ``digits`` in order."""
     return _joined(
-        F.transform(_chars(form), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, F.length(_digits(F.substring(form, F.lit(1), i + 1))), F.lit(1))).otherwise(c))
+        F.transform(
+            _chars(form),
+            lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, F.length(_digits(F.substring(form, F.lit(1), i + 1))), F.lit(1))).otherwise(c),
+        )
     )
 
 
@@ -193,7 +199,10 @@ def _card(m: Column, key: str) -> Column:
 
     def whole(d: Column) -> Column:
         middle = _cipher(F.substring(d, F.lit(2), F.length(d) - 2), key, "card", (DIGITS,))
-        return _bind(F.concat(F.substring(d, 1, 1), middle), lambda f: F.concat(f, F.pmod(_luhn(d) - _luhn(F.concat(f, F.lit("0"))), F.lit(10)).cast("string")))
+        return _bind(
+            F.concat(F.substring(d, 1, 1), middle),
+            lambda f: F.concat(f, F.pmod(_luhn(d) - _luhn(F.concat(f, F.lit("0"))), F.lit(10)).cast("string")),
+        )
 
     return _refilled(m, _bind(_digits(m), whole))
 
@@ -217,7 +226,10 @@ def _email(m: Column, key: str) -> Column:
     tail = F.regexp_extract(m, r"(?:(?<=[@.])[^@.]+)?\.[^.]+$", 0)
     head = F.substring(m, F.lit(1), F.length(m) - F.length(tail))
     moved = _cipher(F.lower(head), key, "email", EMAIL_CLASSES)
-    return _bind(moved, lambda s: F.concat(_joined(F.zip_with(_chars(s), _chars(head), lambda c, h: F.when(h.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))), tail))
+    return _bind(
+        moved,
+        lambda s: F.concat(_joined(F.zip_with(_chars(s), _chars(head), lambda c, h: F.when(h.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))), tail),
+    )
 
 
 #: First octets of addresses that aren't public.
@@ -276,7 +288,10 @@ def _iban(m: Column, key: str) -> Column:
         return out
 
     def spaced(s: Column) -> Column:
-        return _joined(F.transform(_chars(m), lambda c, i: F.when(c == " ", c).otherwise(F.substring(s, F.length(F.replace(F.substring(m, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))))
+        return _joined(F.transform(
+            _chars(m),
+            lambda c, i: F.when(c == " ", c).otherwise(F.substring(s, F.length(F.replace(F.substring(m, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1))),
+        ))
 
     return _bind(_bind(F.replace(m, F.lit(" "), F.lit("")), whole), spaced)
 

@@ -61,7 +61,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op7_embedding_dedup, op8_chat_formatting, op9_html_extraction, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (
+    op1_topk, op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op7_embedding_dedup, op8_chat_formatting, op9_html_extraction,
+    op10_sentencepiece,
+)}
 
 # ---- the same in SQL, where SQL can express it -----------------------------------------------------
 

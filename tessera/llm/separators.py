@@ -61,7 +61,10 @@ def flatten(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
             rows = [(data[a : a + block_bytes], [d for p, d in ends if a <= p < a + block_bytes]) for a in cuts]
             used = len(rows) * block_bytes
             yield pa.RecordBatch.from_arrays(
-                [pa.array([file] * len(rows)), pa.array(range(block, block + len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
+                [
+                    pa.array([file] * len(rows)), pa.array(range(block, block + len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.binary()),
+                    pa.array([r[1] for r in rows], pa.list_(pa.int64())),
+                ],
                 names=["file", "block", "payload", "ended"],
             )
             block, held, size, ends = block + len(rows), [data[used:]], max(0, size - used), [(p - used, d) for p, d in ends if p >= used]
@@ -126,12 +129,18 @@ def _stitch(summed: DataFrame) -> DataFrame:
     rows = summed.withColumn("chunk", F.floor(F.col("block") / CHUNK)).withColumn("n_ends", F.size("ends").cast("long"))
     inside = Window.partitionBy("file", "chunk").orderBy("block")
     zero = F.lit(0).cast("long")
-    rows = rows.withColumn("at", F.coalesce(F.sum("tokens").over(before(inside)), zero)).withColumn("nth", F.coalesce(F.sum("n_ends").over(before(inside)), zero))
+    rows = rows.withColumn("at", F.coalesce(F.sum("tokens").over(before(inside)), zero)).withColumn(
+        "nth", F.coalesce(F.sum("n_ends").over(before(inside)), zero),
+    )
     rows = rows.withColumn("after", F.max(F.when(F.col("n_ends") > 0, F.col("at") + F.element_at("ends", -1) + 1)).over(before(inside)))
     last = F.max(F.when(F.col("n_ends") > 0, F.col("at") + F.element_at("ends", -1) + 1))
-    chunks = rows.groupBy("file", "chunk").agg(F.sum("tokens").alias("tokens"), F.sum("n_ends").alias("n_ends"), last.alias("last"), F.max("block").alias("final"))
+    chunks = rows.groupBy("file", "chunk").agg(
+        F.sum("tokens").alias("tokens"), F.sum("n_ends").alias("n_ends"), last.alias("last"), F.max("block").alias("final"),
+    )
     along = Window.partitionBy("file").orderBy("chunk")
-    chunks = chunks.withColumn("chunk_at", F.coalesce(F.sum("tokens").over(before(along)), zero)).withColumn("chunk_nth", F.coalesce(F.sum("n_ends").over(before(along)), zero))
+    chunks = chunks.withColumn("chunk_at", F.coalesce(F.sum("tokens").over(before(along)), zero)).withColumn(
+        "chunk_nth", F.coalesce(F.sum("n_ends").over(before(along)), zero),
+    )
     chunks = chunks.select(
         "file", "chunk", "chunk_at", "chunk_nth", F.coalesce(F.max(F.col("chunk_at") + F.col("last")).over(before(along)), zero).alias("chunk_after"),
         F.max("final").over(Window.partitionBy("file")).alias("final"),
@@ -149,12 +158,17 @@ def _documents(stitched: DataFrame) -> DataFrame:
     ends = F.transform("ends", lambda e: F.col("at") + e)
     # a document starts behind the separator before it; the block's first one where the carry says
     starts = F.concat(F.array("after"), F.transform("ends", lambda e: F.col("at") + e + 1))
-    rest = F.when(F.col("is_last") & (F.element_at(starts, -1) < F.col("at") + F.col("tokens")), F.array(F.col("at") + F.col("tokens"))).otherwise(F.array().cast("array<long>"))
+    rest = F.when(
+        F.col("is_last") & (F.element_at(starts, -1) < F.col("at") + F.col("tokens")), F.array(F.col("at") + F.col("tokens")),
+    ).otherwise(F.array().cast("array<long>"))
     rows = stitched.select(
         "file", "nth", F.size("ends").alias("n_ends"), *(["ended"] if named else []), starts.alias("starts"), F.concat(ends, rest).alias("stops")
     ).select("file", "nth", "n_ends", *(["ended"] if named else []), "starts", F.posexplode("stops").alias("k", "stop"))
     start = F.col("starts")[F.col("k")]
-    columns = ["file", (F.col("nth") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"), (F.col("k") < F.col("n_ends")).alias("is_ended")]
+    columns = [
+        "file", (F.col("nth") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"),
+        (F.col("k") < F.col("n_ends")).alias("is_ended"),
+    ]
     if named:
         columns.append(F.get("ended", F.col("k")).alias("doc_id"))
     return rows.select(*columns)

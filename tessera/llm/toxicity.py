@@ -206,7 +206,9 @@ def _learn(train: DataFrame) -> tuple[Model, Model]:
                     long = 0
         yield flush()
 
-    counted = train.transform(in_arrow, count, "token string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    counted = train.transform(
+        in_arrow, count, "token string, " + ", ".join(f"{c} long" for c in COUNTS),
+    ).groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
     toxic, clean = F.col("toxic_aside") + F.col("toxic"), F.col("clean_aside") + F.col("clean")
     special = F.col("token").isin("", " ")
     counted = cut(counted.where((toxic >= MIN_COUNT) | special))
@@ -220,7 +222,10 @@ def _learn(train: DataFrame) -> tuple[Model, Model]:
     # tokens that can't reach MIN_Z stay behind; the others are bounded by the labelled sample
     n, share = toxic + clean, n_toxic / (n_toxic + n_clean)
     tells = list(counted.where(~special).where(toxic - n * share > 2 * F.sqrt(n * share * (1 - share))).toLocalIterator())
-    whole = _model({r.token: (r.toxic_aside + r.toxic, r.clean_aside + r.clean) for r in tells}, n_toxic, n_clean, (words.toxic_aside + words.toxic, words.clean_aside + words.clean))
+    whole = _model(
+        {r.token: (r.toxic_aside + r.toxic, r.clean_aside + r.clean) for r in tells}, n_toxic, n_clean,
+        (words.toxic_aside + words.toxic, words.clean_aside + words.clean),
+    )
     if not docs.toxic or not docs.clean:
         return whole, whole
     return _model({r.token: (r.toxic, r.clean) for r in tells if r.toxic >= MIN_COUNT}, docs.toxic, docs.clean, (words.toxic, words.clean)), whole
@@ -262,7 +267,10 @@ def _calibrate(model: Model, train: DataFrame) -> None:
         for batch in batches:
             out = [scorer.passages(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int32()), pa.array([n for n, _ in out], pa.int64()), pa.array([[s for _, _, s in f] for _, f in out], pa.list_(pa.float64()))],
+                [
+                    batch.column(0).cast(pa.int32()), pa.array([n for n, _ in out], pa.int64()),
+                    pa.array([[s for _, _, s in f] for _, f in out], pa.list_(pa.float64())),
+                ],
                 names=["toxic", "n", "found"],
             )
 
@@ -348,7 +356,10 @@ def score(docs: DataFrame, model: Model, passages: bool = False, columns: list[s
     rows = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in names])
     schema = StructType([*(docs.schema[c] for c in names), StructField(name, DoubleType())])
     if passages:
-        schema = schema.add("passages", ArrayType(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType()), StructField("log_odds", DoubleType())])))
+        schema = schema.add(
+            "passages",
+            ArrayType(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType()), StructField("log_odds", DoubleType())])),
+        )
     return rows.transform(in_arrow, run, schema)
 
 
@@ -360,4 +371,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are scored each for itself; no documents give no rows; a null doc_id isn't held out.
     """
     scored = score(docs, fit(docs, labels), passages=True)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").cast("long").alias("n_passages"),
+    )

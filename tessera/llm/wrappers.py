@@ -59,7 +59,9 @@ CLOSES = {
 }
 SCOPE = frozenset("div section article main td th li dd body html table blockquote aside nav header footer form figure details".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S,
+)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -486,7 +488,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             rows = [(*key, *term) for key, term in held.items()]
             held.clear()
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+            kinds = (
+                pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(),
+                pa.int64(),
+            )
             names = ["host", "path", "tag", "rank", "chars", "linked", "anchors", "repeated", "lo", "hi", "slot", "pages"]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
@@ -497,7 +502,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
                     if (t := held.get((host, path))) is None:
                         held[host, path] = [tag, rank, chars, linked, anchors, repeated, text, text, slot, 1]
                     else:
-                        held[host, path] = [min(t[0], tag), max(t[1], rank), t[2] + chars, t[3] + linked, t[4] + anchors, t[5] or repeated, min(t[6], text), max(t[7], text), t[8] or slot, t[9] + 1]
+                        held[host, path] = [
+                            min(t[0], tag), max(t[1], rank), t[2] + chars, t[3] + linked, t[4] + anchors, t[5] or repeated, min(t[6], text),
+                            max(t[7], text), t[8] or slot, t[9] + 1,
+                        ]
                 if len(held) > HELD_TERMS:
                     yield flush()
         yield flush()
@@ -522,7 +530,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def _hosts(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["host", "wrapper", "expression"])
 
-    some = pages.select("host", "html").transform(in_arrow, partial, "host string, path string, tag string, rank int, chars long, linked long, anchors long, repeated boolean, lo long, hi long, slot boolean, pages long")
+    some = pages.select("host", "html").transform(
+        in_arrow, partial,
+        "host string, path string, tag string, rank int, chars long, linked long, anchors long, repeated boolean, lo long, hi long, slot boolean, pages long",
+    )
     whole = some.groupBy("host", "path").agg(
         F.min("tag").alias("tag"), F.max("rank").alias("rank"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.sum("anchors").alias("anchors"), F.max("repeated").alias("repeated"), (~F.max("slot") & (F.min("lo") == F.max("hi"))).alias("same"), F.sum("pages").alias("pages")
     )
@@ -554,7 +565,10 @@ def main_text(pages: DataFrame) -> DataFrame:
                             parsed.clear()
                         parsed[wrapper] = json.loads(wrapper) if wrapper else {}
                     out.append(extract(page, parsed[wrapper]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
+                    names=["page_id", "url", "text", "n_chars"],
+                )
 
     kinds = dict(pages.dtypes)
     return joined.transform(in_arrow, run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

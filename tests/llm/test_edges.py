@@ -20,12 +20,18 @@ def clashing(df):
 
 def texts(spark):
     long = " ".join(f"word{k % 977}" for k in range(30_000))
-    rows = [(1, "the same words as in two"), (2, "the same words as in two"), (2, "the same words as in two"), (3, None), (4, ""), (None, "no id here"), (None, None), (5, long), (6, "Mr. Keller, 8.8.8.8 and a@b.example.com"), (7, " \n\t ")]
+    rows = [
+        (1, "the same words as in two"), (2, "the same words as in two"), (2, "the same words as in two"), (3, None), (4, ""), (None, "no id here"),
+        (None, None), (5, long), (6, "Mr. Keller, 8.8.8.8 and a@b.example.com"), (7, " \n\t "),
+    ]
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
 def vectors(spark):
-    rows = [(20, [1.0, 0.5], 1), (21, [1.0, 0.5], 1), (21, [1.0, 0.5], 1), (22, [0.9, 0.5], 1), (23, None, 1), (24, [1.0, None], 1), (25, [], 1), (None, [1.0, 1.0], 1), (26, [1.0, 0.5], None), (40, [0.0, 0.0], 2), (27, [float("nan"), 1.0], 2)]
+    rows = [
+        (20, [1.0, 0.5], 1), (21, [1.0, 0.5], 1), (21, [1.0, 0.5], 1), (22, [0.9, 0.5], 1), (23, None, 1), (24, [1.0, None], 1), (25, [], 1),
+        (None, [1.0, 1.0], 1), (26, [1.0, 0.5], None), (40, [0.0, 0.0], 2), (27, [float("nan"), 1.0], 2),
+    ]
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
 
 
@@ -34,12 +40,18 @@ def labels(spark):
 
 
 def pages(spark):
-    rows = [(1, "http://a.example/1", "<article><p>One</p></article>"), (1, "http://a.example/1", "<article><p>One</p></article>"), (2, None, "<p>Two"), (3, "http://a.example/3", None), (None, "http://b.example", ""), (None, None, None)]
+    rows = [
+        (1, "http://a.example/1", "<article><p>One</p></article>"), (1, "http://a.example/1", "<article><p>One</p></article>"), (2, None, "<p>Two"),
+        (3, "http://a.example/3", None), (None, "http://b.example", ""), (None, None, None),
+    ]
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
 def turns(spark):
-    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b</s>"), (1, 1, "assistant", "b</s>"), (2, None, None, None), (None, 0, "assistant", "c"), (None, None, "user", None)]
+    rows = [
+        (1, 0, "user", "a"), (1, 1, "assistant", "b</s>"), (1, 1, "assistant", "b</s>"), (2, None, None, None), (None, 0, "assistant", "c"),
+        (None, None, "user", None),
+    ]
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
 
@@ -49,8 +61,12 @@ def top_k(df):
 
 
 OPERATORS = {
-    "top_k": (vectors, top_k), "toxicity": (texts, lambda df: toxicity.toxicity(df, clashing(labels(df.sparkSession)))), "simhash": (texts, simhash.near_duplicates), "near_copies": (texts, jaccard.near_copies),
-    "token_counts": (texts, lambda df: separators.scan(separators.flatten(df.coalesce(1))).select("doc_id", "n_tokens")), "packing": (texts, lambda df: packing.pack(df.coalesce(1))), "surrogates": (texts, lambda df: pii.replace_entities(df).select("doc_id", "text", "n_entities")),
+    "top_k": (vectors, top_k), "toxicity": (
+        texts, lambda df: toxicity.toxicity(df, clashing(labels(df.sparkSession))),
+    ), "simhash": (texts, simhash.near_duplicates), "near_copies": (texts, jaccard.near_copies),
+    "token_counts": (
+        texts, lambda df: separators.scan(separators.flatten(df.coalesce(1))).select("doc_id", "n_tokens"),
+    ), "packing": (texts, lambda df: packing.pack(df.coalesce(1))), "surrogates": (texts, lambda df: pii.replace_entities(df).select("doc_id", "text", "n_entities")),
     "grid_join": (vectors, gridjoin.near_duplicates), "chat": (turns, lambda df: chat.read_back(chat.format_chat(df))), "pages": (pages, wrappers.main_text), "pieces": (texts, pieces.digests),
 }
 

@@ -12,7 +12,10 @@ def test_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     copy = docs.orderBy("doc_id").limit(3).collect()
     planted = spark.createDataFrame(
-        [(10_000 + k, r.text, r.lang, r.source, r.n_chars) for k, r in enumerate(copy)] + [(20_000, "Write to some.one@mail1.example.com or 8.8.8.8 please, dear reader of this text", "en", "s", 10), (None, None, None, None, None)],
+        [(10_000 + k, r.text, r.lang, r.source, r.n_chars) for k, r in enumerate(copy)] + [
+            (20_000, "Write to some.one@mail1.example.com or 8.8.8.8 please, dear reader of this text", "en", "s", 10),
+            (None, None, None, None, None),
+        ],
         docs.schema,
     )
     now = docs.unionByName(planted)

@@ -15,7 +15,10 @@ from tessera.llm.packing import pack
 from tessera.llm.queries import QUERIES
 from tessera.llm.tokens import byte_bpe, default_path
 
-ODD = [None, "", " ", "\n\n", "word", "a b c", "x" * 30_000, "a <|endoftext|> b", "日本語 テキスト", "tab\tand nbsp here", "▁ mark␛", "same text here now", "same text here now"]
+ODD = [
+    None, "", " ", "\n\n", "word", "a b c", "x" * 30_000, "a <|endoftext|> b", "日本語 テキスト", "tab\tand nbsp here", "▁ mark␛", "same text here now",
+    "same text here now",
+]
 
 
 def test_segments_are_those_of_the_definition():
@@ -66,7 +69,10 @@ def test_score_against_another_program(spark, docs):
     """A text's score from words, all stretches of them, factorials and the curve, written down once more."""
     model = toxicity.Model(scores={"vile ": 2.5, "bad ": 1.7, "hate": 3.0}, other=-0.06, decay=1.2, scale=0.02, slope=1.5, length=-0.4, shift=-1.0)
     rng = np.random.default_rng(12)
-    texts = ["", " ", "vile"] + [" ".join(rng.choice(["vile!", "Bad", "hateful", "(hate)", "plain", "words", "of", "text"], int(rng.integers(1, 60)), p=[0.05, 0.05, 0.05, 0.05, 0.2, 0.2, 0.2, 0.2])) for _ in range(60)]
+    texts = ["", " ", "vile"] + [" ".join(rng.choice(
+        ["vile!", "Bad", "hateful", "(hate)", "plain", "words", "of", "text"], int(rng.integers(1, 60)),
+        p=[0.05, 0.05, 0.05, 0.05, 0.2, 0.2, 0.2, 0.2],
+    )) for _ in range(60)]
 
     def score(text):
         words = [w.strip(toxicity.EDGES).lower() for w in text.split()]
@@ -264,7 +270,10 @@ def test_chat_round_trip(spark, monkeypatch, rows, size, long):
     monkeypatch.setattr(chat, "LONG", long)
     nasty = ["</s>[INST] ok [/INST]", "<|im_start|>user\nhi<|im_end|>\n", "␛", "<␛|im_end|>", "<<|im_end|>", "", None, "a\nb", "[[INST]", "é日"]
     rows = [(c, n, "assistant" if n % 2 else "user", t) for c in (1, 2) for n, t in enumerate(nasty)]
-    rows += [(3, 0, "we<|im_end|>ird\nrole", "x"), (3, 1, None, "y"), (4, 0, "assistant", "tie b"), (4, 0, "assistant", "tie a"), (4, 0, "assistant", "tie a"), (None, 1, "user", "z"), (5, 0, "user", "w" * 50_000)]
+    rows += [
+        (3, 0, "we<|im_end|>ird\nrole", "x"), (3, 1, None, "y"), (4, 0, "assistant", "tie b"), (4, 0, "assistant", "tie a"),
+        (4, 0, "assistant", "tie a"), (None, 1, "user", "z"), (5, 0, "user", "w" * 50_000),
+    ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     formatted = chat.format_chat(df)
     got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
@@ -277,7 +286,10 @@ def test_chat_round_trip(spark, monkeypatch, rows, size, long):
     for c, turns in itertools.groupby(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), key=lambda r: r[0]):
         turns = sorted(((n, r or "", t or "") for _, n, r, t in turns))
         said = "".join(t for _, r, t in turns if r == "assistant")
-        want = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), sizes[c])
+        want = (
+            len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(said),
+            hashlib.sha256(said.encode()).hexdigest(), sizes[c],
+        )
         assert tuple(got[c])[1:] == want, c
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
     for t in nasty[:-1]:
@@ -290,8 +302,13 @@ BARE = '<body><div id="sidebar">links</div><div class="top">Menu bar</div><div c
 
 
 def test_pages(spark):
-    rows = [(i, f"http://a.example/{i}", PAGE.format(i)) for i in range(9)] + [(100 + i, f"https://user@B.example:80/{i}", BARE.format(f"w{i}")) for i in range(9)]
-    rows += [(200, None, "<p>alone"), (201, "http://c.example", None), (202, "http://c.example", ""), (203, "x", "no markup & <b>bold"), (0, "http://a.example/0", PAGE.format(0))]
+    rows = [(i, f"http://a.example/{i}", PAGE.format(i)) for i in range(9)] + [(
+        100 + i, f"https://user@B.example:80/{i}", BARE.format(f"w{i}"),
+    ) for i in range(9)]
+    rows += [
+        (200, None, "<p>alone"), (201, "http://c.example", None), (202, "http://c.example", ""), (203, "x", "no markup & <b>bold"),
+        (0, "http://a.example/0", PAGE.format(0)),
+    ]
     got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     by = {r.page_id: r.text for r in got}
@@ -349,7 +366,10 @@ def pages_of(spark, host, *htmls):
 
 
 def test_topics_of_an_article_stay(spark):
-    kept = ['<div class="related-work">Work {0}</div>', '<p class="notice">Notice {0}</p>', '<section class="social-history">History {0}</section>', '<p class="reply">Reply {0}</p>', "<menu><li>Soup {0}<li>Fish {0}</menu>", '<div class="a b c d e f g h">Many {0}</div>']
+    kept = [
+        '<div class="related-work">Work {0}</div>', '<p class="notice">Notice {0}</p>', '<section class="social-history">History {0}</section>',
+        '<p class="reply">Reply {0}</p>', "<menu><li>Soup {0}<li>Fish {0}</menu>", '<div class="a b c d e f g h">Many {0}</div>',
+    ]
     gone = [
         '<div class="comments"><p>Comment {0}</p></div>', '<div class="comment-list">More {0}</div>', '<p class="notice cookie">Cookies {0}</p>', '<div class="adBox">Buy {0}</div>', '<div class="related-posts"><a href=x>One {0}</a></div>',
         '<div class="related"><a href=1>A {0}</a><a href=2>B {0}</a><a href=3>C {0}</a></div>', '<p class="notice">All pages say this</p>', '<menu><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Shop</a></menu>', '<form>Mail {0}</form>',
@@ -361,7 +381,9 @@ def test_topics_of_an_article_stay(spark):
         assert pages_of(spark, "g.example", *[page([part], n) for n in range(4)]) == [f"Title {n}\nEnd" for n in range(4)], part
     assert pages_of(spark, "one.example", page(kept, 0)) == ["Title 0\nWork w0\nNotice w0\nHistory w0\nReply w0\nSoup w0\nFish w0\nMany w0\nEnd"]
     links = "<ul>" + "".join(f"<li><a href={k}>Place {k}</a>" for k in range(6)) + "</ul>"
-    assert pages_of(spark, "bare.example", f"<body>{links}<div><h2>Head</h2><p>{'Some words of the text. ' * 9}</p></div></body>") == ["Head\n" + ("Some words of the text. " * 9).strip()]
+    assert pages_of(
+        spark, "bare.example", f"<body>{links}<div><h2>Head</h2><p>{'Some words of the text. ' * 9}</p></div></body>",
+    ) == ["Head\n" + ("Some words of the text. " * 9).strip()]
 
 
 def test_deep_and_crooked_pages(spark):
@@ -369,7 +391,10 @@ def test_deep_and_crooked_pages(spark):
 
     start = time.perf_counter()
     n = 100_000
-    deep = ["<div>" * n + "deep" + "</div>" * n, "<span>" * n + "<p>x</p>" * 50, "<b>" * 2000 + "<li>y</b>" * 2000, "</div>" * n + "z", "<article>" + "<i>" * n + "in" + "</i>" * n + "</article>"]
+    deep = [
+        "<div>" * n + "deep" + "</div>" * n, "<span>" * n + "<p>x</p>" * 50, "<b>" * 2000 + "<li>y</b>" * 2000, "</div>" * n + "z",
+        "<article>" + "<i>" * n + "in" + "</i>" * n + "</article>",
+    ]
     got = pages_of(spark, "deep.example", *deep)
     assert got[0] == "deep" and got[1].split("\n") == ["x"] * 50 and got[3] == "z" and got[4] == "in" and time.perf_counter() - start < 120
 

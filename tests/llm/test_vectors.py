@@ -43,7 +43,10 @@ def test_topk_with_copies_ties_and_chunks(spark, monkeypatch):
 
 
 def test_topk_edges(spark):
-    rows = [(20, [1.0, 2.0], 0), (1, [1.0, None], 0), (2, None, 0), (3, [math.nan, 1.0], 0), (4, [math.inf, 1.0], 0), (5, [1.0, 1.0], None), (None, [1.0, 1.0], 0), (7, [1.0, 1.0, 1.0], 0), (20, [1.0, 2.0], 0)]
+    rows = [
+        (20, [1.0, 2.0], 0), (1, [1.0, None], 0), (2, None, 0), (3, [math.nan, 1.0], 0), (4, [math.inf, 1.0], 0), (5, [1.0, 1.0], None),
+        (None, [1.0, 1.0], 0), (7, [1.0, 1.0, 1.0], 0), (20, [1.0, 2.0], 0),
+    ]
     df = knn.integer_vectors(spark.createDataFrame(rows, SCHEMA))
     assert [tuple(r) for r in knn.top_k(df, df.where("vec_id = 20")).collect()] == [(20, 1, 5, 64 * 64 * 3)]
     empty = df.limit(0)
@@ -100,7 +103,9 @@ def linked(ids, x, labels, cosine=0.93):
 def test_grid_join_against_brute_force(spark, monkeypatch, block, tile):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 6))
-    x = np.concatenate([centres[rng.integers(0, 30, 250)] + rng.normal(size=(250, 6)) * 0.15, np.repeat(centres[:1], 40, 0), 3 * centres[:5]]).astype(np.float32)
+    x = np.concatenate([
+        centres[rng.integers(0, 30, 250)] + rng.normal(size=(250, 6)) * 0.15, np.repeat(centres[:1], 40, 0), 3 * centres[:5],
+    ]).astype(np.float32)
     ids, labels = rng.permutation(len(x)) + 5, rng.integers(0, 2, len(x))
     monkeypatch.setattr(gridjoin, "BLOCK", block)
     monkeypatch.setattr(gridjoin, "TILE", tile)
@@ -109,7 +114,10 @@ def test_grid_join_against_brute_force(spark, monkeypatch, block, tile):
 
 
 def test_grid_join_edges(spark):
-    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [1.0, 0.0], None), (4, [0.0, 0.0], 0), (5, None, 0), (6, [math.nan, 1.0], 0), (7, [2.0, 0.0], 0), (8, [1.0, None], 0), (9, [1.0], 0), (10, [-0.0, 1.0], 1), (11, [0.0, 1.0], 1), (2, [1.0, 0.0], 0)]
+    rows = [
+        (1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [1.0, 0.0], None), (4, [0.0, 0.0], 0), (5, None, 0), (6, [math.nan, 1.0], 0), (7, [2.0, 0.0], 0),
+        (8, [1.0, None], 0), (9, [1.0], 0), (10, [-0.0, 1.0], 1), (11, [0.0, 1.0], 1), (2, [1.0, 0.0], 0),
+    ]
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in gridjoin.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 8, 9)]
     assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (7, 3, 1, False), (10, 1, 10, True), (11, 1, 10, False), *alone])
@@ -117,7 +125,9 @@ def test_grid_join_edges(spark):
 
 
 def test_vectors_of_any_size_link(spark):
-    rows = [(1, [1e200, 1e200], 0), (2, [1e-200, 1e-200], 0), (3, [5e-324, 5e-324], 0), (4, [1.7e308, 0.0], 0), (5, [1.0, 1e-9], 0), (6, [0.0, 1.0], 0)] + [(10 + k, [1.0] * (k + 1), 0) for k in range(2, 14)]
+    rows = [
+        (1, [1e200, 1e200], 0), (2, [1e-200, 1e-200], 0), (3, [5e-324, 5e-324], 0), (4, [1.7e308, 0.0], 0), (5, [1.0, 1e-9], 0), (6, [0.0, 1.0], 0),
+    ] + [(10 + k, [1.0] * (k + 1), 0) for k in range(2, 14)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in gridjoin.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)} | {10 + k: (0, 10 + k) for k in range(2, 14)}
 
