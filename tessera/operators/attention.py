@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from tessera.schema import ATTENTION_COUNTS, ATTENTION_GROUPS, ATTENTION_METRICS, SCENARIOS
+from tessera.session import in_arrow
 
 #: Below this total a distribution or a ratio is undefined; values above its negative count as 0.
 EPSILON = 1e-8
@@ -83,23 +90,71 @@ def metrics(
     return rows.select(*kept, valid.alias(f"{prefix}valid"), *[made[m].alias(f"{prefix}{m}") for m in ATTENTION_METRICS])
 
 
+def _partial_sums(n_key: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each batch of heads (key columns, layer, vector) a row for each key: per scenario the sum of its vectors, their number, and whether one is invalid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in range(n_key)]
+            _, first, group = np.unique(np.stack([*codes, np.zeros(batch.num_rows, np.int64)], 1), axis=0, return_index=True, return_inverse=True)
+            layers, lists = pc.fill_null(batch.column(n_key), 0).to_numpy(zero_copy_only=False), batch.column(n_key + 1)
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()  # nulls are NaN
+            given = lists.is_valid().to_numpy(zero_copy_only=False) & (np.diff(ends) > 0)
+            order = np.argsort(group, kind="stable")
+            columns: list[list] = [[] for _ in range(3 * len(SCENARIOS))]
+            for members in np.split(order, np.cumsum(np.bincount(group))[:-1]):
+                for k, (low, high) in enumerate(SCENARIOS.values()):
+                    inside = members[(layers[members] >= low) & (layers[members] <= high)]
+                    total, bad = np.zeros(0), False
+                    for i in inside.tolist():
+                        x = values[ends[i] : ends[i + 1]] if given[i] else np.zeros(0)
+                        sound = given[i] and bool(((x >= -EPSILON) & (x < INF)).all()) and len(total) in (0, len(x))
+                        bad |= not sound
+                        if sound:
+                            total = total + np.maximum(x, 0) if len(total) else np.maximum(x, 0)
+                    for column, value in zip(columns[3 * k : 3 * k + 3], (total, len(inside), bad)):
+                        column.append(value)
+            kinds = [pa.list_(pa.float64()), pa.int64(), pa.bool_()] * len(SCENARIOS)
+            keys = [batch.column(k).take(pa.array(first)) for k in range(n_key)]
+            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=names)
+
+    return run
+
+
 def mean_over_layers(df: DataFrame, key: list[str], layer: str = "layer", vector: str = "attention") -> DataFrame:
     """Mean attention over the layers and heads of each scenario: ``key`` and an array ``<scenario>`` each, null if one of its rows is invalid.
 
-    A row is one head of one layer. Rows become (position, value) pairs, and partial sums are made
-    before the shuffle; the three overlapping scenarios are conditional sums of one aggregation.
+    A row is one head of one layer; a vector that is null, empty, invalid, or not as long as the others
+    of its key in a batch makes the scenarios of its layer null; a key's heads are of one length. Heads are summed within Arrow batches, so what is
+    spread out by position and shuffled is a row for each key and batch, not each head.
     """
-    v = F.col(vector).cast("array<double>")
-    ok = F.coalesce(is_valid(v) & (F.size(v) > 0), F.lit(False))
-    # a null or empty vector keeps its row, so that it makes the scenarios of its layer invalid
-    rows = df.select(*key, F.col(layer).alias("_layer"), ok.alias("_ok"), F.posexplode_outer(v).alias("_at", "_x"))
-    inside = {s: F.col("_layer").between(lo, hi) for s, (lo, hi) in SCENARIOS.items()}
-    sums = rows.groupBy(*key, "_at").agg(
-        *[F.avg(F.when(c, F.when(F.col("_x") < 0, 0.0).otherwise(F.col("_x")))).alias(s) for s, c in inside.items()],
-        *[F.bool_or(F.when(c, ~F.col("_ok"))).alias(f"_{s}") for s, c in inside.items()],
+    names = [*key, *[f"{x}{k}" for k in range(len(SCENARIOS)) for x in ("_sum", "_n", "_bad")]]
+    fields = [df.schema[k] for k in key]
+    for k in range(len(SCENARIOS)):
+        fields += [StructField(f"_sum{k}", ArrayType(DoubleType())), StructField(f"_n{k}", LongType()), StructField(f"_bad{k}", BooleanType())]
+    heads = df.select(*key, F.col(layer).cast("int").alias("_layer"), F.col(vector).cast("array<double>").alias("_v"))
+    parts = heads.transform(in_arrow, _partial_sums(len(key), names), StructType(fields))
+    sums, numbers, flags = ([f"{x}{k}" for k in range(len(SCENARIOS))] for x in ("_sum", "_n", "_bad"))
+    sizes = F.greatest(*[F.size(c) for c in sums])
+    # one row of numbers stands before the positions, so that a key without sums is not lost
+    rows = parts.select(*key, *numbers, *flags, *sums, F.explode(F.sequence(F.lit(-1), sizes - 1)).alias("_at"))
+    at = F.col("_at")
+    totals = rows.groupBy(*key, "_at").agg(
+        *[F.sum(F.when(at >= 0, F.get(c, at))).alias(c) for c in sums], *[F.sum(F.when(at < 0, F.col(c))).alias(c) for c in numbers],
+        *[F.bool_or(c).alias(c) for c in flags],
+    )
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when((at >= 0) & F.col(c).isNotNull(), F.struct("_at", c)))), lambda x: x[c])
+    done = totals.groupBy(*key).agg(
+        *[ordered(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in numbers], *[F.bool_or(c).alias(c) for c in flags],
     )
-    ordered = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", s)))), lambda x: x[s])
-    return sums.groupBy(*key).agg(*[F.when(~F.coalesce(F.bool_or(f"_{s}"), F.lit(True)), ordered(s)).alias(s) for s in SCENARIOS])
+    mean = lambda c, n: F.transform(c, lambda x: x / F.col(n))
+    means = [
+        F.when((F.col(n) > 0) & ~F.col(b) & (F.size(c) > 0), mean(c, n)).alias(s)
+        for s, c, n, b in zip(SCENARIOS, sums, numbers, flags)
+    ]
+    return done.select(*key, *means)
 
 
 def layer_errors(df: DataFrame, key: list[str], layer: str = "layer") -> DataFrame:
