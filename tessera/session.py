@@ -25,9 +25,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of a batch that Spark hands to Python, and its own default; a batch is held by the JVM and by the worker.
+BATCH_BYTES, _BATCH_SETTING, _BATCH_DEFAULT = "16777216b", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow``, for functions of this package: the executors get it first. Made for ``df.transform``."""
-    ship(df.sparkSession)
+    """``df.mapInArrow``, for functions of this package: the executors get it first. Made for ``df.transform``.
+
+    Where the session leaves the bytes of an Arrow batch at Spark's default, ``BATCH_BYTES`` is set.
+    """
+    spark = ship(df.sparkSession)
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 
