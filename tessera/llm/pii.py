@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from functools import cache, reduce
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,41 +124,54 @@ def _numbers(values) -> Column:
     return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<int>")
 
 
-def _shifted(c: Column, by: Column, alphabets) -> Column:
-    """``c`` moved on in the alphabet that has it. With letters of other blocks, one of yet another script moves in its row of 16."""
-    table = F.lit("".join(alphabets))
-    begins = _numbers(sum(map(len, alphabets[:k])) + 1 for k, a in enumerate(alphabets) for _ in a)
-    sizes = _numbers(len(a) for a in alphabets for _ in a)
-    moved = _bind(
-        F.instr(table, c),
-        lambda p: F.when(p > 0, F.substring(table, F.get(begins, p - 1) + F.pmod(p - F.get(begins, p - 1) + by, F.get(sizes, p - 1)), F.lit(1))),
+def _classes(alphabets) -> Column:
+    """Alphabets as one text, with the place where each character's begins and how long that is; ``wide`` if letters of all scripts are meant."""
+    return F.struct(
+        F.lit("".join(alphabets)).alias("text"), _numbers(sum(map(len, alphabets[:k])) + 1 for k, a in enumerate(alphabets) for _ in a).alias("begins"),
+        _numbers(len(a) for a in alphabets for _ in a).alias("sizes"), F.lit(len(alphabets) > 6).alias("wide"),
     )
-    if len(alphabets) < 6:
-        return F.coalesce(moved, c)
+
+
+def _shifted(c: Column, by: Column, classes: Column) -> Column:
+    """``c`` moved on in the alphabet that has it. If letters of all scripts are meant, one of a script without alphabets moves in its row of 16."""
+
+    def moved(p: Column) -> Column:
+        begin = F.get(classes["begins"], p - 1)
+        return F.when(p > 0, F.substring(classes["text"], begin + F.pmod(p - begin + by, F.get(classes["sizes"], p - 1)), F.lit(1)))
+
     code = F.ascii(c)
     far = (code >= 0x0250) & ~code.between(0x0300, 0x052F) & ~code.between(0x1E00, 0x2BFF) & ~code.between(0x3000, 0x303F) & ~code.between(0xD800, 0xF8FF)
     row = code.bitwiseAND(F.lit(~15))
     there = F.decode(F.unhex(F.lpad(F.hex((row + F.pmod(code - row + by, F.lit(16))).cast("long")), 8, "0")), "UTF-32")
-    return F.coalesce(moved, F.when(far, there).otherwise(c))
+    return F.coalesce(_bind(F.instr(classes["text"], c), moved), F.when(classes["wide"] & far, there).otherwise(c))
+
 
+def _cipher(text: Column, key: str, kind: Column, classes: Column) -> Column:
+    """A permutation, with no fixed points, of the texts that have the same classes at the same places; texts without any stay.
 
-def _cipher(text: Column, key: str, kind: str, alphabets) -> Column:
-    """A permutation, with no fixed points, of the texts that have the same classes at the same places; texts without any stay."""
+    Rounds 0 to 3 are the network, then every character moves on by one, then the rounds are undone.
+    """
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
-    moved = lambda part, digest, sign: _joined(F.transform(_chars(part), lambda c, i: _shifted(c, _byte(digest, i) * sign, alphabets)))
-    of = lambda r, part: F.sha2(F.concat_ws(MARK, F.lit(key), F.lit(kind), r.cast("string"), part), 256)
-    rounds = F.array(*map(F.lit, range(ROUNDS)))
 
-    def forth(s: Column, r: Column) -> Column:
-        return F.struct(s["b"].alias("a"), moved(s["a"], of(r, s["b"]), 1).alias("b"))
+    def step(s: Column, n: Column) -> Column:
+        forth, back = n < ROUNDS, n > ROUNDS
+        r = F.when(forth, n).otherwise(2 * ROUNDS - n)
+        part = F.when(forth, s["a"]).when(back, s["b"]).otherwise(F.concat(s["a"], s["b"]))
+        digest = F.sha2(F.concat_ws(MARK, F.lit(key), kind, r.cast("string"), F.when(forth, s["b"]).otherwise(s["a"])), 256)
+        by = lambda i: F.when(forth, _byte(digest, i)).when(back, -_byte(digest, i)).otherwise(F.lit(1))
+        moved = _joined(F.transform(_chars(part), lambda c, i: _shifted(c, by(i), classes)))
+
+        def taken(m: Column) -> Column:
+            cut = F.length(s["a"])
+            return F.struct(
+                F.when(forth, s["b"]).when(back, m).otherwise(F.substring(m, F.lit(1), cut)).alias("a"),
+                F.when(forth, m).when(back, s["a"]).otherwise(F.substring(m, cut + 1, F.length(m))).alias("b"),
+            )
 
-    def back(s: Column, r: Column) -> Column:
-        return F.struct(moved(s["b"], of(r, s["a"]), -1).alias("a"), s["a"].alias("b"))
+        return _bind(moved, taken)
 
-    on = lambda part: _joined(F.transform(_chars(part), lambda c: _shifted(c, F.lit(1), alphabets)))
-    there = F.aggregate(rounds, start, forth, lambda s: F.struct(on(s["a"]).alias("a"), on(s["b"]).alias("b")))
-    return F.aggregate(F.reverse(rounds), there, back, lambda s: F.concat(s["a"], s["b"]))
+    return F.aggregate(F.array(*map(F.lit, range(2 * ROUNDS + 1))), start, step, lambda s: F.concat(s["a"], s["b"]))
 
 
 def _bind(value: Column, then) -> Column:
@@ -194,17 +207,11 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add) % 10
 
 
-def _card(m: Column, key: str) -> Column:
-    """First digit kept, the rest but for the last enciphered, the last set so that the Luhn sum stays."""
-
-    def whole(d: Column) -> Column:
-        middle = _cipher(F.substring(d, F.lit(2), F.length(d) - 2), key, "card", (DIGITS,))
-        return _bind(
-            F.concat(F.substring(d, 1, 1), middle),
-            lambda f: F.concat(f, F.pmod(_luhn(d) - _luhn(F.concat(f, F.lit("0"))), F.lit(10)).cast("string")),
-        )
-
-    return _refilled(m, _bind(_digits(m), whole))
+def _carded(m: Column, middle: Column) -> Column:
+    """A card of other digits between the first, which is kept, and the last, which is set so that the Luhn sum stays."""
+    digits = _digits(m)
+    front = F.concat(F.substring(digits, 1, 1), middle)
+    return _refilled(m, _bind(front, lambda f: F.concat(f, F.pmod(_luhn(digits) - _luhn(F.concat(f, F.lit("0"))), F.lit(10)).cast("string"))))
 
 
 def phone_number(m: Column) -> Column:
@@ -215,21 +222,20 @@ def phone_number(m: Column) -> Column:
     )
 
 
-def _phone(m: Column, key: str) -> Column:
-    """The calling code and the first digit behind it stay, the other digits are enciphered as a sequence."""
-    moved = lambda n: F.concat(n["code"], F.substring(n["national"], 1, 1), _cipher(F.substring(n["national"], F.lit(2), F.length(n["national"])), key, "phone", (DIGITS,)))
-    return _refilled(m, _bind(phone_number(m), moved))
+def _phoned(m: Column, rest: Column) -> Column:
+    """A phone number of the same calling code and first digit behind it."""
+    return _refilled(m, _bind(phone_number(m), lambda n: F.concat(n["code"], F.substring(n["national"], 1, 1), rest)))
 
 
-def _email(m: Column, key: str) -> Column:
-    """Enciphered up to the last two parts of the host in lower case; then letters get the case that they had."""
-    tail = F.regexp_extract(m, r"(?:(?<=[@.])[^@.]+)?\.[^.]+$", 0)
-    head = F.substring(m, F.lit(1), F.length(m) - F.length(tail))
-    moved = _cipher(F.lower(head), key, "email", EMAIL_CLASSES)
-    return _bind(
-        moved,
-        lambda s: F.concat(_joined(F.zip_with(_chars(s), _chars(head), lambda c, h: F.when(h.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))), tail),
-    )
+def _tail(m: Column) -> Column:
+    """The last two parts of an address of mail's host, or one if there is no more."""
+    return F.regexp_extract(m, r"(?:(?<=[@.])[^@.]+)?\.[^.]+$", 0)
+
+
+def _mailed(m: Column, head: Column) -> Column:
+    """An address of mail with another head in lower case, whose letters get the case that they had, and the same tail."""
+    cased = F.zip_with(_chars(head), _chars(m), lambda c, h: F.when(h.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
+    return F.concat(_joined(F.slice(cased, F.lit(1), F.length(head))), _tail(m))
 
 
 #: First octets of addresses that aren't public.
@@ -270,30 +276,18 @@ def _ip(m: Column, key: str) -> Column:
     return _bind(F.aggregate(F.reverse(rounds), there, back), dotted)
 
 
-def _iban(m: Column, key: str) -> Column:
-    """Country kept, account enciphered, and check digits worked out anew."""
-
-    def whole(plain: Column) -> Column:
-        account = _cipher(F.substring(plain, F.lit(5), F.length(plain)), key, "iban", (DIGITS, UPPER))
-        return _bind(account, checked(F.substring(plain, 1, 2)))
-
-    def checked(country: Column):
-        def out(account: Column) -> Column:
-            rest = F.aggregate(
-                _chars(F.concat(account, country, F.lit("00"))), F.lit(0),
-                lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97),
-            )
-            return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
-
-        return out
-
-    def spaced(s: Column) -> Column:
-        return _joined(F.transform(
-            _chars(m),
-            lambda c, i: F.when(c == " ", c).otherwise(F.substring(s, F.length(F.replace(F.substring(m, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1))),
-        ))
-
-    return _bind(_bind(F.replace(m, F.lit(" "), F.lit("")), whole), spaced)
+def _banked(m: Column, account: Column) -> Column:
+    """An account number of the same country and spaces, with check digits worked out anew."""
+    country = F.substring(m, 1, 2)
+    rest = F.aggregate(
+        _chars(F.concat(account, country, F.lit("00"))), F.lit(0),
+        lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97),
+    )
+    plain = F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
+    return _bind(plain, lambda s: _joined(F.transform(
+        _chars(m),
+        lambda c, i: F.when(c == " ", c).otherwise(F.substring(s, F.length(F.replace(F.substring(m, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1))),
+    )))
 
 
 def given_names(key: str) -> dict[str, str]:
@@ -305,44 +299,53 @@ def given_names(key: str) -> dict[str, str]:
     return out
 
 
-def _name(m: Column, key: str) -> Column:
-    """Titles stay; known given names become others of their list, all other words are enciphered up to an ending that tells a gender."""
-    spin = given_names(key)
-    known, listed = F.lit(sorted(spin)), F.create_map(*[F.lit(x) for kv in spin.items() for x in kv])
-
-    def moved(w: Column) -> Column:
-        ending = F.regexp_extract(w, GENDER_ENDING, 0)
-        return F.concat(_cipher(F.substring(w, F.lit(1), F.length(w) - F.length(ending)), key, "name", NAME_CLASSES), ending)
-
-    def word(w: Column) -> Column:
-        # no other word becomes a known name or one with an ending of a gender that it hasn't: cycle walking
-        strays = lambda y: F.array_contains(known, y) | (F.regexp_extract(y, GENDER_ENDING, 0) != F.regexp_extract(w, GENDER_ENDING, 0))
-        walked = F.aggregate(F.array(*map(F.lit, range(8))), moved(w), lambda y, _: F.when(strays(y), moved(y)).otherwise(y))
-        return F.when(w.rlike(rf"^(?:{TITLES})\.?$"), w).when(F.array_contains(known, w), F.get(F.array(listed[w]), F.lit(0))).otherwise(walked)
-
-    return F.array_join(F.transform(F.split(m, " "), word), " ")
-
-
-def _access_key(m: Column, key: str) -> Column:
-    return F.concat(F.substring(m, 1, 4), _cipher(F.substring(m, F.lit(5), F.length(m)), key, "access_key", (DIGITS, UPPER)))
+def _body(kind: Column, m: Column) -> Column:
+    """What of an entity is enciphered."""
+    beyond = lambda text, at: F.substring(text, F.lit(at), F.length(text))
+    return (
+        F.when(kind == "email", F.lower(F.substring(m, F.lit(1), F.length(m) - F.length(_tail(m))))).when(kind == "access_key", beyond(m, 5))
+        .when(kind == "iban", beyond(F.replace(m, F.lit(" "), F.lit("")), 5)).when(kind == "card", F.substring(_digits(m), F.lit(2), F.length(_digits(m)) - 2))
+        .when(kind == "ssn", _digits(m)).when(kind == "phone", beyond(phone_number(m)["national"], 2)).when(kind == "ip", F.lit("")).otherwise(m)
+    )
 
 
-def _hex_key(m: Column, key: str) -> Column:
-    """Lower-case digits among themselves; where there are capitals, digits, small and capital letters each stay what they are."""
-    return F.when(m.rlike("[A-F]"), _cipher(m, key, "hex_key", HEX_CLASSES)).otherwise(_cipher(m, key, "hex_key", (HEX,)))
+def _classes_of(kind: Column, m: Column) -> Column:
+    """The alphabets of an entity. Hexadecimal keys without capitals are one alphabet; with capitals, digits, small and capital letters are three."""
+    return (
+        F.when(kind.isin("card", "ssn", "phone"), _classes((DIGITS,))).when(kind.isin("access_key", "iban"), _classes((DIGITS, UPPER)))
+        .when((kind == "hex_key") & m.rlike("[A-F]"), _classes(HEX_CLASSES)).when((kind == "hex_key") | (kind == "password") & m.rlike("^[0-9a-f]+$"), _classes((HEX,)))
+        .when(kind == "email", _classes(EMAIL_CLASSES)).when(kind == "name", _classes(NAME_CLASSES)).otherwise(_classes(SECRET_CLASSES))
+    )
 
 
-def _password(m: Column, key: str) -> Column:
-    return F.when(m.rlike("^[0-9a-f]+$"), _cipher(m, key, "password", (HEX,))).otherwise(_cipher(m, key, "password", SECRET_CLASSES))
+def surrogate(kind: Column, m: Column, key: str = DEFAULT_KEY) -> Column:
+    """The replacement of one entity of one of ``KINDS``.
 
+    Of a name, titles stay, known given names become others of their list, and all other words are
+    enciphered up to an ending that tells a gender; none of these becomes a known name, or one with an
+    ending of a gender that it hasn't (cycle walking).
+    """
+    spin = given_names(key)
+    known, listed = F.split(F.lit(" ".join(sorted(spin))), " "), F.split(F.lit(" ".join(spin[n] for n in sorted(spin))), " ")
+    is_name = kind == "name"
+    ending = lambda w: F.when(is_name, F.regexp_extract(w, GENDER_ENDING, 0)).otherwise(F.lit(""))
+
+    def word(w: Column, classes: Column) -> Column:
+        strays = lambda y: is_name & (F.array_contains(known, y) | (ending(y) != ending(w)))
+        moved = lambda y: F.concat(_cipher(F.substring(y, F.lit(1), F.length(y) - F.length(ending(y))), key, kind, classes), ending(y))
+        walked = F.aggregate(F.array(*map(F.lit, range(9))), w, lambda y, n: F.when((n == 0) | strays(y), moved(y)).otherwise(y))
+        return F.when(is_name & w.rlike(rf"^(?:{TITLES})\.?$"), w).when(is_name & F.array_contains(known, w), F.get(listed, F.array_position(known, w).cast("int") - 1)).otherwise(walked)
+
+    words = F.when(is_name, F.split(m, " ")).otherwise(F.array(_body(kind, m)))
+    done = _bind(_classes_of(kind, m), lambda classes: F.array_join(F.transform(words, lambda w: word(w, classes)), " "))
+
+    def finished(x: Column) -> Column:
+        return (
+            F.when(kind == "email", _mailed(m, x)).when(kind == "access_key", F.concat(F.substring(m, 1, 4), x)).when(kind == "iban", _banked(m, x)).when(kind == "ip", _ip(m, key))
+            .when(kind == "card", _carded(m, x)).when(kind == "ssn", _refilled(m, x)).when(kind == "phone", _phoned(m, x)).otherwise(x)
+        )
 
-def surrogate(kind: Column, m: Column, key: str = DEFAULT_KEY) -> Column:
-    """The replacement of one entity of one of ``KINDS``."""
-    made = {
-        "email": _email(m, key), "access_key": _access_key(m, key), "hex_key": _hex_key(m, key), "iban": _iban(m, key), "ip": _ip(m, key), "card": _card(m, key),
-        "ssn": _refilled(m, _cipher(_digits(m), key, "ssn", (DIGITS,))), "phone": _phone(m, key), "name": _name(m, key),
-    }
-    return reduce(lambda out, kv: F.when(kind == kv[0], kv[1]).otherwise(out), made.items(), _password(m, key))
+    return _bind(done, finished)
 
 
 def plain_form(kind: Column, m: Column) -> Column:
@@ -356,10 +359,21 @@ def plain_form(kind: Column, m: Column) -> Column:
 # ---- texts -----------------------------------------------------------------------------------------
 
 
+def _may_hold(text: Column) -> Column:
+    """False only for texts that hold no entity: each kind needs one of these cheaper signs.
+
+    An address of mail has its sign; numbers have a digit before a digit, space, point or hyphen; a key
+    of letters alone has 32 of them; access keys, secrets and names have their words.
+    """
+    numbers = r"[0-9][0-9 .-]|[0-9a-fA-F]{32}|A(?:KIA|SIA)|@"
+    names = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES})\.?|{_KNOWN}) \p{{Lu}}"
+    return text.rlike(numbers) | text.rlike("[=:]") & text.rlike(rf"(?iu:{KEYWORDS})\s{{0,2}}[=:]") | text.rlike(names)
+
+
 def _parts(text: Column) -> Column:
-    """What stands between entities, and between these for each entity all groups of the expression; one pass over the text."""
+    """What stands between entities, and between these for each entity all groups of the expression; one pass over a text that may hold one."""
     marked = F.regexp_replace(text, ANY, MARK + GROUP.join(f"${k}" for k in range(1, len(KINDS) + 2)) + MARK)
-    return F.split(marked, MARK, -1)
+    return F.when(_may_hold(text), F.split(marked, MARK, -1)).when(text.isNotNull(), F.array(text))
 
 
 def _escaped(text: Column) -> Column:
