@@ -18,6 +18,10 @@ __all__ = [
 ]
 
 
+#: Texts that a task has as Python strings at once; Arrow hands on some thousands.
+TEXTS = 512
+
+
 def spanning_forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the edges given, enough to join the same nodes: each node with the least of its tree.
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_arrow, texts_of
+from tessera.llm.common import TEXTS, in_arrow, pieces, texts_of
 from tessera.llm.tokens import byte_bpe, default_path
 
 #: Context sizes; each is a power of two, and each is half of the one before.
@@ -163,7 +163,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = byte_bpe(path), Packer(TaskContext.get().partitionId(), tiers, step_tokens, keep_ids)
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in pieces(batches, TEXTS):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 packer.add(doc_id, np.concatenate([encoder.encode(text), end]))
                 if len(packer.rows[0]) >= 8192:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, in_arrow, texts_of
+from tessera.llm.common import TEXTS, cut, in_arrow, pieces, texts_of
 from tessera.llm.tokens import byte_bpe, default_path
 
 #: Bytes of one block; a multiple of every width of a token.
@@ -69,7 +69,7 @@ def flatten(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
             )
             block, held, size, ends = block + len(rows), [data[used:]], max(0, size - used), [(p - used, d) for p, d in ends if p >= used]
 
-        for batch in batches:
+        for batch in pieces(batches, TEXTS):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 ids = encoder.encode(text)
                 if (ids == end_id).any():

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, edge_batch, in_arrow, key_runs, pieces, spanning_forest, texts_of
+from tessera.llm.common import TEXTS, connected_components, cut, edge_batch, in_arrow, key_runs, pieces, spanning_forest, texts_of
 
 SHINGLE, SEED, BITS = 4, 42, 64
 #: Fingerprints at so many differing bits or fewer are linked.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """``doc_id``, ``fp`` (the 64 bits as a signed long) of each whole text; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, TEXTS):
             fps = np.array([simhash(t) for t in texts_of(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from tessera.llm.common import Remembered, cut, in_arrow, texts_of
+from tessera.llm.common import Remembered, TEXTS, cut, in_arrow, pieces, texts_of
 
 #: Labelled documents that the model is fitted on, at most (chosen by a hash of doc_id); bounds the
 #: vocabulary that is counted and the rows that the calibration brings to the driver.
@@ -33,7 +33,7 @@ MAX_SCORE = 6.0
 #: A passage is reported when so many or fewer as good are expected in a clean text of its length.
 MAX_EXPECTED = 0.01
 #: Bytes that a task spends on remembered words, and on counted tokens before it hands them on.
-REMEMBERED_BYTES, COUNTED_BYTES = 48_000_000, 48_000_000
+REMEMBERED_BYTES, COUNTED_BYTES = 40_000_000, 32_000_000
 #: One in so many labelled documents is set aside for the calibration.
 FOLDS = 4
 COUNTS = ("toxic_aside", "toxic", "clean_aside", "clean")
@@ -188,7 +188,7 @@ def _learn(train: DataFrame) -> tuple[Model, Model]:
             return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *columns], names=["token", *COUNTS])
 
         long = 0  # characters of long words since the last flush
-        for batch in batches:
+        for batch in pieces(batches, TEXTS):
             for label, text, aside in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist()):
                 words, tokens = text.lower().split(), {""}
                 for raw in set(words):
@@ -264,7 +264,7 @@ def _calibrate(model: Model, train: DataFrame) -> None:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in pieces(batches, TEXTS):
             out = [scorer.passages(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -282,7 +282,7 @@ def _calibrate(model: Model, train: DataFrame) -> None:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in pieces(batches, TEXTS):
             x = [scorer.statistic(n, [(0, 0, s) for s in f]) for n, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.float64())], names=["toxic", "n", "x"])
 
@@ -345,7 +345,7 @@ def score(docs: DataFrame, model: Model, passages: bool = False, columns: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in pieces(batches, TEXTS):
             found = [scorer.passages(t) for t in texts_of(batch.column(0))]
             out = [*batch.columns[1:], pa.array(scorer.probability(found), pa.float64())]
             if passages:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, in_arrow, texts_of
+from tessera.llm.common import TEXTS, cut, in_arrow, pieces, texts_of
 
 #: Pages of a host from which on a text that is the same on all of them is part of the frame.
 FIXED_PAGES = 5
@@ -495,7 +495,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             names = ["host", "path", "tag", "rank", "chars", "linked", "anchors", "repeated", "lo", "hi", "slot", "pages"]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-        for batch in batches:
+        for batch in pieces(batches, TEXTS):
             for host, page in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 for path, (tag, rank, chars, linked, anchors, repeated, text) in terms(page).items():
                     slot, text = text is None, text or 0
