@@ -456,13 +456,13 @@ def recorded_failures(spark, sf_dir):
 
 # ---- runs and plans --------------------------------------------------------------------------------
 
-_STATUS = F.expr("CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'planned' END")
+_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'planned' END"
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id FROM orders WHERE o_orderstatus <> 'F'")
 def unfinished_runs(spark, sf_dir):
     return runs.unfinished_runs(read_table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("string").alias("run_id"), _STATUS.alias("status"),
+        F.col("o_orderkey").cast("string").alias("run_id"), F.expr(_STATUS).alias("status"),
     )).select("run_id")
 
 

@@ -34,3 +34,14 @@ def test_events():
     gate.log_event("shard", out, shard="a", error=None)
     made = json.loads(out.getvalue())
     assert made["event"] == "shard" and made["shard"] == "a" and "error" not in made
+
+
+def test_queries_are_listed_without_a_session():
+    """The entry is imported, and its queries listed, before any session exists."""
+    import os
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 90 and set(o) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=top, check=True, timeout=120)
