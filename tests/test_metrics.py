@@ -22,6 +22,7 @@ def form(request):
 
 
 def test_three_tokens(spark, form):
+    # Rates of 1/2, 1/4 and 1/4, for which every metric is known in closed form.
     r = row(form(spark.createDataFrame([(LN, 1)], "logits array<double>, selected int")))
     h = 0.5 * math.log(0.5) + 0.5 * math.log(0.25)
     want = {
@@ -66,13 +67,13 @@ def attn(spark, v, i, p, g):
 
 
 def test_attention_values(spark):
-    r = attn(spark, [0.4, 0.3, 0.2, 0.1, 0.0], [0, 4], [1, 2], [3])
-    assert r["img_attn_total"] == pytest.approx(0.4) and r["img_attn_avg"] == pytest.approx(0.2) and r["img_attn_kl_u_p"] == math.inf
+    r = attn(spark, [0.3, 0.15, 0.25, 0.0, 0.3], [0, 3], [1, 2], [4])
+    assert r["img_attn_total"] == pytest.approx(0.3) and r["img_attn_avg"] == pytest.approx(0.15) and r["img_attn_kl_u_p"] == math.inf
     assert r["all_attn_total"] == pytest.approx(1.0) and r["attn_ratio_img_to_all"] + r["attn_ratio_prompt_generated_text_to_all"] == pytest.approx(1)
 
 
 def test_attention_empty_invalid_and_clipped(spark):
-    r = attn(spark, [0.4, 0.3, 0.2, 0.1, 0.0], [0, 4], [1, 2, 3], [])
+    r = attn(spark, [0.3, 0.15, 0.25, 0.0, 0.3], [0, 3], [1, 2, 4], [])
     assert r["generated_text_attn_total"] == 0 and r["generated_text_attn_avg"] is None and r["valid"]
     for v, p in (([-1e-7, 0.3, 0.2, 0.1, 0.0], [1, 2]), ([math.nan, 0.3, 0.2, 0.1, 0.0], [1, 2]), ([0.1] * 5, [0, 2]), ([0.1] * 5, [9]), (None, [1])):
         r = attn(spark, v, [0, 4], p, [3])
@@ -118,9 +119,8 @@ def test_stop_rule(spark):
 
 
 def test_schedule(spark):
-    items = spark.createDataFrame(
-        [("a", 9, 2, 0), ("b", 3, 0, 1), ("c", 3, 0, 2), ("d", 8, 1, 3), ("e", 2, 0, 4)], "id string, tokens int, images int, ordinal long",
-    )
+    work = [("p", 12, 1), ("q", 5, 0), ("r", 7, 3), ("s", 5, 0), ("t", 1, 0), ("u", 20, 2), ("v", 7, 1)]
+    items = spark.createDataFrame([(*x, k) for k, x in enumerate(work)], "id string, tokens int, images int, ordinal long")
 
     def batches(*args):
         out = {}
@@ -128,9 +128,9 @@ def test_schedule(spark):
             out.setdefault(r.batch, []).append(r.id)
         return list(out.values())
 
-    assert batches(2, "contiguous") == [["a", "b"], ["c", "d"], ["e"]]
-    assert batches(2, "token_count_bucketed", 4) == [["b", "c"], ["d", "a"], ["e"]]
-    assert batches(1, "token_count_bucketed", 4) == [["a"], ["b"], ["c"], ["d"], ["e"]]
+    assert batches(3, "contiguous") == [["p", "q", "r"], ["s", "t", "u"], ["v"]]
+    assert batches(2, "token_count_bucketed", 4) == [["q", "s"], ["r", "p"], ["t", "v"], ["u"]]
+    assert batches(1, "token_count_bucketed", 4) == [[x[0]] for x in work]
     for bad in ((0, "contiguous"), (2, "other"), (4, "token_count_bucketed", 2)):
         with pytest.raises(ValueError):
             scheduling.schedule(items, *bad)
