@@ -90,3 +90,42 @@ def test_no_rows(spark, data):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in pipeline.STAGES[:3]:
         assert stage(spark, docs, data).columns == docs.columns and stage(spark, docs, data).count() == 0
+
+
+def test_run_against_all_pairs_and_the_library(spark, data):
+    """The whole pipeline over the table: who stays by comparing all pairs of texts, how many tokens by the tokenizer's own library."""
+    from tokenizers import Tokenizer
+
+    from tessera.llm.pii import replace_entities
+    from tessera.llm.tokens import default_path
+    from tessera.llm.toxicity import toxicity
+
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r.doc_id for r in toxicity(docs, labels).collect() if r.score >= 0.5}
+    kept = sorted((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id not in toxic)
+    sets = []
+    for _, text in kept:
+        words = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()).split()
+        sets.append({b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    group = list(range(len(kept)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) * 5 >= 4 * len(a | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    stay = {kept[g][0] for g in group}
+    library = Tokenizer.from_file(default_path())
+    texts = replace_entities(docs.select("doc_id", "text")).collect()
+    want = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in texts if r.doc_id in stay}
+    assert toxic and len(stay) < len(kept)
+    pieces: dict = {}
+    for r in pipeline.run(spark, data).collect():
+        assert r.doc_tokens == want[r.doc_id]
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+    assert set(pieces) == set(want)
+    for doc_id, parts in pieces.items():
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert at == want[doc_id]
