@@ -44,11 +44,16 @@ def spanning_forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np
     return nodes[led], nodes[least[led]]
 
 
+#: A graph of so many edges at most (16 bytes each) is joined by one task; a larger one by rounds of all.
+SMALL_GRAPH = 500_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (the least node reachable) for the nodes of ``edges`` (``a``, ``b``: long).
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014) until nothing changes;
-    each step is one combined minimum by node and one equi-join, which AQE splits where a hub is hot.
+    each step is one combined minimum by node and one equi-join, which AQE splits where a hub is hot. As soon
+    as ``SMALL_GRAPH`` edges are left or fewer, one task finishes.
     Loops and repeated edges are ignored, null ends are dropped, and no edges give no rows.
     """
     pairs = (
@@ -59,6 +64,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs, before = cut(pairs), None
     while True:
         now = _digest(pairs)
+        if 0 < now[0] <= SMALL_GRAPH:
+            return cut(pairs.coalesce(1).transform(in_arrow, _joined_at_once, "node long, component long"))
         if now == before or now[0] == 0:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))
@@ -76,6 +83,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         pairs = cut(small.select("e.u", "e.v").where("u != v").distinct())
 
 
+def _joined_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node``, ``component`` of all edges given."""
+    ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not ends:
+        return
+    a, b = (np.concatenate(x) for x in zip(*ends))
+    nodes, least = spanning_forest(a, b)
+    # the least node of each component is not among those that were joined to it
+    rows = np.concatenate([nodes, np.unique(least)]), np.concatenate([least, np.unique(least)])
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["node", "component"])
+
+
 def _digest(pairs: DataFrame) -> tuple:
     """Count and order-free digest; equal digests of two rounds end the loop."""
     h = F.xxhash64("u", "v")

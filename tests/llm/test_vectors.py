@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tessera.llm import gridjoin, knn
+from tessera.llm import common, gridjoin, knn
 from tessera.llm.common import connected_components, spanning_forest
 from tessera.llm.queries import ORACLE_SQL, QUERIES
 
@@ -132,7 +132,9 @@ def test_vectors_of_any_size_link(spark):
     assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)} | {10 + k: (0, 10 + k) for k in range(2, 14)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 500_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_GRAPH", small)
     rng = np.random.default_rng(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, int(j)) for j in rng.integers(101, 200, 150)] + [(5, 5), (7, None)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
