@@ -24,17 +24,17 @@ NUMBERS = 2_000_000
 ROWS = "unit int, chunk int, query boolean, n int, ids binary, bounds binary, cells binary, v binary"
 
 
-def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """``vec_id, dim, v``: floor(scale * x) of each component; vectors that are null or not finite throughout are left out.
+def integer_vectors(vectors: DataFrame, scale: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``vec_id, dim, v``: floor(scale * x) of each component; vectors that are null or not finite throughout are left out. Columns of ``keep`` stay.
 
     A component whose integer doesn't fit into 62 bits is an error.
     """
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), *keep,
     ).where("vec_id is not null and embedding is not null").where(finite)
     whole = lambda x: F.when(F.abs(x * scale) < float(1 << 62), F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component is too large for integer products")).cast("long"))
-    return rows.select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", whole).alias("v"))
+    return rows.select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", whole).alias("v"), *keep)
 
 
 class Cells:

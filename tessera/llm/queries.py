@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.chat import BREAK, CONTROL, END, ESCAPE, START, format_chat, read_back
 from tessera.llm.common import read_table
 from tessera.llm.gridjoin import near_duplicates as vector_duplicates
 from tessera.llm.knn import integer_vectors, top_k
+from tessera.llm.negatives import hard_negatives, labelled_vectors
 from tessera.llm.packing import pack
 from tessera.llm.pieces import digests
 from tessera.llm.pii import replace_entities
@@ -61,9 +63,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives(labelled_vectors(read_table(spark, sf_dir, "embeddings"), 256, label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_topk, op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op7_embedding_dedup, op8_chat_formatting, op9_html_extraction,
-    op10_sentencepiece,
+    op10_sentencepiece, op13_hard_negatives,
 )}
 
 # ---- the same in SQL, where SQL can express it -----------------------------------------------------
@@ -114,4 +121,24 @@ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS lo
 CAST(sum({len(START) + len(BREAK) + len(END)} + length({_ROLE_SQL}) + length({_escaped_sql('text')})) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_topk": TOPK_SQL, "op7_embedding_dedup": LINKS_SQL, "op8_chat_formatting": CHAT_SQL}
+NEGATIVES_SQL = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND {_SOUND}
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same, CAST(coalesce(list_sum(list_transform(a.e, lambda x, i: x * d.e[i])), 0) AS BIGINT) AS score
+  FROM v a JOIN v d ON a.vec_id % 100 = 0 AND a.vec_id <> d.vec_id AND len(a.e) = len(d.e)
+),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM s WHERE same) WHERE nth <= 5
+),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_topk": TOPK_SQL, "op7_embedding_dedup": LINKS_SQL, "op8_chat_formatting": CHAT_SQL, "op13_hard_negatives": NEGATIVES_SQL}
