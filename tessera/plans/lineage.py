@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +22,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder, so that a lost executor does not repeat its past."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of its own in the shared folder: smaller than a checkpoint, and read by columns; for what is read several times.
+
+    It stays in that folder, as checkpoints do, until the folder is cleared.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
