@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.lineage import cut, ensure_checkpoint_dir
+from tessera.plans.lineage import cut, ensure_checkpoint_dir, written
 from tessera.session import in_arrow, read_table
 
 __all__ = [
     "Remembered", "connected_components", "cut", "edge_batch", "ensure_checkpoint_dir", "fresh", "in_arrow", "key_runs", "pieces", "read_table",
-    "spanning_forest", "texts_of",
+    "spanning_forest", "texts_of", "written",
 ]
 
 

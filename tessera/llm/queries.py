@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.chat import BREAK, CONTROL, END, ESCAPE, START, format_chat, read_back
 from tessera.llm.common import read_table
+from tessera.llm.funnels import Funnel, count_funnels
 from tessera.llm.gridjoin import near_duplicates as vector_duplicates
 from tessera.llm.knn import integer_vectors, top_k
 from tessera.llm.negatives import hard_negatives, labelled_vectors
@@ -63,6 +64,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
 
 
+FUNNELS = (
+    Funnel("A", ("view", "click", "view", "purchase"), ("error",)),
+    Funnel("B", ("signup", "view", "click", "purchase"), ("error",)),
+    Funnel("C", ("click", "click", "purchase", "view"), ("signup",)),
+)
+
+
+def op11_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_funnels(read_table(spark, sf_dir, "clicks"), FUNNELS)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
     return hard_negatives(labelled_vectors(read_table(spark, sf_dir, "embeddings"), 256, label), F.col("vec_id") % 100 == 0)
@@ -70,7 +82,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_topk, op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op7_embedding_dedup, op8_chat_formatting, op9_html_extraction,
-    op10_sentencepiece, op13_hard_negatives,
+    op10_sentencepiece, op11_funnels, op13_hard_negatives,
 )}
 
 # ---- the same in SQL, where SQL can express it -----------------------------------------------------
@@ -141,4 +153,30 @@ n AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_topk": TOPK_SQL, "op7_embedding_dedup": LINKS_SQL, "op8_chat_formatting": CHAT_SQL, "op13_hard_negatives": NEGATIVES_SQL}
+_STEP_SQL = """
+r{now} AS (
+  SELECT a.funnel, a.client_id, a.started, n.us, n.us - a.us AS gap FROM r{last} a JOIN f USING (funnel)
+  ASOF JOIN e n ON a.client_id = n.client_id AND f.s{now} = n.kind AND a.us < n.us
+  ASOF LEFT JOIN e x ON a.client_id = x.client_id AND f.excluded = x.kind AND a.us < x.us
+  WHERE n.us <= a.started + 1800000000 AND (x.us IS NULL OR x.us > n.us)
+),
+q{now} AS (
+  SELECT funnel, client_id, max(n) AS n, max(gap) FILTER (nth = (90 * n + 99) // 100) AS t
+  FROM (SELECT *, row_number() OVER (PARTITION BY funnel, client_id ORDER BY gap) AS nth, count(*) OVER (PARTITION BY funnel, client_id) AS n FROM r{now}) GROUP BY funnel, client_id
+),"""
+_FUNNEL_ROWS = ", ".join(str((f.name, *f.steps, *f.excluded)) for f in FUNNELS)
+FUNNELS_SQL = f"""
+WITH e AS (SELECT DISTINCT client_id, kind, epoch_us(arrived_at) AS us FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL),
+f(funnel, s1, s2, s3, s4, excluded) AS (VALUES {_FUNNEL_ROWS}),
+r1 AS (SELECT funnel, client_id, us AS started, us FROM f JOIN e ON s1 = kind),
+{"".join(_STEP_SQL.format(now=k, last=k - 1) for k in (2, 3, 4))}
+n AS (
+  SELECT c.funnel, c.client_id, c.n AS n1, coalesce(q2.n, 0) AS n2, coalesce(q3.n, 0) AS n3, coalesce(q4.n, 0) AS n4, q2.t AS t2, q3.t AS t3, q4.t AS t4,
+    CAST(1 + (q2.n IS NOT NULL)::INTEGER + (q3.n IS NOT NULL)::INTEGER + (q4.n IS NOT NULL)::INTEGER AS INTEGER) AS deepest
+  FROM (SELECT funnel, client_id, count(*) AS n FROM r1 GROUP BY ALL) c
+  LEFT JOIN q2 USING (funnel, client_id) LEFT JOIN q3 USING (funnel, client_id) LEFT JOIN q4 USING (funnel, client_id)
+)
+SELECT funnel, client_id, n1, n2, n3, n4, deepest, t2, t3, t4, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM n
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_topk": TOPK_SQL, "op7_embedding_dedup": LINKS_SQL, "op8_chat_formatting": CHAT_SQL, "op11_funnels": FUNNELS_SQL, "op13_hard_negatives": NEGATIVES_SQL}
