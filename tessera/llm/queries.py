@@ -16,6 +16,7 @@ from tessera.llm.pieces import digests
 from tessera.llm.pii import replace_entities
 from tessera.llm.separators import flatten, scan
 from tessera.llm.simhash import near_duplicates
+from tessera.llm.suffixes import remove_repeats
 from tessera.llm.toxicity import toxicity
 from tessera.llm.wrappers import main_text
 
@@ -75,6 +76,12 @@ def op11_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_funnels(read_table(spark, sf_dir, "clicks"), FUNNELS)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes, left = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), F.octet_length("kept").cast("long")
+    return kept.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
     return hard_negatives(labelled_vectors(read_table(spark, sf_dir, "embeddings"), 256, label), F.col("vec_id") % 100 == 0)
@@ -82,7 +89,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_topk, op2_toxicity, op3_simhash, op4_token_counts, op5_packing, op6_pii, op7_embedding_dedup, op8_chat_formatting, op9_html_extraction,
-    op10_sentencepiece, op11_funnels, op13_hard_negatives,
+    op10_sentencepiece, op11_funnels, op12_suffix_dedup, op13_hard_negatives,
 )}
 
 # ---- the same in SQL, where SQL can express it -----------------------------------------------------
