@@ -16,7 +16,8 @@ nothing has to be looked up: no table of entities, no Python.
 * A known given name becomes another of the same gender and script: the next one in an order of the
   list under the key. Endings of surnames that tell a gender stay.
 * :func:`replace_entities` checks the distinct entities of the whole table for collisions, and takes a
-  further key if it finds any.
+  further key if it finds any. Kinds that collide under all keys get a digest of the entity behind the
+  surrogate, so no entity ends a job, and none stays.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh
+from tessera.llm.common import fresh
 
 DEFAULT_KEY = "surrogate-key-1"
 ROUNDS = 4
@@ -47,8 +48,14 @@ LETTER_BLOCKS = (
     (0x1E00, 0x1F00), (0x1F00, 0x2000),
 )
 GIVEN_NAMES = {
-    "female latin": "Alice Anna Barbara Carmen Charlotte Clara Emma Eva Hannah Isabel Julia Laura Lucia Maria Marie Mary Olivia Paula Sarah Sophie".split(),
-    "male latin": "Adam Andrew Anton Charles Daniel David Felix George Henry James John Jonas Louis Lucas Martin Michael Paul Peter Robert Thomas".split(),
+    "female latin": (
+        "Alice Anna Barbara Carmen Charlotte Clara Elizabeth Emily Emma Eva Hannah Helen Isabel Jennifer Jessica Julia Karen Laura Linda Lisa Lucia Margaret Maria Marie Mary Nancy "
+        "Olivia Patricia Paula Rebecca Ruth Sandra Sarah Sophie Susan"
+    ).split(),
+    "male latin": (
+        "Adam Andrew Anthony Anton Benjamin Brian Charles Christopher Daniel David Edward Felix George Henry James Jason John Jonas Joseph Kevin Louis Lucas Mark Martin Matthew Michael "
+        "Paul Peter Richard Robert Stephen Steven Thomas Timothy William"
+    ).split(),
     "female cyrillic": "Анна Вера Галина Елена Ирина Мария Нина Ольга Светлана Татьяна".split(),
     "male cyrillic": "Александр Андрей Борис Виктор Дмитрий Иван Николай Олег Павел Сергей".split(),
 }
@@ -60,8 +67,16 @@ CALLING_CODE = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{
 #: Words before = or : that make what follows a secret, in any case, also behind an underscore.
 KEYWORDS = "password|passwd|passwort|contraseña|пароль|secret|token|(?:api_)?key"
 
+#: Words before a number without separators, or with spaces, that make it a phone or an American social security number.
+PHONE_WORDS, SSN_WORDS = "phone|tel|telephone|mobile|cell|fax|call", "ssn|social security number|social security no|social security"
+#: What a secret has at least one of: characters that the cipher moves. Other letters and digits are in no alphabet.
+MOVED = r"[\p{L}\p{Nd}&&[^\u00AA\u00B5\u00BA\u2000-\u2BFF\u3000-\u303F\uD800-\uF8FF]]"
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]*+"
+#: Words of a name; an initial counts where another word of the name follows.
+_WORDS = rf"(?: (?:(?:\p{{Lu}}\.)+(?= \p{{Lu}})|{_NAME}))++"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _KNOWN = "|".join(n for v in GIVEN_NAMES.values() for n in v)
 #: Kinds in order of precedence; none has a group of its own. What a keyword makes a secret comes last.
 PATTERNS = {
@@ -70,15 +85,23 @@ PATTERNS = {
     "hex_key": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?i:[23][0-9a-f]{{3}}|f[c-f][0-9a-f]{{2}})(?:(?::{_HEX}){{7}}|(?=[0-9A-Fa-f:]*::)(?:::?{_HEX}){{1,6}}+(?:::)?+)(?![0-9A-Za-z:])",
     "card": r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES})\.?|{_KNOWN})(?: {_NAME})++",
+    "ssn": rf"(?<![0-9-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9-])|(?<=(?i:{SSN_WORDS})[.:#]{{0,2}} {{0,3}})[0-9]{{3}} ?[0-9]{{2}} ?[0-9]{{4}}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|"
+    rf"(?<=(?i:{PHONE_WORDS})[.:#]{{0,2}} {{0,3}})[0-9]{{7,15}})(?![0-9])",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?i:{TITLES})\.?|{_KNOWN}){_WORDS}",
 }
 KINDS = (*PATTERNS, "password")
 _OTHERS = "|".join(p for k, p in PATTERNS.items() if k != "name")
+_GAP = r"[\p{Zs}\t]*+"
+_SIGN = rf"{_GAP}[=:](?:{_GAP}\r?\n)?{_GAP}"
+#: In prose a word may follow "Key:"; it is a secret only behind quotes, an equals sign or a longer key word, or if it isn't all letters.
+_PROSE = rf"(?!(?<!_)(?iu:key){_GAP}:(?:{_GAP}\r?\n)?{_GAP}\p{{L}}++[.,;:!?)]*+(?:\s|\z))"
+#: A secret ends where its quotes do, or without quotes at a space.
+_SECRET = "|".join(rf"(?<={q})[^{q}\r\n]*?{MOVED}[^{q}\r\n]*+(?={q})" for q in "\"'") + rf"|[^\s\"']*?{MOVED}[^\s\"']*+"
 #: One group a kind; before a password stands the group of its keyword.
-ANY = "|".join(f"({p})" for p in PATTERNS.values()) + rf"|(?<![\p{{L}}\p{{N}}])(?=[ptkscPTKSCпПаА])((?iu:{KEYWORDS})\s{{0,2}}[=:]\s{{0,2}}[\"']?)(?!{_OTHERS})([^\s\"']{{4,}}+)"
+ANY = "|".join(f"({p})" for p in PATTERNS.values()) + rf"|(?<![\p{{L}}\p{{N}}])(?=[ptkscPTKSCпПaА]){_PROSE}((?iu:{KEYWORDS}){_SIGN}[\"']?+)(?!{_OTHERS})({_SECRET})"
 #: Marks between what the expression finds, between its groups, and what they are escaped by where a text has them.
 MARK, GROUP, ESCAPE = "\u0001", "\u0002", "\u0003"
 
@@ -303,7 +326,7 @@ def _body(kind: Column, m: Column) -> Column:
     """What of an entity is enciphered."""
     beyond = lambda text, at: F.substring(text, F.lit(at), F.length(text))
     return (
-        F.when(kind == "email", F.lower(F.substring(m, F.lit(1), F.length(m) - F.length(_tail(m))))).when(kind == "access_key", beyond(m, 5))
+        F.when(kind == "email", F.lower(F.substring(m, F.lit(1), F.length(m) - F.length(_tail(m))))).when(kind.isin("access_key", "ipv6"), beyond(m, 5))
         .when(kind == "iban", beyond(F.replace(m, F.lit(" "), F.lit("")), 5)).when(kind == "card", F.substring(_digits(m), F.lit(2), F.length(_digits(m)) - 2))
         .when(kind == "ssn", _digits(m)).when(kind == "phone", beyond(phone_number(m)["national"], 2)).when(kind == "ip", F.lit("")).otherwise(m)
     )
@@ -313,7 +336,7 @@ def _classes_of(kind: Column, m: Column) -> Column:
     """The alphabets of an entity. Hexadecimal keys without capitals are one alphabet; with capitals, digits, small and capital letters are three."""
     return (
         F.when(kind.isin("card", "ssn", "phone"), _classes((DIGITS,))).when(kind.isin("access_key", "iban"), _classes((DIGITS, UPPER)))
-        .when((kind == "hex_key") & m.rlike("[A-F]"), _classes(HEX_CLASSES)).when((kind == "hex_key") | (kind == "password") & m.rlike("^[0-9a-f]+$"), _classes((HEX,)))
+        .when(kind.isin("hex_key", "ipv6") & m.rlike("[A-F]"), _classes(HEX_CLASSES)).when(kind.isin("hex_key", "ipv6") | (kind == "password") & m.rlike("^[0-9a-f]+$"), _classes((HEX,)))
         .when(kind == "email", _classes(EMAIL_CLASSES)).when(kind == "name", _classes(NAME_CLASSES)).otherwise(_classes(SECRET_CLASSES))
     )
 
@@ -328,20 +351,21 @@ def surrogate(kind: Column, m: Column, key: str = DEFAULT_KEY) -> Column:
     spin = given_names(key)
     known, listed = F.split(F.lit(" ".join(sorted(spin))), " "), F.split(F.lit(" ".join(spin[n] for n in sorted(spin))), " ")
     is_name = kind == "name"
-    ending = lambda w: F.when(is_name, F.regexp_extract(w, GENDER_ENDING, 0)).otherwise(F.lit(""))
+    # an ending without anything before it is the whole surname
+    ending = lambda w: F.when(is_name, F.regexp_extract(w, rf"(?<=\p{{L}}){GENDER_ENDING}", 0)).otherwise(F.lit(""))
 
     def word(w: Column, classes: Column) -> Column:
         strays = lambda y: is_name & (F.array_contains(known, y) | (ending(y) != ending(w)))
         moved = lambda y: F.concat(_cipher(F.substring(y, F.lit(1), F.length(y) - F.length(ending(y))), key, kind, classes), ending(y))
         walked = F.aggregate(F.array(*map(F.lit, range(9))), w, lambda y, n: F.when((n == 0) | strays(y), moved(y)).otherwise(y))
-        return F.when(is_name & w.rlike(rf"^(?:{TITLES})\.?$"), w).when(is_name & F.array_contains(known, w), F.get(listed, F.array_position(known, w).cast("int") - 1)).otherwise(walked)
+        return F.when(is_name & w.rlike(rf"^(?i:{TITLES})\.?$"), w).when(is_name & F.array_contains(known, w), F.get(listed, F.array_position(known, w).cast("int") - 1)).otherwise(walked)
 
     words = F.when(is_name, F.split(m, " ")).otherwise(F.array(_body(kind, m)))
     done = _bind(_classes_of(kind, m), lambda classes: F.array_join(F.transform(words, lambda w: word(w, classes)), " "))
 
     def finished(x: Column) -> Column:
         return (
-            F.when(kind == "email", _mailed(m, x)).when(kind == "access_key", F.concat(F.substring(m, 1, 4), x)).when(kind == "iban", _banked(m, x)).when(kind == "ip", _ip(m, key))
+            F.when(kind == "email", _mailed(m, x)).when(kind.isin("access_key", "ipv6"), F.concat(F.substring(m, 1, 4), x)).when(kind == "iban", _banked(m, x)).when(kind == "ip", _ip(m, key))
             .when(kind == "card", _carded(m, x)).when(kind == "ssn", _refilled(m, x)).when(kind == "phone", _phoned(m, x)).otherwise(x)
         )
 
@@ -365,9 +389,9 @@ def _may_hold(text: Column) -> Column:
     An address of mail has its sign; numbers have a digit before a digit, space, point or hyphen; a key
     of letters alone has 32 of them; access keys, secrets and names have their words.
     """
-    numbers = r"[0-9][0-9 .-]|[0-9a-fA-F]{32}|A(?:KIA|SIA)|@"
-    names = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES})\.?|{_KNOWN}) \p{{Lu}}"
-    return text.rlike(numbers) | text.rlike("[=:]") & text.rlike(rf"(?iu:{KEYWORDS})\s{{0,2}}[=:]") | text.rlike(names)
+    numbers = r"[0-9][0-9 .-]|[0-9a-fA-F]{32}|A(?:KIA|SIA)|@|[0-9a-fA-F]:[0-9a-fA-F]{0,4}:"
+    names = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?i:{TITLES})\.?|{_KNOWN}) \p{{Lu}}"
+    return text.rlike(numbers) | text.rlike("[=:]") & text.rlike(rf"(?iu:{KEYWORDS}){_GAP}[=:]") | text.rlike(names)
 
 
 def _parts(text: Column) -> Column:
@@ -416,14 +440,28 @@ def entities(text: Column) -> Column:
     return _found(_parts(_escaped(text)))
 
 
-def _map_of(found: DataFrame, key: str) -> DataFrame:
-    rows = found.select(F.explode("found").alias("e")).select("e.kind", "e.entity").distinct()
-    return rows.select("entity", "kind", surrogate(F.col("kind"), F.col("entity"), key).alias("surrogate"))
+def _entities_of(docs: DataFrame, text_column: str) -> DataFrame:
+    """``kind, entity``: the different entities of ``docs``."""
+    found = docs.where(_may_hold(F.col(text_column))).select(F.explode(entities(F.col(text_column))).alias("e"))
+    return found.select("e.kind", "e.entity").distinct()
+
+
+def _mapped(found: DataFrame, key: str, told: tuple[str, ...] = ()) -> DataFrame:
+    return found.select("entity", "kind", distinct_surrogate(F.col("kind"), F.col("entity"), key, told).alias("surrogate"))
+
+
+def distinct_surrogate(kind: Column, m: Column, key: str, told: tuple[str, ...] = ()) -> Column:
+    """:func:`surrogate`; for the kinds of ``told`` with a keyed digest of the entity behind it."""
+    made = surrogate(kind, m, key)
+    if not told:
+        return made
+    digest = F.substring(F.sha2(F.concat_ws(MARK, F.lit(key), kind, plain_form(kind, m)), 256), 1, 16)
+    return F.when(kind.isin(*told), F.concat(made, F.lit("-"), digest)).otherwise(made)
 
 
 def surrogate_map(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str = "text") -> DataFrame:
     """``entity, kind, surrogate`` of the different entities of ``docs``."""
-    return _map_of(docs.select(entities(F.col(text_column)).alias("found")), key)
+    return _mapped(_entities_of(docs, text_column), key)
 
 
 def collisions(mapped: DataFrame) -> DataFrame:
@@ -432,26 +470,32 @@ def collisions(mapped: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "made").agg(F.min("plain").alias("least"), F.max("plain").alias("greatest")).where("least <> greatest or least = made")
 
 
+def sound_key(found: DataFrame, key: str = DEFAULT_KEY) -> tuple[str, tuple[str, ...]]:
+    """A key under which the entities ``found`` (``kind, entity``) have distinct surrogates, and the kinds that need a digest for that: none, unless all keys that are tried have collisions."""
+    told: tuple[str, ...] = ()
+    for k in range(ATTEMPTS):
+        now = key if k == 0 else f"{key}/{k}"
+        told = tuple(sorted(r.kind for r in collisions(_mapped(found, now)).select("kind").distinct().collect()))  # a row for each kind at most
+        if not told:
+            break
+    return now, told
+
+
 def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str = "text", count: str = "n_entities") -> DataFrame:
     """``docs`` with every entity in ``text_column`` replaced, and ``n_entities`` (or another name for ``count``), the number of them.
 
     Texts without entities, null ones among them (with ``n_entities`` 0), stay as they are; other
     columns, repeated rows and nulls are kept. A column that is called as ``count`` is replaced.
-    An empty table gives an empty table. Texts of any length are taken whole. What was found is kept in
-    the shared folder; its different entities are checked for collisions before any is replaced, and
-    with collisions another key, derived from this one, is taken.
+    An empty table gives an empty table. Texts of any length are taken whole. What holds no letter or
+    digit (``password: ****``) is no secret. The different entities of the whole table are checked for
+    collisions first, in a pass of its own that keeps nothing but the result; with collisions another key,
+    derived from this one, is taken, and if all have some, the kinds concerned get a digest.
     """
+    docs = docs.drop(count)
+    now, told = sound_key(_entities_of(docs, text_column), key)
+    replaced = lambda e: F.concat(e["before"], distinct_surrogate(e["kind"], e["entity"], now, told))
     name = fresh(docs, "parts")
-    rows = cut(docs.drop(count).withColumn(name, _parts(_escaped(F.col(text_column)))).withColumn(text_column, F.when(F.size(name) == 1, F.col(text_column))))
-    parts = F.col(name)
-    found = rows.where(F.size(parts) > 1).select(_found(parts).alias("found"))
-    for k in range(ATTEMPTS):
-        now = key if k == 0 else f"{key}/{k}"
-        if collisions(_map_of(found, now)).isEmpty():
-            break
-    else:
-        raise ValueError(f"surrogates collide under {ATTEMPTS} keys")
-    replaced = lambda e: F.concat(e["before"], surrogate(e["kind"], e["entity"], now))
+    rows, parts = docs.withColumn(name, _parts(_escaped(F.col(text_column)))), F.col(name)
     changed = _joined(F.transform(parts, lambda p, i: F.when(i % 2 == 0, _unescaped(p)).otherwise(_bind(_entity(p), replaced))))
-    columns = [F.when(F.size(parts) > 1, changed).otherwise(F.col(text_column)).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns if c != count]
+    columns = [F.when(F.size(parts) > 1, changed).otherwise(F.col(text_column)).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(*columns, F.when(parts.isNull(), 0).otherwise(F.floor(F.size(parts) / 2)).cast("long").alias(count))
