@@ -129,3 +129,12 @@ def test_run_against_all_pairs_and_the_library(spark, data):
             assert start == at
             at += length
         assert at == want[doc_id]
+
+
+def test_columns_without_an_order(spark):
+    """Maps beside repeated rows: one of them is kept, always the same."""
+    text = "one two three four five six seven"
+    rows = [(1, text, {"a": 2}), (1, text, {"a": 1}), (2, text, {"b": 1}), (3, "other", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")
+    kept = sorted((r.doc_id, r.extra) for r in pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == [(1, {"a": 1}), (3, None)]
