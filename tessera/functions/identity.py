@@ -62,11 +62,3 @@ def sample_id(first: Column, second: Column, answer: Column, image_sha256: Colum
 
     made = F.concat(F.lit("sha256-"), sha256_hex(canonical_json(answer=answer, image_sha256=image_sha256, question=question)))
     return F.coalesce(blank_to_null(first.cast("string")), blank_to_null(second.cast("string")), made)
-
-
-def ordered_digest(value: Column, order: Column) -> Column:
-    """Aggregate: SHA-256 over values in order, each behind its length in eight bytes."""
-    data = lambda v: v.cast("binary")
-    framed = lambda v: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(data(v)).cast("long")), 16, "0")), data(v))
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
-    return F.sha2(F.aggregate(rows, F.unhex(F.lit("")), lambda s, r: F.concat(s, framed(r["v"]))), 256)

@@ -46,10 +46,6 @@ def decimals(gold: Column) -> Column:
     return F.length(F.regexp_extract(F.replace(T.strip_latex(gold), F.lit(","), F.lit("")), r"-?[0-9]*\.([0-9]+)", 1))
 
 
-#: Digits of the products that decide about fractions, and of numbers that are rounded; beyond, a comparison is null.
-MOST_DIGITS = 37
-
-
 def _number(text: Column) -> Column:
     """A number of digits and a point: whether it is negative, its digits without zeros at either end, and how many of them stand behind the point."""
 
@@ -66,37 +62,76 @@ def _number(text: Column) -> Column:
     return F.when(text.isNotNull(), bind(text, shape))
 
 
-def _product(a: Column, b: Column) -> Column:
-    """The exact product of two numbers as a number; null if it has more than ``MOST_DIGITS`` digits."""
-    whole = F.when(
-        F.length(a["digits"]) + F.length(b["digits"]) <= MOST_DIGITS,
-        F.coalesce(F.nullif(a["digits"], F.lit("")), F.lit("0")).cast("decimal(38,0)") * F.coalesce(F.nullif(b["digits"], F.lit("")), F.lit("0")).cast("decimal(38,0)"),
+#: Digits of a limb of a long number; products of limbs, and sums of nine million of these, fit into a long.
+LIMB = 6
+#: Digits up to which Spark's decimals multiply exactly.
+_SHORT = 37
+
+
+def _limbs(digits: Column) -> Column:
+    """A number's digits in groups of ``LIMB``, the last first."""
+    last = F.length(digits)
+    begin = lambda i: F.greatest(last - (i + 1) * LIMB, F.lit(0))
+    return F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((last - 1) / LIMB).cast("int"), F.lit(0))),
+        lambda i: F.coalesce(F.nullif(F.substring(digits, begin(i) + 1, last - i * LIMB - begin(i)), F.lit("")), F.lit("0")).cast("long"),
     )
-    zeros = lambda d: F.length(F.regexp_extract(d, "0*$", 0))
+
+
+def long_product(a: Column, b: Column) -> Column:
+    """The product of two whole numbers of any length, digits in and digits out, without zeros in front: limbs are multiplied crosswise, and sums carried on."""
+
+    def crossed(x: Column) -> Column:
+        n, m = F.size(x["a"]), F.size(x["b"])
+        sums = F.transform(F.sequence(F.lit(0), n + m - 2), lambda k: F.aggregate(
+            F.sequence(F.greatest(k - m + 1, F.lit(0)), F.least(k, n - 1)), F.lit(0).cast("long"), lambda s, i: s + F.get(x["a"], i) * F.get(x["b"], k - i),
+        ))
+        start = F.struct(F.lit(0).cast("long").alias("carry"), F.lit("").alias("digits"))
+
+        def carried(s: Column, limb: Column) -> Column:
+            whole = limb + s["carry"]
+            low = F.lpad((whole % 10**LIMB).cast("string"), LIMB, "0")
+            return F.struct(F.call_function("div", whole, F.lit(10**LIMB)).alias("carry"), F.concat(low, s["digits"]).alias("digits"))
+
+        return F.aggregate(sums, start, carried, lambda s: F.regexp_replace(F.concat(s["carry"].cast("string"), s["digits"]), "^0+", ""))
+
+    return bind(F.struct(_limbs(a).alias("a"), _limbs(b).alias("b")), crossed)
+
+
+def _product(a: Column, b: Column) -> Column:
+    """The exact product of two numbers as a number."""
+    short = F.coalesce(F.nullif(a["digits"], F.lit("")), F.lit("0")).cast("decimal(38,0)") * F.coalesce(F.nullif(b["digits"], F.lit("")), F.lit("0")).cast("decimal(38,0)")
+    whole = F.when(F.length(a["digits"]) + F.length(b["digits"]) <= _SHORT, F.nullif(short.cast("string"), F.lit("0"))).otherwise(long_product(a["digits"], b["digits"]))
 
     def shape(d: Column) -> Column:
-        cut = F.when(d == "0", "").otherwise(F.regexp_replace(d, "0+$", ""))
+        zeros = F.length(F.regexp_extract(d, "0*$", 0))
         return F.struct(
-            ((a["minus"] != b["minus"]) & (cut != "")).alias("minus"), cut.alias("digits"),
-            F.when(cut == "", 0).otherwise(a["scale"] + b["scale"] - zeros(d)).alias("scale"),
+            ((a["minus"] != b["minus"]) & (d != "")).alias("minus"), F.regexp_replace(d, "0+$", "").alias("digits"),
+            F.when(d == "", 0).otherwise(a["scale"] + b["scale"] - zeros).alias("scale"),
         )
 
-    return F.when(whole.isNotNull(), bind(whole.cast("string"), shape))
+    return F.when(a.isNotNull() & b.isNotNull(), bind(F.coalesce(whole, F.lit("")), shape))
+
+
+def _one_more(digits: Column) -> Column:
+    """The next whole number: its last nines become zeros, the digit before them goes up."""
+    nines = F.length(F.regexp_extract(digits, "9*$", 0))
+    kept = F.length(digits) - nines
+    up = F.coalesce(F.nullif(F.substring(digits, kept, F.lit(1)), F.lit("")), F.lit("0")).cast("int") + 1
+    head = F.when(kept > 0, F.concat(F.substring(digits, F.lit(1), kept - 1), up.cast("string"))).otherwise(F.lit("1"))
+    return F.concat(head, F.repeat(F.lit("0"), nines))
 
 
 def _rounded(x: Column, decimals_: Column) -> Column:
-    """A number rounded half away from zero to so many decimals, as an unscaled whole number; null beyond ``MOST_DIGITS`` digits."""
+    """A number rounded half away from zero to so many decimals: its sign, and the digits of the unscaled whole number without zeros in front."""
     spare = x["scale"] - decimals_
     whole = F.when(
         spare <= 0, F.concat(x["digits"], F.repeat(F.lit("0"), -spare)),
     ).otherwise(F.substring(x["digits"], F.lit(1), F.length(x["digits"]) - spare))
     # the first digit that goes; there is none if all that is left stands further behind the point
     next_ = F.when((spare > 0) & (F.length(x["digits"]) >= spare), F.substring(x["digits"], F.length(x["digits"]) - spare + 1, F.lit(1))).otherwise(F.lit("0"))
-    value = F.when(
-        F.length(whole) <= MOST_DIGITS,
-        F.coalesce(F.nullif(whole, F.lit("")), F.lit("0")).cast("decimal(38,0)") + F.when(next_ >= "5", 1).otherwise(0),
-    )
-    return F.when(x["minus"], -value).otherwise(value)
+    value = bind(F.struct(F.regexp_replace(whole, "^0+", "").alias("w"), (next_ >= "5").alias("up")), lambda s: F.when(s["up"], _one_more(s["w"])).otherwise(s["w"]))
+    return bind(value, lambda v: F.struct((x["minus"] & (v != "")).alias("minus"), v.alias("digits")))
 
 
 def numeric_equal(predicted: Column, gold: Column) -> Column:
@@ -104,8 +139,7 @@ def numeric_equal(predicted: Column, gold: Column) -> Column:
 
     Numbers are taken digit by digit. If either is a fraction they must be equal exactly, which
     cross-multiplication decides. Otherwise both are rounded (half up) to the truth's decimals, or
-    compared as they are if it has none. A fraction over 0 is no number. Products and rounded numbers of
-    more than ``MOST_DIGITS`` digits are not compared (null).
+    compared as they are if it has none. A fraction over 0 is no number. Numbers may have any length.
     """
     both = F.struct(T.clean_number(predicted).alias("p"), T.clean_number(gold).alias("g"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity
 from tessera.functions import text as T
-from tessera.operators import attention, constraints, hidden, positions, probability, sampling, scheduling, scoring
+from tessera.operators import attention, constraints, digests, hidden, positions, probability, sampling, scheduling, scoring
 from tessera.plans import matrix
 from tessera.schema import ATTENTION_METRICS, ATTENTION_RATIOS, PROBABILITY_METRICS, SCENARIOS
 from tessera.session import read_table
@@ -466,7 +466,7 @@ def shard_ids(spark, sf_dir):
 @query("""SELECT conv_id, sha256(unhex(string_agg(lpad(hex(octet_length(encode(text))), 16, '0') || hex(encode(text)), '' ORDER BY turn))) AS digest FROM conversations GROUP BY conv_id""")
 def ordered_digest(spark, sf_dir):
     rows = read_table(spark, sf_dir, "conversations")
-    return rows.groupBy("conv_id").agg(identity.ordered_digest(F.col("text"), F.col("turn")).alias("digest"))
+    return digests.ordered_digests(rows, ["conv_id"], "text", ["turn"])
 
 
 @query(f"""WITH p AS ({_probability_sql(('logp', 'entropy', 'selected_rank'))}), t AS ({_ATTENTION_SQL} SELECT vec_id, {_sql_rounded(('img_attn_total', 'attn_ratio_img_to_all'))} FROM w), h AS ({_HIDDEN_SQL} SELECT vec_id, round(cosine, 6) + 0.0 AS cosine FROM c)

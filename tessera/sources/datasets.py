@@ -8,9 +8,11 @@ sha256, size) and ``metadata_json``.
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
@@ -47,14 +49,13 @@ def text_or_empty(df: DataFrame, path: str) -> Column:
 def equals(df: DataFrame, wanted: dict, loose: bool = False) -> Column:
     """Equality on each column of ``wanted``, null equal to null; a missing column is null.
 
-    ``loose`` compares texts stripped and in lower case. No conditions hold for all rows.
+    ``loose`` compares texts stripped and with their cases folded. No conditions hold for all rows.
     """
     tests = []
     for name, value in wanted.items():
         c = column(df, name)
         if loose and isinstance(value, str):
-            folded = F.lower(F.upper(T.strip(c.cast("string"))))  # as casefold has it: capitals first, so that sharp s is two letters
-            tests.append(F.coalesce(folded == value.strip().upper().lower(), F.lit(False)))
+            tests.append(F.coalesce(T.casefold(T.strip(c.cast("string"))) == value.strip().casefold(), F.lit(False)))
         else:
             tests.append(c.eqNullSafe(F.lit(value)))
     return reduce(lambda a, b: a & b, tests, F.lit(True))
@@ -182,11 +183,29 @@ def math_figures(spark: SparkSession, path: str, where: dict | None = None, temp
     )
 
 
+def _listed(text: str | None) -> list[str]:
+    """The elements, as texts, of a list or tuple that is written as a Python literal."""
+    try:
+        found = ast.literal_eval(str(text))
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError) as e:
+        raise ValueError(f"options are no list: {str(text)[:80]!r}") from e
+    if not isinstance(found, (list, tuple)):
+        raise ValueError(f"options are no list: {str(text)[:80]!r}")
+    return [str(x) for x in found]
+
+
 def literal_list(value: Column) -> Column:
-    """A list of texts written with Python's quotes: elements in single or double quotes, backslash escapes undone."""
-    found = F.regexp_extract_all(value, F.lit(r"""'((?:[^'\\]|\\.)*+)'|"((?:[^"\\]|\\.)*+)\""""), F.lit(0))
-    plain = lambda s: F.replace(F.replace(F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), r"\\(['\"])", "$1"), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
-    return F.transform(found, plain)
+    """The elements of a list or tuple written as a Python literal, each as Python's ``str`` writes it.
+
+    So numbers, nothing, nested lists, adjacent texts and all escapes are what they are to Python. Any
+    other text, and null, is an error. Texts are parsed within Arrow batches; nothing in them is executed.
+    """
+
+    @F.pandas_udf("array<string>")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(_listed)
+
+    return read(value)
 
 
 IMAGE_COLUMNS = [f"image_{k}" for k in range(1, 8)]
