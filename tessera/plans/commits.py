@@ -3,6 +3,10 @@
 A shard is readable when its commit file exists, and only the parts that the file names are read, so a
 writer may die anywhere. All file operations go through Hadoop's file system, so any store that
 Spark can write works; the commit file is created only if it isn't there.
+
+The commit files are a log. It is read as a table by the executors: the last snapshot of it, which is
+Parquet, and the files that are newer. Parts are directories ``_part=...`` of their table, so Spark prunes them as
+partitions: by a join with the log, so that only committed ones are read, and by a filter.
 """
 
 from __future__ import annotations
@@ -12,24 +16,52 @@ import json
 import re
 import uuid
 from collections.abc import Callable
-from datetime import datetime, timezone
+from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 from functools import reduce
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from tessera.operators.constraints import Rule, check, duplicates
+from tessera.plans.lineage import ensure_checkpoint_dir
 from tessera.schema import CORE_TABLES, EXAMPLE_KEY, RESUME_KEY, ROLLOUT_KEY, SCORE_KEY, TABLES
 
 #: Tables of a shard of each kind.
 KINDS = {"core": CORE_TABLES, "scores": ("scores",), "examples": ("examples",)}
 
 
+#: What a commit record says of its parts.
+_PARTS = "parts map<string, struct<path: string, rows: long, keys: string, min_step: int, max_step: int, types: string, files: array<struct<name: string, length: long, sha256: string>>>>"
+#: A file of the log is read beside a snapshot if it isn't older than the snapshot's newest by more than this: what was begun before may have ended later.
+OVERLAP = timedelta(minutes=10)
+
+
 class CommitError(RuntimeError):
     pass
 
 
+@dataclass(frozen=True)
+class WriterSettings:
+    """How parts are written: codec and its level, bytes of a row group, dictionaries."""
+
+    compression: str = "zstd"
+    level: int | None = None
+    row_group_bytes: int | None = None
+    dictionary: bool | None = None
+
+    def options(self) -> dict[str, str]:
+        told = {
+            "parquet.compression.codec.zstd.level": self.level, "parquet.block.size": self.row_group_bytes,
+            "parquet.enable.dictionary": None if self.dictionary is None else str(self.dictionary).lower(),
+        }
+        if self.level is not None and self.compression != "zstd":
+            raise CommitError("only zstd has levels here")
+        return {"compression": self.compression} | {k: str(v) for k, v in told.items() if v is not None}
+
+
 class Store:
     """Files below one directory."""
 
@@ -142,9 +174,9 @@ def _types(schema: StructType) -> str:
     return hashlib.sha256(schema.simpleString().encode()).hexdigest()
 
 
-def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``part``, ``name``, ``length``, ``sha256`` of the data files of parts, hashed where they are read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(paths)
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """``part``, ``name``, ``length``, ``sha256`` of the data files below a table or a part, hashed where they are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
     at = F.regexp_extract("path", "([^/]+)/([^/]+)$", 1), F.regexp_extract("path", "([^/]+)$", 1)
     return files.select(at[0].alias("part"), at[1].alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
@@ -155,6 +187,7 @@ def _step_range(written: DataFrame):
 
 def commit_shard(
     store: Store, shard: str, tables: dict[str, DataFrame], rules: list[Rule] | None = None, failure_injector: Callable[[str], None] | None = None, kind: str = "core", run: dict | None = None,
+    settings: WriterSettings = WriterSettings(), snapshot_every: int = 1000,
 ) -> dict:
     """Validate, write and publish one shard; gives the commit record.
 
@@ -162,7 +195,7 @@ def commit_shard(
     a core shard's rows must all name ``shard``. The record has each part's rows, digest of keys, range of
     steps, types, and its files with length and SHA-256. ``failure_injector`` is called with the name of
     each stage before it, for tests of crashes. A failed attempt leaves parts that nothing refers to; see
-    :func:`quarantine`.
+    :func:`quarantine`. One commit in ``snapshot_every``, by a hash of its name, takes a snapshot of the log behind it.
     """
     stage = failure_injector or (lambda name: None)
     expected = KINDS[kind]
@@ -180,12 +213,12 @@ def commit_shard(
     attempt, parts = uuid.uuid4().hex[:12], {}
     for name in expected:
         stage(f"write:{name}")
-        part = f"data/{name}/{shard}-{attempt}"
-        conform(tables[name], name).write.mode("errorifexists").option("compression", "zstd").parquet(f"{store.root}/{part}")
+        part = f"data/{name}/_part={quote(shard, safe='')}-{attempt}"
+        conform(tables[name], name).write.mode("errorifexists").options(**settings.options()).parquet(f"{store.root}/{part}")
         stage(f"verify:{name}")
         written = store.spark.read.parquet(f"{store.root}/{part}")
         n, keys, first, last = written.agg(F.count(F.lit(1)), _digest(name, written.columns), *_step_range(written)).first()
-        files = sorted((r["name"], r.length, r.sha256) for r in _files(store.spark, [f"{store.root}/{part}"]).collect())
+        files = sorted((r["name"], r.length, r.sha256) for r in _files(store.spark, f"{store.root}/{part}").collect())
         parts[name] = {
             "path": part, "rows": n, "keys": keys, "min_step": first, "max_step": last, "types": _types(written.schema), "files": [dict(zip(("name", "length", "sha256"), f)) for f in files],
         }
@@ -198,37 +231,103 @@ def commit_shard(
     stage("commit")
     store.create(record, json.dumps(done, sort_keys=True, indent=2))
     stage("after")
+    if int(hashlib.sha256(shard.encode()).hexdigest(), 16) % snapshot_every == 0:
+        snapshot(store, kind)
     return done
 
 
+def _snapshots(store: Store, kind: str) -> list[str]:
+    """Names of finished snapshots, the last one last."""
+    return sorted(n.removesuffix(".done") for n in store.list(f"_snapshots/{kind}") if n.endswith(".done"))
+
+
+def _newest(name: str) -> datetime:
+    """When the newest file of a snapshot was written."""
+    return datetime.fromtimestamp(int(name.split("-")[0]) / 1000, timezone.utc)
+
+
+def log(store: Store, kind: str = "core") -> DataFrame:
+    """``shard, record, written_at``: the commit records as text, from the last snapshot and the files that may be newer. Files that are no JSON are attempts that died and count as nothing."""
+    empty = store.spark.createDataFrame([], "shard string, record string, written_at timestamp")
+    if not store.exists(f"_commits/{kind}"):
+        return empty
+    reader, done = store.spark.read.option("pathGlobFilter", "*.json"), _snapshots(store, kind)
+    if done:
+        reader = reader.option("timeZone", "UTC").option("modifiedAfter", (_newest(done[-1]) - OVERLAP).strftime("%Y-%m-%dT%H:%M:%S"))
+    files = reader.text(f"{store.root}/_commits/{kind}", wholetext=True).select("value", F.col("_metadata.file_modification_time").alias("written_at"))
+    sound = files.select(F.get_json_object("value", "$.shard").alias("shard"), F.col("value").alias("record"), "written_at").where("shard is not null")
+    if not done:
+        return sound
+    before = store.spark.read.schema(empty.schema).parquet(f"{store.root}/_snapshots/{kind}/{done[-1]}")
+    return before.unionByName(sound).groupBy("shard").agg(F.max_by("record", "written_at").alias("record"), F.max("written_at").alias("written_at"))
+
+
+def snapshot(store: Store, kind: str = "core") -> str | None:
+    """Write the log as one table that stands for its files from now on; None without commits. It may die at any time, and several may be made at once: a snapshot counts when its marker is there."""
+    rows = log(store, kind)
+    newest = rows.agg(F.max(F.unix_millis("written_at"))).first()[0]
+    if newest is None:
+        return None
+    name = f"{newest:015d}-{uuid.uuid4().hex}"
+    # what comes between the two readings is newer than the name says, and is read from its file too
+    rows.write.mode("errorifexists").parquet(f"{store.root}/_snapshots/{kind}/{name}")
+    store.create(f"_snapshots/{kind}/{name}.done", "")
+    return name
+
+
 def commits(store: Store, kind: str = "core") -> list[dict]:
-    """The commit records by shard, read in one job. Files that are no JSON are attempts that died and count as nothing."""
-    if not any(n.endswith(".json") for n in store.list(f"_commits/{kind}")):
-        return []
-    found = []
-    for r in store.spark.read.text(f"{store.root}/_commits/{kind}", wholetext=True, pathGlobFilter="*.json").collect():
-        try:
-            found.append(json.loads(r.value))
-        except ValueError:
-            continue
+    """The commit records by shard, on the driver: for stores of few shards, and for looking at them. Everything else here takes :func:`log`."""
+    found = [json.loads(r.record) for r in log(store, kind).select("record").collect()]
     for c in found:
         for table, part in c["parts"].items():
-            if not re.fullmatch(rf"data/{table}/[^/]+", part["path"]) or part["path"].endswith(("/..", "/.")):
+            if not re.fullmatch(rf"data/{table}/_part=[^/]+", part["path"]):
                 raise CommitError(f"commit {c['shard']} names a part outside of its table: {part['path']}")
     return sorted(found, key=lambda c: c["shard"])
 
 
-def _parts(store: Store, table: str) -> list[str]:
-    kind = next(k for k, tables in KINDS.items() if table in tables)
-    return [f"{store.root}/{c['parts'][table]['path']}" for c in commits(store, kind)]
+def declared(store: Store, kind: str = "core") -> DataFrame:
+    """``shard, table, part, rows, keys, min_step, max_step, types, files`` of all committed parts, as their records have it. A part outside of its table's directory is an error."""
+    record = F.from_json("record", _PARTS)
+    rows = log(store, kind).select("shard", F.explode(record["parts"]).alias("table", "p"))
+    inside = F.regexp_extract(F.col("p.path"), "^data/([^/]+)/_part=([^/]+)$", 1) == F.col("table")
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("commit"), "shard", F.lit("names a part outside of its table:"), "p.path")).cast("string")
+    part = F.when(inside, F.regexp_extract("p.path", "([^/]+)$", 1)).otherwise(wrong)
+    return rows.select("shard", "table", part.alias("part"), *[F.col(f"p.{n}").alias(n) for n in ("rows", "keys", "min_step", "max_step", "types", "files")])
+
+
+def _kind_of(table: str) -> str:
+    return next(k for k, tables in KINDS.items() if table in tables)
+
+
+def _all_parts(store: Store, table: str, schema: StructType | None = None, spark: SparkSession | None = None) -> DataFrame | None:
+    """All rows below a table's directory, committed or not, with the directory's ``_part``; None if there is none."""
+    if not any(n.startswith("_part=") for n in store.list(f"data/{table}")):
+        return None
+    fields = [*(schema or TABLES[table]).fields, StructField("_part", StringType())]
+    return (spark or store.spark).read.schema(StructType(fields)).option("basePath", f"{store.root}/data/{table}").parquet(f"{store.root}/data/{table}")
+
+
+def _committed(store: Store, table: str) -> DataFrame:
+    """``_part`` of a table's committed parts, as Spark reads it from their directories."""
+    rows = declared(store, _kind_of(table)).where(F.col("table") == table)
+    return rows.select(F.url_decode(F.replace(F.regexp_extract("part", "^_part=(.*)$", 1), F.lit("+"), F.lit("%2B"))).alias("_part"))
 
 
 def read_committed(store: Store, table: str) -> DataFrame:
-    """All committed rows of a table: the parts that commits name, never a listing of the data."""
-    paths = _parts(store, table)
-    if not paths:
+    """All committed rows of a table. The parts that the log names are joined to the directories by partition, so others aren't read."""
+    rows = _all_parts(store, table)
+    if rows is None:
         return store.spark.createDataFrame([], TABLES[table])
-    return store.spark.read.schema(TABLES[table]).parquet(*paths)
+    return rows.join(_committed(store, table), "_part", "left_semi").select(*TABLES[table].names)
+
+
+def read_shard(store: Store, table: str, shard: str) -> DataFrame:
+    """The committed rows of one shard: only the files of its part are read."""
+    rows = _all_parts(store, table)
+    if rows is None:
+        return store.spark.createDataFrame([], TABLES[table])
+    told = declared(store, _kind_of(table)).where((F.col("table") == table) & (F.col("shard") == shard)).select("part").collect()  # one at most
+    return rows.where(F.col("_part").isin([unquote(r.part.removeprefix("_part=")) for r in told])).select(*TABLES[table].names)
 
 
 def write_examples(store: Store, examples: DataFrame, shard: str = "examples") -> dict:
@@ -238,10 +337,9 @@ def write_examples(store: Store, examples: DataFrame, shard: str = "examples") -
 
 def read_examples(store: Store) -> DataFrame:
     """A run's examples; other types of columns and repeated keys are errors."""
-    paths = _parts(store, "examples")
-    if not paths:
+    if declared(store, "examples").isEmpty():
         raise CommitError("no examples are committed")
-    if _types(store.spark.read.parquet(*paths).schema) != _types(TABLES["examples"]):
+    if _stored_types(store, "examples") != _types(TABLES["examples"]):
         raise CommitError("the stored examples have other columns or types")
     rows = read_committed(store, "examples")
     if not duplicates(rows, EXAMPLE_KEY).isEmpty():
@@ -249,53 +347,80 @@ def read_examples(store: Store) -> DataFrame:
     return rows
 
 
-def inventory(store: Store, kind: str = "core") -> DataFrame:
-    """What is there of each committed part: ``part, table, rows, keys, min_step, max_step, types``, one grouped job a table."""
+def _stored_types(store: Store, table: str) -> str:
+    """Names and types of the columns that a table's files have, all footers merged."""
+    path = f"{store.root}/data/{table}"
+    return _types(StructType([f for f in store.spark.read.option("mergeSchema", True).option("basePath", path).parquet(path).schema if f.name != "_part"]))
+
+
+def footers(store: Store, table: str) -> DataFrame:
+    """``part, rows, min_step, max_step`` of all parts of a table, from the footers of its files: counts and bounds are pushed into the scan, so no data page is read."""
+    schema = "part string, rows long, min_step int, max_step int"
+    # the reader that takes aggregates is off by default; a session of its own doesn't change the caller's
+    session = store.spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    rows = _all_parts(store, table, spark=session)
+    if rows is None:
+        return store.spark.createDataFrame([], schema)
+    counted = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in zip(("min_step", "max_step"), _step_range(rows))])
+    path = f"{_shared(store.spark)}/footers-{uuid.uuid4().hex}"
+    counted.withColumnRenamed("_part", "part").write.parquet(path)
+    return store.spark.read.schema(schema).parquet(path)
+
+
+def _shared(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
+_INVENTORY = "part string, table string, rows long, keys string, min_step int, max_step int, types string"
+
+
+def inventory(store: Store, kind: str = "core", content: bool = True) -> DataFrame:
+    """What is there of each committed part: ``part, table, rows, keys, min_step, max_step, types``. Rows and steps come from footers; keys, from one grouped scan a table, only with ``content``."""
     made = []
     for table in KINDS[kind]:
-        paths = _parts(store, table)
-        if not paths:
+        rows = _all_parts(store, table)
+        if rows is None:
             continue
-        rows = store.spark.read.parquet(*paths)
-        types = _types(store.spark.read.option("mergeSchema", True).parquet(*paths).schema)
-        part = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
-        counted = rows.select("*", part.alias("_part")).groupBy("_part").agg(
-            F.count(F.lit(1)).alias("rows"), _digest(table, rows.columns).alias("keys"),
-            *[c.alias(n) for n, c in zip(("min_step", "max_step"), _step_range(rows))],
-        )
+        counted = footers(store, table).join(_committed(store, table).withColumnRenamed("_part", "part"), "part", "left_semi").where("rows > 0")
+        if content:
+            keys = rows.join(_committed(store, table), "_part", "left_semi").groupBy(F.col("_part").alias("part")).agg(_digest(table, TABLES[table].names).alias("keys"))
+            counted = counted.join(keys, "part", "left")
+        else:
+            counted = counted.withColumn("keys", F.lit(None).cast("string"))
         made.append(counted.select(
-            F.col("_part").alias("part"), F.lit(table).alias("table"), "rows", "keys", "min_step", "max_step", F.lit(types).alias("types"),
+            F.concat(F.lit("_part="), _quoted(F.col("part"))).alias("part"), F.lit(table).alias("table"), "rows", "keys", "min_step", "max_step", F.lit(_stored_types(store, table)).alias("types"),
         ))
-    return reduce(DataFrame.unionByName, made) if made else store.spark.createDataFrame(
-        [], "part string, table string, rows long, keys string, min_step int, max_step int, types string",
-    )
+    return reduce(DataFrame.unionByName, made) if made else store.spark.createDataFrame([], _INVENTORY)
 
 
-def verify(store: Store, kind: str = "core") -> DataFrame:
-    """``shard, table, what, declared, actual``: parts that differ from their commit in rows, keys, steps, types, or in a file's length or SHA-256."""
-    spark, recorded = store.spark, commits(store, kind)
-    rows = [(
-        c["shard"], t, p["path"].rsplit("/", 1)[1], p["rows"], p["keys"], p["min_step"], p["max_step"], p["types"],
-    ) for c in recorded for t, p in c["parts"].items()]
-    declared = spark.createDataFrame(rows, "shard string, table string, part string, rows long, keys string, min_step int, max_step int, types string")
-    names = ("rows", "keys", "min_step", "max_step", "types")
-    actual = inventory(store, kind).select("part", "table", *[F.col(n).alias(f"_{n}") for n in names])
-    both = declared.join(actual, ["part", "table"], "left").select(
+def _quoted(part: Column) -> Column:
+    """A part's name as its directory has it, see :func:`urllib.parse.quote`."""
+    return F.replace(F.replace(F.replace(F.url_encode(part), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def verify(store: Store, kind: str = "core", content: bool = True) -> DataFrame:
+    """``shard, table, what, declared, actual``: parts that differ from their commit in rows, keys, steps, types, or in a file's name, length or SHA-256. Without ``content`` only what footers and the listing tell: rows, steps, types."""
+    names = ("rows", *(("keys",) if content else ()), "min_step", "max_step", "types")
+    told = declared(store, kind)
+    actual = inventory(store, kind, content).select("part", "table", *[F.col(n).alias(f"_{n}") for n in names])
+    both = told.join(actual, ["part", "table"], "left").select(
         "shard", "table", F.explode(F.array(*[F.struct(
             F.lit(n).alias("what"), F.col(n).cast("string").alias("declared"), F.col(f"_{n}").cast("string").alias("actual"),
         ) for n in names])).alias("c")
     )
     # a part without rows isn't in the inventory: nothing of it can differ but its rows
     differ = both.select("shard", "table", "c.*").where("not (declared <=> actual) and not (actual is null and (declared in ('0') or what in ('keys', 'types')))")
-    files = [(
-        c["shard"], t, p["path"].rsplit("/", 1)[1], f["name"], f"{f['length']} {f['sha256']}",
-    ) for c in recorded for t, p in c["parts"].items() for f in p["files"]]
-    if not files:
+    if not content:
         return differ
-    there = _files(
-        spark, [f"{store.root}/{p['path']}" for c in recorded for p in c["parts"].values()],
-    ).select("part", "name", F.concat_ws(" ", "length", "sha256").alias("actual"))
-    hashed = spark.createDataFrame(files, "shard string, table string, part string, name string, declared string").join(there, ["part", "name"], "full")
+    named = told.select("shard", "table", "part", F.explode("files").alias("f")).select("shard", "table", "part", "f.name", F.concat_ws(" ", "f.length", "f.sha256").alias("declared"))
+    # only files of committed parts are hashed
+    there = reduce(DataFrame.unionByName, [
+        _files(store.spark, f"{store.root}/data/{t}").select("part", "name", F.concat_ws(" ", "length", "sha256").alias("actual")) for t in KINDS[kind] if store.list(f"data/{t}")
+    ], store.spark.createDataFrame([], "part string, name string, actual string")).join(told.select("part").distinct(), "part", "left_semi")
+    hashed = named.join(there, ["part", "name"], "full")
     return differ.unionByName(hashed.where("not (declared <=> actual)").select(
         "shard", "table", F.concat(F.lit("file:"), F.col("name")).alias("what"), "declared", "actual",
     ))
@@ -306,13 +431,27 @@ def completed(store: Store) -> DataFrame:
     return read_committed(store, "generations").select(*ROLLOUT_KEY[1:]).distinct()
 
 
+def loose_files(store: Store) -> DataFrame:
+    """``name``: data files below ``data``, at any depth, that no commit names. Spark lists them; contents aren't read."""
+    if not store.list("data"):
+        return store.spark.createDataFrame([], "name string")
+    files = store.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{store.root}/data")
+    there = files.select(F.regexp_extract("path", "/(data/.*)$", 1).alias("name"))
+    kinds = [declared(store, kind) for kind in KINDS]
+    named = [k.select(F.concat_ws("/", F.lit("data"), "table", "part", "f.name").alias("name")) for k in (d.select("table", "part", F.explode("files").alias("f")) for d in kinds)]
+    return there.join(reduce(DataFrame.unionByName, named), "name", "left_anti")
+
+
 def orphans(store: Store) -> list[str]:
-    """Parts that no commit names, loose files among the parts, and commit files of attempts that died."""
-    recorded = {kind: commits(store, kind) for kind in KINDS}
-    named = {p["path"] for c in recorded.values() for r in c for p in r["parts"].values()}
+    """Parts that no commit names, loose files inside of those that one does and beside them, and commit files of attempts that died. What is found comes to the driver, not what is in order, but for the names of the parts."""
+    named = {f"data/{r.table}/{r.part}" for kind in KINDS for r in declared(store, kind).select("table", "part").collect()}
     present = {f"data/{t}/{d}" for t in store.list("data") for d in store.list(f"data/{t}")}
-    torn = [f"_commits/{kind}/{n}" for kind, c in recorded.items() for n in store.list(f"_commits/{kind}") if n.endswith(".json") and n.removesuffix(".json") not in {r["shard"] for r in c}]
-    return sorted([*(present - named), *torn])
+    inside = [r.name for r in loose_files(store).collect() if "/".join(r.name.split("/")[:3]) in named]
+    torn = []
+    for kind in KINDS:
+        known = {r.shard for r in log(store, kind).select("shard").collect()}
+        torn += [f"_commits/{kind}/{n}" for n in store.list(f"_commits/{kind}") if n.endswith(".json") and n.removesuffix(".json") not in known]
+    return sorted([*(present - named), *inside, *torn])
 
 
 def quarantine(store: Store) -> list[str]:

@@ -196,7 +196,8 @@ def test_changed_parts_are_told(spark, store, tmp_path):
     assert {"rows", "keys", "file"} <= {r.what.split(":")[0] for r in found} and {r.shard for r in found if r.what == "rows"} == {"a"}
     torn = tmp_path / "run/_commits/core/z.json"
     torn.write_text('{"sh')
-    assert len(commits.commits(store)) == 2 and commits.orphans(store) == ["_commits/core/z.json"]
+    # the files that were added to the part belong to no commit either
+    assert len(commits.commits(store)) == 2 and [n for n in commits.orphans(store) if not n.startswith(part)] == ["_commits/core/z.json"]
     with pytest.raises(commits.CommitError):
         store.create("_commits/core/z.json", "{}")
     commits.quarantine(store)
@@ -344,3 +345,65 @@ def test_stream_retries_add_nothing(spark, tmp_path):
                 schema=rows.schema, identity=identity, shard="shard_id",
             ).awaitTermination()
         assert spark.read.parquet(str(tmp_path / f"out{k}")).count() == 3
+
+
+def test_the_log_has_snapshots(spark, store, tmp_path, monkeypatch):
+    """A snapshot stands for the files that are older; newer ones are read beside it; what a crash leaves in between counts as nothing."""
+    import os
+    import shutil
+
+    for k in range(5):
+        commits.commit_shard(store, f"s {k}+%", {"examples": spark.createDataFrame([filled(TABLES["examples"], run_id="r", sample_id=str(k))], TABLES["examples"])}, kind="examples")
+    assert commits.snapshot(store, "core") is None
+    first = commits.snapshot(store, "examples")
+    for n in (tmp_path / "run/_commits/examples").iterdir():
+        os.utime(n, (10**9, 10**9))  # far older than the snapshot: no longer opened
+        n.write_bytes(n.read_bytes() if n.suffix == ".crc" else b"{}")
+        os.utime(n, (10**9, 10**9))
+    assert [c["shard"] for c in commits.commits(store, "examples")] == [f"s {k}+%" for k in range(5)]
+    commits.commit_shard(store, "late", {"examples": spark.createDataFrame([filled(TABLES["examples"], run_id="r", sample_id="9")], TABLES["examples"])}, kind="examples", snapshot_every=1)
+    assert commits._snapshots(store, "examples")[0] == first and len(commits._snapshots(store, "examples")) == 2
+    shutil.copytree(tmp_path / f"run/_snapshots/examples/{first}", tmp_path / "run/_snapshots/examples/999999999999999-torn")  # died before its marker
+    assert sorted(r.sample_id for r in commits.read_examples(store).collect()) == ["0", "1", "2", "3", "4", "9"]
+    assert commits.verify(store, "examples").count() == 0 and commits.orphans(store) == []
+    assert [r.sample_id for r in commits.read_shard(store, "examples", "s 3+%").collect()] == ["3"] and commits.read_shard(store, "examples", "x").count() == 0
+    plan = commits.read_committed(store, "examples")._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan and "Parquet" in plan
+    assert "PartitionFilters: [isnotnull(_part" in commits.read_shard(store, "examples", "late")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_footers_are_enough_for_rows_and_steps(spark, store, tmp_path):
+    commits.commit_shard(store, "a", shard(spark, "a", [2, 3]), settings=commits.WriterSettings(level=9, row_group_bytes=1 << 20, dictionary=False))
+    commits.commit_shard(store, "b", shard(spark, "b", [0]))
+    assert commits.verify(store, content=False).count() == 0
+    found = {r.part.split("-")[0]: (r.rows, r.min_step, r.max_step) for r in commits.footers(store, "tokens").collect()}
+    assert found["a"] == (5, 1, 3) and found.get("b", (0, None, None)) == (0, None, None)
+    import pyarrow.parquet as pq
+
+    part = next(c for c in commits.commits(store) if c["shard"] == "a")["parts"]["tokens"]
+    files = [tmp_path / "run" / part["path"] / f["name"] for f in part["files"]]
+    group = next(pq.ParquetFile(f).metadata for f in files if pq.ParquetFile(f).metadata.num_rows).row_group(0)
+    column = next(group.column(k) for k in range(group.num_columns) if group.column(k).path_in_schema == "step")
+    assert column.compression == "ZSTD" and column.statistics.has_min_max and not any("DICT" in e for e in column.encodings)
+    with pytest.raises(commits.CommitError):
+        commits.WriterSettings(compression="snappy", level=3).options()
+    # data pages that are overwritten: footers still tell the rows, hashes tell the change
+    data = bytearray(files[0].read_bytes())
+    data[4] ^= 255
+    files[0].write_bytes(bytes(data))
+    (files[0].parent / f".{files[0].name}.crc").unlink(missing_ok=True)
+    assert commits.verify(store, content=False).count() == 0
+    assert [r.what for r in commits.verify(store).where("what like 'file:%'").collect()] == [f"file:{files[0].name}"]
+
+
+def test_loose_files_are_found_at_any_depth(spark, store, tmp_path):
+    commits.commit_shard(store, "a", shard(spark, "a", [1]))
+    part = commits.commits(store)[0]["parts"]["tokens"]["path"]
+    inside, beside = tmp_path / "run" / part / "deep/extra.bin", tmp_path / "run/data/tokens/stray.tmp"
+    inside.parent.mkdir()
+    inside.write_text("x")
+    beside.write_text("y")
+    assert {r.name for r in commits.loose_files(store).collect()} == {f"{part}/deep/extra.bin", "data/tokens/stray.tmp"}
+    assert commits.orphans(store) == sorted([f"{part}/deep/extra.bin", "data/tokens/stray.tmp"])
+    commits.quarantine(store)
+    assert commits.orphans(store) == [] and commits.verify(store).count() == 0 and not inside.exists() and not beside.exists()
