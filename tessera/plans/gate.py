@@ -7,7 +7,7 @@ import sys
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.constraints import duplicates, set_difference
@@ -36,6 +36,46 @@ def manifest_findings(group: dict, runs: list[dict], expected_runs: int, rollout
     ]
 
 
+def manifest_conflicts(parents: DataFrame, children: DataFrame, fields: list[str], key: str = "run_id") -> DataFrame:
+    """``key, field, parent, child``: fields in which a run's entry in its group's manifest and its own manifest differ, null being equal to null. A run that only one of them has differs in ``key``; so does one that either has several times, once for each pair."""
+    both = parents.select(F.col(key).alias("_p"), *[F.col(f).cast("string").alias(f"_p_{f}") for f in fields]).join(
+        children.select(F.col(key).alias("_c"), *[F.col(f).cast("string").alias(f"_c_{f}") for f in fields]), F.col("_p") == F.col("_c"), "full",
+    )
+    alone = F.col("_p").isNull() | F.col("_c").isNull()
+    pair = lambda f, p, c: F.struct(F.lit(f).alias("field"), p.cast("string").alias("parent"), c.cast("string").alias("child"))
+    told = F.when(alone, F.array(pair(key, F.col("_p"), F.col("_c")))).otherwise(F.array(*[pair(f, F.col(f"_p_{f}"), F.col(f"_c_{f}")) for f in fields]))
+    return both.select(F.coalesce("_p", "_c").alias(key), F.explode(told).alias("d")).select(key, "d.*").where("not (parent <=> child)")
+
+
+def _report(row: DataFrame, findings: dict[str, Column]) -> DataFrame:
+    """A table of one row of aggregates as ``rule, passed``; what can't be told has not passed."""
+    told = F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in findings.items()])
+    return row.select(F.explode(told).alias("f")).select("f.*")
+
+
+def run_report(runs: DataFrame, parents: DataFrame, expected_runs: int, rollouts: int, fields: list[str]) -> DataFrame:
+    """``rule, passed`` of the manifests as tables: number and identity of runs, their status and rollouts, and agreement with the group's entries."""
+    row = runs.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").alias("different"), F.bool_and(F.col("status").eqNullSafe("complete")).alias("complete"),
+        F.bool_and(F.col("rollouts").eqNullSafe(F.lit(rollouts))).alias("rollouts"),
+    )
+    alike = manifest_conflicts(parents, runs, fields).agg((F.count(F.lit(1)) == 0).alias("agrees"))
+    found = {
+        "run_count": F.col("n") == expected_runs, "unique_runs": F.col("different") == F.col("n"), "all_complete": F.col("complete"),
+        "rollouts_per_example": F.col("rollouts"), "parent_agrees": F.col("agrees"),
+    }
+    return _report(row.crossJoin(alike), found)  # a row each
+
+
+def benchmark_report(measured: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """``rule, passed`` of benchmarks as a table: see :func:`benchmark_findings`."""
+    asked = F.array(*[F.struct(F.lit(p).cast("long").alias("prompts"), F.lit(r).cast("long").alias("rollouts")) for p, r in shapes])
+    done = measured.groupBy(F.col("prompts").cast("long").alias("prompts"), F.col("rollouts").cast("long").alias("rollouts")).agg(F.bool_and("complete").alias("complete"))
+    ran = done.where("complete").agg(F.collect_set(F.when(F.array_contains(asked, F.struct("prompts", "rollouts")), F.struct("prompts", "rollouts"))).alias("ran"))  # of the shapes alone
+    row = measured.agg((F.count_distinct("ids_hash") == 1).alias("same")).crossJoin(ran)
+    return _report(row, {"benchmark_shapes": F.size("ran") == len(set(shapes)), "benchmark_ids_agree": F.col("same")})
+
+
 def storage_findings(store: Store, expected: DataFrame, generations: DataFrame) -> list[Finding]:
     """Rules on what is stored: exactly the expected rollouts, each once, no part that isn't committed, counts as committed."""
     key = [c for c in ROLLOUT_KEY if c in expected.columns]

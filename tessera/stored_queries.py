@@ -520,14 +520,52 @@ def gate_report(spark, sf_dir):
     """Rules of the release gate over manifests and benchmarks."""
     from tessera.plans import gate
 
-    names = [(r.n_name, r.n_regionkey) for r in read_table(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect()]  # configuration, 25 rows
-    listed = [{
-        "run_id": n, "status": "complete" if k < 9 else "failed", "rollouts": 32, "dataset": n, "split": "t", "filter_id": "all", "strategy": "s",
-    } for n, k in names]
-    found = gate.manifest_findings({"status": "complete", "git_dirty": False, "runs": listed}, listed, 25, 32, {})
+    rows = read_table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("run_id"), F.when(F.col("n_regionkey") < 9, "complete").otherwise("failed").alias("status"), F.lit(32).alias("rollouts"), F.col("n_name").alias("dataset"),
+    )
     measured = read_table(spark, sf_dir, "region").select(
         F.col("r_regionkey").alias("prompts"), F.lit(32).alias("rollouts"), F.lit(True).alias("complete"), F.col("r_name").alias("ids_hash"),
     )
-    found += gate.benchmark_findings(measured, [(0, 32), (1, 32)])
-    shown = {"run_count", "unique_runs", "all_complete", "benchmark_shapes", "benchmark_ids_agree"}
-    return spark.createDataFrame([(f.rule, f.passed) for f in found if f.rule in shown], "rule string, passed boolean")
+    found = gate.run_report(rows, rows, 25, 32, ["dataset", "status"]).unionByName(gate.benchmark_report(measured, [(0, 32), (1, 32)]))
+    return found.where(F.col("rule").isin("run_count", "unique_runs", "all_complete", "benchmark_shapes", "benchmark_ids_agree"))
+
+
+_ENTRIES = "SELECT o_orderkey AS run_id, o_orderstatus AS status, o_orderpriority AS dataset, CASE WHEN o_custkey % 9 > 0 THEN o_custkey END AS split FROM orders"
+_MANIFESTS = """SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_orderpriority AS dataset, CASE WHEN o_custkey % 9 > 0 AND o_orderkey % 13 > 0 THEN o_custkey END AS split
+FROM orders WHERE o_orderkey % 17 > 0 UNION ALL SELECT -o_orderkey, o_orderstatus, o_orderpriority, o_custkey FROM orders WHERE o_orderkey % 97 = 0"""
+
+
+@query(f"""WITH p AS ({_ENTRIES}), c AS ({_MANIFESTS}), b AS (SELECT p.run_id AS p_id, c.run_id AS c_id, p.status AS p1, c.status AS c1, p.dataset AS p2, c.dataset AS c2, p.split AS p3, c.split AS c3 FROM p FULL JOIN c ON p.run_id = c.run_id)
+SELECT coalesce(p_id, c_id) AS run_id, 'run_id' AS field, CAST(p_id AS VARCHAR) AS parent, CAST(c_id AS VARCHAR) AS child FROM b WHERE p_id IS NULL OR c_id IS NULL
+UNION ALL SELECT p_id, 'status', p1, c1 FROM b WHERE p_id = c_id AND p1 IS DISTINCT FROM c1 UNION ALL SELECT p_id, 'dataset', p2, c2 FROM b WHERE p_id = c_id AND p2 IS DISTINCT FROM c2
+UNION ALL SELECT p_id, 'split', CAST(p3 AS VARCHAR), CAST(c3 AS VARCHAR) FROM b WHERE p_id = c_id AND p3 IS DISTINCT FROM c3""")
+def manifest_conflicts(spark, sf_dir):
+    """A group's entries against the runs' own manifests: changed states, lost splits, runs that only one side has."""
+    from tessera.plans import gate
+
+    orders, key = read_table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    named = lambda k, status, split: (k.alias("run_id"), status.alias("status"), F.col("o_orderpriority").alias("dataset"), split.alias("split"))
+    split = F.when(F.col("o_custkey") % 9 > 0, F.col("o_custkey"))
+    entries = orders.select(*named(key, F.col("o_orderstatus"), split))
+    changed = orders.where(key % 17 > 0).select(*named(key, F.when(key % 11 == 0, "X").otherwise(F.col("o_orderstatus")), F.when(key % 13 > 0, split)))
+    added = orders.where(key % 97 == 0).select(*named(-key, F.col("o_orderstatus"), F.col("o_custkey")))
+    return gate.manifest_conflicts(entries, changed.unionByName(added), ["status", "dataset", "split"])
+
+
+@query("""SELECT 'run_count' AS rule, count(*) = 15000 AS passed FROM orders UNION ALL SELECT 'unique_runs', count(DISTINCT o_orderkey) = count(*) FROM orders UNION ALL SELECT 'all_complete', bool_and(o_orderstatus = 'F') FROM orders
+UNION ALL SELECT 'rollouts_per_example', coalesce(bool_and(o_custkey < 100000000), FALSE) FROM orders UNION ALL SELECT 'parent_agrees', count(*) = 0 FROM orders WHERE o_orderkey % 17 = 0
+UNION ALL SELECT 'benchmark_shapes', bool_or(l_linenumber = 1 AND done) AND bool_or(l_linenumber = 2 AND done) FROM (SELECT l_linenumber, bool_and(l_quantity < 50) AS done FROM lineitem GROUP BY l_linenumber)
+UNION ALL SELECT 'benchmark_ids_agree', count(DISTINCT l_shipdate) = 1 FROM lineitem""")
+def gate_tables(spark, sf_dir):
+    """The gate's rules over tables of many runs and measurements, worked out where they are."""
+    from tessera.plans import gate
+
+    orders = read_table(spark, sf_dir, "orders")
+    rows = orders.select(
+        F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("failed").alias("status"), F.when(F.col("o_custkey") < 100_000_000, 32).alias("rollouts"), F.col("o_orderpriority").alias("dataset"),
+    )
+    measured = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_linenumber").alias("prompts"), F.lit(32).alias("rollouts"), (F.col("l_quantity") < 50).alias("complete"), F.col("l_shipdate").cast("string").alias("ids_hash"),
+    )
+    report = gate.run_report(rows, rows.where("run_id % 17 > 0"), 15000, 32, ["dataset"])
+    return report.unionByName(gate.benchmark_report(measured, [(1, 32), (2, 32)]))

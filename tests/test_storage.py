@@ -407,3 +407,25 @@ def test_loose_files_are_found_at_any_depth(spark, store, tmp_path):
     assert commits.orphans(store) == sorted([f"{part}/deep/extra.bin", "data/tokens/stray.tmp"])
     commits.quarantine(store)
     assert commits.orphans(store) == [] and commits.verify(store).count() == 0 and not inside.exists() and not beside.exists()
+
+
+def test_a_stream_reads_no_scores_while_it_has_its_offsets(spark, tmp_path, monkeypatch):
+    """State tells what has been met: rows that come again in later files are left out without reading the target, and a batch that is run again overwrites itself."""
+    from tessera.operators import scoring
+    from tessera.streaming.scores import score_stream
+
+    schema, asked = "sample_id string, rollout_index int, generated_text string", []
+    monkeypatch.setattr(scoring, "pending", lambda *a: asked.append(a) or a[0])
+    examples = spark.createDataFrame([("a", "q", "1", "freeform")], "sample_id string, question string, ground_truth string, answer_type string")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        score_stream(spark, str(tmp_path / "in"), examples, str(tmp_path / "out"), str(tmp_path / "offsets"), ["sample_id"], "rules", "1", schema=spark.createDataFrame([], schema).schema).awaitTermination()
+        return sorted((r.rollout_index is None, r.rollout_index) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run([("a", 0, "x"), ("a", 1, "y"), ("a", None, "z")]) == [(False, 0), (False, 1), (True, None)]
+    assert run([("a", 1, "y"), ("a", 2, "y"), ("a", None, "z")]) == [(False, 0), (False, 1), (False, 2), (True, None)] and asked == []
+    last = sorted((tmp_path / "offsets/commits").iterdir())
+    for path in [p for p in last if p.name.strip(".").split(".")[0] == max(q.name for q in last if q.name.isdigit())]:
+        path.unlink()  # died after the scores were written: the batch is run again
+    assert run([("a", 3, "y")]) == [(False, 0), (False, 1), (False, 2), (False, 3), (True, None)] and asked == []
