@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from tessera.llm.common import Remembered, TEXTS, cut, in_arrow, pieces, texts_of
+from tessera.llm.common import Remembered, TEXTS, cut, in_arrow, pieces, texts_of, written
 
 #: Labelled documents that the model is fitted on, at most (chosen by a hash of doc_id); bounds the
 #: vocabulary that is counted and the rows that the calibration brings to the driver.
@@ -163,12 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
     # MAX_LABELLED pairs of numbers bound what is broadcast, and no text is shuffled
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    train = train.select((F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).alias("aside"), F.col("toxic"), "text")
+    # the labelled texts, which are bounded, are kept: learning and calibration read these, not the corpus
+    train = written(train.select((F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).alias("aside"), F.col("toxic"), "text"))
     rest, whole = _learn(train.select("toxic", "text", "aside"))
     if whole.scores:
-        # the curve is fitted on documents that the tokens' scores weren't learned from
-        _calibrate(rest, train.where("aside").select("toxic", "text"))
-        whole.decay, whole.scale, whole.slope, whole.length, whole.shift = rest.decay, rest.scale, rest.slope, rest.length, rest.shift
+        # the curve is fitted on documents that the tokens' scores weren't learned from; lambda and K are those of the scores that are used
+        aside = train.where("aside").select("toxic", "text")
+        _calibrate(rest, aside)
+        _measured(whole, aside.where("toxic = 0"))
+        whole.slope, whole.length, whole.shift = rest.slope, rest.length, rest.shift
     return whole
 
 
@@ -256,11 +259,8 @@ def _model(kept: dict[str, tuple[int, int]], toxic: int, clean: int, words: tupl
     return model
 
 
-def _calibrate(model: Model, train: DataFrame) -> None:
-    """Fit K on the clean documents' best segments, then the logistic curve of the evidence and the length.
-
-    The evidence is that of all segments, as in scoring; only numbers come to the driver.
-    """
+def _measured(model: Model, train: DataFrame) -> DataFrame:
+    """Words and segments' scores (``toxic, n, found``) of texts; K is fitted on the clean ones' best segments."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -279,6 +279,15 @@ def _calibrate(model: Model, train: DataFrame) -> None:
     clean, mass = measured.where("toxic = 0 and n > 0").agg(F.count(F.lit(1)), F.sum(F.col("n") * F.exp(-F.lit(model.decay) * best))).first()
     if clean:
         model.scale = clean / max(mass, 1e-9)
+    return measured
+
+
+def _calibrate(model: Model, train: DataFrame) -> None:
+    """Fit K, then the logistic curve of the evidence and the length.
+
+    The evidence is that of all segments, as in scoring; only numbers come to the driver.
+    """
+    measured = _measured(model, train)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

@@ -3,13 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, gridjoin, jaccard, knn, packing, pieces, pii, separators, simhash, toxicity, wrappers
+from tessera.llm import chat, funnels, gridjoin, jaccard, knn, negatives, packing, pieces, pii, separators, simhash, suffixes, toxicity, wrappers
+from tessera.llm.queries import FUNNELS
 
 pipeline = pytest.importorskip("corpus_pipeline")
 #: Names that operators use for their results and on their way.
 NAMES = (
     "fp", "node", "component", "component_id", "fingerprint", "kept", "text_hash", "size", "symbols", "key", "probe", "block", "score", "passages", "predicted", "held_out", "parts", "n_entities", "found", "n", "row", "file", "payload",
-    "ended", "start", "length", "rank", "ids", "scores", "exact", "host", "wrapper", "n_chars", "query_id", "cell", "chunk", "unit", "rep", "copies", "task", "seq", "part", "formatted", "aside", "toxic",
+    "ended", "start", "length", "rank", "ids", "scores", "exact", "host", "wrapper", "h", "doc", "sub", "place", "notes", "ranges", "first", "last", "client", "code", "at", "bucket", "step", "funnel", "dim", "v", "limits", "anchors", "n_chars", "query_id", "cell", "chunk", "unit", "rep", "copies", "task", "seq", "part", "formatted", "aside", "toxic",
 )
 
 
@@ -55,6 +56,15 @@ def turns(spark):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
 
+def clicks(spark):
+    rows = [
+        (1, "view", "2024-01-01 00:00:00"), (1, "view", "2024-01-01 00:00:00"), (1, "click", "2024-01-01 00:00:01"), (1, "click", "2024-01-01 00:00:01"), (1, None, "2024-01-01 00:00:02"),
+        (None, "view", "2024-01-01 00:00:00"), (1, "view", None), (None, None, None), (2, "click", "2024-01-01 00:00:00"), (2, "", "2024-01-01 00:00:01"),
+    ]
+    df = spark.createDataFrame(rows, "client_id long, kind string, arrived_at string")
+    return df.withColumn("arrived_at", df.arrived_at.cast("timestamp_ntz"))
+
+
 def top_k(df):
     made = knn.integer_vectors(df)
     return knn.top_k(made, made.where("vec_id % 20 = 0"))
@@ -67,6 +77,8 @@ OPERATORS = {
     "token_counts": (
         texts, lambda df: separators.scan(separators.flatten(df.coalesce(1))).select("doc_id", "n_tokens"),
     ), "packing": (texts, lambda df: packing.pack(df.coalesce(1))), "surrogates": (texts, lambda df: pii.replace_entities(df).select("doc_id", "text", "n_entities")),
+    "funnels": (clicks, lambda df: funnels.count_funnels(df, FUNNELS)), "suffixes": (texts, lambda df: suffixes.remove_repeats(df.coalesce(1)).select("doc_id", "text", "kept", "spans")),
+    "negatives": (vectors, lambda df: negatives.hard_negatives(negatives.labelled_vectors(df, 8), F.col("vec_id") % 20 == 0, low=0)),
     "grid_join": (vectors, gridjoin.near_duplicates), "chat": (turns, lambda df: chat.read_back(chat.format_chat(df))), "pages": (pages, wrappers.main_text), "pieces": (texts, pieces.digests),
 }
 
