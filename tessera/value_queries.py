@@ -165,3 +165,52 @@ def decoded_images(spark, sf_dir):
     drawn = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding").transform(in_arrow, _drawn, "vec_id long, image binary")
     made = pixels.decoded(F.col("image"))
     return drawn.withColumn("made", made).select("vec_id", "made.width", "made.height", F.sha2("made.rgb", 256).alias("pixels"))
+
+
+# ---- rules of answers over planted texts -----------------------------------------------------------
+
+_BRACES_SQL = r"replace(replace(replace(text, 'o', '{'), 'e', '}'), 'th', '\boxed{')"
+
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, {_BRACES_SQL} AS said FROM conversations), r AS (SELECT conv_id, turn, string_split(said, '\boxed{{')[-1] AS rest FROM a WHERE contains(said, '\boxed{{')),
+c AS (SELECT conv_id, turn, rest, unnest(string_split(rest, '')) AS ch, generate_subscripts(string_split(rest, ''), 1) AS i FROM r),
+d AS (SELECT *, 1 + sum(CASE ch WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS depth FROM c),
+e AS (SELECT conv_id, turn, any_value(rest) AS rest, min(i) FILTER (depth = 0) AS stop FROM d GROUP BY conv_id, turn)
+SELECT a.conv_id, a.turn, CASE WHEN stop IS NOT NULL THEN trim(rest[: stop - 1], ' ' || chr(10) || chr(9) || chr(13)) END AS boxed FROM a LEFT JOIN e ON e.conv_id = a.conv_id AND e.turn = a.turn""")
+def boxed_braces(spark, sf_dir):
+    """The last box of texts whose letters are made boxes and braces, nested and unclosed as they fall."""
+    said = F.replace(F.replace(F.replace("text", F.lit("o"), F.lit("{")), F.lit("e"), F.lit("}")), F.lit("th"), F.lit("\\boxed{"))
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", T.boxed(said).alias("boxed"))
+
+
+@query("""WITH a AS (SELECT p_partkey, (p_partkey * 7919 + p_size * 104729) % 2000001 - 1000000 AS p, p_partkey % 2 + 1 AS d, p_size % 5 - 2 AS off FROM part),
+r AS (SELECT *, CAST(10 ** (3 - d) AS BIGINT) AS unit FROM a), g AS (SELECT *, sign(p) * ((2 * abs(p) + unit) // (2 * unit)) AS near FROM r)
+SELECT p_partkey, off = 0 AS same FROM g""")
+def rounded_numbers(spark, sf_dir):
+    """Numbers of three places against truths of one or two, which are the rounded number or a few units off; half goes away from zero."""
+    number, d = (F.col("p_partkey") * 7919 + F.col("p_size") * 104729) % 2000001 - 1000000, F.col("p_partkey") % 2 + 1
+    unit = F.when(d == 1, 100).otherwise(10)
+    near = F.signum(number).cast("long") * F.call_function("div", F.abs(number) * 2 + unit, unit * 2) + F.col("p_size") % 5 - 2
+    places = lambda n, k: F.concat(F.when(n < 0, "-").otherwise(""), F.call_function("div", F.abs(n), k).cast("string"), F.lit("."), F.lpad((F.abs(n) % k).cast("string"), (F.length(k.cast("string")) - 1), F.lit("0")))
+    predicted, truth = places(number, F.lit(1000)), places(near, F.when(d == 1, 10).otherwise(100))
+    return read_table(spark, sf_dir, "part").select("p_partkey", scoring.numeric_equal(predicted, truth).alias("same"))
+
+
+#: Ends of lines by turns: numbers that are stated, and some that aren't.
+_STATED = ("the Answer is {0},{0}.5", "RESULT = -{0}", "the value of it is {0}/7", "answers are {0}", "value: {0} then result: {0}.25", "the result  is\t+{0} / 3,000")
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, replace(replace(text, '.', ','), '!', ',') || chr(10) || CASE conv_id % 6 WHEN 0 THEN 'the Answer is ' || (turn + 11) || ',' || (turn + 11) || '.5' WHEN 1 THEN 'RESULT = -' || (turn + 11) WHEN 2 THEN 'the value of it is ' || (turn + 11) || '/7'
+WHEN 3 THEN 'answers are ' || (turn + 11) WHEN 4 THEN 'value: ' || (turn + 11) || ' then result: ' || (turn + 11) || '.25' ELSE 'the result  is' || chr(9) || '+' || (turn + 11) || ' / 3,000' END AS said FROM conversations),
+l AS (SELECT conv_id, turn, string_split(said, chr(10))[-1] AS line FROM a)
+SELECT conv_id, turn, nullif(regexp_replace(regexp_extract(line, '(?i)(?:answer|result|value\b[^.]{0,20}?)\s+(?:is|=|:)\s*([-+]?[0-9,]+(?:\.[0-9]+)?(?:\s*/\s*[0-9,]+(?:\.[0-9]+)?)?)', 1), '[,\s]', '', 'g'), '') AS number FROM l""")
+def stated_numbers(spark, sf_dir):
+    """The number that the last line of a text states, in any case and spacing, or none."""
+    n = (F.col("turn") + 11).cast("string")
+    kinds = [F.replace(F.lit(s), F.lit("{0}"), n) for s in _STATED]
+    end = kinds[-1]
+    for k, s in enumerate(kinds[:-1]):
+        end = F.when(F.col("conv_id") % 6 == k, s).otherwise(end)
+    said = F.concat(F.translate("text", ".!", ",,"), F.lit("\n"), end)
+    found = scoring.freeform(said, F.lit(""))
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", found["extracted"].alias("number"))
