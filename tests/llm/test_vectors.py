@@ -150,10 +150,10 @@ def test_query_equals_sql(spark, data, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("embeddings", "conversations"):
+    for table in ("embeddings", "conversations", "clicks"):
         con.sql(f"create view {table} as select * from '{data}/{table}.parquet'")
     ours, theirs = QUERIES[name](spark, data), con.sql(ORACLE_SQL[name])
     order = [theirs.columns.index(c) for c in ours.columns]
     names = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
     assert [names[t] for _, t in ours.dtypes] == [str(theirs.types[i]) for i in order]
-    assert sorted(map(tuple, ours.collect())) == sorted(tuple(r[i] for i in order) for r in theirs.fetchall())
+    assert sorted(map(tuple, ours.collect()), key=repr) == sorted((tuple(r[i] for i in order) for r in theirs.fetchall()), key=repr)
