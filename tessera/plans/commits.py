@@ -28,6 +28,7 @@ from pyspark.sql.types import ArrayType, DataType, StringType, StructField, Stru
 from tessera.operators.constraints import Rule, check, duplicates
 from tessera.plans.lineage import ensure_checkpoint_dir
 from tessera.schema import CORE_TABLES, EXAMPLE_KEY, RESUME_KEY, ROLLOUT_KEY, SCORE_KEY, TABLES
+from tessera.sources.files import hashes
 
 #: Tables of a shard of each kind.
 KINDS = {"core": CORE_TABLES, "scores": ("scores",), "examples": ("examples",)}
@@ -174,11 +175,10 @@ def _types(schema: StructType) -> str:
     return hashlib.sha256(schema.simpleString().encode()).hexdigest()
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """``part``, ``name``, ``length``, ``sha256`` of the data files below a table or a part, hashed where they are read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+def _files(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
+    """``part``, ``name``, ``length``, ``sha256`` of the data files below a table or a part, or of its parts in ``only``; streamed where they are."""
     at = F.regexp_extract("path", "([^/]+)/([^/]+)$", 1), F.regexp_extract("path", "([^/]+)$", 1)
-    return files.select(at[0].alias("part"), at[1].alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    return hashes(spark, path, "*.parquet", only).select(at[0].alias("part"), at[1].alias("name"), "length", "sha256")
 
 
 def _step_range(written: DataFrame):
@@ -417,9 +417,10 @@ def verify(store: Store, kind: str = "core", content: bool = True) -> DataFrame:
         return differ
     named = told.select("shard", "table", "part", F.explode("files").alias("f")).select("shard", "table", "part", "f.name", F.concat_ws(" ", "f.length", "f.sha256").alias("declared"))
     # only files of committed parts are hashed
+    parts = told.select("part").distinct()
     there = reduce(DataFrame.unionByName, [
-        _files(store.spark, f"{store.root}/data/{t}").select("part", "name", F.concat_ws(" ", "length", "sha256").alias("actual")) for t in KINDS[kind] if store.list(f"data/{t}")
-    ], store.spark.createDataFrame([], "part string, name string, actual string")).join(told.select("part").distinct(), "part", "left_semi")
+        _files(store.spark, f"{store.root}/data/{t}", parts).select("part", "name", F.concat_ws(" ", "length", "sha256").alias("actual")) for t in KINDS[kind] if store.list(f"data/{t}")
+    ], store.spark.createDataFrame([], "part string, name string, actual string"))
     hashed = named.join(there, ["part", "name"], "full")
     return differ.unionByName(hashed.where("not (declared <=> actual)").select(
         "shard", "table", F.concat(F.lit("file:"), F.col("name")).alias("what"), "declared", "actual",

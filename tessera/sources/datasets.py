@@ -21,6 +21,7 @@ from tessera.functions import text as T
 from tessera.functions.identity import sample_id
 from tessera.operators.scheduling import with_ordinal
 from tessera.session import ship
+from tessera.sources.files import hashed, hashes, streams, walked, with_contents
 from tessera.sources.images import dimensions
 
 EXAMPLE = ("source_row_index", "sample_id", "question", "eval_question", "rendered_prompt", "ground_truth", "answer_type", "images", "metadata_json")
@@ -83,26 +84,35 @@ def _bare(path: Column) -> Column:
 def with_files(rows: DataFrame, names: list[str], path: str) -> DataFrame:
     """Images that are given by a path alone, with that file's bytes; a relative path starts at the row's own file. A file that isn't there is an error.
 
-    The files are read below the source's directory by the executors and joined by path.
+    Executors open the files, in one pass for all columns. In a store that only Spark reads, the files below the source's
+    directory are joined by path.
     """
     spark = rows.sparkSession
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     root = there.getParent().toString() if system.getFileStatus(there).isFile() else path
+    names = [n for n in names if has(rows, f"{n}.bytes") and has(rows, f"{n}.path")]
+    wanted = {}
     for name in names:
-        if not has(rows, f"{name}.bytes") or not has(rows, f"{name}.path"):
-            continue
         data, where = F.col(f"{name}.bytes"), F.nullif(F.col(f"{name}.path"), F.lit(""))
         alone = F.coalesce(F.octet_length(data), F.lit(0)).eqNullSafe(0) & where.isNotNull()
-        if rows.where(alone).isEmpty():
-            continue
         base = F.regexp_extract("_file", "^(.*/)[^/]*$", 1)
         full = F.when(where.rlike("^[a-z]+:/"), where).when(where.startswith("/"), F.concat(F.lit("file:"), where)).otherwise(F.concat(base, where))
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_FILES).load(root).select(
+        wanted[name] = F.when(alone, _bare(full))
+    if not names or rows.where(F.coalesce(*wanted.values()).isNotNull()).isEmpty():
+        return rows
+    if streams(spark, path):
+        read = with_contents(rows.withColumn("_paths", F.array(*wanted.values())), "_paths", "_contents")
+        for k, name in enumerate(names):
+            data = F.coalesce(F.get("_contents", F.lit(k)), F.col(f"{name}.bytes"))
+            read = read.withColumn(name, F.when(F.col(name).isNotNull(), F.struct(data.alias("bytes"), F.col(f"{name}.path").alias("path"))))
+        return read.drop("_paths", "_contents")
+    for name, full in wanted.items():
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", IMAGE_FILES).load(root).select(
             _bare(F.col("path")).alias("_path"), F.col("content").alias("_content"),
         )
-        joined = rows.withColumn("_path", F.when(alone, _bare(full))).join(files, "_path", "left")
-        read = F.when(F.col("_path").isNull(), data).otherwise(F.coalesce(
+        joined = rows.withColumn("_path", full).join(found, "_path", "left")
+        read = F.when(F.col("_path").isNull(), F.col(f"{name}.bytes")).otherwise(F.coalesce(
             "_content", F.raise_error(F.concat(F.lit("no image "), F.col("_path"))).cast("binary"),
         ))
         rows = joined.withColumn(
@@ -244,6 +254,10 @@ def examples(spark: SparkSession, name: str, path: str, where: dict | None = Non
 
 
 def source_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path``, ``sha256`` of all files below a directory, hashed by the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    """``path``, ``sha256`` of all files below a directory, streamed through a hash by the executors; a file may have any size, zero too.
+
+    In a store that only Spark reads, empty files are left out and one file is at most 2 GB.
+    """
+    if streams(spark, path):
+        return hashed(walked(spark, path, pattern)).select("path", "sha256")
+    return hashes(spark, path, pattern).select("path", "sha256")

@@ -12,11 +12,11 @@ from tessera.functions import identity
 from tessera.functions import text as T
 from tessera.operators import attention, constraints, hidden, positions, scheduling, scoring
 from tessera.plans import commits, matrix, records, runs, scoring_run
-from tessera.plans.lineage import ensure_checkpoint_dir
+from tessera.plans.lineage import ensure_checkpoint_dir, written
 from tessera.queries import _ATTENTION_SQL, _NORMED, _attention_rows, query
 from tessera.schema import SCENARIOS, TABLES
 from tessera.session import read_table
-from tessera.sources import adapters, datasets
+from tessera.sources import adapters, datasets, stored
 
 NOW = datetime(2026, 1, 2, 3, 4, 5)
 
@@ -444,6 +444,49 @@ def stored_inventory(spark, sf_dir):
     return found.select("table", "rows", F.lit(differences).alias("differences"))
 
 
+@query("""SELECT CAST(conv_id AS VARCHAR) AS sample_id, CAST(turn AS INTEGER) AS rollout_index, length(text) + 10 AS n_chars FROM conversations WHERE role = 'assistant' AND turn >= 2 AND conv_id % 2 = 1""")
+def stored_source(spark, sf_dir):
+    """A stored table through the data source: partitions by the log, filters on shard and rollout, three of its columns."""
+    store = _scored_store(spark, sf_dir)
+    stored.register(spark)
+    rows = spark.read.format("tessera").options(table="generations", columns="shard_id,sample_id,rollout_index,generated_text").load(store.root)
+    picked = rows.where("shard_id = 'all' and rollout_index >= 2").where(F.col("sample_id").cast("long") % 2 == 1)
+    return picked.select("sample_id", "rollout_index", F.length("generated_text").cast("long").alias("n_chars"))
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT 'before' AS "when", 's0' AS shard, count(*) AS declared, count(*) + count(*) FILTER (conv_id % 2 = 0) AS actual, CAST(NULL AS BIGINT) AS quarantined FROM c WHERE conv_id % 3 = 0
+UNION ALL SELECT "when", 's1', n, NULL, NULL FROM (SELECT count(*) AS n FROM c WHERE conv_id % 3 = 1), (SELECT unnest(['before', 'after']) AS "when")
+UNION ALL SELECT 'between', NULL, NULL, NULL, 3""")
+def damaged_store(spark, sf_dir):
+    """A store of three shards, damaged: rows added to one part, another's file gone, a part without a commit, a torn commit. What differs before and after orphans are moved away."""
+    store = commits.Store(spark, _scratch(spark, "damaged"))
+    number = F.col("conv_id").cast("string")
+    none = F.array().cast("array<struct<number:int,path:string,sha256:string,size:long,width:int,height:int>>")
+    made = read_table(spark, sf_dir, "conversations").select("conv_id").distinct().select(
+        F.col("conv_id").alias("source_row_index"), number.alias("sample_id"), *[F.lit(v).alias(n) for n, v in (
+            ("question", "q"), ("eval_question", "q"), ("rendered_prompt", "q"), ("ground_truth", "1"), ("answer_type", "freeform"),
+        )], none.alias("images"), F.lit("{}").alias("metadata_json"),
+    )
+    rows = commits.conform(records.example_rows(made, "r", "d", "t", F.array(F.lit(1))), "examples")
+    of = lambda k: rows.where(F.col("sample_id").cast("long") % 3 == k)
+    settings = commits.WriterSettings(level=9, row_group_bytes=1 << 20, dictionary=False)
+    done = [commits.commit_shard(store, f"s{k}", {"examples": of(k).coalesce(1)}, kind="examples", settings=settings)["parts"]["examples"] for k in range(3)]
+    of(0).where(F.col("sample_id").cast("long") % 2 == 0).coalesce(1).write.mode("append").parquet(f"{store.root}/{done[0]['path']}")
+    name = f"{done[1]['path']}/{done[1]['files'][0]['name']}"
+    store.move(name, f"elsewhere/{name}")
+    of(2).write.parquet(f"{store.root}/data/examples/_part=lost-0")
+    store.create("_commits/examples/torn.json", '{"shard": "torn", "parts"')
+    counted = lambda when: commits.verify(store, "examples").where("what = 'rows'").select(
+        F.lit(when).alias("when"), "shard", F.col("declared").cast("long").alias("declared"), F.col("actual").cast("long").alias("actual"), F.lit(None).cast("long").alias("quarantined"),
+    )
+    before = written(counted("before"))
+    moved = spark.range(1).select(
+        F.lit("between").alias("when"), F.lit(None).cast("string").alias("shard"), F.lit(None).cast("long").alias("declared"), F.lit(None).cast("long").alias("actual"), F.lit(len(commits.quarantine(store))).cast("long").alias("quarantined"),
+    )
+    return before.unionByName(moved).unionByName(counted("after"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY event_type")
 def recorded_failures(spark, sf_dir):
     store = commits.Store(spark, _scratch(spark, "failures"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions import times
 from tessera.operators import digests, scoring
 from tessera.queries import query
 from tessera.session import in_arrow, read_table
@@ -214,3 +215,19 @@ def stated_numbers(spark, sf_dir):
     said = F.concat(F.translate("text", ".!", ",,"), F.lit("\n"), end)
     found = scoring.freeform(said, F.lit(""))
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", found["extracted"].alias("number"))
+
+
+# ---- times -----------------------------------------------------------------------------------------
+
+
+@query(r"""WITH m AS (SELECT *, regexp_full_match(raw, '[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?(Z|[+-][0-9]{2}(:?[0-9]{2})?)') AS zoned FROM stamps),
+t AS (SELECT *, try_strptime(raw[1:10] || ' ' || CASE WHEN raw[17] = ':' THEN raw[12:19] ELSE raw[12:16] || ':00' END, '%Y-%m-%d %H:%M:%S') AS local, regexp_extract(raw[17:], '([+-])([0-9]{2}):?([0-9]{2})?$', ['sign', 'h', 'm']) AS o FROM m WHERE zoned),
+u AS (SELECT stamp_id, source, local - to_minutes(CASE WHEN o.sign = '-' THEN -1 ELSE 1 END * (coalesce(try_cast(o.h AS INTEGER), 0) * 60 + coalesce(try_cast(o.m AS INTEGER), 0))) AS utc FROM t)
+SELECT stamp_id, source, epoch_us(utc) AS micros, strftime(utc, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS written, utc IS NULL AS refused FROM u
+UNION ALL SELECT stamp_id, source, NULL, NULL, raw IS NOT NULL FROM m WHERE zoned IS NOT TRUE""")
+def zoned_times(spark, sf_dir):
+    """Instants of texts that tell their zone; others are refused."""
+    at = times.instant(F.col("raw"))
+    return read_table(spark, sf_dir, "stamps").select(
+        "stamp_id", "source", F.unix_micros(at).alias("micros"), times.iso(at).alias("written"), (F.col("raw").isNotNull() & at.isNull()).alias("refused"),
+    )

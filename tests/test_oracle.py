@@ -9,7 +9,7 @@ import pytest
 from tessera import stored_queries, value_queries  # noqa: F401  (they register their queries)
 from tessera.queries import ORACLE_SQL, QUERIES
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations stamps".split()
 
 
 @pytest.fixture(scope="module")
