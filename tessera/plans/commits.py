@@ -175,8 +175,8 @@ def _types(schema: StructType) -> str:
     return hashlib.sha256(schema.simpleString().encode()).hexdigest()
 
 
-def _files(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
-    """``part``, ``name``, ``length``, ``sha256`` of the data files below a table or a part, or of its parts in ``only``; streamed where they are."""
+def _files(spark: SparkSession, path: str | list[str], only: DataFrame | None = None) -> DataFrame:
+    """``part``, ``name``, ``length``, ``sha256`` of the data files below tables or a part, or of the parts in ``only``; streamed where they are."""
     at = F.regexp_extract("path", "([^/]+)/([^/]+)$", 1), F.regexp_extract("path", "([^/]+)$", 1)
     return hashes(spark, path, "*.parquet", only).select(at[0].alias("part"), at[1].alias("name"), "length", "sha256")
 
@@ -417,10 +417,10 @@ def verify(store: Store, kind: str = "core", content: bool = True) -> DataFrame:
         return differ
     named = told.select("shard", "table", "part", F.explode("files").alias("f")).select("shard", "table", "part", "f.name", F.concat_ws(" ", "f.length", "f.sha256").alias("declared"))
     # only files of committed parts are hashed
-    parts = told.select("part").distinct()
-    there = reduce(DataFrame.unionByName, [
-        _files(store.spark, f"{store.root}/data/{t}", parts).select("part", "name", F.concat_ws(" ", "length", "sha256").alias("actual")) for t in KINDS[kind] if store.list(f"data/{t}")
-    ], store.spark.createDataFrame([], "part string, name string, actual string"))
+    folders = [f"{store.root}/data/{t}" for t in KINDS[kind] if store.list(f"data/{t}")]
+    there = store.spark.createDataFrame([], "part string, name string, actual string")
+    if folders:
+        there = _files(store.spark, folders, told.select("part").distinct()).select("part", "name", F.concat_ws(" ", "length", "sha256").alias("actual"))
     hashed = named.join(there, ["part", "name"], "full")
     return differ.unionByName(hashed.where("not (declared <=> actual)").select(
         "shard", "table", F.concat(F.lit("file:"), F.col("name")).alias("what"), "declared", "actual",

@@ -94,14 +94,14 @@ def with_contents(rows: DataFrame, paths: str, name: str) -> DataFrame:
     return out.toDF(*rows.columns, name)
 
 
-def streams(spark: SparkSession, path: str) -> bool:
-    """Whether executors open files below ``path`` themselves."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def streams(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether executors open files below ``path`` themselves; several paths are of one store."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path if isinstance(path, str) else path[0])
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() in STREAMED
 
 
-def listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path``, ``length`` of the files below a directory, at any depth; no content is read."""
+def listed(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
+    """``path``, ``length`` of the files with content below one directory or several, at any depth; nothing of them is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return files.select("path", "length")
 
@@ -146,7 +146,7 @@ def hashed(files: DataFrame) -> DataFrame:
     return dealt.transform(in_arrow, _digests, "length long, path string, sha256 string").select("path", "length", "sha256")
 
 
-def hashes(spark: SparkSession, path: str, pattern: str = "*", only: DataFrame | None = None) -> DataFrame:
+def hashes(spark: SparkSession, path: str | list[str], pattern: str = "*", only: DataFrame | None = None) -> DataFrame:
     """``path, length, sha256`` of the files with content below a directory, or of those whose directory's name is a ``part`` of ``only``.
 
     Without ``only``, a task takes the files that Spark's scan gives it by their lengths.
