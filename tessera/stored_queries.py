@@ -459,7 +459,7 @@ SELECT 'before' AS "when", 's0' AS shard, count(*) AS declared, count(*) + count
 UNION ALL SELECT "when", 's1', n, NULL, NULL FROM (SELECT count(*) AS n FROM c WHERE conv_id % 3 = 1), (SELECT unnest(['before', 'after']) AS "when")
 UNION ALL SELECT 'between', NULL, NULL, NULL, 3""")
 def damaged_store(spark, sf_dir):
-    """A store of three shards, damaged: rows added to one part, another's file gone, a part without a commit, a torn commit. What differs before and after orphans are moved away."""
+    """A store of three shards, damaged: rows added to one part, another's files gone, a part without a commit, a torn commit. What differs before and after orphans are moved away."""
     store = commits.Store(spark, _scratch(spark, "damaged"))
     number = F.col("conv_id").cast("string")
     none = F.array().cast("array<struct<number:int,path:string,sha256:string,size:long,width:int,height:int>>")
@@ -471,10 +471,11 @@ def damaged_store(spark, sf_dir):
     rows = commits.conform(records.example_rows(made, "r", "d", "t", F.array(F.lit(1))), "examples")
     of = lambda k: rows.where(F.col("sample_id").cast("long") % 3 == k)
     settings = commits.WriterSettings(level=9, row_group_bytes=1 << 20, dictionary=False)
-    done = [commits.commit_shard(store, f"s{k}", {"examples": of(k).coalesce(1)}, kind="examples", settings=settings)["parts"]["examples"] for k in range(3)]
-    of(0).where(F.col("sample_id").cast("long") % 2 == 0).coalesce(1).write.mode("append").parquet(f"{store.root}/{done[0]['path']}")
-    name = f"{done[1]['path']}/{done[1]['files'][0]['name']}"
-    store.move(name, f"elsewhere/{name}")
+    done = [commits.commit_shard(store, f"s{k}", {"examples": of(k)}, kind="examples", settings=settings)["parts"]["examples"] for k in range(3)]
+    of(0).where(F.col("sample_id").cast("long") % 2 == 0).write.mode("append").parquet(f"{store.root}/{done[0]['path']}")
+    for f in done[1]["files"]:
+        name = f"{done[1]['path']}/{f['name']}"
+        store.move(name, f"elsewhere/{name}")
     of(2).write.parquet(f"{store.root}/data/examples/_part=lost-0")
     store.create("_commits/examples/torn.json", '{"shard": "torn", "parts"')
     counted = lambda when: commits.verify(store, "examples").where("what = 'rows'").select(
@@ -482,7 +483,7 @@ def damaged_store(spark, sf_dir):
     )
     before = written(counted("before"))
     moved = spark.range(1).select(
-        F.lit("between").alias("when"), F.lit(None).cast("string").alias("shard"), F.lit(None).cast("long").alias("declared"), F.lit(None).cast("long").alias("actual"), F.lit(len(commits.quarantine(store))).cast("long").alias("quarantined"),
+        F.lit("between").alias("when"), F.lit(None).cast("string").alias("shard"), F.lit(None).cast("long").alias("declared"), F.lit(None).cast("long").alias("actual"), F.lit(len({n.split("/")[2] for n in commits.quarantine(store)})).cast("long").alias("quarantined"),
     )
     return before.unionByName(moved).unionByName(counted("after"))
 
