@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import decimal
+import re
 from functools import reduce
+from string import ascii_lowercase
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.text import bind, strip
-
-# Patterns of numbers, options and final answers.
-_NUMBER = r"-?[0-9]*\.?[0-9]+"
-_FRACTION = rf"\A\\[dt]?frac\s*\{{\s*({_NUMBER})\s*\}}\s*\{{\s*({_NUMBER})\s*\}}\z"
-_RATIO = rf"\A({_NUMBER})\s*/\s*({_NUMBER})\z"
+from tessera.session import by_value
+
+# Patterns of numbers of cleaned texts (in Python's syntax), options and final answers.
+_NUMBER = r"-?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)"
+_PLAIN = re.compile(r"[-+]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)")
+_FRACTION = re.compile(rf"\\[dt]?frac\s*\{{\s*({_NUMBER})\s*\}}\s*\{{\s*({_NUMBER})\s*\}}", re.ASCII)
+_RATIO = re.compile(rf"({_NUMBER})\s*/\s*({_NUMBER})", re.ASCII)
+_COMMAND = re.compile(r"\\[a-zA-Z]")
 _OPTION = r"(?U)\A[\(\[]?\s*([A-Z])\b"
 _ANSWER_LETTER = r"(?iU)(?:answer|choice)\s*(?:is\b\s*)?:?\s*[\(\[]?\s*([A-Z])\b"
 _OPTION_LETTER = r"(?iU)\boption\s*(?:is\b\s*)?:?\s*[\(\[]?\s*([A-Z])\b"
@@ -25,47 +32,13 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def fraction(cleaned: Column) -> Column:
-    """(numerator, denominator) of a number cleaned by :func:`~tessera.functions.text.clean_number`, with or without a unit behind it; else null."""
-
-    def of(t: Column) -> Column:
-        pair = lambda p: F.when(t.rlike(p), F.struct(F.regexp_extract(t, p, 1).alias("n"), F.regexp_extract(t, p, 2).alias("d")))
-        return F.coalesce(pair(_FRACTION), pair(_RATIO))
-
-    return F.coalesce(of(cleaned), of(strip(F.regexp_replace(cleaned, "[a-z]+$", ""))))
-
-
-def plain_number(cleaned: Column) -> Column:
-    """The digits of a number that is no fraction, without its unit; null for LaTeX commands and other texts."""
-    bare = strip(F.regexp_replace(cleaned, "[a-z]+$", ""))
-    return F.when(~cleaned.rlike(r"\\[a-zA-Z]") & bare.rlike(r"\A[-+]?[0-9]*\.?[0-9]+\z"), bare)
-
-
 def decimals(gold: Column) -> Column:
     """Digits behind the point of the first decimal fraction in a truth; 0 without one."""
-    return F.length(F.regexp_extract(F.replace(T.strip_latex(gold), F.lit(","), F.lit("")), r"-?[0-9]*\.([0-9]+)", 1))
-
-
-def _number(text: Column) -> Column:
-    """A number of digits and a point: whether it is negative, its digits without zeros at either end, and how many of them stand behind the point."""
-
-    def shape(t: Column) -> Column:
-        behind = F.regexp_extract(t, r"\.([0-9]*)$", 1)
-        kept = F.regexp_replace(behind, "0+$", "")
-        digits = F.regexp_replace(F.concat(F.regexp_extract(t, r"^[-+]?([0-9]*)", 1), kept), "^0+", "")
-        scale = F.length(kept)
-        # whole numbers give their last zeros to the scale, so that equal numbers look alike
-        zeros = F.when(scale == 0, F.length(F.regexp_extract(digits, "0*$", 0))).otherwise(0)
-        cut = F.substring(digits, F.lit(1), F.length(digits) - zeros)
-        return F.struct((t.startswith("-") & (cut != "")).alias("minus"), cut.alias("digits"), F.when(cut == "", 0).otherwise(scale - zeros).alias("scale"))
-
-    return F.when(text.isNotNull(), bind(text, shape))
+    return F.length(F.regexp_extract(F.replace(T.strip_latex(gold), F.lit(","), F.lit("")), r"\.([0-9]+)", 1))
 
 
 #: Digits of a limb of a long number; products of limbs, and sums of nine million of these, fit into a long.
 LIMB = 6
-#: Digits up to which Spark's decimals multiply exactly.
-_SHORT = 37
 
 
 def _limbs(digits: Column) -> Column:
@@ -98,40 +71,38 @@ def long_product(a: Column, b: Column) -> Column:
     return bind(F.struct(_limbs(a).alias("a"), _limbs(b).alias("b")), crossed)
 
 
-def _product(a: Column, b: Column) -> Column:
-    """The exact product of two numbers as a number."""
-    short = F.coalesce(F.nullif(a["digits"], F.lit("")), F.lit("0")).cast("decimal(38,0)") * F.coalesce(F.nullif(b["digits"], F.lit("")), F.lit("0")).cast("decimal(38,0)")
-    whole = F.when(F.length(a["digits"]) + F.length(b["digits"]) <= _SHORT, F.nullif(short.cast("string"), F.lit("0"))).otherwise(long_product(a["digits"], b["digits"]))
-
-    def shape(d: Column) -> Column:
-        zeros = F.length(F.regexp_extract(d, "0*$", 0))
-        return F.struct(
-            ((a["minus"] != b["minus"]) & (d != "")).alias("minus"), F.regexp_replace(d, "0+$", "").alias("digits"),
-            F.when(d == "", 0).otherwise(a["scale"] + b["scale"] - zeros).alias("scale"),
-        )
+#: Numbers of any length are exact: nothing that is done with them below is rounded to a precision.
+_EXACT = decimal.Context(prec=decimal.MAX_PREC, Emax=decimal.MAX_EMAX, Emin=decimal.MIN_EMIN)
+_ONE = decimal.Decimal(1)
 
-    return F.when(a.isNotNull() & b.isNotNull(), bind(F.coalesce(whole, F.lit("")), shape))
 
+def _parts(cleaned: str) -> tuple[decimal.Decimal, decimal.Decimal, bool] | None:
+    """Numerator, denominator and whether it is a fraction, of a number cleaned by :func:`~tessera.functions.text.clean_number`, with or without a unit behind it.
 
-def _one_more(digits: Column) -> Column:
-    """The next whole number: its last nines become zeros, the digit before them goes up."""
-    nines = F.length(F.regexp_extract(digits, "9*$", 0))
-    kept = F.length(digits) - nines
-    up = F.coalesce(F.nullif(F.substring(digits, kept, F.lit(1)), F.lit("")), F.lit("0")).cast("int") + 1
-    head = F.when(kept > 0, F.concat(F.substring(digits, F.lit(1), kept - 1), up.cast("string"))).otherwise(F.lit("1"))
-    return F.concat(head, F.repeat(F.lit("0"), nines))
-
-
-def _rounded(x: Column, decimals_: Column) -> Column:
-    """A number rounded half away from zero to so many decimals: its sign, and the digits of the unscaled whole number without zeros in front."""
-    spare = x["scale"] - decimals_
-    whole = F.when(
-        spare <= 0, F.concat(x["digits"], F.repeat(F.lit("0"), -spare)),
-    ).otherwise(F.substring(x["digits"], F.lit(1), F.length(x["digits"]) - spare))
-    # the first digit that goes; there is none if all that is left stands further behind the point
-    next_ = F.when((spare > 0) & (F.length(x["digits"]) >= spare), F.substring(x["digits"], F.length(x["digits"]) - spare + 1, F.lit(1))).otherwise(F.lit("0"))
-    value = bind(F.struct(F.regexp_replace(whole, "^0+", "").alias("w"), (next_ >= "5").alias("up")), lambda s: F.when(s["up"], _one_more(s["w"])).otherwise(s["w"]))
-    return bind(value, lambda v: F.struct((x["minus"] & (v != "")).alias("minus"), v.alias("digits")))
+    None for LaTeX commands, other texts and fractions over 0.
+    """
+    bare = cleaned.rstrip(ascii_lowercase).strip()
+    if _PLAIN.fullmatch(bare):
+        return None if _COMMAND.search(cleaned) else (decimal.Decimal(bare), _ONE, False)
+    for text in (cleaned, bare):
+        found = _FRACTION.fullmatch(text) or _RATIO.fullmatch(text)
+        if found:
+            above, below = decimal.Decimal(found[1]), decimal.Decimal(found[2])
+            return (above, below, True) if below else None
+    return None
+
+
+def _same(predicted: str | None, gold: str | None, places: int) -> bool | None:
+    """Whether two cleaned numbers are equal, the truth having so many decimals; None if either is no number."""
+    p, g = (None if x is None else _parts(x) for x in (predicted, gold))
+    if p is None or g is None:
+        return None
+    if p[2] or g[2]:
+        return _EXACT.multiply(p[0], g[1]) == _EXACT.multiply(g[0], p[1])
+    if places:
+        unit = decimal.Decimal((0, (1,), -places))
+        return p[0].quantize(unit, decimal.ROUND_HALF_UP, _EXACT) == g[0].quantize(unit, decimal.ROUND_HALF_UP, _EXACT)
+    return p[0] == g[0]
 
 
 def numeric_equal(predicted: Column, gold: Column) -> Column:
@@ -140,27 +111,9 @@ def numeric_equal(predicted: Column, gold: Column) -> Column:
     Numbers are taken digit by digit. If either is a fraction they must be equal exactly, which
     cross-multiplication decides. Otherwise both are rounded (half up) to the truth's decimals, or
     compared as they are if it has none. A fraction over 0 is no number. Numbers may have any length.
+    Texts are cleaned by Spark's expressions, cleaned ones are compared within Arrow batches.
     """
-    both = F.struct(T.clean_number(predicted).alias("p"), T.clean_number(gold).alias("g"))
-
-    def compare(s: Column) -> Column:
-        fp, fg = fraction(s["p"]), fraction(s["g"])
-        one = F.lit("1")
-        parts = F.struct(
-            _number(F.when(fp.isNotNull(), fp["n"]).otherwise(plain_number(s["p"]))).alias("np"), _number(F.when(fp.isNotNull(), fp["d"]).otherwise(one)).alias("dp"),
-            _number(F.when(fg.isNotNull(), fg["n"]).otherwise(plain_number(s["g"]))).alias("ng"), _number(F.when(fg.isNotNull(), fg["d"]).otherwise(one)).alias("dg"),
-            (fp.isNotNull() | fg.isNotNull()).alias("crossed"), decimals(gold).alias("d"),
-        )
-
-        def decide(x: Column) -> Column:
-            sound = x["np"].isNotNull() & x["ng"].isNotNull() & (x["dp"]["digits"] != "") & (x["dg"]["digits"] != "")
-            crossed = _product(x["np"], x["dg"]) == _product(x["ng"], x["dp"])
-            rounded = _rounded(x["np"], x["d"]) == _rounded(x["ng"], x["d"])
-            return F.when(sound, F.when(x["crossed"], crossed).when(x["d"] == 0, x["np"] == x["ng"]).otherwise(rounded))
-
-        return bind(parts, decide)
-
-    return bind(both, compare)
+    return by_value(_same, pa.bool_(), T.clean_number(predicted), T.clean_number(gold), decimals(gold))
 
 
 def _candidate(value: Column, method: str) -> Column:
