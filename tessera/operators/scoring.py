@@ -37,43 +37,21 @@ def decimals(gold: Column) -> Column:
     return F.length(F.regexp_extract(F.replace(T.strip_latex(gold), F.lit(","), F.lit("")), r"\.([0-9]+)", 1))
 
 
-#: Digits of a limb of a long number; products of limbs, and sums of nine million of these, fit into a long.
-LIMB = 6
+#: Numbers of any length are exact: nothing that is done with them below is rounded to a precision.
+_EXACT = decimal.Context(prec=decimal.MAX_PREC, Emax=decimal.MAX_EMAX, Emin=decimal.MIN_EMIN)
+_ONE = decimal.Decimal(1)
 
 
-def _limbs(digits: Column) -> Column:
-    """A number's digits in groups of ``LIMB``, the last first."""
-    last = F.length(digits)
-    begin = lambda i: F.greatest(last - (i + 1) * LIMB, F.lit(0))
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.floor((last - 1) / LIMB).cast("int"), F.lit(0))),
-        lambda i: F.coalesce(F.nullif(F.substring(digits, begin(i) + 1, last - i * LIMB - begin(i)), F.lit("")), F.lit("0")).cast("long"),
-    )
+def _times(a: str | None, b: str | None) -> str | None:
+    """The product of two whole numbers' digits; no digits are 0."""
+    if a is None or b is None:
+        return None
+    return format(_EXACT.multiply(decimal.Decimal(a or 0), decimal.Decimal(b or 0)), "f").lstrip("0")
 
 
 def long_product(a: Column, b: Column) -> Column:
-    """The product of two whole numbers of any length, digits in and digits out, without zeros in front: limbs are multiplied crosswise, and sums carried on."""
-
-    def crossed(x: Column) -> Column:
-        n, m = F.size(x["a"]), F.size(x["b"])
-        sums = F.transform(F.sequence(F.lit(0), n + m - 2), lambda k: F.aggregate(
-            F.sequence(F.greatest(k - m + 1, F.lit(0)), F.least(k, n - 1)), F.lit(0).cast("long"), lambda s, i: s + F.get(x["a"], i) * F.get(x["b"], k - i),
-        ))
-        start = F.struct(F.lit(0).cast("long").alias("carry"), F.lit("").alias("digits"))
-
-        def carried(s: Column, limb: Column) -> Column:
-            whole = limb + s["carry"]
-            low = F.lpad((whole % 10**LIMB).cast("string"), LIMB, "0")
-            return F.struct(F.call_function("div", whole, F.lit(10**LIMB)).alias("carry"), F.concat(low, s["digits"]).alias("digits"))
-
-        return F.aggregate(sums, start, carried, lambda s: F.regexp_replace(F.concat(s["carry"].cast("string"), s["digits"]), "^0+", ""))
-
-    return bind(F.struct(_limbs(a).alias("a"), _limbs(b).alias("b")), crossed)
-
-
-#: Numbers of any length are exact: nothing that is done with them below is rounded to a precision.
-_EXACT = decimal.Context(prec=decimal.MAX_PREC, Emax=decimal.MAX_EMAX, Emin=decimal.MIN_EMIN)
-_ONE = decimal.Decimal(1)
+    """The product of two whole numbers of any length, digits in and digits out, without zeros in front; exact, within Arrow batches."""
+    return by_value(_times, pa.string(), a, b)
 
 
 def _parts(cleaned: str) -> tuple[decimal.Decimal, decimal.Decimal, bool] | None:

@@ -89,6 +89,13 @@ def test_comparing_numbers_is_a_small_plan(spark):
     assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
 
 
+def test_products_take_no_square_of_the_digits(spark):
+    """Two numbers of 300,000 digits, whose digits' pairs would take days."""
+    n = 300_000
+    df = spark.createDataFrame([("9" * n, "9" * n), ("", None)], "a string, b string").select(scoring.long_product(F.col("a"), F.col("b")).alias("p"))
+    assert [r.p for r in df.collect()] == ["9" * (n - 1) + "8" + "0" * (n - 1) + "1", None]
+
+
 def test_digests_go_on_through_batches(spark):
     rng = random.Random(1)
     rows = [(rng.choice([1, 2, None]), rng.randrange(40), rng.choice(["", "é", "x" * 500, "same"])) for _ in range(300)] + [(3, 1, None), (3, 2, "a")]
