@@ -5,12 +5,12 @@ Patterns use Java's syntax with Unicode classes where white space or digits may
 
 from __future__ import annotations
 
-import sys
-from functools import cache
-
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.session import by_value
+
 # Prompt suffixes by template, and letters of choices.
 PROMPT_SUFFIXES = {"reasoning_boxed_v1": "\n\nThink step by step inside <think> </think> tags, then give your final answer inside \\boxed{}."}
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -42,27 +42,13 @@ def bind(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-@cache
-def _folds() -> tuple[str, str, dict[str, str]]:
-    """Python's case folds: characters that become another one, these others, and characters that become several."""
-    folded = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and c.casefold() != c}
-    single = [c for c, f in folded.items() if len(f) == 1]
-    return "".join(single), "".join(folded[c] for c in single), {c: f for c, f in folded.items() if len(f) > 1}
+def _folded(text: str | None) -> str | None:
+    return None if text is None else text.casefold()
 
 
 def casefold(text: Column) -> Column:
-    """A text as Python's ``str.casefold`` has it, whatever the executors' locale and Unicode tables: sharp s is ss, both small sigmas are one.
-
-    The folds are a literal table, so nothing here can be simplified to a change of case. No fold makes a
-    character that has one itself, so their order doesn't matter.
-    """
-    before, after, several = _folds()
-    out = F.translate(text, before, after)
-    long = out
-    for c, fold in several.items():
-        long = F.replace(long, F.lit(c), F.lit(fold))
-    out = F.when(out.rlike("[" + "".join(several) + "]"), long).otherwise(out)
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(out)  # ASCII needs no table
+    """A text as Python's ``str.casefold`` has it, whatever the executors' locale: sharp s is ss, both small sigmas are one. Python folds within Arrow batches, each text once."""
+    return by_value(_folded, pa.string(), text)
 
 
 def render_question(question: Column, template: str = "reasoning_boxed_v1") -> Column:
