@@ -16,6 +16,8 @@ from tessera.session import in_arrow
 
 #: Below this total a distribution or a ratio is undefined; values above its negative count as 0.
 EPSILON = 1e-8
+#: The least positive double: with it any total above 0 has a distribution.
+POSITIVE = 5e-324
 INF = float("inf")
 LAYERS = 36
 
@@ -38,9 +40,9 @@ def _shares(name: str) -> Column:
     return F.transform(f"_{name}", lambda x: x / F.col(f"_{name}_t"))
 
 
-def _group_metrics(name: str, values: Column, total: Column, d: Column, valid: Column) -> dict[str, Column]:
+def _group_metrics(name: str, values: Column, total: Column, d: Column, valid: Column, least: float) -> dict[str, Column]:
     n = F.size(values).cast("double")
-    has = valid & (F.size(values) > 0) & (total >= EPSILON)
+    has = valid & (F.size(values) > 0) & (total >= least)
     entropy = F.aggregate(d, F.lit(0.0), lambda s, x: s + F.when(x > 0, x * F.ln(x)).otherwise(0.0))
     spread = F.aggregate(d, F.lit(0.0), lambda s, x: s + F.when(x > 0, F.ln(x)).otherwise(F.lit(-INF)))
     defined = {
@@ -53,14 +55,15 @@ def _group_metrics(name: str, values: Column, total: Column, d: Column, valid: C
 
 def metrics(
     df: DataFrame, vector: str = "attention", image: str = "image", prompt: str = "prompt", generated: str = "generated", prefix: str = "",
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, least: float = EPSILON,
 ) -> DataFrame:
     """The 41 metrics and ``valid`` of each row, by array expressions alone; the vector is never made to sum to 1.
 
     The groups are arrays of 0-based positions; positions in no group are ignored. An empty group has
     total 0 and no other metric. A vector with a value that isn't finite or lies below -1e-8 makes all
     metrics null and ``valid`` false; a null vector does, too. A position out of range or in two places
-    makes the row invalid as well.
+    makes the row invalid as well. A group's distribution, and a ratio, needs a total of ``least``, which
+    is above 0.
     """
     v = F.col(vector).cast("array<double>")
     groups = [F.col(c) for c in (image, prompt, generated)]
@@ -77,10 +80,10 @@ def metrics(
     # each group's values, total and distribution are columns of their own, so they are worked out once
     for name in ATTENTION_GROUPS:
         rows = rows.withColumn(f"_{name}", parts[name]).withColumn(f"_{name}_t", _total(F.col(f"_{name}")))
-        rows = rows.withColumn(f"_{name}_d", F.when(F.col(f"_{name}_t") >= EPSILON, _shares(name)))
-        made |= _group_metrics(name, F.col(f"_{name}"), F.col(f"_{name}_t"), F.col(f"_{name}_d"), valid)
+        rows = rows.withColumn(f"_{name}_d", F.when(F.col(f"_{name}_t") >= least, _shares(name)))
+        made |= _group_metrics(name, F.col(f"_{name}"), F.col(f"_{name}_t"), F.col(f"_{name}_d"), valid, least)
     i, p, g = (F.col(f"_{x}_t") for x in ATTENTION_GROUPS[:3])
-    ratio = lambda a, b: F.when(valid & (b >= EPSILON), a / b)
+    ratio = lambda a, b: F.when(valid & (b >= least), a / b)
     whole = i + p + g
     made |= {f"attn_ratio_{k}": r for k, r in {
         "img_to_prompt_text": ratio(i, i + p), "img_to_generated_text": ratio(i, i + g), "img_to_all": ratio(i, whole),

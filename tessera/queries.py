@@ -156,12 +156,12 @@ def _attention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ATTENTION_SQL} SELECT vec_id, {_sql_rounded(GROUP_METRICS)} FROM w")
 def attn_groups(spark, sf_dir):
-    return rounded(attention.metrics(_attention_rows(spark, sf_dir)), ["vec_id"], GROUP_METRICS)
+    return rounded(attention.metrics(_attention_rows(spark, sf_dir), least=attention.POSITIVE), ["vec_id"], GROUP_METRICS)
 
 
 @query(f"{_ATTENTION_SQL} SELECT vec_id, {_sql_rounded(ATTENTION_RATIOS)} FROM w")
 def attn_ratios(spark, sf_dir):
-    return rounded(attention.metrics(_attention_rows(spark, sf_dir)), ["vec_id"], ATTENTION_RATIOS)
+    return rounded(attention.metrics(_attention_rows(spark, sf_dir), least=attention.POSITIVE), ["vec_id"], ATTENTION_RATIOS)
 
 
 @query("SELECT vec_id, list_min(embedding) >= -1e-8 AS valid, CASE WHEN list_min(embedding) >= -1e-8 THEN round(list_sum(list_transform(embedding[1:2], lambda x: CAST(x AS DOUBLE))), 6) + 0.0 END AS img_attn_total FROM embeddings")
@@ -476,7 +476,7 @@ def wide_view(spark, sf_dir):
     tables = {
         "tokens": read_table(spark, sf_dir, "embeddings").select("vec_id", "label"),
         "token_probability_metrics": prob_metrics(spark, sf_dir, ("logp", "entropy", "selected_rank")),
-        "token_attention_metrics": rounded(attention.metrics(_attention_rows(spark, sf_dir)), key, ("img_attn_total", "attn_ratio_img_to_all")),
+        "token_attention_metrics": rounded(attention.metrics(_attention_rows(spark, sf_dir), least=attention.POSITIVE), key, ("img_attn_total", "attn_ratio_img_to_all")),
         "token_hidden_state_metrics": rounded(_cosines(spark, sf_dir), key, ("cosine",)),
     }
     return matrix.wide_view(tables, key)

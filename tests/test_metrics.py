@@ -2,11 +2,13 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import attention, hidden, positions, probability, sampling, scheduling
+from tessera.queries import ORACLE_SQL, QUERIES
 from tessera.schema import PROBABILITY_METRICS, TABLES
 
 LN = [math.log(x) for x in (0.5, 0.25, 0.25)]
@@ -72,6 +74,17 @@ def test_attention_values(spark):
     assert r["all_attn_total"] == pytest.approx(1.0) and r["attn_ratio_img_to_all"] + r["attn_ratio_prompt_generated_text_to_all"] == pytest.approx(1)
 
 
+def test_the_query_takes_any_positive_total(spark, tmp_path):
+    """A single generated position with a share below the operator's least total, against the query's SQL."""
+    rows = [(1, [0.1] * 40 + [1e-6] + [0.1] * 23, 1), (2, [0.2] * 64, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("attn_groups", "attn_ratios"):
+        found = con.sql(ORACLE_SQL[name])
+        assert sorted(tuple(r[c] for c in found.columns) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(found.fetchall())
+
+
 def test_attention_empty_invalid_and_clipped(spark):
     r = attn(spark, [0.3, 0.15, 0.25, 0.0, 0.3], [0, 3], [1, 2, 4], [])
     assert r["generated_text_attn_total"] == 0 and r["generated_text_attn_avg"] is None and r["valid"]
