@@ -119,6 +119,16 @@ def test_digests_go_on_through_batches(spark):
     assert digests.ordered_digests(df.limit(0), ["value"], "v", ["at"]).count() == 0
 
 
+def test_a_digest_of_many_blocks_is_sorted_by_ranges(spark):
+    """Two groups of a megabyte and more in rows of all sizes; no single task sorts a group's rows."""
+    rng = random.Random(7)
+    rows = [(i % 2, i, "xyz"[i % 3] * rng.choice([0, 1, 5000, 400_000])) for i in range(60)]
+    made = digests.ordered_digests(spark.createDataFrame(rows, "value long, at int, v string").repartition(6), ["value"], "v", ["at"])
+    framed = lambda k: b"".join(len(v).to_bytes(8, "big") + v.encode() for key, _, v in rows if key == k)
+    assert {r.value: r.digest for r in made.collect()} == {k: hashlib.sha256(framed(k)).hexdigest() for k in (0, 1)}
+    assert "rangepartitioning" in made._jdf.queryExecution().executedPlan().toString()
+
+
 def over(rgb, a):
     return [round((c * a + 255 * (255 - a)) / 255) for c in rgb]
 
