@@ -1,7 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: multi-index hashing of min-wise fingerprints, whole sets decide.
+"""Near copies by the Jaccard similarity of word shingles: multi-index hashing of SimHash, then of min-wise fingerprints; whole sets decide.
 
-At a similarity of 0.8 two 64-bit SimHash fingerprints differ by some 10 bits, and by over 20 at times;
-no segment of them is short enough to find such pairs. So the fingerprints here have 128 symbols of 16
+First 64-bit SimHash fingerprints of the shingles, by :mod:`tessera.llm.simhash`, link what is at most 4 bits apart
+and similar enough. At a similarity of 0.8 two of them differ by some 10 bits, and by over 20 at times;
+no segment of them is short enough to find such pairs. So what is left apart meets by fingerprints of 128 symbols of 16
 bits (least hashes of the shingles under 128 permutations), in 32 segments of 4. The scheme is the same:
 fetch the matches of each segment's table, verify the distance of the whole fingerprints, then the texts.
 """
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.common import TEXTS, connected_components, cut, edge_batch, in_arrow, key_runs, pieces, texts_of
 from tessera.llm.simhash import shingles
 
@@ -62,6 +64,11 @@ def fingerprint(found: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(48)).astype(np.uint16).view(np.int64)
 
 
+def signs(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles as a signed long; of different sets alone, so that a class has one."""
+    return int(np.uint64(simhash.of_hashes(found)).view(np.int64))
+
+
 def similar(left: np.ndarray, right: np.ndarray) -> bool:
     """Whether two sorted sets reach ``LEAST``, in whole numbers."""
     common = len(np.intersect1d(left, right, assume_unique=True))
@@ -89,8 +96,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 *batch.columns[:2], pa.array([node_of(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int32()),
                 pa.array([fingerprint(s) for s in sets], pa.list_(pa.int64())),
+                pa.array([signs(s) for s in sets], pa.int64()),
             ],
-            names=["doc_id", "text_hash", "node", "size", "symbols"],
+            names=["doc_id", "text_hash", "node", "size", "symbols", "fp"],
         )
 
 
@@ -273,6 +281,16 @@ def _sets_of(nodes: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame
     return cut(texts.transform(in_arrow, _sets, "node long, shingles array<long>").dropDuplicates(["node"]))
 
 
+def _signed_pairs(classes: DataFrame) -> DataFrame:
+    """``a``, ``b``: sets whose SimHash fingerprints are linked, each fingerprint standing for its least set, and that one with the others of its fingerprint."""
+    classes = classes.where("size > 0")
+    of_fp = cut(classes.groupBy("fp").agg(F.min("node").alias("first")))
+    ends = lambda x: of_fp.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}"))
+    linked = simhash.links(of_fp).join(ends("a"), "a").join(ends("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    same = classes.select("fp", F.col("node").alias("b")).join(of_fp, "fp").where("b != first").select(F.col("first").alias("a"), "b")
+    return linked.unionByName(same)
+
+
 def _pivots(shared: DataFrame) -> DataFrame:
     """``a``, ``b``: each text of a bucket with that one of it which meets most texts in all its buckets, each pair once.
 
@@ -340,14 +358,15 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows = docs.where(F.col(id_column).isNotNull()).select(
         F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"),
     )
-    sketches = cut(rows.transform(in_arrow, _sketches, "doc_id long, text_hash long, node long, size int, symbols array<long>"))
+    sketches = cut(rows.transform(in_arrow, _sketches, "doc_id long, text_hash long, node long, size int, symbols array<long>, fp long"))
     classes = cut(sketches.groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("size").alias("size"), F.first("symbols").alias("symbols"),
+        F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("size").alias("size"), F.first("symbols").alias("symbols"), F.first("fp").alias("fp"),
     ))
     keyed = classes.select("node", F.posexplode("symbols").alias("segment", "value")).select("node", "segment", F.xxhash64("segment", "value").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key"))
     shared = cut(_joined(keyed, shared, "key").select("key", "segment", "node"))
-    links = cut(_star_links(_pivots(shared), rows, classes))
+    # what SimHash links and what shares a segment with its bucket's pivot is compared in one pass
+    links = cut(_star_links(_signed_pairs(classes).unionByName(_pivots(shared)).distinct(), rows, classes))
     links = links.unionByName(cut(_rest_links(shared, connected_components(links), rows, classes)))
     parts = connected_components(links).select("node", "component")
     named = classes.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))

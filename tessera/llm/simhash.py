@@ -41,9 +41,8 @@ def shingles(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in zip((ends - lengths)[:n].tolist(), ends[-n:].tolist())], np.uint64)
 
 
-def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Fingerprint of a text's shingles, repeats included; 0 without words."""
-    hashes = shingles(text, shingle, seed)
+def of_hashes(hashes: np.ndarray) -> int:
+    """Fingerprint of hashes: a bit is set that over half of them have; 0 without any."""
     n = len(hashes)
     if not n:
         return 0
@@ -51,6 +50,11 @@ def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Fingerprint of a text's shingles, repeats included; 0 without words."""
+    return of_hashes(shingles(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` (the 64 bits as a signed long) of each whole text; null texts are empty."""
 

@@ -55,6 +55,18 @@ def test_near_copies_by_similarity(spark, data):
     assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, table, data).collect()) == sorted(set(comp))
 
 
+def test_near_copies_go_through_simhash(spark, monkeypatch):
+    """SimHash's own multi-index links propose pairs; those of less than the similarity are dropped by the whole sets."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(reversed(words))]
+    found, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda classes: found.append(links(classes)) or found[-1])
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_copies(table).collect()} == {0: 0, 1: 0, 2: 2}
+    fps = [jaccard.signs(jaccard.shingle_set(t)) for t in texts]
+    assert {frozenset((r.a, r.b)) for r in found[0].collect()} == {frozenset(fps[:2])}
+
+
 def test_a_group_of_near_copies_of_all_degrees(spark, data):
     """Texts made of one, so that many pairs lie on either side of the similarity: components as by comparing all pairs."""
     draw = np.random.default_rng(5)
