@@ -237,16 +237,18 @@ def _learn(train: DataFrame) -> tuple[Model, Model]:
 def _model(kept: dict[str, tuple[int, int]], toxic: int, clean: int, words: tuple[int, int]) -> Model:
     """Log-odds of the counted tokens under hierarchical Dirichlet priors; the share of the others makes their score."""
     model, share = Model(), toxic / (toxic + clean)
-    drawn: dict[str, float] = {}  # P(toxic | token), drawn towards the token's beginnings
+    # P(toxic | token) and P(clean | token), drawn towards the token's beginnings; 1 less the former would be 0 in
+    # floats for a word that thousands of toxic texts hold and no clean one, nor its beginnings
+    drawn: dict[str, tuple[float, float]] = {}
     for token in sorted(kept, key=lambda t: (t.endswith(" "), len(t))):
         word = token.rstrip(" ")
-        above = next((drawn[word[:k]] for k in reversed(PREFIXES) if k < len(word) and word[:k] in drawn), share)
+        above = next((drawn[word[:k]] for k in reversed(PREFIXES) if k < len(word) and word[:k] in drawn), (share, 1 - share))
         a, b = kept[token]
-        drawn[token] = (a + PRIOR * above) / (a + b + PRIOR)
+        drawn[token] = (a + PRIOR * above[0]) / (a + b + PRIOR), (b + PRIOR * above[1]) / (a + b + PRIOR)
     base = math.log(share / (1 - share))
-    for token, p in drawn.items():
+    for token, (p, q) in drawn.items():
         a, b = kept[token]
-        odds = math.log(p / (1 - p)) - base
+        odds = math.log(p / q) - base
         sigma = math.sqrt(1 / (a + PRIOR * share) + 1 / (b + PRIOR * (1 - share)))
         if odds >= MIN_ODDS and odds / sigma >= MIN_Z:
             model.scores[token] = min(odds, MAX_SCORE)

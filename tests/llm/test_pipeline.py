@@ -29,6 +29,14 @@ def test_stages(spark, data):
     assert len(kept) > 0.6 * docs.count()
 
 
+def test_toxic_word_of_thousands_of_texts_alone(spark, tmp_path):
+    """A long word of over 3,400 labelled texts, all toxic."""
+    rows = [(i, "a disgusting remark" if i % 2 else "a kind remark") for i in range(9_000)]
+    spark.createDataFrame([(i, 0, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = pipeline.drop_toxic(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 9_000, 2))
+
+
 def test_repeated_ids_keep_one_row(spark, data):
     rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "quite another text with other words", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import zlib
+from fractions import Fraction
 from html.parser import HTMLParser
 
 import numpy as np
@@ -129,6 +130,21 @@ def test_held_out_labels_are_never_used(spark, docs):
     assert {r.predicted for r in toxicity.toxicity(docs(rows), labels).collect()} == {0}
 
 
+def test_log_odds_are_those_of_exact_fractions():
+    """Below five nodes that no clean text holds, 1 less P(toxic) would be 0 in floats; scores are those of exact fractions, clipped."""
+    word, half = toxicity.tokens_of("disgusting"), toxicity.tokens_of("dismal")
+    for a, b in ((4_000, 0), (160_000, 0), (4_000, 1)):
+        kept = {t: (a, b) for t in word} | {t: (40, 10) for t in half if t not in word}
+        model = toxicity._model(kept, 2 * a, 6 * a, (20 * a, 60 * a))
+        share, drawn = Fraction(1, 4), {}
+        for token in sorted(kept, key=lambda t: (t.endswith(" "), len(t))):
+            above = next((drawn[token[:k]] for k in (6, 5, 4, 3) if k < len(token.strip()) and token[:k] in drawn), share)
+            drawn[token] = (kept[token][0] + 2 * above) / (sum(kept[token]) + 2)
+        odds = {t: math.log(p / (1 - p)) - math.log(share / (1 - share)) for t, p in drawn.items()}
+        assert model.scores == pytest.approx({t: min(x, toxicity.MAX_SCORE) for t, x in odds.items()})
+        assert all(model.scores[t] == toxicity.MAX_SCORE for t in word) and model.scores["dism"] < 4
+
+
 def brute_fingerprint(text):
     words = [w for w in bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).split()]
     if not words:
