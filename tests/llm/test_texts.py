@@ -145,6 +145,15 @@ def test_log_odds_are_those_of_exact_fractions():
         assert all(model.scores[t] == toxicity.MAX_SCORE for t in word) and model.scores["dism"] < 4
 
 
+def test_toxicity_of_a_sample_of_labels(spark, docs):
+    """More labels than are taken, of which some 4,400 name texts with a long word that no clean text has."""
+    rows = [(i, "a disgusting remark" if i % 2 else "a kind remark") for i in range(12_000)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(rows), labels, max_labelled=8_800)
+    assert model.scores["disgusting "] == toxicity.MAX_SCORE and not any(t.startswith(("kin", "rem")) for t in model.scores)
+    assert {(r.doc_id % 2, r.score >= 0.5) for r in toxicity.score(docs(rows), model).collect()} == {(0, False), (1, True)}
+
+
 def brute_fingerprint(text):
     words = [w for w in bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).split()]
     if not words:
